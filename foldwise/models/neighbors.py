@@ -31,7 +31,7 @@ from foldwise.functions.vectors import class_index, feature_array, first_largest
 from foldwise.models.base import predictions
 
 BROADCAST_BYTES = 64 * 2**20
-PIVOTS = 128
+MAX_PIVOTS = 512
 TEST_BLOCK = 2_000
 TRAIN_BLOCK = 20_000
 # Bytes of a difference tensor held at once.
@@ -120,7 +120,7 @@ class FittedNeighbors:
     def _routed(self, train: DataFrame, tests: DataFrame, schema: str) -> DataFrame:
         k, p = self.k, self.p
         # Below p = 1 the triangle inequality fails: one pivot, no pruning.
-        n_pivots = PIVOTS if p >= 1 else 1
+        n_pivots = min(MAX_PIVOTS, 1 + math.isqrt(self.rows) // 4) if p >= 1 else 1
         chosen = (train.select("x", order_key(0, F.col("o")).alias("h"))
                   .orderBy("h").limit(n_pivots).toPandas())
         pivots = _matrix(chosen["x"])
