@@ -251,6 +251,9 @@ class Study:
         for stage in STAGES:
             for m in self.spec.metrics[stage]:
                 if m in M.ROW_METRICS:
+                    crosses = range(self.plan.crosses) if stage == "train" else [None]
+                    row.update({train_name(m, x) if stage == "train" else stage_name(m, stage): 0
+                                for x in crosses})
                     picked.append(M.ROW_METRICS[m](preds.filter(F.col("stage") == stage)).select(
                         F.lit(replicate).alias("replicate"), F.lit(trial).alias("trial"),
                         "stage", "cross", F.lit(m).alias("metric"), "row_id"))
