@@ -10,9 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def quoted(name: str) -> str:
+    """A name as SQL text; names may hold dots, spaces or brackets."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
-    """Column by its literal name; names may hold dots, spaces or brackets."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    """Column by its literal name."""
+    return F.col(quoted(name))
 
 
 @dataclass(frozen=True)

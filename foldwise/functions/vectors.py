@@ -9,35 +9,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwise.frame import Frame, col
+from foldwise.frame import Frame, quoted
 
 VECTOR = "features_vector"
 
 
-def _plain(frame: Frame) -> list[Column]:
-    text = [n for n in frame.features if not isinstance(
-        frame.type_of(n), (T.NumericType, T.BooleanType))]
-    if text:
-        raise TypeError(f"a matrix needs numeric features; encode or drop {text}")
-    return [col(n).cast("double").alias(f"__f{i}") for i, n in enumerate(frame.features)]
+def _numeric(frame: Frame) -> list[str]:
+    """Quoted feature names; text cannot go into a matrix."""
+    kinds = {f.name: f.dataType for f in frame.df.schema.fields}
+    wrong = [n for n in frame.features
+             if not isinstance(kinds[n], (T.NumericType, T.BooleanType))]
+    if wrong:
+        raise TypeError(f"a matrix needs numeric features; encode or drop {wrong}")
+    return [quoted(n) for n in frame.features]
 
 
 def with_vector(frame: Frame) -> DataFrame:
     """Keys and one vector of all features, in feature order; nulls raise."""
-    plain = frame.df.select(*[col(k) for k in frame.keys], *_plain(frame))
-    assembler = VectorAssembler(inputCols=[f"__f{i}" for i in range(frame.n_features)],
+    names = _numeric(frame)
+    # SQL text: one call to the JVM per column, whatever the number of features.
+    plain = frame.df.selectExpr(*[quoted(k) for k in frame.keys],
+                                *[f"CAST({n} AS DOUBLE) AS __f{i}" for i, n in enumerate(names)])
+    assembler = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(names))],
                                 outputCol=VECTOR, handleInvalid="error")
-    return assembler.transform(plain).select(*[col(k) for k in frame.keys], VECTOR)
+    return assembler.transform(plain).selectExpr(*[quoted(k) for k in frame.keys], VECTOR)
 
 
 def feature_array(frame: Frame) -> Column:
     """All features as array<double>; a null raises when the row is read."""
-    cells = [c for c in _plain(frame)]
-    missing = F.lit(False)
-    for n in frame.features:
-        missing = missing | col(n).isNull()
-    complaint = F.raise_error(F.lit("features hold nulls; impute them first"))
-    return F.when(missing, complaint.cast("array<double>")).otherwise(F.array(*cells))
+    names = _numeric(frame)
+    missing = " OR ".join(f"{n} IS NULL" for n in names)
+    cells = ", ".join(f"CAST({n} AS DOUBLE)" for n in names)
+    return F.expr(f"CASE WHEN {missing} THEN CAST(raise_error('features hold nulls; impute "
+                  f"them first') AS ARRAY<DOUBLE>) ELSE array({cells}) END")
 
 
 def class_index(label: Column, classes: Sequence) -> Column:

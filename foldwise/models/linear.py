@@ -47,4 +47,4 @@ class LogisticClassifier(EstimatorClassifier):
         c, l1_share = self.strength()
         return LogisticRegression(
             regParam=0.0 if c is None else 1.0 / (c * rows), elasticNetParam=l1_share,
-            standardization=False, family="auto", maxIter=self.max_iter, tol=1e-6)
+            standardization=False, family="auto", maxIter=self.max_iter, tol=1e-5)

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import functions as F
 
-from foldwise.frame import Frame, col
+from foldwise.frame import Frame, quoted
 from foldwise.operators.base import MomentFit, Moments, check_numeric, named
 
 
@@ -21,7 +21,8 @@ class FittedScale:
     def apply(self, frame: Frame) -> Frame:
         columns = {n: c for n, c in frame.columns().items() if n not in self.factors}
         for name, (mean, divisor) in self.factors.items():
-            columns[name] = (col(name).cast("double") - F.lit(mean)) / F.lit(divisor)
+            columns[name] = F.expr(
+                f"(CAST({quoted(name)} AS DOUBLE) - {mean!r}D) / {divisor!r}D")
         return frame.rebuild(columns)
 
 

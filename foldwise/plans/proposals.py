@@ -9,6 +9,8 @@ sum over trials, so all replicates are scored by one grouped aggregation.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,9 +57,15 @@ def propose(history: DataFrame, space: Space, seed: int, direction: str = "minim
     return out
 
 
+def _tries(draw) -> Column:
+    """Array of CANDIDATES values; ``draw`` maps a candidate's number to one."""
+    return F.transform(F.sequence(F.lit(0), F.lit(CANDIDATES - 1)), draw)
+
+
 def _categorical(marked: DataFrame, p: Parameter, seed: int, replicate: str) -> DataFrame:
-    """Smoothed shares; the choice with the best ratio, nulls included."""
+    """Smoothed shares; of the choices drawn, the one with the best ratio."""
     value = col(p.label)
+    k = len(p.choices)
     hits = []
     for i, c in enumerate(p.choices):
         same = value.eqNullSafe(F.lit(text(c)).cast("string"))
@@ -65,79 +73,69 @@ def _categorical(marked: DataFrame, p: Parameter, seed: int, replicate: str) ->
                  F.count_if(same & ~F.col("good")).alias(f"b{i}")]
     counts = marked.groupBy(col(replicate)).agg(
         *hits, F.count_if(F.col("good")).alias("ng"), F.count_if(~F.col("good")).alias("nb"))
-    k = len(p.choices)
-    # Draw from the good shares, then let the ratio decide among what was drawn.
     shares = [(F.col(f"g{i}") + 1) / (F.col("ng") + k) for i in range(k)]
-    drawn = F.array(*[_draw_choice(shares, uniform(seed, col(replicate), F.lit(p.label), F.lit(j)))
-                      for j in range(CANDIDATES)])
     ratios = [F.log(shares[i] * (F.col("nb") + k) / (F.col(f"b{i}") + 1)) for i in range(k)]
-    options = F.array(*[F.struct(
-        F.when(F.array_contains(drawn, i), ratios[i]).alias("r"), F.lit(-i).alias("i"),
-        F.lit(text(c)).cast("string").alias("v")) for i, c in enumerate(p.choices)])
-    best = F.array_max(F.filter(options, lambda o: o["r"].isNotNull()))
-    return counts.select(col(replicate), best["v"].alias(p.label))
+    upto = F.array(*[sum(shares[1:i + 1], shares[0]) for i in range(k - 1)]).cast("array<double>")
 
+    def draw(j: Column) -> Column:
+        u = uniform(seed, col(replicate), F.lit(p.label), j)
+        return F.size(F.filter(upto, lambda edge: edge <= u))
 
-def _draw_choice(shares: list[Column], u: Column) -> Column:
-    upto, out = F.lit(0.0), None
-    for i, s in enumerate(shares):
-        upto = upto + s
-        out = F.when(u < upto, F.lit(i)) if out is None else out.when(u < upto, F.lit(i))
-    return out.otherwise(F.lit(len(shares) - 1))
+    options = F.array(*[F.struct(r.alias("r"), F.lit(-i).alias("i"),
+                                 F.lit(text(c)).cast("string").alias("v"))
+                        for i, (c, r) in enumerate(zip(p.choices, ratios))])
+    best = F.array_max(F.filter("options", lambda o: F.array_contains(F.col("drawn"), -o["i"])))
+    return (counts.select(col(replicate), options.alias("options"), _tries(draw).alias("drawn"))
+            .select(col(replicate), best["v"].alias(p.label)))
 
 
 def _numeric(marked: DataFrame, p: Parameter, seed: int, replicate: str) -> DataFrame:
     """Gaussian kernels of Scott's width, in log space for log parameters."""
-    inner = (lambda c: F.log(c)) if p.log else (lambda c: c)
-    outer = (lambda c: F.exp(c)) if p.log else (lambda c: c)
-    low, high = inner(F.lit(float(p.low))), inner(F.lit(float(p.high)))
-    x = inner(col(p.label).cast("double"))
-    span = high - low
-    rows = marked.select(col(replicate), "good", x.alias("__x"))
-
-    def width(tag: str, side: Column) -> list[Column]:
-        own = F.when(side, F.col("__x"))
-        return [F.count(own).alias(f"n{tag}"), F.stddev_pop(own).alias(f"s{tag}"),
-                F.avg(own).alias(f"m{tag}")]
+    inner = F.log if p.log else (lambda c: c)
+    outer = F.exp if p.log else (lambda c: c)
+    low, high = [math.log(x) if p.log else float(x) for x in (p.low, p.high)]
+    span = high - low or 1.0
+    rows = marked.select(col(replicate).alias("__r"), "good",
+                         inner(col(p.label).cast("double")).alias("__x"))
 
     sides = {"g": F.col("good"), "b": ~F.col("good")}
-    stats = rows.groupBy(col(replicate)).agg(
-        *width("g", sides["g"]), *width("b", sides["b"]),
-        # At most 25 rows per replicate are good, so their list is short.
-        F.sort_array(F.collect_list(F.when(sides["g"], F.col("__x")))).alias("centres"))
+    own = {tag: F.when(is_in, F.col("__x")) for tag, is_in in sides.items()}
+    stats = rows.groupBy("__r").agg(
+        *[f(own[tag]).alias(f"{name}{tag}") for tag in sides
+          for name, f in (("n", F.count), ("s", F.stddev_pop))],
+        # At most 25 rows of a replicate are good, so their list is short.
+        F.sort_array(F.collect_list(own["g"])).alias("centres"))
     for tag in sides:
         scott = F.coalesce(F.col(f"s{tag}"), F.lit(0.0)) * F.pow(
             F.greatest(F.col(f"n{tag}"), F.lit(1)).cast("double"), F.lit(-0.2))
-        stats = stats.withColumn(f"h{tag}", F.greatest(scott, span / 100))
-    drawn = []
-    for j in range(CANDIDATES):
-        key = [col(replicate), F.lit(p.label), F.lit(j)]
-        place = F.floor(uniform(seed, *key, F.lit("c")) * (F.size("centres") + 1)).cast("int")
-        # One extra kernel stands for the prior: a uniform draw of the range.
-        free = low + uniform(seed, *key, F.lit("u")) * span
-        noise = F.sqrt(-2 * F.log(1 - uniform(seed, *key, F.lit("r")))) * F.cos(
-            2 * F.pi() * uniform(seed, *key, F.lit("a")))
-        near = F.try_element_at("centres", place + 1) + noise * F.col("hg")
-        point = F.coalesce(near, free)
-        drawn.append(inner(p.settle(outer(F.least(F.greatest(point, low), high))).cast("double")))
-    candidates = stats.select(col(replicate).alias("__r"), "hg", "hb", "ng", "nb",
-                              F.array(*drawn).alias("cs"))
-    near = rows.join(candidates, col(replicate) == F.col("__r"))
-    sums = []
-    for j in range(CANDIDATES):
-        for tag, side in sides.items():
-            z = (F.col("cs")[j] - F.col("__x")) / F.col(f"h{tag}")
-            sums.append(F.sum(F.when(side, F.exp(-z * z / 2) / F.col(f"h{tag}")))
-                        .alias(f"{tag}{j}"))
-    density = near.groupBy("__r").agg(*sums, F.first("cs").alias("cs"),
-                                      F.first("ng").alias("ng"), F.first("nb").alias("nb"))
-    flat = F.lit((2.0 * 3.141592653589793) ** 0.5) / span
-
-    def mix(tag: str, j: int) -> Column:
-        return (F.coalesce(F.col(f"{tag}{j}"), F.lit(0.0)) + flat) / (F.col(f"n{tag}") + 1)
-
-    options = F.array(*[F.struct((F.log(mix("g", j)) - F.log(mix("b", j))).alias("r"),
-                                 F.lit(-j).alias("j"), F.col("cs")[j].alias("v"))
-                        for j in range(CANDIDATES)])
-    best = F.array_max(options)["v"]
-    return density.select(F.col("__r").alias(replicate), p.settle(outer(best)).alias(p.label))
+        stats = stats.withColumn(f"h{tag}", F.greatest(scott, F.lit(span / 100)))
+
+    def draw(j: Column) -> Column:
+        u = {name: uniform(seed, F.col("__r"), F.lit(p.label), j, F.lit(name)) for name in "curn"}
+        # Any of the good trials, or a uniform draw that stands for the prior.
+        place = F.floor(u["c"] * (F.size("centres") + 1)).cast("int")
+        noise = F.sqrt(-2 * F.log(1 - u["r"])) * F.cos(2 * math.pi * u["n"])
+        near = F.try_element_at(F.col("centres"), place + 1) + noise * F.col("hg")
+        point = F.coalesce(near, low + u["u"] * span)
+        point = F.least(F.greatest(point, F.lit(low)), F.lit(high))
+        return inner(p.settle(outer(point)).cast("double"))
+
+    candidates = stats.select("__r", "hg", "hb", "ng", "nb", _tries(draw).alias("cs"))
+    # A row adds its kernel to each of the few candidates of its replicate.
+    parts = (rows.filter(F.col("__x").isNotNull()).join(candidates, "__r")
+             .select("__r", "good", "__x", "hg", "hb", F.posexplode("cs").alias("j", "c")))
+    density = parts.groupBy("__r", "j", "c").agg(*[
+        F.sum(F.when(is_in, F.exp(-F.pow((F.col("c") - F.col("__x")) / F.col(f"h{tag}"), 2) / 2)
+                     / F.col(f"h{tag}"))).alias(tag) for tag, is_in in sides.items()])
+    flat = math.sqrt(2.0 * math.pi) / span
+
+    def mixed(tag: str) -> Column:
+        return (F.coalesce(F.col(tag), F.lit(0.0)) + flat) / (F.col(f"n{tag}") + 1)
+
+    scored = (candidates.select("__r", "ng", "nb", F.posexplode("cs").alias("j", "c"))
+              .join(density.select("__r", "j", "g", "b"), ["__r", "j"], "left"))
+    best = F.max(F.struct((F.log(mixed("g")) - F.log(mixed("b"))).alias("r"),
+                          (-F.col("j")).alias("j"), F.col("c").alias("c")))
+    return (scored.groupBy("__r").agg(best.alias("best"))
+            .select(F.col("__r").alias(replicate),
+                    p.settle(outer(F.col("best.c"))).alias(p.label)))
