@@ -255,12 +255,11 @@ class Study:
                     row.update({train_name(m, x) if stage == "train" else stage_name(m, stage): 0
                                 for x in crosses})
                     picked.append(M.ROW_METRICS[m](preds.filter(F.col("stage") == stage)).select(
-                        F.lit(replicate).alias("replicate"), F.lit(trial).alias("trial"),
                         "stage", "cross", F.lit(m).alias("metric"), "row_id"))
         if not picked:
             return
         rows = reduce(DataFrame.unionByName, picked)
-        store.append_rows(self.run_name, rows)
+        store.write_rows(self.run_name, replicate, trial, rows)
         for r in rows.groupBy("stage", "cross", "metric").count().collect():
             name = (train_name(r["metric"], r["cross"]) if r["stage"] == "train"
                     else stage_name(r["metric"], r["stage"]))

@@ -59,13 +59,19 @@ class ResultStore:
         return self.spark.read.parquet(self._folder(run))
 
     def runs(self) -> DataFrame:
-        """The labels of all stored runs; reads folder names only."""
-        every = self.spark.read.schema("replicate int, run string").parquet(self.path)
-        return every.select("run").distinct()
-
-    def append_rows(self, run: str, rows: DataFrame) -> None:
-        """Row-level results (e.g. the rows predicted right), in long form."""
-        rows.write.mode("append").parquet(f"{self.path}.rows/run={run}")
+        """The labels of all stored runs, empty ones too; reads file names only."""
+        files = (self.spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet")
+                 .load(self.path))
+        return files.select(col("run").cast("string")).distinct()
+
+    def write_rows(self, run: str, replicate: int, trial: int, rows: DataFrame) -> None:
+        """Row-level results of one trial (e.g. the rows predicted right).
+
+        Each trial owns its folder: trials may be written at the same time, and
+        one that is run again replaces its rows instead of doubling them.
+        """
+        rows.write.mode("overwrite").parquet(
+            f"{self.path}.rows/run={run}/replicate={replicate}/trial={trial}")
 
     def load_rows(self, run: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}.rows/run={run}")
