@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import ORDERS_SQL, check, orders, out, positions_sql, rounded, table
 from foldwise.frame import Frame, col
+from foldwise.operators.base import apply_cells
 from foldwise.operators.encode import Ladder, OneHot, Ordinal, low_cardinality
 from foldwise.operators.folds import FoldPlan, assign_slices, side
 from foldwise.operators.impute import Impute
@@ -205,12 +206,10 @@ def ladder_min_frequency(spark, sf_dir):
     return out(step.fit(frame).apply(frame))
 
 
-def held_out(step, frame: Frame, plan: FoldPlan) -> DataFrame:
-    """Every row as transformed by the fit that did not see it."""
+def held_out(step, frame: Frame, plan: FoldPlan) -> Frame:
+    """Every row as transformed by the fit that did not see it, in one pass."""
     fitted = fit_cells(step, frame, {r: plan.in_group(r) for r in range(plan.replicates)})
-    parts = [f.apply(side(frame, plan.out_group(r))).df.withColumn("replicate", F.lit(r))
-             for r, f in fitted.items()]
-    return reduce(DataFrame.unionByName, parts)
+    return apply_cells(fitted, frame, plan.replicate_column())
 
 
 @check("fit_train_apply_test", f"""
@@ -223,8 +222,9 @@ def held_out(step, frame: Frame, plan: FoldPlan) -> DataFrame:
 def fit_train_apply_test(spark, sf_dir):
     plan = FoldPlan(5)
     frame = assign_slices(orders(spark, sf_dir), plan)
-    return rounded(held_out(Scale(["price"]), frame, plan).select(
-        "row_id", "customer", "priority", "year", "price", "replicate"))
+    return rounded(held_out(Scale(["price"]), frame, plan).df.select(
+        "row_id", "customer", "priority", "year", "price",
+        plan.replicate_column().alias("replicate")))
 
 
 @check("median_per_fold", f"""
@@ -237,8 +237,9 @@ def fit_train_apply_test(spark, sf_dir):
 def median_per_fold(spark, sf_dir):
     plan = FoldPlan(5)
     frame = assign_slices(orders(spark, sf_dir), plan)
-    return rounded(held_out(Impute(["price"], strategy="median"), frame, plan)
-                   .select("row_id", "price", "replicate"))
+    filled = held_out(Impute(["price"], strategy="median"), frame, plan)
+    return rounded(filled.df.select("row_id", "price",
+                                    plan.replicate_column().alias("replicate")))
 
 
 # The stages a transform runs at, for each pair of flags.
@@ -368,11 +369,13 @@ def clean_split_scale(spark, sf_dir):
     plan = FoldPlan(5)
     frame = DropSparseFeatures(0.15).apply(orders(spark, sf_dir))
     frame = assign_slices(DropSparseRows(0.5).apply(frame), plan)
-    cells = {r: plan.in_group(r) for r in range(plan.replicates)}
-    filled = fit_cells(Impute(), frame, cells)
-    parts = []
-    for r, impute in filled.items():
-        scale = Scale().fit(impute.apply(side(frame, cells[r])))
-        test = scale.apply(impute.apply(side(frame, plan.out_group(r))))
-        parts.append(out(test, "label").withColumn("replicate", F.lit(r)))
-    return reduce(DataFrame.unionByName, parts)
+    pipeline = Pipeline.of({"post_split_hooks": [{"type": "imputation_simple"},
+                                                 {"type": "standard_scaling"}]})
+    fits: dict = {}
+    runs = [Run(r, lambda step: step.options, fits) for r in range(plan.replicates)]
+    pipeline.fit_ahead(frame, "replicate", {r: plan.in_group(r.cell) for r in runs})
+    for step in pipeline.after:
+        own = {r.cell: fits[r.key(step, "replicate")] for r in runs}
+        frame = apply_cells(own, frame, plan.replicate_column())
+    return rounded(frame.df.select("row_id", "label", plan.replicate_column().alias("replicate"),
+                                   "customer", "price"))

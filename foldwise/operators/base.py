@@ -5,15 +5,15 @@ A plain transform has ``apply(frame) -> frame``. A fitted transform has
 is an aggregation over the training rows, apply is a projection. Any user
 object with one of these two methods can stand in a pipeline.
 
-A transform whose statistics can be merged also has ``fit_cells``: the
-statistics are gathered once per slice, in one job, and added up for each cell
-(a set of slices), so a hundred folds cost one pass over the table.
+A transform whose statistics can be grouped also has ``fit_cells``: they are
+gathered once per value of a key (the slice by default), in one job, and added
+up for each cell (a set of values), so a hundred folds cost one pass.
 """
 
 from __future__ import annotations
 
 from collections.abc import Hashable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -23,11 +23,57 @@ from foldwise.frame import Frame, col
 from foldwise.operators.folds import SLICE
 
 Cells = dict[Hashable, list[int]]
+CELL = "cell"
 
 # Category tables beyond this size do not belong in a projection.
 MAX_CATEGORY_ROWS = 1_000_000
 
 
+class Projection:
+    """A fitted transform that gives each output feature as an expression."""
+
+    def columns(self, frame: Frame) -> dict[str, Column]:
+        raise NotImplementedError
+
+    def apply(self, frame: Frame) -> Frame:
+        return frame.rebuild(self.columns(frame))
+
+
+def expand(frame: Frame, cells: Cells) -> Frame:
+    """Every row once per cell that trains on it; the key ``cell`` numbers them.
+
+    Rows multiply inside a task only: what follows is an aggregation per cell
+    with map-side combine.
+    """
+    members: dict[int, list[int]] = {}
+    for i, slices in enumerate(cells.values()):
+        for s in slices:
+            members.setdefault(s, []).append(i)
+    pairs = [x for s, own in members.items()
+             for x in (F.lit(s), F.array(*[F.lit(i) for i in own]))]
+    mine = F.try_element_at(F.create_map(*pairs), col(SLICE))
+    df = frame.df.withColumn(CELL, F.explode(mine))
+    return replace(frame, df=df, keys=(*frame.keys, CELL))
+
+
+def apply_cells(fitted: dict[int, Projection], frame: Frame, cell: Column) -> Frame | None:
+    """Transform each row by the fit of its cell, in one projection.
+
+    None if the fits do not give the same features, e.g. other categories.
+    """
+    parts = {k: f.columns(frame) for k, f in fitted.items()}
+    first = next(iter(parts.values()))
+    if any(list(p) != list(first) for p in parts.values()):
+        return None
+    out = {}
+    for name in first:
+        chosen = None
+        for k, p in parts.items():
+            chosen = (F if chosen is None else chosen).when(cell == F.lit(k), p[name])
+        out[name] = chosen
+    return frame.rebuild(out)
+
+
 def named(frame: Frame, features: list[str]) -> list[str]:
     """The requested features, or all of them if none are named."""
     return frame.require(features) if features else list(frame.features)
@@ -60,10 +106,13 @@ class Moments:
         return self.m2 / self.n if self.n else 0.0
 
 
-def moments(frame: Frame, names: list[str], by_slice: bool) -> dict[int, dict[str, Moments]]:
-    """Moments of each feature, per slice (or under slice 0 for the whole frame)."""
-    keys = [col(SLICE).alias("s")] if by_slice else [F.lit(0).alias("s")]
-    rows = frame.df.groupBy(*keys).agg(*[
+def _slot(by: str | None) -> Column:
+    return (F.lit(0) if by is None else col(by)).alias("s")
+
+
+def moments(frame: Frame, names: list[str], by: str | None) -> dict[int, dict[str, Moments]]:
+    """Moments of each feature per value of a key (under 0 without one)."""
+    rows = frame.df.groupBy(_slot(by)).agg(*[
         f(col(n).cast("double")).alias(f"{tag}{i}") for i, n in enumerate(names)
         for tag, f in (("n", F.count), ("a", F.avg), ("v", F.var_pop))]).collect()
     return {r["s"]: {n: Moments(r[f"n{i}"], r[f"a{i}"] or 0.0,
@@ -87,13 +136,12 @@ class ValueCounts:
     rows: int
 
 
-def value_counts(frame: Frame, names: list[str], by_slice: bool
+def value_counts(frame: Frame, names: list[str], by: str | None
                  ) -> dict[int, dict[str, dict[object, int]]]:
-    """Rows per value and feature, per slice; null is a value here."""
+    """Rows per value and feature, per value of a key; null is a value here."""
     if not names:
         return {}
-    slot = col(SLICE) if by_slice else F.lit(0)
-    long = frame.df.select(slot.alias("s"), F.explode(F.array(*[
+    long = frame.df.select(_slot(by), F.explode(F.array(*[
         F.struct(F.lit(i).alias("f"), col(n).cast("string").alias("v"))
         for i, n in enumerate(names)])).alias("e")).select("s", "e.f", "e.v")
     found = long.groupBy("s", "f", "v").count().limit(MAX_CATEGORY_ROWS + 1).collect()
@@ -145,12 +193,12 @@ class MomentFit:
 
     def fit(self, frame: Frame):
         names = self.names(frame)
-        parts = moments(frame, names, by_slice=False)
+        parts = moments(frame, names, by=None)
         return self.from_moments(frame, add_moments(parts, names))
 
-    def fit_cells(self, frame: Frame, cells: Cells):
+    def fit_cells(self, frame: Frame, cells: Cells, by: str = SLICE):
         names = self.names(frame)
-        parts = moments(frame, names, by_slice=True)
+        parts = moments(frame, names, by=by)
         return {k: self.from_moments(frame, add_moments(parts, names, s))
                 for k, s in cells.items()}
 
@@ -160,11 +208,11 @@ class CountFit:
 
     def fit(self, frame: Frame):
         names = self.names(frame)
-        parts = value_counts(frame, names, by_slice=False)
+        parts = value_counts(frame, names, by=None)
         return self.from_counts(frame, add_counts(parts, names))
 
-    def fit_cells(self, frame: Frame, cells: Cells):
+    def fit_cells(self, frame: Frame, cells: Cells, by: str = SLICE):
         names = self.names(frame)
-        parts = value_counts(frame, names, by_slice=True)
+        parts = value_counts(frame, names, by=by)
         return {k: self.from_counts(frame, add_counts(parts, names, s))
                 for k, s in cells.items()}

@@ -8,8 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foldwise.frame import Frame, col
-from foldwise.operators.base import (Cells, CountFit, ValueCounts, add_counts, typed,
-                                     value_counts)
+from foldwise.operators.base import (Cells, CountFit, Projection, ValueCounts, add_counts,
+                                     typed, value_counts)
 from foldwise.operators.folds import SLICE
 
 # Names and options users of such encoders know.
@@ -47,11 +47,11 @@ class Categories:
 
 
 @dataclass(frozen=True)
-class FittedOneHot:
+class FittedOneHot(Projection):
     encoded: dict[str, Categories]
     strict: bool
 
-    def apply(self, frame: Frame) -> Frame:
+    def columns(self, frame: Frame) -> dict[str, Column]:
         columns = {n: c for n, c in frame.columns().items() if n not in self.encoded}
         for feature, cats in self.encoded.items():
             known = _is_one_of(frame, feature, list(cats.known))
@@ -63,7 +63,7 @@ class FittedOneHot:
                 if self.strict and i == 0:
                     out = _or_raise(known, out, feature)
                 columns[f"{feature}_{suffix}"] = out
-        return frame.rebuild(columns)
+        return columns
 
 
 class OneHot:
@@ -95,14 +95,14 @@ class OneHot:
 
     def fit(self, frame: Frame) -> FittedOneHot:
         names = self.names(frame)
-        counts = add_counts(value_counts(frame, names, by_slice=False), names)
+        counts = add_counts(value_counts(frame, names, by=None), names)
         return self._fitted(counts)
 
-    def fit_cells(self, frame: Frame, cells: Cells) -> dict:
+    def fit_cells(self, frame: Frame, cells: Cells, by: str = SLICE) -> dict:
         if self.max_unique_vals != -1:
             # Which features are categorical differs from cell to cell.
-            return {k: self.fit(frame.where(col(SLICE).isin(s))) for k, s in cells.items()}
-        parts = value_counts(frame, frame.require(self.features), by_slice=True)
+            return {k: self.fit(frame.where(col(by).isin(s))) for k, s in cells.items()}
+        parts = value_counts(frame, frame.require(self.features), by=by)
         return {k: self._fitted(add_counts(parts, self.features, s)) for k, s in cells.items()}
 
     def _fitted(self, counts: dict[str, ValueCounts]) -> FittedOneHot:
@@ -180,13 +180,13 @@ def low_cardinality(frame: Frame, names: list[str], below: int) -> list[str]:
 
 
 @dataclass(frozen=True)
-class FittedOrdinal:
+class FittedOrdinal(Projection):
     codes: dict[str, tuple]
     strict: bool
     unknown_value: float | None
     missing_value: float | None
 
-    def apply(self, frame: Frame) -> Frame:
+    def columns(self, frame: Frame) -> dict[str, Column]:
         columns = frame.columns()
         for feature, order in self.codes.items():
             kind = frame.type_of(feature)
@@ -199,7 +199,7 @@ class FittedOrdinal:
             columns[feature] = (F.when(col(feature).isNull(),
                                        F.lit(self.missing_value).cast("double"))
                                 .otherwise(other))
-        return frame.rebuild(columns)
+        return columns
 
 
 class Ordinal:
@@ -229,7 +229,7 @@ class Ordinal:
         return FittedOrdinal(dict(zip(names, self.categories)), self.handle_unknown == "error",
                              self.unknown_value, self.encoded_missing_value)
 
-    def fit_cells(self, frame: Frame, cells: Cells) -> dict:
+    def fit_cells(self, frame: Frame, cells: Cells, by: str = SLICE) -> dict:
         fitted = self.fit(frame)
         return {k: fitted for k in cells}
 
@@ -239,13 +239,13 @@ def _nan_is_none(value):
 
 
 @dataclass(frozen=True)
-class FittedLadder:
+class FittedLadder(Projection):
     feature: str
     groups: tuple[tuple, ...]
     seen: tuple
     strict: bool
 
-    def apply(self, frame: Frame) -> Frame:
+    def columns(self, frame: Frame) -> dict[str, Column]:
         columns = {n: c for n, c in frame.columns().items() if n != self.feature}
         labels = ["|".join(str(v) for v in g) for g in self.groups]
         known = (_is_one_of(frame, self.feature, list(self.seen)) | col(self.feature).isNull())
@@ -255,7 +255,7 @@ class FittedLadder:
             if self.strict and rung == 1:
                 step = _or_raise(known, step, self.feature).cast("int")
             columns[f"{self.feature} ({labels[rung - 1]} <- {labels[rung]})"] = step
-        return frame.rebuild(columns)
+        return columns
 
 
 class Ladder(CountFit):

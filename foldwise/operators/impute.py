@@ -4,31 +4,32 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.frame import Frame, col
 from foldwise.functions.ordered import exact_medians
-from foldwise.operators.base import (Cells, add_moments, check_numeric, moments, named,
-                                     parse_value)
+from foldwise.operators.base import (Cells, Projection, add_moments, check_numeric, moments,
+                                     named, parse_value)
 from foldwise.operators.folds import SLICE
 
 STRATEGIES = ("mean", "median", "most_frequent", "constant")
 
 
 @dataclass(frozen=True)
-class FittedImpute:
+class FittedImpute(Projection):
     """One fill value per feature; features keep their place."""
 
     fills: dict[str, object]
     as_double: bool
 
-    def apply(self, frame: Frame) -> Frame:
+    def columns(self, frame: Frame) -> dict[str, Column]:
         columns = frame.columns()
         for name, fill in self.fills.items():
             kind = T.DoubleType() if self.as_double else frame.type_of(name)
             columns[name] = F.coalesce(col(name).cast(kind), F.lit(fill).cast(kind))
-        return frame.rebuild(columns)
+        return columns
 
 
 class Impute:
@@ -43,18 +44,18 @@ class Impute:
         self.fill_value = fill_value
 
     def fit(self, frame: Frame) -> FittedImpute:
-        return self._fit(frame, None)[None]
+        return self._fit(frame, {None: None}, None)[None]
 
-    def fit_cells(self, frame: Frame, cells: Cells) -> dict:
-        return self._fit(frame, cells)
+    def fit_cells(self, frame: Frame, cells: Cells, by: str = SLICE) -> dict:
+        return self._fit(frame, cells, by)
 
-    def _fit(self, frame: Frame, cells: Cells | None) -> dict:
+    def _fit(self, frame: Frame, cells: Cells, by: str | None) -> dict:
         names = named(frame, self.features)
         if self.strategy in ("mean", "median"):
             check_numeric(frame, names, f"the {self.strategy}")
         fit = {"mean": self._means, "median": self._medians,
                "most_frequent": self._modes, "constant": self._constants}[self.strategy]
-        fills = fit(frame, names, cells)
+        fills = fit(frame, names, cells, by)
         for key, found in fills.items():
             empty = [n for n, v in found.items() if v is None]
             if empty:
@@ -62,36 +63,34 @@ class Impute:
         double = self.strategy in ("mean", "median")
         return {k: FittedImpute(v, double) for k, v in fills.items()}
 
-    def _means(self, frame, names, cells):
-        parts = moments(frame, names, by_slice=cells is not None)
+    def _means(self, frame, names, cells, by):
+        parts = moments(frame, names, by)
         out = {}
-        for key, slices in (cells or {None: None}).items():
+        for key, slices in cells.items():
             total = add_moments(parts, names, slices)
             out[key] = {n: m.mean if m.n else None for n, m in total.items()}
         return out
 
-    def _medians(self, frame, names, cells):
-        todo = cells or {None: None}
-        keys = list(todo)
+    def _medians(self, frame, names, cells, by):
+        keys = list(cells)
         series = {}
         for i, key in enumerate(keys):
             for n in names:
                 value = col(n).cast("double")
-                if todo[key] is not None:
-                    value = F.when(col(SLICE).isin(todo[key]), value)
+                if by is not None:
+                    value = F.when(col(by).isin(cells[key]), value)
                 series[f"{i}|{n}"] = value
         found = exact_medians(frame.df, series)
         return {key: {n: found[f"{i}|{n}"] for n in names} for i, key in enumerate(keys)}
 
-    def _modes(self, frame, names, cells):
-        todo = cells or {None: None}
-        keys = list(todo)
-        slot = [col(SLICE).alias("s")] if cells else [F.lit(0).alias("s")]
-        long = frame.df.select(*slot, F.explode(F.array(*[
+    def _modes(self, frame, names, cells, by):
+        keys = list(cells)
+        slot = F.lit(0) if by is None else col(by)
+        long = frame.df.select(slot.alias("s"), F.explode(F.array(*[
             F.struct(F.lit(i).alias("f"), col(n).cast("string").alias("v"))
             for i, n in enumerate(names)])).alias("e")).select("s", "e.f", "e.v")
         tally = long.filter(F.col("v").isNotNull()).groupBy("f", "v").agg(*[
-            (F.count(F.lit(1)) if todo[k] is None else F.count_if(F.col("s").isin(todo[k])))
+            (F.count(F.lit(1)) if by is None else F.count_if(F.col("s").isin(cells[k])))
             .alias(f"c{j}") for j, k in enumerate(keys)])
         number = F.lit(None).cast("double")
         for i, n in enumerate(names):
@@ -109,9 +108,9 @@ class Impute:
                     out[k][name] = parse_value(r[f"m{j}"][2], frame.type_of(name))
         return out
 
-    def _constants(self, frame, names, cells):
+    def _constants(self, frame, names, cells, by):
         def fill(n):
             if self.fill_value is not None:
                 return self.fill_value
             return 0 if frame.is_numeric(n) else "missing_value"
-        return {k: {n: fill(n) for n in names} for k in (cells or {None: None})}
+        return {k: {n: fill(n) for n in names} for k in cells}

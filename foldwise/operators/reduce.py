@@ -6,32 +6,52 @@ import warnings
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.feature import PCA, PCAModel, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, VectorSlicer
 from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foldwise.frame import Frame, col
-from foldwise.functions.vectors import VECTOR, with_vector
+from foldwise.frame import Frame, col, quoted
+from foldwise.functions.vectors import VECTOR, feature_array, with_vector
 from foldwise.models.base import INDEX, training_set
 from foldwise.models.linear import LogisticClassifier
+from foldwise.operators.base import Projection, check_numeric
+
+
+# Up to here covariances are plain aggregates and projections plain arithmetic.
+MAX_PLAIN_FEATURES = 24
 
 
 @dataclass(frozen=True)
 class FittedComponents:
-    model: PCAModel
-    signs: tuple[float, ...]
-    centres: tuple[float, ...]
+    """Feature means and, per component, its loadings."""
+
+    means: np.ndarray
+    loadings: np.ndarray  # features x components
 
     def apply(self, frame: Frame) -> Frame:
-        scored = self.model.transform(with_vector(frame))
-        scored = scored.withColumn("__pc", vector_to_array("__pcv"))
+        if frame.n_features <= MAX_PLAIN_FEATURES:
+            return frame.rebuild({f"PC{k}": self._arithmetic(frame, k)
+                                  for k in range(self.loadings.shape[1])})
+        means, loadings = self.means, self.loadings
+
+        @F.pandas_udf("array<double>")
+        def project(rows: pd.Series) -> pd.Series:
+            if len(rows) == 0:
+                return rows
+            return pd.Series(list((np.stack(rows.to_numpy()) - means) @ loadings))
+
+        scored = frame.df.select(*[col(k) for k in frame.keys],
+                                 project(feature_array(frame)).alias("__pc"))
         keyed = Frame(scored, (), frame.keys, frame.row_id, frame.label)
-        # Spark projects without centring; the projected mean is taken off here.
-        return keyed.rebuild({
-            f"PC{i}": (F.col("__pc")[i] - F.lit(centre)) * F.lit(sign)
-            for i, (sign, centre) in enumerate(zip(self.signs, self.centres))})
+        return keyed.rebuild({f"PC{k}": F.col("__pc")[k] for k in range(loadings.shape[1])})
+
+    def _arithmetic(self, frame: Frame, k: int) -> Column:
+        terms = [f"(CAST({quoted(n)} AS DOUBLE) - {float(m)!r}D) * {float(w)!r}D"
+                 for n, m, w in zip(frame.features, self.means, self.loadings[:, k])]
+        return F.expr(" + ".join(terms))
 
 
 class PrincipalComponents:
@@ -50,29 +70,56 @@ class PrincipalComponents:
         self.proportion = proportion
 
     def fit(self, frame: Frame) -> FittedComponents:
-        vectors = with_vector(frame)
         d = frame.n_features
-        full = PCA(k=d, inputCol=VECTOR, outputCol="__pcv").fit(vectors)
-        shares = np.cumsum(full.explainedVariance.toArray())
+        check_numeric(frame, list(frame.features), "a component analysis")
+        means, shares, loadings = (self._plain(frame) if d <= MAX_PLAIN_FEATURES
+                                   else self._gram(frame))
         k = self.proportion
         if isinstance(k, float):
-            k = min(int(np.searchsorted(shares, k, side="right")) + 1, d)
+            k = min(int(np.searchsorted(np.cumsum(shares), k, side="right")) + 1, d)
         if not 1 <= k <= d:
             raise ValueError(f"cannot keep {k} components of {d} features")
-        means = vectors.select(Summarizer.mean(F.col(VECTOR)).alias("m")).first()["m"].toArray()
-        loadings = full.pc.toArray()[:, :k]
+        loadings = loadings[:, :k]
         largest = loadings[np.abs(loadings).argmax(axis=0), range(k)]
-        signs = np.where(largest < 0, -1.0, 1.0)
-        return FittedComponents(full, tuple(map(float, signs)),
-                                tuple(map(float, loadings.T @ means)))
+        return FittedComponents(means, loadings * np.where(largest < 0, -1.0, 1.0))
+
+    @staticmethod
+    def _plain(frame: Frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Means and all covariances in one pass; the rest is a small eigen-solve."""
+        d = frame.n_features
+        x = [f"CAST({quoted(n)} AS DOUBLE)" for n in frame.features]
+        pairs = [(i, j) for i in range(d) for j in range(i, d)]
+        row = frame.df.agg(
+            *[F.expr(f"count_if({v} IS NULL)").alias(f"n{i}") for i, v in enumerate(x)],
+            *[F.expr(f"avg({v})").alias(f"m{i}") for i, v in enumerate(x)],
+            *[F.expr(f"covar_pop({x[i]}, {x[j]})").alias(f"c{i}_{j}") for i, j in pairs]).first()
+        empty = [n for i, n in enumerate(frame.features) if row[f"n{i}"]]
+        if empty:
+            raise ValueError(f"features hold nulls; impute them first: {empty}")
+        cov = np.zeros((d, d))
+        for i, j in pairs:
+            cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
+        variances, vectors = np.linalg.eigh(cov)
+        variances, vectors = np.maximum(variances[::-1], 0.0), vectors[:, ::-1]
+        total = variances.sum()
+        shares = variances / total if total > 0 else np.full(d, 1.0 / d)
+        return np.array([row[f"m{i}"] for i in range(d)]), shares, vectors
+
+    @staticmethod
+    def _gram(frame: Frame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Many features: Spark's own distributed covariance and decomposition."""
+        vectors = with_vector(frame)
+        full = PCA(k=frame.n_features, inputCol=VECTOR, outputCol="__pcv").fit(vectors)
+        means = vectors.select(Summarizer.mean(F.col(VECTOR)).alias("m")).first()["m"]
+        return means.toArray(), full.explainedVariance.toArray(), full.pc.toArray()
 
 
 @dataclass(frozen=True)
-class FittedSelection:
+class FittedSelection(Projection):
     names: tuple[str, ...]
 
-    def apply(self, frame: Frame) -> Frame:
-        return frame.rebuild({n: col(n) for n in self.names})
+    def columns(self, frame: Frame) -> dict[str, Column]:
+        return {n: col(n) for n in self.names}
 
 
 class RecursiveElimination:

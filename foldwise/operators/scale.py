@@ -6,24 +6,25 @@ import math
 import sys
 from dataclasses import dataclass
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foldwise.frame import Frame, quoted
-from foldwise.operators.base import MomentFit, Moments, check_numeric, named
+from foldwise.operators.base import MomentFit, Moments, Projection, check_numeric, named
 
 
 @dataclass(frozen=True)
-class FittedScale:
+class FittedScale(Projection):
     """(mean, divisor) per feature; scaled features go to the end, in order."""
 
     factors: dict[str, tuple[float, float]]
 
-    def apply(self, frame: Frame) -> Frame:
+    def columns(self, frame: Frame) -> dict[str, Column]:
         columns = {n: c for n, c in frame.columns().items() if n not in self.factors}
         for name, (mean, divisor) in self.factors.items():
             columns[name] = F.expr(
                 f"(CAST({quoted(name)} AS DOUBLE) - {mean!r}D) / {divisor!r}D")
-        return frame.rebuild(columns)
+        return columns
 
 
 class Scale(MomentFit):

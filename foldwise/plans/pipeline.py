@@ -13,8 +13,11 @@ import warnings
 from collections.abc import Callable, Hashable
 from dataclasses import dataclass
 
+from pyspark.sql import functions as F
+
 from foldwise.frame import Frame
 from foldwise.operators import encode, impute, reduce, scale, select
+from foldwise.operators.base import CELL, Projection, apply_cells, expand
 from foldwise.operators.folds import side
 from foldwise.sources.tables import Dump
 
@@ -123,24 +126,35 @@ class Pipeline:
         return train, test
 
     def fit_ahead(self, frame: Frame, level: str, runs: dict["Run", list[int]]) -> None:
-        """Fit the first later step of a level for all its cells in one job.
+        """Fit the leading later steps of a level for all its cells, a job a step.
 
-        The first step of a level reads the same rows in every cell, so its
-        statistics can be gathered per slice and added up.
+        The first step reads the same rows in every cell: its statistics are
+        gathered per slice and added up. For the next ones each row is taken
+        once per cell that trains on it, transformed by that cell's fits so
+        far, and aggregated per cell. Stops at a step that cannot be grouped.
         """
-        first = next((s for s in self.after if s.runs_at(level)), None)
-        if first is None or not is_fitted(first.kind):
-            return
-        if first.tuned and not all(run.private for run in runs):
-            return
-        todo = {run: slices for run, slices in runs.items()
-                if run.key(first, level) not in run.fits}
-        if not todo:
-            return
-        built = first.build(next(iter(todo)).resolve(first))
-        if hasattr(built, "fit_cells"):
-            for run, fitted in built.fit_cells(frame, todo).items():
-                run.fits[run.key(first, level)] = fitted
+        long = None
+        for step in (s for s in self.after if s.runs_at(level)):
+            if step.tuned and not all(run.private for run in runs):
+                return
+            built = step.build(next(iter(runs)).resolve(step))
+            if not hasattr(built, "fit_cells"):
+                return
+            if all(run.key(step, level) in run.fits for run in runs):
+                fitted = {i: run.fits[run.key(step, level)] for i, run in enumerate(runs)}
+            elif long is None:
+                fitted = built.fit_cells(frame, dict(enumerate(runs.values())))
+            else:
+                fitted = built.fit_cells(long, {i: [i] for i in range(len(runs))}, by=CELL)
+            for i, run in enumerate(runs):
+                run.fits[run.key(step, level)] = fitted[i]
+            if long is None:
+                long = expand(frame, runs)
+            if not all(isinstance(f, Projection) for f in fitted.values()):
+                return
+            long = apply_cells(fitted, long, F.col(CELL))
+            if long is None:
+                return
 
 
 class Run:
