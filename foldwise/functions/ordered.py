@@ -18,10 +18,13 @@ from pyspark.sql import functions as F
 
 from foldwise.frame import col
 from foldwise.functions.hashing import order_key
+from foldwise.session import scratch_dir
 
 # Rows that one task may sort comfortably.
 BUCKET_ROWS = 200_000
 MAX_CLASSES = 100_000
+# Conditional aggregates that one job computes side by side.
+SERIES_PER_JOB = 200
 
 
 def class_counts(df: DataFrame, label: str) -> list[tuple[object, int]]:
@@ -88,6 +91,10 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: str,
                   .rowsBetween(Window.unboundedPreceding, -1))
         return df.select("*", *[F.coalesce(F.sum(col(c)).over(before), F.lit(0)).alias(n)
                                 for c, n in totals.items()])
+    # The table is used four times; write it down once.
+    path = scratch_dir(df.sparkSession, "totals")
+    df.write.parquet(path)
+    df = df.sparkSession.read.parquet(path)
     # Cut the value range at quantiles: any cut is exact, these are even.
     marks = [i / pieces for i in range(1, pieces)]
     cuts = df.select(F.percentile_approx(col(order).cast("double"), marks, 10 * pieces)).first()[0]
@@ -172,6 +179,11 @@ def exact_medians(df: DataFrame, series: dict[str, Column], limit: int = 1_000_0
     left, so memory per task is bounded whatever the number of distinct values.
     """
     names = list(series)
+    if len(names) > SERIES_PER_JOB:
+        rest = {n: series[n] for n in names[SERIES_PER_JOB:]}
+        head = {n: series[n] for n in names[:SERIES_PER_JOB]}
+        return {**exact_medians(df, head, limit, accuracy),
+                **exact_medians(df, rest, limit, accuracy)}
     values = {n: series[n].cast("double") for n in names}
     first = df.agg(*[F.count(values[n]).alias(f"n{i}") for i, n in enumerate(names)]).first()
     state = {n: _Middle(first[f"n{i}"], first[f"n{i}"]) for i, n in enumerate(names)}

@@ -30,9 +30,13 @@ def drop_features(frame: Frame, names: list[str]) -> Frame:
 
 
 def select_rows(frame: Frame, ids: DataFrame, id_column: str | None = None) -> Frame:
-    """Keep the rows whose id occurs in ``ids``."""
+    """Keep the rows whose id occurs in ``ids``.
+
+    Ids are made distinct first: that is combined before the shuffle, so an id
+    that occurs very often does not load one task.
+    """
     id_column = id_column or ids.columns[0]
-    wanted = ids.select(col(id_column).alias(frame.row_id))
+    wanted = ids.select(col(id_column).alias(frame.row_id)).distinct()
     return frame.with_df(frame.df.join(wanted, frame.row_id, "left_semi"))
 
 
