@@ -237,6 +237,11 @@ class FittedNeighbors:
             *kept.fields, T.StructField("__p", T.ArrayType(T.DoubleType()))]))
         return predictions(voted, frame.keys, self.classes, F.col("__p"))
 
+    def release(self) -> None:
+        """Free the broadcast rows; nothing can be predicted afterwards."""
+        if self.held is not None:
+            self.held.destroy()
+
     def _predict_routed(self, frame: Frame) -> DataFrame:
         found = self.neighbors(frame)
         share = 1.0 / F.col("d") if self.by_distance else F.lit(1.0)

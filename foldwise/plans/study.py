@@ -180,9 +180,12 @@ class Study:
         try:
             row = self._scores(preds)
             self._store_rows(store, preds, row, replicate, trial)
+            self._importance(fitted, row)
         finally:
             preds.unpersist()
-        self._importance(fitted, row)
+            for model in {id(m): m for m, _ in fitted.values()}.values():
+                if hasattr(model, "release"):
+                    model.release()
         for (owner, key), p in self.space.parameters.items():
             sampled = owner != MODEL or key in used
             row[p.label] = chosen[p.label] if sampled else None

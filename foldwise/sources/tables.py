@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +13,7 @@ from foldwise.operators.select import nan_to_null
 from foldwise.session import scratch_dir
 
 ROW_ID = "row_id"
+MAX_BROADCAST_FILES = 100_000
 # The suffixes a dump may have.
 SEPARATORS = {".csv": ",", ".tsv": "\t"}
 
@@ -43,10 +46,17 @@ def number_parquet_rows(spark: SparkSession, path: str, out: str = ROW_ID) -> Da
     df = spark.read.parquet(path)
     located = df.select("*", F.col("_metadata.file_path").alias("__file"),
                         F.col("_metadata.row_index").alias("__at"))
-    files = located.groupBy("__file").agg((F.max("__at") + 1).alias("__n"))
-    before = Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.withColumnRenamed("__file", "__path").select(
-        "__path", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    files = located.groupBy(F.col("__file").alias("__path")).agg((F.max("__at") + 1).alias("__n"))
+    few = files.limit(MAX_BROADCAST_FILES + 1).collect()
+    if len(few) <= MAX_BROADCAST_FILES:
+        # Proven small: the rows stay where they are.
+        ends = list(accumulate(r["__n"] for r in sorted(few)))
+        starts = [(r["__path"], end - r["__n"]) for r, end in zip(sorted(few), ends)]
+        starts = F.broadcast(spark.createDataFrame(starts, "__path string, __start bigint"))
+    else:
+        before = Window.orderBy("__path").rowsBetween(Window.unboundedPreceding, -1)
+        starts = files.select("__path",
+                              F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
     joined = located.join(starts, F.col("__file") == F.col("__path"))
     return joined.select((F.col("__start") + F.col("__at")).alias(out),
                          *[col(c) for c in df.columns])

@@ -93,6 +93,18 @@ def test_neighbors_equal_brute_force(halves, p, budget):
         assert sorted(got[t]) == sorted(zip(np.round(d, 9), ids))[:k]
 
 
+@pytest.mark.parametrize("weights", ["uniform", "distance"])
+def test_routed_votes_equal_broadcast_votes(halves, weights):
+    train, test = halves
+    near, far = (
+        {r["row_id"]: (r["pred"], r["proba"]) for r in NeighborsClassifier(
+            5, 2.0, weights, broadcast_bytes=b).fit(train).predict(test).collect()}
+        for b in (2**26, 0))
+    assert near.keys() == far.keys()
+    for key, (pred, proba) in near.items():
+        assert far[key][0] == pred and far[key][1] == pytest.approx(proba)
+
+
 def test_routing_cuts_hot_cells_into_blocks(halves, monkeypatch):
     """Identical rows all fall into one cell; blocks still bound each task."""
     import foldwise.models.neighbors as N
