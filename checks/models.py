@@ -21,6 +21,7 @@ from foldwise.plans.space import Space
 from foldwise.plans.study import Study
 from foldwise.session import scratch_dir
 from foldwise.sources.results import ResultStore
+from foldwise.sources.tables import stored
 
 DIMENSIONS = 64
 
@@ -49,7 +50,8 @@ def texts(spark, sf_dir) -> Frame:
 
 def out_of_fold(model, frame: Frame, plan: FoldPlan) -> DataFrame:
     """Every row predicted by the model that did not see it."""
-    frame = assign_slices(frame, plan)
+    # Used by every fit: number the rows once and write them down.
+    frame = stored(assign_slices(frame, plan), "slices")
     return reduce(DataFrame.unionByName, [
         model.fit(side(frame, plan.in_group(r))).predict(side(frame, plan.out_group(r)))
         .withColumn("replicate", F.lit(r)) for r in range(plan.replicates)])

@@ -17,6 +17,7 @@ from foldwise.operators.reduce import PrincipalComponents, RecursiveElimination
 from foldwise.operators.scale import Scale
 from foldwise.operators.select import DropSparseFeatures, DropSparseRows
 from foldwise.plans.pipeline import Pipeline, Run, fit_cells
+from foldwise.sources.tables import stored
 
 NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -368,7 +369,7 @@ def clean_split_scale(spark, sf_dir):
     """Drop sparse columns and rows, fold, impute and scale without leakage."""
     plan = FoldPlan(5)
     frame = DropSparseFeatures(0.15).apply(orders(spark, sf_dir))
-    frame = assign_slices(DropSparseRows(0.5).apply(frame), plan)
+    frame = stored(assign_slices(DropSparseRows(0.5).apply(frame), plan), "slices")
     pipeline = Pipeline.of({"post_split_hooks": [{"type": "imputation_simple"},
                                                  {"type": "standard_scaling"}]})
     fits: dict = {}

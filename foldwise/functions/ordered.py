@@ -9,8 +9,10 @@ over the bucket counts (a small table) supplies the rest.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Hashable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window
@@ -170,21 +172,24 @@ class _Middle:
         self.low, self.high, self.below, self.inside = low, high, inner, at_high - inner
 
 
-def exact_medians(df: DataFrame, series: dict[str, Column], limit: int = 1_000_000,
-                  accuracy: int = 10_000) -> dict[str, float | None]:
-    """Exact median of many conditional series over the same rows.
+def exact_medians(df: DataFrame, columns: dict[str, Column],
+                  masks: dict[Hashable, Column] | None = None, limit: int = 1_000_000,
+                  accuracy: int = 10_000) -> dict[tuple[Hashable, str], float | None]:
+    """Exact median of each column over the rows of each mask, by (mask, column).
 
     A sketch brackets the middle, counts prove the bracket, and the open
     interval shrinks about ``accuracy``-fold per pass until few values are
     left, so memory per task is bounded whatever the number of distinct values.
     """
-    names = list(series)
-    if len(names) > SERIES_PER_JOB:
-        rest = {n: series[n] for n in names[SERIES_PER_JOB:]}
-        head = {n: series[n] for n in names[:SERIES_PER_JOB]}
-        return {**exact_medians(df, head, limit, accuracy),
-                **exact_medians(df, rest, limit, accuracy)}
-    values = {n: series[n].cast("double") for n in names}
+    masks = {None: F.lit(True)} if masks is None else masks
+    names = [(m, c) for m in masks for c in columns]
+    if len(names) > SERIES_PER_JOB and len(masks) > 1:
+        half = len(masks) // 2
+        parts = (dict(list(masks.items())[:half]), dict(list(masks.items())[half:]))
+        return {k: v for part in parts
+                for k, v in exact_medians(df, columns, part, limit, accuracy).items()}
+    plain = {c: v.cast("double") for c, v in columns.items()}
+    values = {(m, c): F.when(masks[m], plain[c]) for m, c in names}
     first = df.agg(*[F.count(values[n]).alias(f"n{i}") for i, n in enumerate(names)]).first()
     state = {n: _Middle(first[f"n{i}"], first[f"n{i}"]) for i, n in enumerate(names)}
     open_names = [n for n in names if state[n].n > 0]
@@ -208,26 +213,39 @@ def exact_medians(df: DataFrame, series: dict[str, Column], limit: int = 1_000_0
         for i, n in enumerate(wide):
             state[n].learn(*guesses[f"q{i}"], seen, str(i))
     rest = [n for n in open_names if state[n].answer is None]
-    found = _middle_values(df, rest, state, values) if rest else {}
+    found = _middle_values(df, rest, state, plain, masks) if rest else {}
     return {n: found.get(n, state[n].answer) for n in names}
 
 
-def _middle_values(df: DataFrame, names: list[str], state: dict[str, _Middle],
-                   values: dict[str, Column]) -> dict[str, float]:
-    """Count the few values left per series and read off the middle ranks."""
-    long = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("s"), state[n].within(values[n]).alias("v"))
-        for i, n in enumerate(names)])).alias("e")).select("e.s", "e.v")
-    tally = long.filter(F.col("v").isNotNull()).groupBy("s", "v").count()
+def _middle_values(df: DataFrame, names: list, state: dict, columns: dict[str, Column],
+                   masks: dict[Hashable, Column]) -> dict:
+    """Count the few values left, per mask, and read off the middle ranks."""
+    open_columns = list(dict.fromkeys(c for _, c in names))
+    keys = list(dict.fromkeys(m for m, _ in names))
+    flagged = df.select(
+        *[masks[m].alias(f"m{k}") for k, m in enumerate(keys)],
+        F.explode(F.array(*[F.struct(F.lit(i).alias("s"), columns[c].alias("v"))
+                            for i, c in enumerate(open_columns)])).alias("e"))
+    long = flagged.select(*[f"m{k}" for k in range(len(keys))], "e.s", "e.v")
+    hits = {n: F.col(f"m{keys.index(n[0])}") & (F.col("s") == open_columns.index(n[1]))
+            & state[n].within(F.col("v")).isNotNull() for n in names}
+    wanted = reduce(or_, hits.values())
+    # One row per value, one count per mask: rows are not copied per mask.
+    tally = long.filter(wanted).groupBy("s", "v").agg(*[
+        F.count_if(hits[n]).alias(f"c{i}") for i, n in enumerate(names)])
     upto = Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tally.withColumn("upto", F.sum("count").over(upto))
-    wanted = F.lit(False)
+    ranked = tally.select("s", "v", *[F.col(f"c{i}") for i in range(len(names))], *[
+        F.sum(f"c{i}").over(upto).alias(f"u{i}") for i in range(len(names))])
+    picks = []
     for i, n in enumerate(names):
         for rank in set(state[n].ranks):
             at = rank - state[n].below
-            wanted = wanted | ((F.col("s") == i) & (F.col("upto") > at)
-                               & (F.col("upto") - F.col("count") <= at))
-    found: dict[int, list[float]] = {}
-    for row in ranked.filter(wanted).collect():
-        found.setdefault(row["s"], []).append(row["v"])
-    return {n: sum(found[i]) / len(found[i]) for i, n in enumerate(names)}
+            picks.append(F.when((F.col("s") == open_columns.index(n[1]))
+                                & (F.col(f"u{i}") > at)
+                                & (F.col(f"u{i}") - F.col(f"c{i}") <= at), F.lit(i)))
+    found: dict = {}
+    chosen = ranked.select("v", F.array_compact(F.array(*picks)).alias("of"))
+    for row in chosen.filter(F.size("of") > 0).collect():
+        for i in set(row["of"]):
+            found.setdefault(names[i], []).append(row["v"])
+    return {n: sum(v) / len(v) for n, v in found.items()}

@@ -72,16 +72,9 @@ class Impute:
         return out
 
     def _medians(self, frame, names, cells, by):
-        keys = list(cells)
-        series = {}
-        for i, key in enumerate(keys):
-            for n in names:
-                value = col(n).cast("double")
-                if by is not None:
-                    value = F.when(col(by).isin(cells[key]), value)
-                series[f"{i}|{n}"] = value
-        found = exact_medians(frame.df, series)
-        return {key: {n: found[f"{i}|{n}"] for n in names} for i, key in enumerate(keys)}
+        masks = None if by is None else {k: col(by).isin(s) for k, s in cells.items()}
+        found = exact_medians(frame.df, {n: col(n) for n in names}, masks)
+        return {k: {n: found[k, n] for n in names} for k in cells}
 
     def _modes(self, frame, names, cells, by):
         keys = list(cells)

@@ -155,9 +155,8 @@ def permutation_importance(model, frame: Frame, repeats: int = 5, seed: int = 0,
               .withColumn("__b", F.substring("__h", 1, digits)))
     packed = F.struct(*[col(n).alias(f"f{i}") for i, n in enumerate(names)])
     order = Window.partitionBy("__repeat", "__b").orderBy("__h", rid)
-    whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     copies = copies.withColumn("__next", F.coalesce(F.lead(packed).over(order),
-                                                    F.first(packed).over(whole)))
+                                                    F.first(packed).over(order)))
     spread = copies.withColumn("__f", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
     one_id = F.concat_ws("|", rid.cast("string"), F.col("__repeat"), F.col("__f"))
     mixed = spread.select(

@@ -101,7 +101,21 @@ def test_fitting_all_cells_at_once_equals_fitting_each(rows, step):
 def test_exact_medians_by_bracketing(spark, values, n):
     df = spark.range(n).selectExpr(f"CAST({values} AS DOUBLE) AS v")
     expected = df.agg(F.median("v")).first()[0]
-    assert exact_medians(df, {"v": F.col("v")}, limit=10, accuracy=50)["v"] == expected
+    found = exact_medians(df, {"v": F.col("v")}, limit=10, accuracy=50)
+    assert found == {(None, "v"): expected}
+
+
+def test_exact_medians_of_many_masks_and_columns(spark, monkeypatch):
+    import foldwise.functions.ordered as O
+    df = spark.range(3000).selectExpr("id", "CAST(id % 11 AS DOUBLE) AS a",
+                                      "CASE WHEN id % 3 > 0 THEN sqrt(id) END AS b")
+    masks = {k: F.col("id") % 7 != k for k in range(7)}
+    columns = {"a": F.col("a"), "b": F.col("b")}
+    expected = {(k, c): df.filter(m).agg(F.median(c)).first()[0]
+                for k, m in masks.items() for c in columns}
+    assert exact_medians(df, columns, masks) == expected
+    monkeypatch.setattr(O, "SERIES_PER_JOB", 4)
+    assert exact_medians(df, columns, masks, limit=40, accuracy=100) == expected
 
 
 def test_running_totals_in_ranges_equal_one_window(spark):
