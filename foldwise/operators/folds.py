@@ -79,6 +79,8 @@ class FoldPlan:
 def assign_slices(frame: Frame, plan: FoldPlan, seed: int = 71554,
                   bucket_rows: int = BUCKET_ROWS) -> Frame:
     """Add the slice column; a row is on the test side of one replicate."""
+    if SLICE in frame.df.columns:
+        raise ValueError(f"the table already has a column {SLICE!r}; rename it")
     counts = class_counts(frame.df, frame.label)
     need = max(plan.replicates, plan.crosses)
     small = [c for c, n in counts if n < need]

@@ -41,16 +41,20 @@ def select_rows(frame: Frame, ids: DataFrame, id_column: str | None = None) -> F
 
 
 def isolate_target(frame: Frame, target: str) -> Frame:
-    """Move one feature to the label role, so that no transform sees it."""
+    """Move one feature to the label role, so that no transform sees it.
+
+    It is called ``label`` from then on, unless another feature is.
+    """
     if not target:
         raise ValueError("a target is required: unsupervised runs are not supported")
     if frame.n_features == 1:
         raise TypeError("cannot isolate the target: the table has a single feature")
     frame.require([target])
     features = tuple(n for n in frame.features if n != target)
-    df = frame.df.select(*[col(k) for k in frame.keys], col(target).alias("label"),
+    label = target if "label" in features else "label"
+    df = frame.df.select(*[col(k) for k in frame.keys], col(target).alias(label),
                          *[col(n) for n in features])
-    return replace(frame, df=df, features=features, keys=(*frame.keys, "label"), label="label")
+    return replace(frame, df=df, features=features, keys=(*frame.keys, label), label=label)
 
 
 def is_missing(frame: Frame, name: str) -> Column:

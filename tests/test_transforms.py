@@ -74,6 +74,11 @@ def test_dropping_unknown_or_only_feature_raises(spark):
         S.drop_features(small(spark, [(1, 2, 3)], "a int, b int"), ["c"])
 
 
+def test_a_feature_may_be_called_label(spark):
+    frame = S.isolate_target(small(spark, [(1, "a", 2)], "label string, t int"), "t")
+    assert (frame.label, frame.features, frame.keys) == ("t", ("label",), ("row_id", "t"))
+
+
 def test_keep_follows_the_given_order(flowers):
     assert S.KeepFeatures(["size", "color"]).apply(flowers).features == ("size", "color")
 
