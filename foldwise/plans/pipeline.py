@@ -9,6 +9,7 @@ and after the split; the former see all rows of their level.
 
 from __future__ import annotations
 
+import inspect
 import warnings
 from collections.abc import Callable, Hashable
 from dataclasses import dataclass
@@ -43,6 +44,16 @@ def is_fitted(kind: Callable) -> bool:
     return hasattr(kind, "fit")
 
 
+def check_options(kind: Callable, options: dict, name: str) -> None:
+    """Raise on options the constructor does not know, before any job runs."""
+    accepted = inspect.signature(kind).parameters
+    if any(p.kind is inspect.Parameter.VAR_KEYWORD for p in accepted.values()):
+        return
+    unknown = [k for k in options if k not in accepted]
+    if unknown:
+        raise ValueError(f"{name!r} has no options {unknown}")
+
+
 @dataclass(frozen=True)
 class Step:
     """One entry of a data spec; ``options`` may hold tunable parameters."""
@@ -64,6 +75,7 @@ class Step:
         gates = [spec.pop(g, default) for g, default in zip(GATES, (True, False))]
         if not all(isinstance(g, bool) for g in gates):
             raise TypeError(f"{GATES} must be booleans")
+        check_options(kind, spec, name)
         tunable = getattr(kind, "tunable", ())
         bad = [k for k, v in spec.items() if isinstance(v, dict) and k not in tunable]
         if bad:

@@ -25,7 +25,7 @@ from foldwise.models.base import sampled_parameters
 from foldwise.operators import metrics as M
 from foldwise.operators.folds import FoldPlan, assign_slices, side
 from foldwise.operators.select import isolate_target
-from foldwise.plans.pipeline import Pipeline, Run, Step
+from foldwise.plans.pipeline import Pipeline, Run, Step, check_options
 from foldwise.plans.proposals import propose
 from foldwise.plans.space import Space
 from foldwise.sources.results import ResultStore, run_label, stage_name, train_name
@@ -82,8 +82,12 @@ class Study:
         if self.spec.crosses < 2:
             raise ValueError("at least 2 crosses are needed to score a trial")
         self.pipeline = Pipeline.of(data, custom_transforms)
-        self.classifier = {**CLASSIFIERS, **(custom_models or {})}[model["model"]]
+        models = {**CLASSIFIERS, **(custom_models or {})}
+        if model["model"] not in models:
+            raise ValueError(f"unknown model {model['model']!r}; known are {sorted(models)}")
+        self.classifier = models[model["model"]]
         self.parameters = model.get("parameters", {})
+        check_options(self.classifier, self.parameters, model["model"])
         self.space = Space.of({**self.pipeline.owners(), MODEL: self.parameters})
         self.run_name = run_label(self.spec.label, model["label"], data["label"])
         self.parallel = parallel

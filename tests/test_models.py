@@ -138,6 +138,15 @@ def test_identical_rows_outvote_when_weighted(spark):
         NeighborsClassifier(4).fit(train)
 
 
+def test_importance_of_a_fitted_model(halves):
+    from foldwise.operators.metrics import permutation_importance
+    train, test = halves
+    found = permutation_importance(NeighborsClassifier(5).fit(train), test, repeats=2).collect()
+    scores = {r["feature"]: abs(r["importance"]) for r in found}
+    assert list(scores) == sorted(scores, key=scores.get, reverse=True)
+    assert min(scores, key=scores.get) == "d"  # the only feature that is noise
+
+
 def test_nulls_and_text_do_not_reach_a_model(halves, flowers):
     train, _ = halves
     holes = train.with_df(train.df.withColumn("a", F.when(F.col("a") > 0, F.col("a"))))

@@ -175,6 +175,15 @@ def test_one_hot_unknown(spark):
     assert values(OneHot(["s"], handle_unknown="ignore").fit(train).apply(test), "s_a") == [0.0]
 
 
+def test_one_hot_drops(spark):
+    frame = small(spark, [(1, "a", 1), (2, "b", 2), (3, "c", 2)], "s string, n int")
+    for drop, names in (("first", ("s_b", "s_c", "n_2")), (["b", 1], ("s_a", "s_c", "n_2")),
+                        ("if_binary", ("s_a", "s_b", "s_c", "n_2"))):
+        assert OneHot(["s", "n"], drop=drop).fit(frame).apply(frame).features == names
+    with pytest.raises(ValueError, match="not found"):
+        OneHot(["s"], drop=["z"]).fit(frame)
+
+
 def test_one_hot_infrequent(spark):
     rows = [(i, v) for i, v in enumerate("aaaabbbccd")]
     train = small(spark, rows, "s string")
