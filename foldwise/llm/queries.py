@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontam, quality, shards
+from foldwise.llm import bpe, decontam, neardup, quality, shards
 from foldwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,20 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+@query
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.grouped(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = bpe.encoded(docs, decode=True)
+    return out.select("doc_id", bpe.n_tokens(F.col("__tokens")).alias("n_tokens"),
+                      F.sha2("__tokens", 256).alias("ids_sha256"),
+                      F.sha2(F.col("__decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 @query
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontam.decontaminated(table(spark, sf_dir, "documents"),

@@ -81,7 +81,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def combine(*parts: np.ndarray) -> np.ndarray:
     """One hash for each sequence of up to five hashes."""
-    total = np.full(len(parts[0]), np.uint64(len(parts)) * np.uint64(0xA24BAED4963EE407))
+    total = np.full(len(parts[0]), np.uint64(len(parts) * 0xA24BAED4963EE407 % 2**64))
     for odd, part in zip(_ODD, parts):
         total = total + part * odd
     return mix(total)
