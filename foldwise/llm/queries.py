@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, decontam, neardup, quality, shards
+from foldwise.llm import bpe, decontam, lm, neardup, quality, repeats, shards
 from foldwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +19,11 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+@query
+def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(table(spark, sf_dir, "documents"))
@@ -53,6 +58,13 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
                          (F.col("__score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query
+def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return repeats.without_repeats(docs).select(
+        "doc_id", "text", F.col("__spans").alias("spans"))
+
+
 @query
 def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.sharded(table(spark, sf_dir, "documents"))
