@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, decontam, fingerprint, lm, neardup, quality, repeats, shards
+from foldwise.llm import bpe, decontam, fingerprint, licenses, lm, neardup, quality, repeats, shards
 from foldwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,16 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprinted(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.matches(table(spark, sf_dir, "documents"))
+    names = F.array_sort(F.array_distinct(F.col("matches")["license"]))
+    return out.select("doc_id", F.size("matches").cast("bigint").alias("n_matches"),
+                      F.array_join(names, ",").alias("licenses"),
+                      F.coalesce(F.array_max(F.col("matches")["dice"]), F.lit(0.0))
+                      .alias("best_dice"), "matches")
+
+
 @query
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.grouped(table(spark, sf_dir, "documents"))

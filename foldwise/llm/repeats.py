@@ -30,35 +30,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwise.llm.common import stored
-from foldwise.llm.tokens import mix, numbers, text_slices, words
+from foldwise.llm.tokens import mix, numbers, text_slices, word_spans
 
 MIN_WORDS = 10
 # Beyond so many words a sentence is cut after words whose hash ends in zeros.
 LONG, _CUT = 24, np.uint64(7)
 _SALT = numbers(2, 21)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
 
 def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """row, place in the row, first byte, end byte (in the row), words, two digests of each unit."""
-    hashes, bounds = words(data, offsets)
+    hashes, starts, ends, bounds = word_spans(data, offsets)
     n = len(hashes)
     if not n:
         return tuple(np.zeros(0, np.int64) for _ in range(7))
-    inside = ~_SPACE[data]
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    full = offsets[:-1][offsets[:-1] < offsets[1:]]
-    begins[full] = inside[full]
-    starts = np.flatnonzero(begins)
-    closes = inside.copy()
-    closes[:-1] &= ~inside[1:]
-    closes[offsets[1:][offsets[:-1] < offsets[1:]] - 1] = \
-        inside[offsets[1:][offsets[:-1] < offsets[1:]] - 1]
-    ends = np.flatnonzero(closes) + 1
     row = np.searchsorted(bounds, np.arange(n), "right") - 1
     # A unit begins where a row or a line begins, and after a full stop.
     lines = np.cumsum(data == 0x0A)

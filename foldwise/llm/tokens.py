@@ -31,8 +31,8 @@ def numbers(n: int, seed: int) -> np.ndarray:
         return mix(step + np.uint64(seed) * np.uint64(0xD1342543DE82EF95))
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, dtype=bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _TABLE = numbers(_PLACES * 256, 1).reshape(_PLACES, 256)
 _TABLE[:, 65:91] = _TABLE[:, 97:123]
 _TABLE = _TABLE.ravel()
@@ -57,26 +57,39 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
         first = last
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each row and the number of all words)."""
-    inside = ~_SPACE[data]
-    begins = inside.copy()
+def word_spans(data: np.ndarray, offsets: np.ndarray,
+               outside: np.ndarray = SPACE) -> tuple[np.ndarray, ...]:
+    """Hash, first byte and end byte of each word; first word of each row and their number.
+
+    ``outside`` tells for each byte whether it separates words.
+    """
+    inside = ~outside[data]
+    begins, closes = inside.copy(), inside.copy()
     begins[1:] &= ~inside[:-1]
-    full = offsets[:-1][offsets[:-1] < offsets[1:]]
-    begins[full] = inside[full]
-    starts = np.flatnonzero(begins)
+    closes[:-1] &= ~inside[1:]
+    full = offsets[:-1] < offsets[1:]
+    heads, tails = offsets[:-1][full], offsets[1:][full] - 1
+    begins[heads], closes[tails] = inside[heads], inside[tails]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(closes) + 1
     bounds = np.searchsorted(starts, offsets)
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+        return np.zeros(0, np.uint64), starts, ends, bounds
     kept = data[inside]
-    at = (np.cumsum(inside) - 1)[starts]
-    lengths = np.diff(np.append(at, len(kept)))
+    lengths = ends - starts
+    at = np.cumsum(lengths) - lengths
     place = np.arange(len(kept)) - np.repeat(at, lengths)
     value = _TABLE[(place & (_PLACES - 1)) * 256 + kept]
     if lengths.max() > _PLACES:
         value = value * ((place // _PLACES * 2 + 1).astype(np.uint64))
     total = np.add.reduceat(value, at)
-    return mix(total + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), bounds
+    return (mix(total + lengths.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)),
+            starts, ends, bounds)
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, first word of each row and the number of all words)."""
+    hashes, _, _, bounds = word_spans(data, offsets)
+    return hashes, bounds
 
 
 def combine(*parts: np.ndarray) -> np.ndarray:
