@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, decontam, fingerprint, licenses, lm, neardup, quality, repeats, shards
+from foldwise.llm import bpe, decontam, fingerprint, licenses, lm, neardup, quality, repeats, shards, wrappers
 from foldwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -85,3 +85,9 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = shards.sharded(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
                       F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = wrappers.extracted(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
