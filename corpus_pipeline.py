@@ -2,6 +2,9 @@
 
 Each stage works on all that its predecessor kept and is written as Parquet in
 the shared folder. All stages but the last return the columns of documents.
+Rows with a null id are scored, cleaned and encoded, but are never copies of
+others. Empty tables pass through every stage; without labels nothing is
+rejected, without a benchmark nothing is contaminated.
 """
 
 from __future__ import annotations
@@ -11,8 +14,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import decontam, quality
-from foldwise.llm.common import stored, table
+from foldwise.llm import bpe, decontam, neardup, quality, repeats
+from foldwise.llm.common import broadcast_if_small, stored, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,7 +26,44 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).where(F.col("__score") >= 0.5).drop("__score")
 
 
-STAGES: list[tuple[str, Stage]] = [("quality", good)]
+def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id."""
+    return _without(docs, neardup.grouped(docs).where(~F.col("kept")))
+
+
+def first_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without passages that an earlier one holds; n_chars follows the text."""
+    out = repeats.without_repeats(docs)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(kind))
+                             .otherwise(F.col("n_chars")))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth is benchmark text."""
+    found = decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, found.where("contaminated"))
+
+
+def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents with n_tokens and tokens (little-endian unsigned 32-bit ids)."""
+    out = bpe.encoded(docs)
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns],
+                      bpe.n_tokens(F.col("__tokens")).alias("n_tokens"),
+                      F.col("__tokens").alias("tokens"))
+
+
+def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    ids = stored(dropped.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "dropped")
+    return docs.join(broadcast_if_small(ids, ids.count()), "doc_id", "left_anti").select(
+        *[F.col(f"`{c}`") for c in docs.columns])
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", good), ("near_copies", first_copies), ("passages", first_passages),
+    ("benchmark", clean), ("tokens", tokenized)]
 
 # Scores, sketches and merges can't be said in SQL; tests hold the stages
 # against brute force.
