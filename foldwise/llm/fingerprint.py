@@ -3,8 +3,9 @@
 Every five-word shingle is hashed once. The top eight bits of the hash choose
 one of 256 bins, and each bin keeps its smallest hash. An empty bin takes over
 the value of another one, found by trying bins in the order of hash functions
-of (bin, attempt) until one is filled (optimal densification). The lowest four
-bits of each bin make the fingerprint, 256 hexadecimal digits.
+of (bin, attempt) until one is filled (optimal densification), hashed with the
+bin's number. The lowest four bits of each bin make the fingerprint, 256
+hexadecimal digits.
 
 Two fingerprints agree in a digit where the minima agree, and by chance in one
 of 16 other places; the likeness corrects for that: (share - 1/16) / (15/16),
@@ -74,7 +75,8 @@ def with_fingerprint(df: DataFrame, text: str, out: str) -> DataFrame:
         later = F.aggregate(F.sequence(F.lit(1), F.lit(MORE_TRIES)), none,
                             lambda found, t: F.coalesce(found, col(b)[_probe(i, t)]))
         last = col(m)[F.pmod(i, F.greatest(F.size(m), F.lit(1)))]["value"]
-        return F.coalesce(x, *[t(i) for t in tries], later, last)
+        # Bins that take over one value agree by chance each for itself.
+        return F.coalesce(x, F.xxhash64(F.coalesce(*[t(i) for t in tries], later, last), i))
 
     digit = F.transform(col(b), lambda x, i: F.substring(
         F.lit(_DIGITS), filled(x, i).bitwiseAND(2**BITS - 1).cast("int") + 1, 1))

@@ -9,8 +9,8 @@ Sizes prune first: with d = LEAST, |B| lies between |A| d / (2 - d) and
 |A| (2 - d) / d, and of A's bigrams a share of d / (2 - d) must occur in
 templates at all. Both bounds lose nothing.
 
-A match of a sentence inside a matching line, or of a line that is the whole
-text, is told once, for the larger unit. Null and empty texts and units of one
+Of matching units inside each other only that of the highest coefficient is
+told, of equal ones the largest. Null and empty texts and units of one
 word match nothing. Of templates with equal coefficients the first by name
 counts. Rows are scanned one by one, so repeated rows need no rule.
 """
@@ -140,10 +140,14 @@ def _scan(templates: _Templates, data: np.ndarray, offsets: np.ndarray) -> list[
             value, t = templates.best(distinct)
             if value >= templates.least - 1e-12:
                 r = int(row[a])
-                begin, end = int(starts[a] - offsets[r]), int(ends[b - 1] - offsets[r])
-                if not any(f[0] == r and f[1] <= begin and end <= f[2] for f in found):
-                    found.append((r, begin, end, templates.names[t], value))
-    return sorted(found)
+                found.append((r, int(starts[a] - offsets[r]), int(ends[b - 1] - offsets[r]),
+                              templates.names[t], value))
+    # Of units inside each other the best counts, of equal ones the largest.
+    kept: list[tuple] = []
+    for f in sorted(found, key=lambda f: (-round(f[4], 12), f[1] - f[2], f)):
+        if not any(k[0] == f[0] and k[1] < f[2] and f[1] < k[2] for k in kept):
+            kept.append(f)
+    return sorted(kept)
 
 
 def matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None,
