@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import check, rounded, table, view
 from foldwise.functions.hashing import uniform
+from foldwise.functions.vectors import class_map
 from foldwise.operators import metrics as M
 
 # A scored binary prediction for each order, per priority. Few distinct scores,
@@ -47,10 +48,62 @@ def roc_auc(spark, sf_dir):
     return rounded(M.roc_auc(scored(spark, sf_dir), ["cell"]))
 
 
-@check("roc_auc_bucketed", _AUC)
+# Scores below 0.1 are missing; missing scores rank lowest, as ties.
+_AUC_NULLS = _AUC.replace(" FROM p)", " FROM (SELECT cell, label, CASE WHEN s < 0.1 THEN -1 ELSE s "
+                          "END AS s FROM p) q)")
+
+
+@check("roc_auc_bucketed", _AUC_NULLS)
 def roc_auc_bucketed(spark, sf_dir):
-    """The same with the scores cut into many ranges."""
-    return rounded(M.roc_auc(scored(spark, sf_dir), ["cell"], bucket_rows=500))
+    """Rows without a score count, below all others."""
+    s = F.col("proba")["1"]
+    return rounded(M.roc_auc(scored(spark, sf_dir), ["cell"], F.when(s >= 0.1, s),
+                             F.col("label") == 1))
+
+
+def scored_as(spark, sf_dir, kind: str, classes: list):
+    """Labels of another type, probabilities named as a model names them."""
+    df = scored(spark, sf_dir)
+    proba = class_map(F.array(F.col("proba")["0"], F.col("proba")["1"]), classes)
+    return df.withColumns({"label": F.col("label").cast(kind), "pred": F.col("pred").cast(kind),
+                           "proba": proba})
+
+
+@check("log_loss_boolean", _SCORED + """
+    SELECT cell, round(avg(-ln(least(greatest(CASE WHEN label = 1 THEN s ELSE 1.0 - s END,
+           2.220446049250313e-16), 1.0 - 2.220446049250313e-16))), 6) AS log_loss
+    FROM p GROUP BY cell""")
+def log_loss_boolean(spark, sf_dir):
+    return rounded(M.log_loss(scored_as(spark, sf_dir, "boolean", [False, True]), ["cell"]))
+
+
+@check("roc_auc_boolean", _AUC)
+def roc_auc_boolean(spark, sf_dir):
+    return rounded(M.roc_auc(scored_as(spark, sf_dir, "boolean", [False, True]), ["cell"]))
+
+
+@check("roc_auc_double", _AUC)
+def roc_auc_double(spark, sf_dir):
+    return rounded(M.roc_auc(scored_as(spark, sf_dir, "double", [0.0, 1.0]), ["cell"]))
+
+
+def _recall_of(kind: str) -> str:
+    return _SCORED + f"""
+    SELECT cell, CAST(label AS {kind}) AS class,
+           round(avg(CASE WHEN (s > 0.5) = (label = 1) THEN 1.0 ELSE 0.0 END), 6) AS recall
+    FROM p GROUP BY cell, label"""
+
+
+@check("recall_boolean", _recall_of("BOOLEAN"))
+def recall_boolean(spark, sf_dir):
+    return rounded(M.per_class(scored_as(spark, sf_dir, "boolean", [False, True]), "recall",
+                               ["cell"]))
+
+
+@check("recall_double", _recall_of("DOUBLE"))
+def recall_double(spark, sf_dir):
+    return rounded(M.per_class(scored_as(spark, sf_dir, "double", [0.0, 1.0]), "recall",
+                               ["cell"]))
 
 
 # Quality as truth, absence of toxicity as prediction, per language.

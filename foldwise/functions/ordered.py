@@ -14,7 +14,6 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
@@ -80,44 +79,34 @@ def class_positions(df: DataFrame, label: str, row_id: str, seed: int,
 
 
 def running_totals(df: DataFrame, groups: Sequence[str], order: str,
-                   totals: dict[str, str], bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+                   totals: dict[str, str]) -> DataFrame:
     """For each row the sum of earlier rows' values, per group, in ``order``.
 
     ``df`` holds one row per (group, order value); ``totals`` maps a column to
-    the name of its running sum, which excludes the row itself.
+    the name of its running sum, which excludes the row itself. Nulls come
+    first, as in any ascending order. The rows are dealt by ranges of the column
+    itself and written down; sums inside a range are added to those of the
+    ranges before it. Any ranges give the same sums, so one way serves all sizes.
     """
-    size = df.count()
-    pieces = math.ceil(size / bucket_rows)
-    if pieces <= 1:
-        before = (Window.partitionBy(*[col(g) for g in groups]).orderBy(col(order))
-                  .rowsBetween(Window.unboundedPreceding, -1))
-        return df.select("*", *[F.coalesce(F.sum(col(c)).over(before), F.lit(0)).alias(n)
-                                for c, n in totals.items()])
-    # The table is used four times; write it down once.
     path = scratch_dir(df.sparkSession, "totals")
-    df.write.parquet(path)
-    df = df.sparkSession.read.parquet(path)
-    # Cut the value range at quantiles: any cut is exact, these are even.
-    marks = [i / pieces for i in range(1, pieces)]
-    cuts = df.select(F.percentile_approx(col(order).cast("double"), marks, 10 * pieces)).first()[0]
-    splits = [-math.inf, *sorted(set(cuts)), math.inf]
-    cut = Bucketizer(splits=splits, inputCol="__v", outputCol="__b").transform(
-        df.withColumn("__v", col(order).cast("double")))
+    (df.repartitionByRange(col(order)).withColumn("__part", F.spark_partition_id())
+     .write.parquet(path))
+    ranged = df.sparkSession.read.parquet(path)
     keys = [col(g) for g in groups]
-    per_bucket = cut.groupBy(*keys, "__b").agg(*[F.sum(col(c)).alias(c) for c in totals])
-    before = (Window.partitionBy(*keys).orderBy("__b")
+    per_part = ranged.groupBy(*keys, "__part").agg(*[F.sum(col(c)).alias(c) for c in totals])
+    before = (Window.partitionBy(*keys).orderBy("__part")
               .rowsBetween(Window.unboundedPreceding, -1))
-    starts = per_bucket.select(
-        *[col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__b").alias("__k"),
+    # One row for each (group, range).
+    starts = per_part.select(
+        *[col(g).alias(f"__g{i}") for i, g in enumerate(groups)], F.col("__part").alias("__k"),
         *[F.coalesce(F.sum(col(c)).over(before), F.lit(0)).alias(f"__s_{n}")
           for c, n in totals.items()])
-    same = F.col("__b") == F.col("__k")
+    same = F.col("__part") == F.col("__k")
     for i, g in enumerate(groups):
         same = same & col(g).eqNullSafe(F.col(f"__g{i}"))
-    inside = (Window.partitionBy(*keys, "__b").orderBy("__v")
+    inside = (Window.partitionBy(*keys, "__part").orderBy(col(order))
               .rowsBetween(Window.unboundedPreceding, -1))
-    joined = cut.join(starts, same)
-    return joined.select(
+    return ranged.join(starts, same).select(
         *[col(c) for c in df.columns],
         *[(col(f"__s_{n}") + F.coalesce(F.sum(col(c)).over(inside), F.lit(0))).alias(n)
           for c, n in totals.items()])
@@ -149,6 +138,14 @@ class _Middle:
         return [max(0.0, (first - self.below) / self.inside - slack),
                 min(1.0, (last - self.below + 1) / self.inside + slack)]
 
+    def _widen(self, lower: bool, low: float, high: float, at_low: int, end: int) -> None:
+        """The middle lies outside the guessed bracket, on the side told."""
+        if lower:
+            self.high, self.inside = low, at_low - self.below
+        else:
+            self.inside = self.below + self.inside - end
+            self.low, self.below = high, end
+
     def learn(self, low: float, high: float, seen: Row, tag: str) -> None:
         """Use exact counts around a guessed bracket [low, high]."""
         at_low = seen[f"b{tag}"]
@@ -157,8 +154,10 @@ class _Middle:
         end = at_high + seen[f"h{tag}"]
         known = []
         for rank in self.ranks:
-            if not at_low <= rank < end:
-                raise ArithmeticError("quantile sketch missed the median")
+            if rank < at_low or rank >= end:
+                # The sketch missed: go on beyond its bracket, whose counts are exact.
+                self._widen(rank < at_low, low, high, at_low, end)
+                return
             if rank < inner:
                 known.append(low)
             elif rank >= at_high:

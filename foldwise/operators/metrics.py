@@ -46,7 +46,7 @@ def log_loss(preds: DataFrame, by: Sequence[str] = (), p: Column | None = None)
 
 
 def roc_auc(preds: DataFrame, by: Sequence[str] = (), score: Column | None = None,
-            positive: Column | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+            positive: Column | None = None) -> DataFrame:
     """Area under the ROC curve in its exact rank form, ties counted half.
 
     The score is the probability of the second class unless given. Rows are
@@ -62,7 +62,7 @@ def roc_auc(preds: DataFrame, by: Sequence[str] = (), score: Column | None = Non
     counted = preds.select(*_keys(by), score.alias("__score"), positive.alias("__hit"))
     tally = counted.groupBy(*_keys(by), "__score").agg(
         F.count_if(F.col("__hit")).alias("__pos"), F.count_if(~F.col("__hit")).alias("__neg"))
-    below = running_totals(tally, by, "__score", {"__neg": "__below"}, bucket_rows)
+    below = running_totals(tally, by, "__score", {"__neg": "__below"})
     won = F.sum(F.col("__pos") * (F.col("__below") + F.col("__neg") / 2))
     pairs = F.sum("__pos") * F.sum("__neg")
     return _all(below, by).agg(F.try_divide(won, pairs).alias("roc_auc"))
@@ -140,9 +140,10 @@ def permutation_importance(model, frame: Frame, repeats: int = 5, seed: int = 0,
     """(feature, importance): mean loss of accuracy when a feature is shuffled.
 
     Rows get a seeded random order per repeat and each row takes the value of
-    the next row in it; the last takes the first. The order is cut into random
-    buckets, each closed in itself, so no task holds all rows. All features and
-    repeats share one shuffle and one prediction pass.
+    the next row in it; the last takes the first. The order is cut at leading
+    digits of its key, so that no task sorts all rows; the last row of a piece
+    takes the first of the next one, so the cuts change no result. All features
+    and repeats share one shuffle and one prediction pass.
     """
     base = model.predict(frame).agg(
         F.avg((F.col("pred") == F.col("label")).cast("int")).alias("accuracy"),
@@ -155,8 +156,16 @@ def permutation_importance(model, frame: Frame, repeats: int = 5, seed: int = 0,
               .withColumn("__b", F.substring("__h", 1, digits)))
     packed = F.struct(*[col(n).alias(f"f{i}") for i, n in enumerate(names)])
     order = Window.partitionBy("__repeat", "__b").orderBy("__h", rid)
-    copies = copies.withColumn("__next", F.coalesce(F.lead(packed).over(order),
-                                                    F.first(packed).over(order)))
+    heads = (copies.withColumn("__x", packed).groupBy("__repeat", "__b")
+             .agg(F.min_by("__x", F.struct(F.col("__h"), rid)).alias("__head")))
+    # One row for each (repeat, piece).
+    pieces = Window.partitionBy("__repeat").orderBy("__b")
+    whole = pieces.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("__repeat", "__b", F.coalesce(
+        F.lead("__head").over(pieces), F.first("__head").over(whole)).alias("__after"))
+    copies = (copies.withColumn("__lead", F.lead(packed).over(order))
+              .join(heads, ["__repeat", "__b"])
+              .withColumn("__next", F.coalesce("__lead", "__after")))
     spread = copies.withColumn("__f", F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))))
     one_id = F.concat_ws("|", rid.cast("string"), F.col("__repeat"), F.col("__f"))
     mixed = spread.select(

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.frame import col
-from foldwise.functions.ordered import BUCKET_ROWS, running_totals
+from foldwise.functions.ordered import running_totals
 
 
 def metric_across_trials(results: DataFrame, metric: str) -> DataFrame:
@@ -59,8 +59,7 @@ def compare_runs(log: DataFrame, metric: str, runs: list[str], run: str = "run",
             .agg(F.avg(col(metric)).alias("mean"), F.stddev_samp(col(metric)).alias("std")))
 
 
-def rank_sum(samples: DataFrame, group: str, value: str, first: str, second: str,
-             bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def rank_sum(samples: DataFrame, group: str, value: str, first: str, second: str) -> DataFrame:
     """Rank-sum statistic of two groups: n1, n2, rank sum of the first, z.
 
     Average ranks for ties, normal approximation, no tie correction. Values are
@@ -70,7 +69,7 @@ def rank_sum(samples: DataFrame, group: str, value: str, first: str, second: str
                .groupBy(col(value).alias("v"))
                .agg(F.count_if(col(group) == first).alias("a"),
                     F.count(F.lit(1)).alias("n")))
-    ranked = running_totals(counted, [], "v", {"n": "below"}, bucket_rows)
+    ranked = running_totals(counted, [], "v", {"n": "below"})
     rank = F.col("below") + (F.col("n") + 1) / 2
     sums = ranked.agg(F.sum("a").alias("n1"), (F.sum("n") - F.sum("a")).alias("n2"),
                       F.sum(F.col("a") * rank).alias("rank_sum"))

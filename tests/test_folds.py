@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from foldwise.frame import Frame
@@ -121,6 +122,15 @@ def test_exact_medians_of_many_masks_and_columns(spark, monkeypatch):
 def test_running_totals_in_ranges_equal_one_window(spark):
     df = spark.range(500).selectExpr("nullif(id % 3, 0) AS g", "CAST(id AS DOUBLE) AS v",
                                      "id % 7 AS n")
-    one = running_totals(df, ["g"], "v", {"n": "before"})
-    many = running_totals(df, ["g"], "v", {"n": "before"}, bucket_rows=11)
+    w = Window.partitionBy("g").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    one = df.withColumn("before", F.coalesce(F.sum("n").over(w), F.lit(0)))
+    many = running_totals(df, ["g"], "v", {"n": "before"})
     assert one.exceptAll(many).count() == 0 and many.count() == 500
+
+
+def test_running_totals_keep_nulls_and_large_numbers(spark):
+    big = 2**53
+    df = spark.createDataFrame([(None, 5), *[(big + k, 1) for k in range(8)]], "v bigint, n int")
+    got = running_totals(df.repartition(4), [], "v", {"n": "before"}).orderBy("v").collect()
+    assert [(r["v"], r["before"]) for r in got] == [
+        (None, 0), *[(big + k, 5 + k) for k in range(8)]]
