@@ -55,8 +55,8 @@ def class_value(index: Column, classes: Sequence) -> Column:
 
 
 def class_map(probabilities: Column, classes: Sequence) -> Column:
-    """Probability by class name, classes in sorted order."""
-    return F.map_from_arrays(F.array(*[F.lit(str(c)) for c in classes]), probabilities)
+    """Probability by class name as SQL writes it, classes in sorted order."""
+    return F.map_from_arrays(F.array(*[F.lit(c).cast("string") for c in classes]), probabilities)
 
 
 def first_largest(values: Column) -> Column:

@@ -30,7 +30,7 @@ from foldwise.frame import Frame, col
 from foldwise.functions.hashing import order_key
 from foldwise.functions.ordered import class_counts
 from foldwise.functions.vectors import class_index, feature_array, first_largest
-from foldwise.models.base import predictions
+from foldwise.models.base import as_trained, predictions
 
 BROADCAST_BYTES = 64 * 2**20
 MAX_PIVOTS = 512
@@ -121,6 +121,7 @@ class FittedNeighbors:
 
     def neighbors(self, frame: Frame) -> DataFrame:
         """(t, d, o, c): for each test row id the k nearest training rows."""
+        frame = as_trained(frame, self.train.features)
         tests = frame.df.select(col(frame.row_id).alias("t"), feature_array(frame).alias("x"))
         train = _training_rows(self.train, self.classes)
         kinds = (tests.schema["t"].dataType.simpleString(),
@@ -217,6 +218,7 @@ class FittedNeighbors:
         return F.element_at(F.create_map(*pairs), F.col("cell"))
 
     def predict(self, frame: Frame) -> DataFrame:
+        frame = as_trained(frame, self.train.features)
         if self.held is None:
             return self._predict_routed(frame)
         held, k, p = self.held, self.k, self.p

@@ -2,7 +2,7 @@
 
 A kernel machine needs all pairs of rows. Here the kernel is expressed as a
 feature map instead, and a linear machine is trained on it by gradient passes:
-linear exactly, poly exactly (monomials of degree 3, few features only), rbf
+linear exactly, poly exactly (all monomials up to its degree), rbf
 approximately by random Fourier features (Rahimi & Recht, 2007).
 """
 
@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from foldwise.frame import Frame, col
 from foldwise.functions.vectors import VECTOR, first_largest, with_vector
-from foldwise.models.base import INDEX, predictions, training_set
+from foldwise.models.base import (INDEX, WEIGHT, as_trained, checked_weights, class_weights,
+                                  predictions, training_set, weigh)
 
 KERNELS = ("linear", "poly", "rbf")
-POLY_DEGREE = 3
-MAX_POLY_FEATURES = 40
+# A feature map of so many outputs no longer suits dense vectors.
+MAX_MONOMIALS = 20_000
 
 
 def monomials(n: int, degree: int) -> list[tuple[int, ...]]:
@@ -47,6 +48,8 @@ class FeatureMap:
     kernel: str
     width: int
     gamma: float = 0.0
+    degree: int = 3
+    coef0: float = 0.0
     directions: np.ndarray | None = None
     phases: np.ndarray | None = None
 
@@ -59,14 +62,15 @@ class FeatureMap:
 
     def _poly(self, df: DataFrame) -> DataFrame:
         weights = []
-        for m in monomials(self.width, POLY_DEGREE)[1:]:
-            # (gamma x.y)^3 is the sum over monomials of degree 3 of their
-            # multinomial coefficient times both sides' monomials.
-            ways = math.factorial(len(m)) / math.prod(
-                math.factorial(c) for c in Counter(m).values())
-            weights.append(math.sqrt(ways * self.gamma**POLY_DEGREE)
-                           if len(m) == POLY_DEGREE else 0.0)
-        grown = PolynomialExpansion(degree=POLY_DEGREE, inputCol=VECTOR, outputCol="__g")
+        for m in monomials(self.width, self.degree)[1:]:
+            # (gamma x.y + c)^d is the sum over monomials of degree k <= d of
+            # d over k, c^(d - k), gamma^k and their multinomial coefficient
+            # times both sides' monomials. The constant one is an intercept.
+            k = len(m)
+            ways = math.factorial(k) / math.prod(math.factorial(n) for n in Counter(m).values())
+            weights.append(math.sqrt(ways * math.comb(self.degree, k) * self.gamma**k
+                                     * self.coef0**(self.degree - k)))
+        grown = PolynomialExpansion(degree=self.degree, inputCol=VECTOR, outputCol="__g")
         scaled = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="__g",
                                     outputCol="__s")
         return (scaled.transform(grown.transform(df)).drop(VECTOR, "__g")
@@ -90,12 +94,14 @@ class FeatureMap:
 
 @dataclass(frozen=True)
 class FittedSVC:
+    features: tuple[str, ...]
     classes: tuple
     feature_map: FeatureMap
     machines: list
     curves: list[tuple[float, float]]
 
     def predict(self, frame: Frame) -> DataFrame:
+        frame = as_trained(frame, self.features)
         df = self.feature_map.apply(with_vector(frame))
         margins = []
         for i, m in enumerate(self.machines):
@@ -118,36 +124,47 @@ class SupportVectorClassifier:
     """Hinge loss, one machine per class against the rest (one if binary).
 
     Probabilities come from a logistic curve fitted to the training margins
-    (Platt), normalised over classes. ``gamma`` is 1 / (features * variance of
-    all matrix entries).
+    (Platt), normalised over classes. ``gamma`` is "scale", 1 / (features *
+    variance of all matrix entries), "auto", 1 / features, or a number.
+    ``class_weight`` is None, "balanced" or a dict; each machine weighs its own
+    class and the rest by it.
     """
 
     def __init__(self, kernel: str = "rbf", C: float = 1.0, max_iter: int = 50,
-                 components: int = 256, random_state: int = 0):
+                 components: int = 256, random_state: int = 0, gamma="scale", degree: int = 3,
+                 coef0: float = 0.0, class_weight=None):
         # The hinge has corners: a tighter tolerance only buys line searches.
         if kernel not in KERNELS:
             raise ValueError(f"kernel must be one of {KERNELS}, not {kernel!r}")
         self.kernel, self.C, self.max_iter = kernel, C, max_iter
         self.components, self.random_state = components, random_state
+        if gamma not in ("scale", "auto") and not (isinstance(gamma, (int, float)) and gamma > 0):
+            raise ValueError(f"gamma must be 'scale', 'auto' or positive, not {gamma!r}")
+        if degree < 1 or coef0 < 0:
+            raise ValueError("degree must be at least 1 and coef0 not negative")
+        self.gamma, self.degree, self.coef0 = gamma, int(degree), float(coef0)
+        self.class_weight = checked_weights(class_weight)
 
     def fit(self, frame: Frame) -> FittedSVC:
         train = training_set(frame)
         feature_map = self._map(frame)
-        base = feature_map.apply(train.df).persist(StorageLevel.MEMORY_AND_DISK)
+        base = feature_map.apply(weigh(train, self.class_weight)).persist(StorageLevel.MEMORY_AND_DISK)
         try:
+            heavy = sum(n * w for n, w in zip(
+                train.counts, class_weights(train, self.class_weight)))
             targets = [1] if len(train.classes) == 2 else range(len(train.classes))
             machines, curves = [], []
             for k in targets:
                 own = base.withColumn("__y", (F.col(INDEX) == k).cast("double"))
                 svc = LinearSVC(featuresCol=VECTOR, labelCol="__y", maxIter=self.max_iter,
-                                regParam=1.0 / (self.C * train.rows), standardization=False,
-                                tol=1e-3)
+                                regParam=1.0 / (self.C * heavy), standardization=False,
+                                weightCol=WEIGHT, tol=1e-3)
                 machine = svc.fit(own)
                 machines.append(machine)
                 curves.append(self._curve(machine.transform(own)))
         finally:
             base.unpersist()
-        return FittedSVC(train.classes, feature_map, machines, curves)
+        return FittedSVC(frame.features, train.classes, feature_map, machines, curves)
 
     def _curve(self, scored: DataFrame) -> tuple[float, float]:
         margin = array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
@@ -159,14 +176,16 @@ class SupportVectorClassifier:
         d = frame.n_features
         if self.kernel == "linear":
             return FeatureMap("linear", d)
-        if self.kernel == "poly" and d > MAX_POLY_FEATURES:
-            raise ValueError(f"a cubic map of {d} features is too wide; reduce them first")
-        gamma = self._gamma(frame)
+        if self.kernel == "poly" and math.comb(d + self.degree, self.degree) > MAX_MONOMIALS:
+            raise ValueError(f"a map of degree {self.degree} of {d} features has more than "
+                             f"{MAX_MONOMIALS} outputs; reduce the features or the degree first")
+        gamma = {"auto": 1.0 / d}.get(self.gamma, self.gamma)
+        gamma = self._gamma(frame) if gamma == "scale" else float(gamma)
         if self.kernel == "poly":
-            return FeatureMap("poly", d, gamma)
+            return FeatureMap("poly", d, gamma, self.degree, self.coef0)
         rng = np.random.default_rng(self.random_state)
         w = rng.normal(0.0, math.sqrt(2.0 * gamma), (d, self.components))
-        return FeatureMap("rbf", d, gamma, w, rng.uniform(0.0, 2.0 * math.pi, self.components))
+        return FeatureMap("rbf", d, gamma, 0, 0.0, w, rng.uniform(0.0, 2.0 * math.pi, self.components))
 
     @staticmethod
     def _gamma(frame: Frame) -> float:
