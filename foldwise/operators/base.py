@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Hashable
 from dataclasses import dataclass, replace
+from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -179,6 +180,8 @@ def parse_value(text: str | None, kind: T.DataType):
         return int(text)
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return float(text)
+    if isinstance(kind, T.DecimalType):
+        return Decimal(text)
     if isinstance(kind, T.BooleanType):
         return text == "true"
     return text

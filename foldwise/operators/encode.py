@@ -55,12 +55,13 @@ class FittedOneHot(Projection):
         columns = {n: c for n, c in frame.columns().items() if n not in self.encoded}
         for feature, cats in self.encoded.items():
             known = _is_one_of(frame, feature, list(cats.known))
-            for i, (suffix, values) in enumerate(cats.columns):
+            for suffix, values in cats.columns:
                 hit = _is_one_of(frame, feature, list(values))
                 if suffix == cats.unknown_to:
                     hit = hit | ~known
                 out = hit.cast("double")
-                if self.strict and i == 0:
+                if self.strict:
+                    # On each column, so that none can be read without the check.
                     out = _or_raise(known, out, feature)
                 columns[f"{feature}_{suffix}"] = out
         return columns
@@ -252,7 +253,7 @@ class FittedLadder(Projection):
         for rung in range(1, len(self.groups)):
             at_least = [v for g in self.groups[rung:] for v in g]
             step = _is_one_of(frame, self.feature, at_least).cast("int")
-            if self.strict and rung == 1:
+            if self.strict:
                 step = _or_raise(known, step, self.feature).cast("int")
             columns[f"{self.feature} ({labels[rung - 1]} <- {labels[rung]})"] = step
         return columns

@@ -103,7 +103,15 @@ class Impute:
 
     def _constants(self, frame, names, cells, by):
         def fill(n):
-            if self.fill_value is not None:
-                return self.fill_value
-            return 0 if frame.is_numeric(n) else "missing_value"
+            value = self.fill_value
+            if value is None:
+                if isinstance(frame.type_of(n), T.BooleanType):
+                    raise TypeError(f"a constant for the boolean feature {n!r} must be given")
+                value = 0 if frame.is_numeric(n) else "missing_value"
+            number = isinstance(value, (int, float)) and not isinstance(value, bool)
+            if frame.is_numeric(n) and not number:
+                raise TypeError(f"the constant {value!r} does not fit the number {n!r}")
+            if isinstance(frame.type_of(n), T.BooleanType) and not isinstance(value, bool):
+                raise TypeError(f"the constant {value!r} does not fit the boolean {n!r}")
+            return value
         return {k: {n: fill(n) for n in names} for k in cells}

@@ -90,8 +90,3 @@ def run_of(log: DataFrame, label: str, run: str = "run") -> DataFrame:
 def repair_types(results: DataFrame, types: dict[str, str]) -> DataFrame:
     """Cast metrics that were stored as text; what is no number becomes null."""
     return results.withColumns({n: col(n).try_cast(t) for n, t in types.items()})
-
-
-def wide_metrics(long: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
-    """One column per metric name from (keys, name, value) rows."""
-    return long.groupBy(*[col(k) for k in keys]).pivot("name", names).agg(F.first("value"))

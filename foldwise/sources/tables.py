@@ -63,14 +63,28 @@ def number_parquet_rows(spark: SparkSession, path: str, out: str = ROW_ID) -> Da
 
 
 def number_rows(df: DataFrame, out: str = ROW_ID) -> DataFrame:
-    """Give rows without a key a unique id, and write it down once.
+    """Number the rows of delimited files 0..n-1 in file order.
 
-    Such ids depend on the partitions, so they are stored before use: a task
-    run again must not number its rows differently.
+    A row's place is that of its file and block, then its place in the block,
+    however files are cut into blocks and blocks dealt to tasks. Rows are
+    written down once with a running number, which is gapless inside a block;
+    a running total over the blocks (one row each) does the rest.
     """
     path = scratch_dir(df.sparkSession, "row-ids")
-    df.withColumn(out, F.monotonically_increasing_id()).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    (df.select("*", F.col("_metadata.file_path").alias("__file"),
+               F.col("_metadata.file_block_start").alias("__block"),
+               F.monotonically_increasing_id().alias("__at")).write.parquet(path))
+    rows = df.sparkSession.read.parquet(path)
+    blocks = rows.groupBy("__file", "__block").agg(F.min("__at").alias("__least"),
+                                                   F.count("*").alias("__n"))
+    before = Window.orderBy("__file", "__block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select(
+        F.col("__file").alias("__f"), F.col("__block").alias("__b"),
+        (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__least")).alias("__shift"))
+    joined = rows.join(blocks, (F.col("__file") == F.col("__f"))
+                       & (F.col("__block") == F.col("__b")))
+    return joined.select((F.col("__at") + F.col("__shift")).alias(out),
+                         *[col(c) for c in df.columns])
 
 
 def stored(frame: Frame, name: str) -> Frame:
