@@ -123,9 +123,15 @@ class Pipeline:
         """Options by owner, for the search space."""
         return {s.owner: s.options for s in (*self.before, *self.after)}
 
-    def prepare(self, frame: Frame, level: str, run: "Run") -> Frame:
+    @property
+    def fixed(self) -> int:
+        """How many leading steps before the split no trial and no replicate changes."""
+        return next((i for i, s in enumerate(self.before) if s.per_replicate and s.tuned),
+                    len(self.before))
+
+    def prepare(self, frame: Frame, level: str, run: "Run", steps: slice = slice(None)) -> Frame:
         """Apply the steps listed before the split to all rows of the level."""
-        for step in self.before:
+        for step in self.before[steps]:
             if step.runs_at(level):
                 frame = run.whole(step, frame, level)
         return frame

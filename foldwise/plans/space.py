@@ -57,6 +57,10 @@ class Parameter:
     def sql_type(self) -> str:
         return {"float": "double", "int": "bigint", "categorical": "string"}[self.kind]
 
+    def first(self):
+        """Some value of the range: the first choice, or the low end."""
+        return self.choices[0] if self.kind == "categorical" else self.low
+
     def draw(self, u: Column) -> Column:
         """The value for a uniform number in [0, 1)."""
         if self.kind == "categorical":

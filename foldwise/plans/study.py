@@ -13,6 +13,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
+from threading import Lock
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ from foldwise.operators.folds import FoldPlan, assign_slices, side
 from foldwise.operators.select import isolate_target
 from foldwise.plans.pipeline import Pipeline, Run, Step, check_options
 from foldwise.plans.proposals import propose
-from foldwise.plans.space import Space
+from foldwise.plans.space import Parameter, Space
 from foldwise.sources.results import ResultStore, run_label, stage_name, train_name
 from foldwise.sources.tables import read_table, stored
 
@@ -44,6 +45,7 @@ class StudySpec:
     target: str
     objective: str
     metrics: dict[str, list[str]]
+    # The defaults that users of such studies know.
     seed: int = 71554
     replicates: int = 10
     crosses: int = 10
@@ -89,9 +91,21 @@ class Study:
         self.parameters = model.get("parameters", {})
         check_options(self.classifier, self.parameters, model["model"])
         self.space = Space.of({**self.pipeline.owners(), MODEL: self.parameters})
+        self._check_choices()
         self.run_name = run_label(self.spec.label, model["label"], data["label"])
         self.parallel = parallel
 
+    def _check_choices(self) -> None:
+        """Build the model once for each value of each choice, before any job runs."""
+        usual = {k: Parameter.of(k, v).first() if isinstance(v, dict) else v
+                 for k, v in self.parameters.items()}
+        for key, spec in self.parameters.items():
+            choices = Parameter.of(key, spec).choices if isinstance(spec, dict) else ()
+            for value in choices or [usual[key]]:
+                given = {**usual, key: value}
+                self.classifier(**{k: given[k] for k in sampled_parameters(self.classifier,
+                                                                           given)})
+
     # --- Tables --------------------------------------------------------------
 
     def result_schema(self) -> T.StructType:
@@ -123,22 +137,34 @@ class Study:
             overwrite: bool = False, resume: bool = False) -> DataFrame:
         """Run all trials; with ``resume``, those not yet in the store."""
         frame = isolate_target(frame or self.load(spark), self.spec.target)
-        frame = stored(assign_slices(frame, self.plan, self.spec.seed), "slices")
+        frame = assign_slices(frame, self.plan, self.spec.seed)
+        fits: dict = {}
+        # What no trial and no replicate changes is done and written once.
+        lead = Run("all", lambda step: step.options, fits)
+        frame = self.pipeline.prepare(stored(frame, "slices"), "replicate", lead,
+                                      slice(self.pipeline.fixed))
+        if self.pipeline.fixed:
+            frame = stored(frame, "prepared")
         if not (resume and store.exists(self.run_name)):
             store.create(self.run_name, self.result_schema(), overwrite)
         done = {(r["replicate"], r["trial"])
                 for r in store.load(self.run_name).select("replicate", "trial").collect()}
-        fits: dict = {}
         self._fit_ahead(frame, fits)
+        writing = Lock()
+
+        def finish(replicate: int, trial: int, chosen: dict) -> None:
+            row = self._trial(frame, store, replicate, trial, chosen, fits)
+            with writing:  # one writer of the folder at a time
+                store.append(self.run_name, spark.createDataFrame([row], self.result_schema()))
+
         for trial in range(self.spec.trials):
             todo = [r for r in range(self.plan.replicates) if (r, trial) not in done]
             if not todo:
                 continue
             chosen = self._parameters(spark, store, trial)
             with ThreadPoolExecutor(self.parallel) as pool:
-                rows = list(pool.map(
-                    lambda r: self._trial(frame, store, r, trial, chosen.get(r, {}), fits), todo))
-            store.append(self.run_name, spark.createDataFrame(rows, self.result_schema()))
+                # A failing replicate raises after the others are stored.
+                list(pool.map(lambda r: finish(r, trial, chosen.get(r, {})), todo))
         return store.load(self.run_name)
 
     def _fit_ahead(self, frame: Frame, fits: dict) -> None:
@@ -146,7 +172,7 @@ class Study:
         if any(s.tuned and s.per_replicate for s in self.pipeline.before):
             return
         run = Run("all", lambda step: step.options, fits)
-        whole = self.pipeline.prepare(frame, "replicate", run)
+        whole = self.pipeline.prepare(frame, "replicate", run, slice(self.pipeline.fixed, None))
         self.pipeline.fit_ahead(whole, "replicate", {
             Run(r, run.resolve, fits): self.plan.in_group(r)
             for r in range(self.plan.replicates)})
@@ -174,7 +200,7 @@ class Study:
         model = self.classifier(**{k: given[k] for k in used})
 
         run = Run("all", resolve, fits)
-        whole = self.pipeline.prepare(frame, "replicate", run)
+        whole = self.pipeline.prepare(frame, "replicate", run, slice(self.pipeline.fixed, None))
         run = Run(replicate, resolve, fits if run.clean else {}, private=not run.clean)
         inside, outside = self.pipeline.split(
             side(whole, self.plan.in_group(replicate)),
