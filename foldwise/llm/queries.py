@@ -19,6 +19,37 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
     return f
 
 
+_WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"""
+
+# Windows as joined words. Thirteen words from each place of a document are
+# compared as a whole; windows of short items with the beginning of them.
+ORACLES["op6_decontaminate"] = f"""
+    WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+    b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+    t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS k FROM d),
+    g AS (SELECT doc_id, k, string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY k
+                 ROWS BETWEEN CURRENT ROW AND 12 FOLLOWING) AS gram FROM t),
+    s AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS f
+          FROM b WHERE len(w) > 0),
+    v AS (SELECT DISTINCT item_id, least(13, len(w)) AS n,
+                 array_to_string(list_slice(w, f, f + 12), ' ') AS win FROM s),
+    h AS (SELECT doc_id, k, n, item_id FROM g JOIN v ON gram = win WHERE n = 13
+          UNION ALL
+          SELECT doc_id, k, n, item_id FROM g
+          JOIN v ON n < 13 AND starts_with(gram || ' ', win || ' ')),
+    c AS (SELECT doc_id, count(DISTINCT p) AS n_hit
+          FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) q GROUP BY doc_id),
+    i AS (SELECT doc_id, count(DISTINCT item_id) AS n_items,
+                 array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids
+          FROM h GROUP BY doc_id)
+    SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit,
+           coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+           coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN c ON c.doc_id = d.doc_id LEFT JOIN i ON i.doc_id = d.doc_id"""
+
+
 @query
 def op1_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents"))
