@@ -21,7 +21,7 @@ def query(f: Callable[[SparkSession, str], DataFrame]):
 
 _WORDS = """list_filter(string_split_regex(translate(coalesce(text, ''),
     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), x -> x <> '')"""
+    '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '')"""
 
 # Windows as joined words. Thirteen words from each place of a document are
 # compared as a whole; windows of short items with the beginning of them.
