@@ -25,6 +25,19 @@ def row_key(spark, sf_dir):
             .select("row_id", "c_custkey", "c_name"))
 
 
+@check("delimited_rows", """
+    SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS row_id, o_orderkey, o_orderpriority
+    FROM orders""")
+def delimited_rows(spark, sf_dir):
+    """Several files, cut into many blocks, numbered in file order."""
+    path = scratch_dir(spark, "orders-tsv")
+    (table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+     .repartitionByRange(4, "o_orderkey").sortWithinPartitions("o_orderkey")
+     .write.option("sep", "\t").option("header", True).csv(path))
+    frame = read_table(spark, path, "\t", schema="o_orderkey bigint, o_orderpriority string")
+    return frame.df
+
+
 @check("set_feature", """
     SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice / 1000, 6) AS o_totalprice,
            o_orderdate, o_orderpriority, o_totalprice > 250000 AS is_large FROM orders""")
