@@ -98,6 +98,53 @@ def logreg_predict(spark, sf_dir):
     return _fit_and_predict(LogisticClassifier("elasticnet", l1_c=1.0, l2_c=1.0), spark, sf_dir)
 
 
+@check("logreg_gradient", """
+    SELECT 'lang_' || lang AS feature, TRUE AS at_minimum FROM documents GROUP BY lang
+    UNION ALL SELECT unnest(['n_chars', 'n_words', 'n_lines', 'n_digits', 'n_capitals',
+                             'intercept']), TRUE""")
+def logreg_gradient(spark, sf_dir):
+    """C * sum of (p - y) x + w vanishes at the fitted weights, over all rows."""
+    frame = texts(spark, sf_dir)
+    fitted = LogisticClassifier("l2", l2_c=1.0).fit(frame)
+    weights = [*fitted.model.coefficients.toArray(), 0.0]
+    scored = fitted.predict(frame).select("doc_id", F.element_at("proba", "1").alias("p"))
+    rows = frame.df.join(scored, "doc_id").withColumn("intercept", F.lit(1.0))
+    names = [*frame.features, "intercept"]
+    sums = rows.agg(F.count("*").alias("n"), *[
+        (F.sum((F.col("p") - F.col("quality")) * F.col(n)) + F.lit(float(w))).alias(n)
+        for n, w in zip(names, weights)])
+    return sums.select(F.explode(F.array(*[F.struct(
+        F.lit(n).alias("feature"), (F.abs(F.col(n)) < 0.002 * F.col("n")).alias("at_minimum"))
+        for n in names])).alias("e")).select("e.*")
+
+
+# One feature of two values: a single split says the most frequent class of each.
+_MAJORITY = """
+    WITH t AS (SELECT o_orderkey, o_orderpriority < '3' AS early, o_orderstatus FROM orders),
+    m AS (SELECT early, arg_max(o_orderstatus, n) AS pred FROM (
+            SELECT early, o_orderstatus, count(*) AS n FROM t GROUP BY ALL) c GROUP BY early)
+    SELECT o_orderkey, pred FROM t JOIN m ON m.early = t.early"""
+
+
+def _early(spark, sf_dir) -> Frame:
+    df = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_orderstatus", "CAST(o_orderpriority < '3' AS DOUBLE) AS early")
+    return Frame.of(df, "o_orderkey", "o_orderstatus")
+
+
+@check("adaboost_stump", _MAJORITY)
+def adaboost_stump(spark, sf_dir):
+    frame = _early(spark, sf_dir)
+    return BoostClassifier(1).fit(frame).predict(frame).select("o_orderkey", "pred")
+
+
+@check("forest_split", _MAJORITY)
+def forest_split(spark, sf_dir):
+    frame = _early(spark, sf_dir)
+    model = ForestClassifier(max_depth=1, bootstrap=False)
+    return model.fit(frame).predict(frame).select("o_orderkey", "pred")
+
+
 @check("forest_predict")
 def forest_predict(spark, sf_dir):
     return _fit_and_predict(ForestClassifier(20, "entropy", max_depth=8, min_samples_split=4),

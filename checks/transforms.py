@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from checks.registry import ORDERS_SQL, check, orders, out, positions_sql, rounded, table
 from foldwise.frame import Frame, col
+from foldwise.functions.hashing import uniform
 from foldwise.operators.base import apply_cells
 from foldwise.operators.encode import Ladder, OneHot, Ordinal, low_cardinality
 from foldwise.operators.folds import FoldPlan, assign_slices, side
@@ -237,7 +238,7 @@ def fit_train_apply_test(spark, sf_dir):
     FROM t JOIN s ON t.g % 5 = s.replicate""")
 def median_per_fold(spark, sf_dir):
     plan = FoldPlan(5)
-    frame = assign_slices(orders(spark, sf_dir), plan)
+    frame = stored(assign_slices(orders(spark, sf_dir), plan), "slices")
     filled = held_out(Impute(["price"], strategy="median"), frame, plan)
     return rounded(filled.df.select("row_id", "price",
                                     plan.replicate_column().alias("replicate")))
@@ -320,6 +321,19 @@ def pca_variance(spark, sf_dir):
         spread(parts, "components", F.abs(F.round(means, 4))))
 
 
+@check("rfe_planted", "SELECT 'l_quantity' AS kept")
+def rfe_planted(spark, sf_dir):
+    """Of a column that decides the label and two of noise, the first is kept."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_quantity", uniform(1, F.col("l_orderkey"), F.col("l_linenumber")).alias("noise"),
+        uniform(2, F.col("l_orderkey"), F.col("l_linenumber")).alias("more_noise"),
+        (F.col("l_quantity") > 25).cast("int").alias("large"))
+    frame = Frame.of(lines, None, "large")
+    frame = Scale().fit(frame).apply(frame)
+    kept = RecursiveElimination(1).fit(frame).apply(frame).features
+    return frame.df.select(F.explode(F.array(*[F.lit(n) for n in kept])).alias("kept")).distinct()
+
+
 @check("rfe_select")
 def rfe_select(spark, sf_dir):
     lines = table(spark, sf_dir, "lineitem").select(*NUMBERS, "l_linenumber", "l_returnflag")

@@ -232,16 +232,14 @@ def _middle_values(df: DataFrame, names: list, state: dict, columns: dict[str, C
     # One row per value, one count per mask: rows are not copied per mask.
     tally = long.filter(wanted).groupBy("s", "v").agg(*[
         F.count_if(hits[n]).alias(f"c{i}") for i, n in enumerate(names)])
-    upto = Window.partitionBy("s").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = tally.select("s", "v", *[F.col(f"c{i}") for i in range(len(names))], *[
-        F.sum(f"c{i}").over(upto).alias(f"u{i}") for i in range(len(names))])
+    ranked = running_totals(tally, ["s"], "v", {f"c{i}": f"u{i}" for i in range(len(names))})
     picks = []
     for i, n in enumerate(names):
         for rank in set(state[n].ranks):
             at = rank - state[n].below
             picks.append(F.when((F.col("s") == open_columns.index(n[1]))
-                                & (F.col(f"u{i}") > at)
-                                & (F.col(f"u{i}") - F.col(f"c{i}") <= at), F.lit(i)))
+                                & (F.col(f"u{i}") <= at)
+                                & (F.col(f"u{i}") + F.col(f"c{i}") > at), F.lit(i)))
     found: dict = {}
     chosen = ranked.select("v", F.array_compact(F.array(*picks)).alias("of"))
     for row in chosen.filter(F.size("of") > 0).collect():

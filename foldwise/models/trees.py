@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
@@ -15,9 +16,11 @@ from foldwise.frame import Frame
 from foldwise.functions.vectors import VECTOR, with_vector
 from foldwise.models.base import (INDEX, EstimatorClassifier, as_trained, checked_weights,
                                   predictions, training_set)
+from foldwise.session import scratch_dir
 
 # Spark grows no deeper trees.
 MAX_DEPTH = 30
+ROUNDS_A_WRITE = 10
 
 
 class ForestClassifier(EstimatorClassifier):
@@ -115,9 +118,9 @@ class FittedBoost:
 class BoostClassifier:
     """Multi-class boosting of depth-1 trees (SAMME, Zhu et al. 2009).
 
-    A row's weight is a function of the stumps so far, so each round is one
-    projection over the cached training rows: no lineage grows, nothing is
-    written between rounds.
+    A row's weight is a column plus the votes of the last few stumps that missed
+    it. Every ``ROUNDS_A_WRITE`` rounds the column is written to the shared folder
+    with the rows, so neither the expression nor the lineage grows.
     """
 
     def __init__(self, n_estimators: int = 50, learning_rate: float = 1.0,
@@ -137,15 +140,26 @@ class BoostClassifier:
         finally:
             base.unpersist()
 
+    @staticmethod
+    def _votes_against(recent: list[Stump]) -> Column:
+        missed = F.col("__v")
+        for s in recent:
+            missed = missed + F.when(s.chosen(F.col("__x")) != F.col(INDEX),
+                                     F.lit(s.weight)).otherwise(0.0)
+        return missed
+
     def _rounds(self, base: DataFrame, k: int) -> list[Stump]:
         stumps: list[Stump] = []
+        written = 0
+        base = base.withColumn("__v", F.lit(0.0))
         for i in range(self.n_estimators):
+            if len(stumps) - written == ROUNDS_A_WRITE:
+                path = scratch_dir(base.sparkSession, "boost")
+                (base.withColumn("__v", self._votes_against(stumps[written:]))
+                 .write.parquet(path))
+                base, written = base.sparkSession.read.parquet(path), len(stumps)
             # log weight = votes of the stumps that missed the row
-            missed = F.lit(0.0)
-            for s in stumps:
-                missed = missed + F.when(s.chosen(F.col("__x")) != F.col(INDEX),
-                                         F.lit(s.weight)).otherwise(0.0)
-            logged = base.withColumn("__m", missed)
+            logged = base.withColumn("__m", self._votes_against(stumps[written:]))
             largest = logged.agg(F.max("__m")).first()[0] if stumps else 0.0
             weighted = logged.withColumn("weight", F.exp(F.col("__m") - F.lit(largest)))
             stump = self._stump(weighted, i)
@@ -169,10 +183,10 @@ class BoostClassifier:
         tree = DecisionTreeClassifier(
             featuresCol=VECTOR, labelCol=INDEX, weightCol="weight", maxDepth=1,
             maxBins=self.max_bins, seed=self.random_state + i).fit(weighted)
-        root = tree._call_java("rootNode")
+        # "If (feature 2 <= 1.5) Predict: 0.0 Else (feature 2 > 1.5) Predict: 1.0"
+        told = tree.toDebugString
+        classes = [int(float(p)) for p in re.findall(r"Predict: ([0-9.E+-]+)", told)]
         if tree.depth == 0:
-            only = int(root.prediction())
-            return Stump(-1, 0.0, only, only)
-        split = root.split()
-        return Stump(split.featureIndex(), split.threshold(),
-                     int(root.leftChild().prediction()), int(root.rightChild().prediction()))
+            return Stump(-1, 0.0, classes[0], classes[0])
+        feature, threshold = re.search(r"If \(feature (\d+) <= ([^)]+)\)", told).groups()
+        return Stump(int(feature), float(threshold), *classes)

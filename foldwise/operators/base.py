@@ -145,14 +145,17 @@ def value_counts(frame: Frame, names: list[str], by: str | None
     long = frame.df.select(_slot(by), F.explode(F.array(*[
         F.struct(F.lit(i).alias("f"), col(n).cast("string").alias("v"))
         for i, n in enumerate(names)])).alias("e")).select("s", "e.f", "e.v")
-    found = long.groupBy("s", "f", "v").count().limit(MAX_CATEGORY_ROWS + 1).collect()
+    found = (long.groupBy("s", "f", "v").count().groupBy("f", "v")
+             .agg(F.collect_list(F.struct("s", "count")).alias("parts"))
+             .limit(MAX_CATEGORY_ROWS + 1).collect())
     if len(found) > MAX_CATEGORY_ROWS:
-        raise ValueError(f"too many distinct values to encode in {names}")
+        raise ValueError(f"more than {MAX_CATEGORY_ROWS} distinct values to encode in {names}")
     out: dict[int, dict[str, dict[object, int]]] = {}
     for r in found:
         name = names[r["f"]]
         value = parse_value(r["v"], frame.type_of(name))
-        out.setdefault(r["s"], {n: {} for n in names})[name][value] = r["count"]
+        for part in r["parts"]:
+            out.setdefault(part["s"], {n: {} for n in names})[name][value] = part["count"]
     return out
 
 

@@ -71,11 +71,13 @@ class OneHot:
     """One 0/1 column per category, named ``feature_value``, at the end.
 
     Categories are sorted and null is one of them. Features may be named, or
-    found by having fewer than ``max_unique_vals`` distinct values.
+    found by having fewer than ``max_unique_vals`` distinct values. More than
+    ``max_columns`` outputs are an error, as every output is a column.
     """
 
     def __init__(self, features: list[str] = (), max_unique_vals: int = -1, drop=None,
-                 handle_unknown: str = "error", min_frequency=None, max_categories=None):
+                 handle_unknown: str = "error", min_frequency=None, max_categories=None,
+                 max_columns: int = MAX_ONE_HOT_COLUMNS):
         if handle_unknown not in ONE_HOT_UNKNOWN:
             raise ValueError(f"handle_unknown must be one of {ONE_HOT_UNKNOWN}")
         if not isinstance(max_unique_vals, int):
@@ -86,6 +88,7 @@ class OneHot:
         self.handle_unknown = handle_unknown
         self.min_frequency = min_frequency
         self.max_categories = max_categories
+        self.max_columns = max_columns
 
     def names(self, frame: Frame) -> list[str]:
         names = frame.require(self.features)
@@ -109,8 +112,9 @@ class OneHot:
     def _fitted(self, counts: dict[str, ValueCounts]) -> FittedOneHot:
         encoded = {n: self._categories(i, n, c) for i, (n, c) in enumerate(counts.items())}
         width = sum(len(c.columns) for c in encoded.values())
-        if width > MAX_ONE_HOT_COLUMNS:
-            raise ValueError(f"one-hot encoding would make {width} columns; set max_categories")
+        if width > self.max_columns:
+            raise ValueError(f"one-hot encoding would make {width} columns; set max_categories, "
+                             f"or max_columns above {self.max_columns}")
         return FittedOneHot(encoded, self.handle_unknown == "error")
 
     def _categories(self, place: int, feature: str, found: ValueCounts) -> Categories:

@@ -51,7 +51,9 @@ class FittedComponents:
     def _arithmetic(self, frame: Frame, k: int) -> Column:
         terms = [f"(CAST({quoted(n)} AS DOUBLE) - {float(m)!r}D) * {float(w)!r}D"
                  for n, m, w in zip(frame.features, self.means, self.loadings[:, k])]
-        return F.expr(" + ".join(terms))
+        missing = " OR ".join(f"{quoted(n)} IS NULL" for n in frame.features)
+        return F.expr(f"CASE WHEN {missing} THEN CAST(raise_error('features hold nulls; impute "
+                      f"them first') AS DOUBLE) ELSE {' + '.join(terms)} END")
 
 
 class PrincipalComponents:
@@ -111,7 +113,10 @@ class PrincipalComponents:
         vectors = with_vector(frame)
         full = PCA(k=frame.n_features, inputCol=VECTOR, outputCol="__pcv").fit(vectors)
         means = vectors.select(Summarizer.mean(F.col(VECTOR)).alias("m")).first()["m"]
-        return means.toArray(), full.explainedVariance.toArray(), full.pc.toArray()
+        shares, d = full.explainedVariance.toArray(), frame.n_features
+        if not np.isfinite(shares).all() or shares.sum() <= 0:
+            shares = np.full(d, 1.0 / d)  # no variance at all, as in the plain way
+        return means.toArray(), shares, full.pc.toArray()
 
 
 @dataclass(frozen=True)
