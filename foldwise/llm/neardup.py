@@ -10,14 +10,18 @@ groups, and the smallest id of a group stays.
 2. Equal sets are one class with the smallest id; only classes go on.
 3. 32 bands of four registers put classes into buckets. Two sets of similarity
    0.75 share none with a chance of (1 - 0.75^4)^32, about 5 in a million.
-4. First each class meets the smallest id of its buckets: a line of pairs for
-   each bucket, however large it is. Those pairs whose similarity, estimated
-   from both sketches by maximum likelihood, could reach 0.75 are checked on
-   their full sets, and linked classes are merged to components.
-5. Then, in buckets that still hold several components, the classes outside
-   the largest one meet all of the others. A pair inside a component needs no
-   check, as it can join nothing; so no link between components is lost, and
-   a large group of copies never meets itself.
+4. First each class meets the head of its buckets, the member that shares most
+   buckets with others: a line of pairs for each bucket, however large it is.
+   Those pairs whose similarity, estimated from both sketches by maximum
+   likelihood, could reach 0.75 are checked on their full sets, and linked
+   classes are merged to components.
+5. Then remain pairs of other members of a bucket that lie in different
+   components; pairs inside a component can join nothing. The members outside
+   a bucket's largest component are joined with all members of such buckets by
+   the rarest shingles: sets of sizes m and n that are linked share at least
+   3 (m + n) / 7 shingles, so the first ones of both, in any common order, have
+   one in common. A large group of copies never meets itself, and its loose
+   members meet only those that share what is rare in them.
 
 Rows without words have an empty set: they are linked with nothing. A null id
 takes no part: its component is null and it is kept. Rows that share an id are
@@ -29,6 +33,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -45,6 +50,10 @@ _FACTOR = numbers(REGISTERS, 11) | np.uint64(1)
 _SHIFT = numbers(REGISTERS, 12)
 _SALT = numbers(2, 13)
 _ROWS = 2_048
+# Slots of the table of frequencies, and the rows in which it travels.
+SLOT_BITS, PARTS = 18, 16
+# Sets whose sizes differ by less than this factor are one size class.
+SIZE_STEP = 1.04
 
 
 def registers(elements: np.ndarray) -> np.ndarray:
@@ -102,7 +111,7 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, a 128-bit digest of the set, and its registers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text")).mapInArrow(
+    return docs.select("doc_id", "text").mapInArrow(
         _sketched, f"doc_id {kind}, n_shingles bigint, d1 bigint, d2 bigint, sketch binary")
 
 
@@ -191,9 +200,6 @@ def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -
 
     likely_ = stored(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(
         _estimated, f"a {kind}, b {kind}"), f"{name}-likely")
-    if name == "first":
-        # One check for each class: the rest is settled by the second pass.
-        likely_ = stored(likely_.groupBy("a").agg(F.min("b").alias("b")), f"{name}-pairs")
     wanted = stored(likely_.select(F.col("a").alias("id")).union(likely_.select("b")).distinct(),
                     f"{name}-wanted")
     texts = docs.select(F.col("doc_id").alias("id"), "text").join(
@@ -203,9 +209,107 @@ def _checked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -
     return stored(joined.mapInArrow(_linked, f"a {kind}, b {kind}"), f"{name}-links")
 
 
+def _least_common(m: int, n: int) -> int:
+    """Shingles that linked sets of these sizes have in common at least."""
+    return -(-PERCENT * (m + n) // (100 + PERCENT))
+
+
+def _ordered(elements: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Rarest first, by the counts of hash slots; ties by the element."""
+    return elements[np.lexsort((elements, counts[elements >> np.uint64(64 - SLOT_BITS)]))]
+
+
+def _slot_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a task have elements in each slot, in PARTS rows."""
+    total = np.zeros(1 << SLOT_BITS, dtype=np.int64)
+    for batch in batches:
+        for _, data, offsets in text_slices(batch.column("text")):
+            found = np.concatenate([np.zeros(0, np.uint64), *shingles(*words(data, offsets))])
+            total += np.bincount((found >> np.uint64(64 - SLOT_BITS)).astype(np.int64),
+                                 minlength=len(total))
+    if total.any():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(PARTS)), pa.array([p.tobytes() for p in np.split(total, PARTS)])],
+            names=["part", "counts"])
+
+
+def _added_up(rows: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(c, dtype=np.int64) for c in rows["counts"])
+    return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [total.tobytes()]})
+
+
+def _size_class(n: int) -> int:
+    return int(np.log(n) / np.log(SIZE_STEP))
+
+
+def _prefixes(counts: np.ndarray, loose: bool):
+    """(element, size class of the other set, id, component) of the rarest shingles of each set.
+
+    A set gives its own size class, with as many shingles as any partner can
+    ask for; a loose one gives each class that a partner can have, with as many
+    as the smallest partner of it asks for.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, labels = batch.column("id"), batch.column("c")
+            for first, data, offsets in text_slices(batch.column("text")):
+                elements, classes, of = [], [], []
+                for k, own in enumerate(shingles(*words(data, offsets)), first):
+                    n = len(own)
+                    if not n:
+                        continue
+                    own = _ordered(own, counts)
+                    low = -(-PERCENT * n // 100)
+                    if loose:
+                        sizes = range(_size_class(low), _size_class(100 * n // PERCENT) + 1)
+                        least = [max(low, int(np.floor(SIZE_STEP ** c))) for c in sizes]
+                        given = [(c, n - _least_common(n, m) + 1) for c, m in zip(sizes, least)]
+                    else:
+                        given = [(_size_class(n), n - low + 1)]
+                    for c, length in given:
+                        elements.append(own[:max(length, 0)])
+                        classes.append(np.full(len(elements[-1]), c))
+                        of.append(np.full(len(elements[-1]), k))
+                if not elements:
+                    continue
+                of_rows = pa.array(np.concatenate(of))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(elements).view(np.int64)),
+                     pa.array(np.concatenate(classes).astype(np.int32)),
+                     ids.take(of_rows), labels.take(of_rows)],
+                    names=["element", "size", "id", "c"])
+    return run
+
+
+def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a loose member and another one that may be linked.
+
+    ``members`` has id, component c and loose, a row for each class.
+    """
+    members = stored(members, "members-across")
+    n = members.count()
+    kind = members.schema["id"].dataType.simpleString()
+    texts = docs.select(F.col("doc_id").alias("id"), "text").join(
+        broadcast_if_small(members, n), "id")
+    # Frequencies are counted in slots of bounded number, so the order is too.
+    sums = (texts.select("text").mapInArrow(_slot_counts, "part bigint, counts binary")
+            .groupBy("part").applyInPandas(_added_up, "part bigint, counts binary").collect())
+    counts = np.zeros((PARTS, (1 << SLOT_BITS) // PARTS), dtype=np.int64)
+    for r in sums:
+        counts[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
+    counts = counts.ravel()
+    schema = f"element bigint, size int, id {kind}, c {kind}"
+    every = texts.select("id", "c", "text").mapInArrow(_prefixes(counts, False), schema)
+    loose = (texts.where("loose").select("id", "c", "text")
+             .mapInArrow(_prefixes(counts, True), schema)
+             .select("element", "size", F.col("id").alias("x"), F.col("c").alias("cx")))
+    return (every.join(loose, ["element", "size"]).where(F.col("c") != F.col("cx"))
+            .select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct())
+
+
 def grouped(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
-    docs = docs.select("doc_id", "text")
+    docs = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = stored(sketches(docs), "sketches")
     equal = (rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
              .groupBy("d1", "d2").agg(F.min("doc_id").alias("id"),
@@ -214,39 +318,42 @@ def grouped(docs: DataFrame) -> DataFrame:
     classes = stored(equal, "classes")
     kind = classes.schema["id"].dataType.simpleString()
     bands = classes.select("id", "sketch").mapInArrow(_bands, f"band bigint, id {kind}")
-    heads = bands.groupBy("band").agg(F.min("id").alias("head"), F.max("id").alias("tail"))
-    crowded = stored(bands.join(heads.where(F.col("head") != F.col("tail")), "band")
-                     .select("band", "id", "head"), "crowded")
-    pairs = (crowded.where(F.col("id") != F.col("head"))
-             .select(F.col("id").alias("a"), F.col("head").alias("b")).distinct())
+    sizes = bands.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    crowded = stored(bands.join(sizes, "band"), "crowded")
+    weight = crowded.groupBy("id").agg(F.sum("n").alias("weight"))
+    heads = (crowded.join(weight, "id").groupBy("band")
+             .agg(F.max(F.struct("weight", (-F.col("id")).alias("id"))).alias("m"))
+             .select("band", (-F.col("m.id")).alias("head")))
+    headed = stored(crowded.join(heads, "band").where(F.col("id") != F.col("head"))
+                    .select("band", "id", "head", "n"), "headed")
+    pairs = (headed.select(F.greatest("id", "head").alias("a"), F.least("id", "head").alias("b"))
+             .distinct())
     links = _checked(pairs, classes, docs, "first")
+    member = stored(rows.drop("sketch").join(classes.select("d1", "d2", "id"), ["d1", "d2"], "left")
+                    .select("doc_id", "n_shingles", "id"), "members")
     # Rows that share an id tie their classes together.
-    shared = (rows.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-              .select("doc_id", "d1", "d2").join(classes.select("d1", "d2", "id"), ["d1", "d2"])
-              .where(F.col("doc_id") != F.col("id"))
-              .groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-              .where(F.col("low") != F.col("high"))
-              .select(F.col("high").alias("a"), F.col("low").alias("b")))
+    several = (member.groupBy("doc_id").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+               .where(F.col("doc_id").isNotNull() & (F.col("low") != F.col("high"))))
+    shared = (member.join(several, "doc_id").where(F.col("id") != F.col("low"))
+              .select(F.col("id").alias("a"), F.col("low").alias("b")).distinct())
     links = stored(links.unionByName(shared), "links")
     found = components(links)
-    labelled = crowded.join(found, "id", "left").select(
+    labelled = headed.where(F.col("n") > 2).join(found, "id", "left").select(
         "band", "id", F.coalesce("component", "id").alias("c"))
     mixed = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"))
     mixed = mixed.where(F.col("low") != F.col("high")).select("band")
-    members = stored(labelled.join(mixed, "band", "left_semi"), "mixed")
-    largest = (members.groupBy("band", "c").count()
+    crowd = stored(labelled.join(mixed, "band", "left_semi"), "mixed")
+    largest = (crowd.groupBy("band", "c").count()
                .groupBy("band").agg(F.max(F.struct("count", "c")).alias("m"))
                .select("band", F.col("m.c").alias("main")))
-    outside = (members.join(largest, "band").where(F.col("c") != F.col("main"))
-               .select("band", F.col("id").alias("x"), F.col("c").alias("cx")))
-    across = (outside.join(members, "band").where(F.col("c") != F.col("cx"))
-              .select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct())
+    loose = crowd.join(largest, "band").groupBy("id", "c").agg(
+        F.max(F.col("c") != F.col("main")).alias("loose"))
+    across = _across(loose, docs)
     more = _checked(across, classes, docs, "second")
     found = components(stored(links.unionByName(more), "links"))
-    named = (classes.join(found, "id", "left")
-             .select("d1", "d2", F.coalesce("component", "id").alias("component")))
-    out = rows.drop("sketch").join(named, ["d1", "d2"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    out = member.join(found, "id", "left")
+    component = F.when(F.col("n_shingles") > 0, F.coalesce("component", "id")).otherwise(
+        F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"),
                       F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
