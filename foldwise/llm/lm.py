@@ -45,8 +45,8 @@ ROUNDS = 12
 FOLDS, HELD_OUT, DELETED = 10, 0, 1
 END, BEGIN = np.uint64(3), np.uint64(5)
 _ONE = np.uint64(1)
-_BLOCK = ("block string, kind int, ids array<bigint>, bounds binary, keys binary, "
-          "train binary, tokens binary, n_keys bigint, n_train bigint")
+_BLOCK = ("block string, kind int, ids array<bigint>, bounds binary, words binary, "
+          "tokens binary, n_tokens bigint")
 
 
 def _fold(doc_id: object) -> int:
@@ -68,18 +68,31 @@ def _pairs(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 
 def _block(name: str, kind: int, ids: list, parts: list) -> dict:
-    """One row: distinct words and pairs as sorted keys, and tokens as places of words."""
+    """One row: distinct words, and tokens as places of words."""
     tokens = np.concatenate([t for t, _ in parts])
-    sizes = np.concatenate([np.diff(b) for _, b in parts])
-    bounds = np.append(0, np.cumsum(sizes))
-    vocabulary, place, count = np.unique(tokens, return_inverse=True, return_counts=True)
-    pairs, times = np.unique(_pairs(tokens, bounds), return_counts=True)
-    keys = np.concatenate([vocabulary, pairs])
-    order = np.argsort(keys)
-    train = np.concatenate([count, times])[order] if kind != HELD_OUT else np.zeros(0, np.int64)
+    bounds = np.append(0, np.cumsum(np.concatenate([np.diff(b) for _, b in parts])))
+    vocabulary, place = np.unique(tokens, return_inverse=True)
     return {"block": name, "kind": kind, "ids": ids, "bounds": pack_sorted(bounds),
-            "keys": pack_sorted(keys[order]), "train": pack(train), "tokens": pack(place),
-            "n_keys": len(keys), "n_train": len(tokens) if kind != HELD_OUT else 0}
+            "words": pack_sorted(vocabulary), "tokens": pack(place), "n_tokens": len(tokens)}
+
+
+class _Keys:
+    """A block's tokens, and its distinct words and pairs as sorted keys."""
+
+    def __init__(self, row):
+        self.vocabulary = unpack_sorted(row["words"])
+        self.place = unpack(row["tokens"]).astype(np.int64)
+        self.bounds = unpack_sorted(row["bounds"]).astype(np.int64)
+        self.token_pairs = _pairs(self.vocabulary[self.place], self.bounds)
+        self.pairs, self.times = np.unique(self.token_pairs, return_counts=True)
+        keys = np.concatenate([self.vocabulary, self.pairs])
+        self.order = np.argsort(keys)
+        self.keys = keys[self.order]
+
+    def counts(self) -> np.ndarray:
+        """How often each key occurs in the block."""
+        own = np.bincount(self.place, minlength=len(self.vocabulary))
+        return np.concatenate([own, self.times])[self.order]
 
 
 def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,8 +102,8 @@ def _blocked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     made = 0
     schema = pa.schema([("block", pa.string()), ("kind", pa.int32()),
                         ("ids", pa.list_(pa.int64())), ("bounds", pa.binary()),
-                        ("keys", pa.binary()), ("train", pa.binary()), ("tokens", pa.binary()),
-                        ("n_keys", pa.int64()), ("n_train", pa.int64())])
+                        ("words", pa.binary()), ("tokens", pa.binary()),
+                        ("n_tokens", pa.int64())])
 
     def closed(kind: int) -> pa.RecordBatch:
         nonlocal made
@@ -126,11 +139,12 @@ def _asked(bits: int):
         edges = np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits) if bits else []
         for batch in batches:
             for row in batch.to_pylist():
-                keys = unpack_sorted(row["keys"])
-                train = unpack(row["train"])
+                own = _Keys(row)
+                keys, train = own.keys, own.counts()
                 cuts = [0, *np.searchsorted(keys, edges).tolist(), len(keys)]
                 rows = [{"shard": s, "block": row["block"], "kind": row["kind"],
-                         "keys": pack_sorted(keys[a:b]), "train": pack(train[a:b])}
+                         "keys": pack_sorted(keys[a:b]),
+                         "train": pack(train[a:b] if row["kind"] != HELD_OUT else train[:0])}
                         for s, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a]
                 yield pa.RecordBatch.from_pylist(rows, pa.schema(
                     [("shard", pa.int32()), ("block", pa.string()), ("kind", pa.int32()),
@@ -170,16 +184,14 @@ class _Counts:
     def __init__(self, block: pd.DataFrame, answers: pd.DataFrame, column: str):
         row = block.iloc[0]
         answers = answers.sort_values("shard")
-        counts = np.concatenate([unpack(a) for a in answers[column]]).astype(np.float64)
-        keys = unpack_sorted(row["keys"])
-        words_ = keys & _ONE == _ONE
-        vocabulary, pairs = keys[words_], keys[~words_]
-        place = unpack(row["tokens"]).astype(np.int64)
-        self.bounds = unpack_sorted(row["bounds"]).astype(np.int64)
+        own = _Keys(row)
+        counts = np.empty(len(own.keys))
+        counts[own.order] = np.concatenate([unpack(a) for a in answers[column]])
+        words_ = len(own.vocabulary)
+        self.bounds = own.bounds
         self.ids = list(row["ids"])
-        of_word = counts[words_]
-        self.word = of_word[place]
-        self.pair = counts[~words_][np.searchsorted(pairs, _pairs(vocabulary[place], self.bounds))]
+        self.word = counts[:words_][own.place]
+        self.pair = counts[words_:][np.searchsorted(own.pairs, own.token_pairs)]
         self.context = np.roll(self.word, 1)
 
     def parts(self, n: float, texts: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -215,14 +227,16 @@ def scored(docs: DataFrame) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"),
                       F.coalesce(F.col("text"), F.lit("")).alias("text"))
     blocks = stored(own.mapInArrow(_blocked, _BLOCK), "lm-blocks")
-    of = blocks.agg(F.sum("n_keys").alias("keys"), F.sum("n_train").alias("n"),
+    train = F.when(F.col("kind") != HELD_OUT, F.col("n_tokens"))
+    of = blocks.agg(F.sum("n_tokens").alias("tokens"), F.sum(train).alias("n"),
                     F.sum(F.when(F.col("kind") != HELD_OUT, F.size("ids"))).alias("texts"),
-                    F.sum(F.when(F.col("kind") > DELETED, F.col("n_train"))).alias("rest"),
+                    F.sum(F.when(F.col("kind") > DELETED, F.col("n_tokens"))).alias("rest"),
                     F.sum(F.when(F.col("kind") > DELETED, F.size("ids"))).alias("rest_texts"))
     of = {k: v or 0 for k, v in of.first().asDict().items()}
-    bits = max(3, (of["keys"] // KEYS_A_SHARD).bit_length() + 1)
+    # A block has at most two keys for each token.
+    bits = max(3, (2 * of["tokens"] // KEYS_A_SHARD).bit_length())
     shards = 1 << bits
-    asked = blocks.select("block", "kind", "keys", "train").mapInArrow(
+    asked = blocks.drop("ids", "n_tokens").mapInArrow(
         _asked(bits), "shard int, block string, kind int, keys binary, train binary")
     answers = stored(asked.repartition(shards, "shard").groupBy("shard").applyInPandas(
         _answered, "shard int, block string, kind int, total binary, rest binary, seen bigint"),
@@ -253,7 +267,7 @@ def scored(docs: DataFrame) -> DataFrame:
 
 def _beside(blocks: DataFrame, answers: DataFrame, f, schema: str) -> DataFrame:
     """f(block, its answers) for every block: both are bounded by the block's size."""
-    slim = blocks.select("block", "kind", "ids", "bounds", "keys", "tokens")
+    slim = blocks.drop("n_tokens")
     return (slim.groupBy("block").cogroup(answers.groupBy("block"))
             .applyInPandas(f, schema))
 
