@@ -33,8 +33,9 @@ from foldwise.llm.common import stored
 from foldwise.llm.tokens import mix, numbers, text_slices, word_spans
 
 MIN_WORDS = 10
-# Beyond so many words a sentence is cut after words whose hash ends in zeros.
-LONG, _CUT = 24, np.uint64(7)
+# Beyond so many words a sentence is cut after words whose hash ends in zeros. A passage loses at
+# most so many words at each end to units that it shares with its surroundings.
+LONG, _CUT = 20, np.uint64(7)
 _SALT = numbers(2, 21)
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?"]] = True
