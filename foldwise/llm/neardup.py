@@ -243,7 +243,8 @@ def _size_class(n: int) -> int:
 
 
 def _prefixes(counts: np.ndarray, loose: bool):
-    """(element, size class of the other set, id, component) of the rarest shingles of each set.
+    """(element, size class of the other set, id, component, set size, place in the order, loose)
+    of the rarest shingles of each set.
 
     A set gives its own size class, with as many shingles as any partner can
     ask for; a loose one gives each class that a partner can have, with as many
@@ -251,9 +252,9 @@ def _prefixes(counts: np.ndarray, loose: bool):
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, labels = batch.column("id"), batch.column("c")
+            kept = [batch.column(c) for c in ("id", "c", "loose")]
             for first, data, offsets in text_slices(batch.column("text")):
-                elements, classes, of = [], [], []
+                elements, classes, of, sizes_, places = [], [], [], [], []
                 for k, own in enumerate(shingles(*words(data, offsets)), first):
                     n = len(own)
                     if not n:
@@ -270,14 +271,18 @@ def _prefixes(counts: np.ndarray, loose: bool):
                         elements.append(own[:max(length, 0)])
                         classes.append(np.full(len(elements[-1]), c))
                         of.append(np.full(len(elements[-1]), k))
+                        sizes_.append(np.full(len(elements[-1]), n))
+                        places.append(np.arange(len(elements[-1])))
                 if not elements:
                     continue
                 of_rows = pa.array(np.concatenate(of))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(elements).view(np.int64)),
                      pa.array(np.concatenate(classes).astype(np.int32)),
-                     ids.take(of_rows), labels.take(of_rows)],
-                    names=["element", "size", "id", "c"])
+                     *[column.take(of_rows) for column in kept],
+                     pa.array(np.concatenate(sizes_).astype(np.int32)),
+                     pa.array(np.concatenate(places).astype(np.int32))],
+                    names=["element", "size", "id", "c", "loose", "n", "place"])
     return run
 
 
@@ -298,12 +303,19 @@ def _across(members: DataFrame, docs: DataFrame) -> DataFrame:
     for r in sums:
         counts[r["part"]] = np.frombuffer(r["counts"], dtype=np.int64)
     counts = counts.ravel()
-    schema = f"element bigint, size int, id {kind}, c {kind}"
-    every = texts.select("id", "c", "text").mapInArrow(_prefixes(counts, False), schema)
-    loose = (texts.where("loose").select("id", "c", "text")
-             .mapInArrow(_prefixes(counts, True), schema)
-             .select("element", "size", F.col("id").alias("x"), F.col("c").alias("cx")))
-    return (every.join(loose, ["element", "size"]).where(F.col("c") != F.col("cx"))
+    schema = (f"element bigint, size int, id {kind}, c {kind}, loose boolean, n int, place int")
+    texts = texts.select("id", "c", "loose", "text")
+    every = texts.mapInArrow(_prefixes(counts, False), schema)
+    loose = (texts.where("loose").mapInArrow(_prefixes(counts, True), schema)
+             .select("element", "size", F.col("id").alias("x"), F.col("c").alias("cx"),
+                     F.col("n").alias("nx"), F.col("place").alias("px")))
+    # At their first common element linked sets have enough left, it included.
+    left = F.least(F.col("nx") - F.col("px"), F.col("n") - F.col("place"))
+    enough = left * (100 + PERCENT) >= (F.col("nx") + F.col("n")) * PERCENT
+    # Two loose sets find each other from both sides; one side is enough.
+    once = ~F.col("loose") | (F.col("x") < F.col("id"))
+    return (every.join(loose, ["element", "size"])
+            .where((F.col("c") != F.col("cx")) & enough & once)
             .select(F.greatest("x", "id").alias("a"), F.least("x", "id").alias("b")).distinct())
 
 
