@@ -30,6 +30,7 @@ are only counted as pages of their host.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import json
 import re
@@ -129,6 +130,8 @@ def skipped(label_: str, inside: bool) -> bool:
     tag, _, rest = label_.partition(" ")
     if tag in _SKIPPED or tag == "header" and not inside:
         return True
+    if tag in ("html", "body", "article", "main"):
+        return False  # their classes tell what the page has, not what they are
     for name, value in re.findall(r"(class|id|role|hidden)(?:=(.*?))?(?= class| id| role|"
                                   r" hidden| itemprop|$)", rest):
         if name == "hidden" or name == "role" and value.lower() in _SKIPPED_ROLES:
@@ -367,43 +370,71 @@ def wrappers(pages: DataFrame) -> DataFrame:
         "host", F.col("stream").alias("wrapper"))
 
 
+def _mark(path: str, text: str) -> int:
+    """A 64-bit hash of a block."""
+    digest = hashlib.blake2b(f"{path}\0{text}".encode("utf-8", "replace"), digest_size=8).digest()
+    return int.from_bytes(digest, "little", signed=True)
+
+
+def _cut_up(batch: pa.RecordBatch, article: dict[str, bool]) -> Iterator[list[tuple[str, str]]]:
+    """The article's blocks of each page, by its host's wrapper."""
+    for page, wrapper in zip(batch.column("html"), batch.column("wrapper")):
+        known = wrapper.as_py()
+        if known not in article:
+            article.clear()
+            article[known] = has_article(json.loads(known) or [])
+        yield main_blocks(page.as_py(), article[known])
+
+
+def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    article: dict[str, bool] = {}
+    for batch in batches:
+        found = [sorted({_mark(*b) for b in own}) for own in _cut_up(batch, article)]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("host"), pa.array(found, pa.list_(pa.int64()))], names=["host", "marks"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    article: dict[str, bool] = {}
+    for batch in batches:
+        out = []
+        for own, notices in zip(_cut_up(batch, article), batch.column("notices")):
+            gone = set(notices.as_py() or ())
+            kept = [b for b in own if _mark(*b) not in gone] if gone else own
+            out.append("\n\n".join(text for _, text in kept or own))
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in ("page_id", "url", "host")], pa.array(out, pa.string())],
+            names=["page_id", "url", "host", "text"])
+
+
+def _by_host(facts: DataFrame, chars: Column) -> DataFrame:
+    size = facts.agg(F.sum(chars)).first()[0] or 0
+    return F.broadcast(facts) if size <= BROADCAST_CHARS else facts
+
+
 def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, host and the main text of every page."""
+    """page_id, url, host and the main text of every page.
+
+    Pages are read and cut up again in each pass; only tags' streams, marks and
+    wrappers are shuffled or stored.
+    """
     pages = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"),
                          host(F.col("url")).alias("host"))
     found = stored(wrappers(pages), "wrappers")
-    chars = found.agg(F.sum(F.length("wrapper"))).first()[0] or 0
-    found = F.broadcast(found) if chars <= BROADCAST_CHARS else found
-    schema = ("page_id {}, url string, host string, blocks array<struct<path:string,text:string>>"
-              .format(pages.schema["page_id"].dataType.simpleString()))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        article: dict[str, bool] = {}
-        kind = pa.list_(pa.struct([("path", pa.string()), ("text", pa.string())]))
-        for batch in batches:
-            out = []
-            for page, wrapper in zip(batch.column("html"), batch.column("wrapper")):
-                known = wrapper.as_py()
-                if known not in article:
-                    article = {known: has_article(json.loads(known) or [])}
-                out.append([{"path": p, "text": t}
-                            for p, t in main_blocks(page.as_py(), article[known])])
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in ("page_id", "url", "host")], pa.array(out, kind)],
-                names=["page_id", "url", "host", "blocks"])
-
-    cut_up = stored(pages.join(found, "host").mapInArrow(cut, schema), "page-blocks")
-    spread = cut_up.select("host", F.explode(F.array_distinct(F.transform(
-        "blocks", lambda b: F.xxhash64(b["path"], b["text"])))).alias("mark"))
-    total = cut_up.groupBy("host").agg(F.count("*").alias("pages"))
-    notices = (spread.groupBy("host", "mark").agg(F.count("*").alias("n"))
-               .where(F.col("n") >= NOTICE_PAGES).join(total, "host")
+    known = _by_host(found, F.length("wrapper"))
+    marks = pages.select("host", "html").join(known, "host").mapInArrow(
+        _marks, "host string, marks array<bigint>")
+    # A null mark counts the page itself.
+    spread = marks.select("host", F.explode(F.concat(
+        "marks", F.array(F.lit(None).cast("bigint")))).alias("mark"))
+    counts = stored(spread.groupBy("host", "mark").agg(F.count("*").alias("n"))
+                    .where(F.col("n") >= NOTICE_PAGES), "page-marks")
+    total = counts.where(F.col("mark").isNull()).select("host", F.col("n").alias("pages"))
+    notices = (counts.where(F.col("mark").isNotNull()).join(total, "host")
                .where(F.col("n") >= NOTICE_SHARE * F.col("pages"))
                .groupBy("host").agg(F.collect_set("mark").alias("notices")))
-    out = cut_up.join(notices, "host", "left")
-    none = F.array().cast("array<bigint>")
-    kept = F.filter("blocks", lambda b: ~F.array_contains(
-        F.coalesce(F.col("notices"), none), F.xxhash64(b["path"], b["text"])))
-    kept = F.when(F.size(kept) > 0, kept).otherwise(F.col("blocks"))
-    return out.select("page_id", "url", "host",
-                      F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n").alias("text"))
+    facts = stored(found.join(notices, "host", "left"), "host-facts")
+    size = F.length("wrapper") + 8 * F.coalesce(F.size("notices"), F.lit(0))
+    schema = "page_id {}, url string, host string, text string".format(
+        pages.schema["page_id"].dataType.simpleString())
+    return pages.join(_by_host(facts, size), "host").mapInArrow(_texts, schema)

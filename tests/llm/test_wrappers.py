@@ -46,6 +46,11 @@ def test_odd_rows(spark):
     assert extract(spark, rows[:0]) == {}
 
 
+def test_classes_of_the_page_are_no_notice():
+    page = "<body class='sidebar-right has-comments'><main class=social><p>Kept</p></main></body>"
+    assert [t for _, t in wrappers.main_blocks(page, True)] == ["Kept"]
+
+
 def test_copies_are_no_notice(spark):
     """Pages that are all alike keep their text."""
     rows = [(i, "http://e/", "<article><p>the same article</p></article>") for i in range(9)]
