@@ -92,12 +92,14 @@ def units(docs: DataFrame) -> DataFrame:
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id and ``spans``, sorted (first byte, end byte) pairs to remove."""
     every = units(docs)
+    # Stored, so that the join reads plain shuffles of which Spark can split a large part.
     firsts = (every.groupBy("d1", "d2")
               .agg(F.min(F.struct("doc_id", "place")).alias("f"),
                    F.max(F.struct("doc_id", "place")).alias("l"))
               .where(F.col("f") != F.col("l"))
               .select("d1", "d2", F.col("f.doc_id").alias("f_doc"),
                       F.col("f.place").alias("f_place")))
+    firsts = stored(firsts, "repeat-firsts")
     later = (every.join(firsts, ["d1", "d2"])
              .where((F.col("doc_id") != F.col("f_doc")) | (F.col("place") != F.col("f_place")))
              .select("doc_id", "place", "begin", "end", "words"))
