@@ -16,9 +16,12 @@ third of all pages is many small tasks.
 A slot's path is the tags around it. The wrapper decides which slots are the
 article: those inside ``article`` or ``main`` if the host's wrapper has any, else
 all; and never those inside menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or comments, told by tag, role, class or id. A text that
-nine in ten pages of a host repeat at the same path (five at least) is a notice,
-unless a page has nothing else.
+forms, scripts, styles or comments, told by tag, role, class or id. Outside
+``article`` and ``main``, a text that nine in ten distinct contents of a host
+(five at least) repeat at the same path is a notice, so copies of a page count
+once. A notice stays if text that is none stands in the element around it (for
+``body``: directly in it), as a standing heading does, or if a page has nothing
+else.
 
 The text of a block (paragraph, heading, list item, cell, ...) has white space
 as single spaces; blocks are joined by an empty line. A null html is empty and
@@ -328,9 +331,10 @@ def has_article(wrapper: list) -> bool:
     return any(t[0] == "<" and _is_article(t[1:]) for t in _flat(wrapper))
 
 
-def main_blocks(page: str, article: bool) -> list[tuple[str, str]]:
-    """(path, text) of the blocks of the article; all that isn't skipped, if the page has none."""
-    out, other = [], []
+def _placed(page: str, article: bool) -> list[tuple[str, str, bool]]:
+    """(path, text, whether an article element is around it) of the blocks of the article."""
+    out: list[tuple[str, str, bool]] = []
+    other: list[tuple[str, str, bool]] = []
     for path, text in blocks(page):
         inside, kept = False, True
         for entry in path:
@@ -339,10 +343,38 @@ def main_blocks(page: str, article: bool) -> list[tuple[str, str]]:
                 break
             inside = inside or _is_article(entry)
         if kept:
-            (out if inside or not article else other).append(("/".join(path), text))
+            (out if inside or not article else other).append(
+                ("/".join(p.replace("/", "|") for p in path), text, inside))
     return out or other
 
 
+def main_blocks(page: str, article: bool) -> list[tuple[str, str]]:
+    """(path, text) of the blocks of the article; all that isn't skipped, if the page has none."""
+    return [(path, text) for path, text, _ in _placed(page, article)]
+
+
+def without_notices(own: list[tuple[str, str, bool]], gone: set[int]) -> list[tuple[str, str]]:
+    """The blocks that are no notices; a notice beside other text in its element stays."""
+    notice = [not inside and _mark(path, text) in gone for path, text, inside in own]
+    # Elements with other text directly in them, and with such text at any depth.
+    direct: set[str] = set()
+    around: set[str] = set()
+    for (path, _, _), is_notice in zip(own, notice):
+        if not is_notice:
+            above = path.rpartition("/")[0]
+            direct.add(above)
+            while above and above not in around:
+                around.add(above)
+                above = above.rpartition("/")[0]
+    out = []
+    for (path, text, _), is_notice in zip(own, notice):
+        above = path.rpartition("/")[0]
+        top = above.rpartition("/")[2].split(" ", 1)[0] in ("", "html", "body")
+        if not is_notice or above in (direct if top else around):
+            out.append((path, text))
+    return out or [(path, text) for path, text, _ in own]
+
+
 def host(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://"
                                     r"(?:[^/?#@]*@)?([^/?#:]+)", 1))
@@ -376,22 +408,27 @@ def _mark(path: str, text: str) -> int:
     return int.from_bytes(digest, "little", signed=True)
 
 
-def _cut_up(batch: pa.RecordBatch, article: dict[str, bool]) -> Iterator[list[tuple[str, str]]]:
+def _cut_up(batch: pa.RecordBatch,
+            article: dict[str, bool]) -> Iterator[list[tuple[str, str, bool]]]:
     """The article's blocks of each page, by its host's wrapper."""
     for page, wrapper in zip(batch.column("html"), batch.column("wrapper")):
         known = wrapper.as_py()
         if known not in article:
             article.clear()
             article[known] = has_article(json.loads(known) or [])
-        yield main_blocks(page.as_py(), article[known])
+        yield _placed(page.as_py(), article[known])
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     article: dict[str, bool] = {}
     for batch in batches:
-        found = [sorted({_mark(*b) for b in own}) for own in _cut_up(batch, article)]
+        found, contents = [], []
+        for own in _cut_up(batch, article):
+            found.append(sorted({_mark(path, text) for path, text, inside in own if not inside}))
+            contents.append(_mark("", "\0".join(f"{path}\0{text}" for path, text, _ in own)))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("host"), pa.array(found, pa.list_(pa.int64()))], names=["host", "marks"])
+            [batch.column("host"), pa.array(contents, pa.int64()),
+             pa.array(found, pa.list_(pa.int64()))], names=["host", "content", "marks"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,8 +437,8 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for own, notices in zip(_cut_up(batch, article), batch.column("notices")):
             gone = set(notices.as_py() or ())
-            kept = [b for b in own if _mark(*b) not in gone] if gone else own
-            out.append("\n\n".join(text for _, text in kept or own))
+            kept = without_notices(own, gone) if gone else [b[:2] for b in own]
+            out.append("\n\n".join(text for _, text in kept))
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in ("page_id", "url", "host")], pa.array(out, pa.string())],
             names=["page_id", "url", "host", "text"])
@@ -423,8 +460,8 @@ def extracted(pages: DataFrame) -> DataFrame:
     found = stored(wrappers(pages), "wrappers")
     known = _by_host(found, F.length("wrapper"))
     marks = pages.select("host", "html").join(known, "host").mapInArrow(
-        _marks, "host string, marks array<bigint>")
-    # A null mark counts the page itself.
+        _marks, "host string, content bigint, marks array<bigint>").distinct()
+    # A null mark counts the content itself.
     spread = marks.select("host", F.explode(F.concat(
         "marks", F.array(F.lit(None).cast("bigint")))).alias("mark"))
     counts = stored(spread.groupBy("host", "mark").agg(F.count("*").alias("n"))

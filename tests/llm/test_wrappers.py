@@ -57,6 +57,19 @@ def test_copies_are_no_notice(spark):
     assert set(extract(spark, rows).values()) == {"the same article"}
 
 
+@pytest.mark.parametrize("around", ["article", "div"])
+def test_versions_and_standing_headings_are_no_notices(spark, around):
+    """Versions of one article keep what they share; copies of a page don't make notices."""
+    page = ("<body><div class=box><p>Standing box</p></div><{a}><h1>Title</h1><p>Shared text</p>"
+            "<h2>Ingredients</h2><p>Version {i}</p></{a}></body>")
+    rows = [(i, "http://f/", page.format(a=around, i=i)) for i in range(10)]
+    rows += [(20 + i, "http://g/", f"<body><div><p>Said {i // 9}</p></div><section><p>Once</p>"
+              "</section></body>") for i in range(10)]
+    got = extract(spark, rows)
+    assert all(got[i] == f"Title\n\nShared text\n\nIngredients\n\nVersion {i}" for i in range(10))
+    assert all(got[20 + i] == f"Said {i // 9}\n\nOnce" for i in range(10))
+
+
 @pytest.mark.parametrize("items, expected", [
     (["<a", ">a", "<a", ">a", "<a", ">a"], [["+", ["<a", ">a"]]]),
     (["#", "#"], ["#"]), ([], []), (["<a", "<b"], ["<a", "<b"])])
