@@ -1,13 +1,19 @@
 """License scans: units of a text compared with licence templates by Dice coefficient.
 
-Units are the whole text, its lines, and its sentences. Text and templates are
+Units are the whole text, its lines, its sentences, and runs of neighbouring
+pieces, so that a notice wrapped over several lines of a longer text is one unit
+too. A piece ends at a line break or with its sentence. Text and templates are
 normalised (A-Z lowered, runs of other than letters and digits as one space);
 each is the set of its distinct word bigrams. A unit matches the template of
 highest Dice coefficient 2 |A and B| / (|A| + |B|), if that is ``LEAST`` or more.
 
 Sizes prune first: with d = LEAST, |B| lies between |A| d / (2 - d) and
 |A| (2 - d) / d, and of A's bigrams a share of d / (2 - d) must occur in
-templates at all. Both bounds lose nothing.
+templates at all. Both bounds lose nothing. Runs also end where more than
+|B| 2 (1 - d) / d distinct bigrams occur in no template; they begin and end with
+pieces of known bigrams, as others never raise the coefficient, and have at most
+_RUN times as many words as a match has distinct bigrams, which only a notice
+with far more repeated than own words exceeds.
 
 Of matching units inside each other only that of the highest coefficient is
 told, of equal ones the largest. Null and empty texts and units of one
@@ -17,6 +23,7 @@ counts. Rows are scanned one by one, so repeated rows need no rule.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,6 +34,7 @@ from pyspark.sql import functions as F
 from foldwise.llm.tokens import combine, text_slices, word_spans
 
 LEAST = 0.8
+_RUN = 4
 # Notices as licences ask for them, by SPDX name.
 TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -101,6 +109,51 @@ class _Templates:
         return top[0], -top[1]
 
 
+def _runs(templates: _Templates, pairs: np.ndarray, hit: np.ndarray, row: np.ndarray,
+          breaks: np.ndarray) -> Iterator[tuple[int, int, float, int]]:
+    """(first word, word after the last, coefficient, template) of matching runs of pieces.
+
+    Of runs with one beginning those are told that are no worse than each shorter one.
+    """
+    share = templates.least / (2 - templates.least)
+    largest = templates.sizes.max() / share
+    most = templates.sizes.max() * 2 * (1 - templates.least) / templates.least + 1e-9
+    head = np.append(0, np.flatnonzero(breaks) + 1)
+    tail = np.append(head[1:], len(row))
+    known = np.append(0, np.cumsum(hit))
+    # A piece's bigrams with the next piece, and with the one before.
+    begins = known[np.minimum(tail, len(hit))] > known[head]
+    begins[:-1] &= row[head[1:]] == row[head[:-1]]
+    begins[-1] = False
+    closes = (known[tail - 1] > known[np.maximum(head - 1, 0)]).tolist()
+    last = np.searchsorted(row[head], row[head], "right")
+    items, hits = pairs.tolist(), hit.tolist()
+    for k in np.flatnonzero(begins).tolist():
+        seen: set[int] = set()
+        n_known, judged, top, at = 0, 0, templates.least - 1e-12, int(head[k])
+        end = at + _RUN * largest
+        for j in range(k, int(last[k])):
+            after = int(tail[j])
+            if after > end:
+                break
+            for i in range(at, after - 1):
+                if items[i] not in seen:
+                    seen.add(items[i])
+                    n_known += hits[i]
+            at = max(at, after - 1)
+            if len(seen) - n_known > most or len(seen) > largest:
+                break
+            if not closes[j] or n_known < share * len(seen) - 1e-9:
+                continue
+            if len(seen) > judged:
+                judged = len(seen)
+                value, t = templates.best(np.array(sorted(seen), dtype=np.uint64))
+            if value >= top:
+                top = value - 1e-12
+                if j > k:  # else it is a sentence
+                    yield int(head[k]), after, value, t
+
+
 def _scan(templates: _Templates, data: np.ndarray, offsets: np.ndarray) -> list[tuple]:
     """(row, first byte, end byte in the row, template, coefficient) of every matching unit."""
     hashes, starts, ends, bounds = word_spans(data, offsets, _OUTSIDE)
@@ -142,12 +195,18 @@ def _scan(templates: _Templates, data: np.ndarray, offsets: np.ndarray) -> list[
                 r = int(row[a])
                 found.append((r, int(starts[a] - offsets[r]), int(ends[b - 1] - offsets[r]),
                               templates.names[t], value))
+    for a, b, value, t in _runs(templates, pairs, hit & ~new_row, row, new_sentence):
+        r = int(row[a])
+        found.append((r, int(starts[a] - offsets[r]), int(ends[b - 1] - offsets[r]),
+                      templates.names[t], value))
     # Of units inside each other the best counts, of equal ones the largest.
-    kept: list[tuple] = []
+    kept: dict[int, list[tuple]] = {}
     for f in sorted(found, key=lambda f: (-round(f[4], 12), f[1] - f[2], f)):
-        if not any(k[0] == f[0] and k[1] < f[2] and f[1] < k[2] for k in kept):
-            kept.append(f)
-    return sorted(kept)
+        own = kept.setdefault(f[0], [])
+        k = bisect_left(own, f[2], key=lambda o: o[1])
+        if not k or own[k - 1][2] <= f[1]:
+            own.insert(k, f)
+    return sorted(f for own in kept.values() for f in own)
 
 
 def matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None,

@@ -1,7 +1,9 @@
 """Matches beside a plain comparison of every unit with every template."""
 
 import re
+import textwrap
 
+import numpy as np
 import pytest
 
 from conftest_llm import LOWER
@@ -49,6 +51,32 @@ def test_beside_brute_force(spark):
                 for n, t in licenses.TEMPLATES if n == m["license"])
 
 
+def test_wrapped_notices(spark):
+    """Notices wrapped over lines in the middle of a long text, as files have them."""
+    prose = " ".join(f"Prose number {k} goes on about thing{k}." for k in range(300))
+    notices = [(n, t) for n, t in licenses.TEMPLATES if len(t.split()) > 9]
+    texts = []
+    for _, t in notices:
+        for width, mark in ((40, "# "), (76, " * ")):
+            lines = "\n".join(mark + part for part in textwrap.wrap(t, width, break_long_words=False))
+            texts.append(f"{prose}\n{lines}\n{mark}\nimport something\n{prose}")
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in licenses.matches(df).collect():
+        name, notice = notices[r["doc_id"] // 2]
+        m = max(r["matches"], key=lambda m: m["dice"])
+        part = texts[r["doc_id"]].encode()[m["first"]:m["end"]].decode()
+        assert m["license"] == name and m["dice"] == pytest.approx(1)
+        assert bigrams(part) == bigrams(notice)
+
+
+def test_repeated_notices():
+    """Every one of many notices in a row is told, without work that grows with their square."""
+    data = "Released under the MIT License.\n".encode() * 3_000
+    own = licenses._Templates(licenses.TEMPLATES, licenses.LEAST)
+    found = licenses._scan(own, np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(found) == 3_000 and {f[3:] for f in found} == {("MIT", 1.0)}
+
+
 def test_odd_rows(odd_docs, no_docs):
     rows = licenses.matches(odd_docs).collect()
     assert len(rows) == odd_docs.count() and all(r["matches"] == [] for r in rows)
