@@ -1,8 +1,12 @@
 """Substring dedup by hashing lines and sentences.
 
-A text is cut into units: lines, sentences in them, and long sentences at words
-picked by their own hash, so that a passage is cut in the same way wherever it
-stands. A unit is normalised (lower case, white space to one space) and its
+A text is cut into units: lines, sentences in them, and sentences of more than
+``LONG`` words after the word of least hash in every window of ``LONG`` words, so
+that a passage is cut in the same way wherever it stands: from its first such
+word, or its first stop or line break, to its last. At each end at most ``LONG``
+words lie outside these, so of a passage of 50 words or more at least
+``MIN_WORDS`` are found (of one cut by line breaks, if the breaks are the same).
+A unit is normalised (lower case, white space to one space) and its
 128-bit digest is grouped over all documents. The earliest occurrence, by
 (doc_id, place in the text), is kept. Later ones are removed where a run of
 repeated units beside each other has at least ``MIN_WORDS`` words; a repeated
@@ -33,14 +37,25 @@ from foldwise.llm.common import stored
 from foldwise.llm.tokens import mix, numbers, text_slices, word_spans
 
 MIN_WORDS = 10
-# Beyond so many words a sentence is cut after words whose hash ends in zeros. A passage loses at
+# Beyond so many words a sentence is cut, once in every window of so many words. A passage loses at
 # most so many words at each end to units that it shares with its surroundings.
-LONG, _CUT = 20, np.uint64(7)
+LONG = 20
 _SALT = numbers(2, 21)
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
 
+def _least(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Place of the least hash, of equal ones the last, in each window of ``width`` words."""
+    at, span = np.arange(len(hashes)), 1
+    while span < width and len(at):
+        step = min(span, width - span)
+        left, right = at[:-step], at[step:]
+        at = np.where(hashes[right] <= hashes[left], right, left)
+        span += step
+    return at
+
+
 def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     """row, place in the row, first byte, end byte (in the row), words, two digests of each unit."""
     hashes, starts, ends, bounds = word_spans(data, offsets)
@@ -55,10 +70,14 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
                  | _STOP[data[ends[:-1] - 1]])
     head = np.flatnonzero(first)
     size = np.diff(np.append(head, n))
-    long = np.repeat(size > LONG, size)
-    cut = np.zeros(n, dtype=bool)
-    cut[1:] = long[1:] & (mix(hashes[:-1]) & _CUT == 0)
-    head = np.flatnonzero(first | cut)
+    # Windows that lie in one sentence; one of LONG words exactly is not cut.
+    sentence = np.repeat(np.arange(len(head)), np.where(size > LONG, size, 0))
+    of_long = np.flatnonzero(np.repeat(size > LONG, size))
+    least = _least(mix(hashes[of_long]), LONG)
+    whole = sentence[:len(least)] == sentence[len(sentence) - len(least):]
+    cut = np.zeros(n + 1, dtype=bool)
+    cut[of_long[least[whole]] + 1] = True
+    head = np.flatnonzero(first | cut[:n])
     size = np.diff(np.append(head, n))
     place = (np.arange(n) - np.repeat(head, size)).astype(np.uint64)
     digests = [mix(np.add.reduceat(mix((hashes ^ salt) + place * np.uint64(0x9E3779B97F4A7C15)),

@@ -1,5 +1,7 @@
 """Passages that occur before go, all else stays."""
 
+import numpy as np
+
 from conftest_llm import LONG
 from foldwise.llm import repeats
 
@@ -47,6 +49,36 @@ def test_inside_a_long_sentence(spark):
     assert "b0" in got[2]["text"] and "more" in got[2]["text"]
 
 
+def test_no_gap_without_cuts(spark):
+    """Of every passage of 51 words at most 20 stay at each end, also of few distinct words."""
+    rows, passages = [], []
+    for k in range(400):
+        kinds = 51 if k % 2 else 3
+        passage = [f"p{k}w{j * j % 7 % kinds if kinds == 3 else j}" for j in range(51)]
+        passages.append(passage)
+        rows += [(2 * k + e, " ".join([f"l{k}e{e}x{j}" for j in range(25 + k % 9)] + passage
+                                      + [f"r{k}e{e}x{j}" for j in range(25 + k % 7)]))
+                 for e in range(2)]
+    got = cleaned(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    for k, passage in enumerate(passages):
+        text = rows[2 * k + 1][1]
+        around = [w for w in text.split() if w[0] != "p"]
+        left = got[2 * k + 1]["text"].split()
+        assert [w for w in left if w[0] != "p"] == around
+        spans = got[2 * k + 1]["__spans"]
+        assert spans and text[:spans[0]["first"]].split()[-21:][0][0] == "l"
+        assert text[spans[-1]["end"]:].split()[:21][-1][0] == "r"
+        assert sum(w[0] == "p" for w in left) <= 40
+
+
+def test_odd_offsets():
+    """Texts shorter than a window, and sentences of just one window, are not cut."""
+    for n in (1, 19, 20, 21):
+        data = " ".join(f"w{k}" for k in range(n)).encode()
+        units = repeats._units(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert sum(units[4]) == n and (len(units[4]) == 1 or n > repeats.LONG)
+
+
 def test_whitespace_and_case(spark):
     rows = [(1, PASSAGE), (2, "Start. " + PASSAGE.upper().replace(" ", "  ")), (3, "é" + PASSAGE)]
     got = cleaned(spark.createDataFrame(rows, "doc_id bigint, text string"))
