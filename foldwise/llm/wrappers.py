@@ -13,9 +13,10 @@ host gives its distinct folded streams only. They are aligned in hash buckets
 of a host first, and the buckets' wrappers are aligned then: a host with a
 third of all pages is many small tasks.
 
-A slot's path is the tags around it. The wrapper decides which slots are the
-article: those inside ``article`` or ``main`` if the host's wrapper has any, else
-all; and never those inside menus, headers, footers, sidebars, notices, adverts,
+A block's path is the tags around it. Pages are not matched against the wrapper
+yet: of it only whether it has an ``article`` or ``main`` is read, which changes
+no text. The article are the blocks inside ``article`` or ``main`` if the page has
+text there, else all; and never those inside menus, headers, footers, sidebars, notices, adverts,
 forms, scripts, styles or comments, told by tag, role, class or id. Outside
 ``article`` and ``main``, a text that nine in ten distinct contents of a host
 (five at least) repeat at the same path is a notice, so copies of a page count
