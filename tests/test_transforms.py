@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import FLOWER_SCHEMA
+from flowers import FLOWER_SCHEMA
 from foldwise.frame import Frame, col
 from foldwise.operators import select as S
 from foldwise.operators.encode import Ladder, OneHot, Ordinal, low_cardinality
