@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import bpe, decontam, fingerprint, licenses, lm, neardup, quality, repeats, shards, wrappers
+from foldwise.llm import (bpe, decontam, fingerprint, licenses, lm, neardup, quality, repeats, shards,
+                          token_counts, wrappers)
 from foldwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -122,3 +123,9 @@ def op9_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = wrappers.extracted(table(spark, sf_dir, "pages"))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_counts.counted(table(spark, sf_dir, "documents"))
+    return out.withColumn("over_limit", F.col("n_tokens") > 1024)
