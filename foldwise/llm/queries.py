@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import (bpe, decontam, fingerprint, licenses, lm, neardup, quality, repeats, shards,
+from foldwise.llm import (bpe, decontam, filter_audit, fingerprint, licenses, lm, neardup, quality, repeats, shards,
                           token_counts, wrappers)
 from foldwise.llm.common import table
 
@@ -125,6 +125,53 @@ def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+# Masks, then a row for each order and step from sums over masks.
+ORACLES["op12_filter_audit"] = """
+    WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+                      list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'),
+                                  lambda x: x <> '') AS w FROM documents),
+    f AS (SELECT part, doc_id,
+                 CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+                 + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+                 + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t)
+                        THEN 4 ELSE 0 END
+                 + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+                 + CASE WHEN min(doc_id) OVER (PARTITION BY t) < doc_id THEN 16 ELSE 0 END AS mask
+          FROM w),
+    l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+                 max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, mask, count(*) AS n, sum(coalesce(good, 0)) AS good,
+                 sum(coalesce(toxic, 0)) AS toxic
+          FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+    b AS (SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) v(c, bit)),
+    o AS (SELECT b1.c || b2.c || b3.c || b4.c || b5.c AS filter_order
+          FROM b b1, b b2, b b3, b b4, b b5
+          WHERE b1.bit + b2.bit + b3.bit + b4.bit + b5.bit = 31
+            AND (b1.bit | b2.bit | b3.bit | b4.bit | b5.bit) = 31),
+    s AS (SELECT filter_order, step, bit AS own,
+                 coalesce((SELECT sum(p.bit) FROM b p
+                           WHERE strpos(substr(filter_order, 1, step - 1), p.c) > 0), 0)::INT AS before
+          FROM o, (SELECT unnest(range(1, 6)) AS step) k, b WHERE c = substr(filter_order, step, 1)),
+    r AS (SELECT part, filter_order, step, own,
+                 sum(n) FILTER (WHERE mask & (before | own) = 0) AS kept,
+                 sum(n) FILTER (WHERE mask & before = 0 AND mask & own <> 0) AS removed,
+                 sum(n) FILTER (WHERE mask & before <> 0 AND mask & own <> 0) AS redundant,
+                 sum(n) FILTER (WHERE mask = own) AS unique_fails,
+                 sum(good) FILTER (WHERE mask & before = 0 AND mask & own <> 0) AS good_lost,
+                 sum(toxic) FILTER (WHERE mask & before = 0 AND mask & own <> 0) AS toxic_lost
+          FROM m, s GROUP BY part, filter_order, step, own)
+    SELECT part, filter_order, CAST(step AS INT) AS step, coalesce(kept, 0)::BIGINT AS kept,
+           coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+           coalesce(unique_fails, 0)::BIGINT AS unique_fails,
+           coalesce(good_lost, 0)::BIGINT AS good_lost, coalesce(toxic_lost, 0)::BIGINT AS toxic_lost,
+           coalesce(sum(removed) OVER (PARTITION BY part, own), 0)::BIGINT AS shapley FROM r"""
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = token_counts.counted(table(spark, sf_dir, "documents"))
