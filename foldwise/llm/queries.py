@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foldwise.llm import (bpe, decontam, filter_audit, fingerprint, licenses, lm, neardup, quality, repeats, shards,
-                          token_counts, wrappers)
+from foldwise.llm import (bpe, decontam, filter_audit, fingerprint, licenses, lm, neardup, periodic,
+                          quality, repeats, shards, token_counts, wrappers)
 from foldwise.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,34 @@ def op10_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where a tenth of the texts get a repetition to their end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+    own = docs.select("doc_id", "text", F.floor(h / 10).alias("g"),
+                      F.when(h % 10 == 0, words).alias("words"))
+    own = own.withColumn("n", F.size("words").cast("bigint"))
+    own = own.withColumn("a", F.when(F.col("n") > 0, F.expr("g % n")))
+    own = own.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.expr("""array_join(transform(sequence(0L, n - 1), i ->
+        words[cast(if(i < a, i, a + (i - a) % p) as int)]), ' ')""")
+    return own.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic.with_runs(_planted(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    best = F.col("strongest")
+    return out.select(
+        "doc_id", F.size("runs").cast("bigint").alias("n_runs"), best["start"].alias("start"),
+        best["length"].alias("length"), best["period"].alias("period"),
+        F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform(lines, lambda t: F.concat(t, F.lit("\n"))), "")
+               .cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 # Masks, then a row for each order and step from sums over masks.
 ORACLES["op12_filter_audit"] = """
     WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
