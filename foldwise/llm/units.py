@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import regex
+from tokenizers.pre_tokenizers import ByteLevel
 
 from foldwise.llm.tokens import mix, numbers
 
@@ -136,8 +138,20 @@ def is_piece(unit: bytes) -> bool:
 
 
 def pieces(unit: bytes) -> list[bytes]:
-    """The pieces of the pattern in a unit."""
-    return [p.encode() for p in _pieces(unit.decode())]
+    """The pieces of the pattern in a unit.
+
+    Which characters are letters differs between versions of Unicode beyond
+    U+024F, so there the library itself cuts.
+    """
+    text = unit.decode()
+    if max(text) < "\u0250":
+        return [p.encode() for p in _pieces(text)]
+    return [text[a:b].encode() for _, (a, b) in _library().pre_tokenize_str(text)]
+
+
+@lru_cache(maxsize=1)
+def _library() -> ByteLevel:
+    return ByteLevel(add_prefix_space=False, use_regex=True)
 
 
 def gathered(values: np.ndarray, offsets: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

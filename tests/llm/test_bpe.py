@@ -34,6 +34,14 @@ def test_as_library(library, own, parts):
     assert own.decode(packed) == library.decode(ids, skip_special_tokens=False)
 
 
+def test_letters_of_newer_unicode(own, library):
+    """Characters that only some versions of Unicode call letters or numbers."""
+    for c in ["\U00012550", "\u1c89", "\ua7cb", "\U00010d40", "\u0870", "\U0001e5d0", "漢", "ж", "\u2028"]:
+        for text in (f"{c}'s {c}1 a{c}, {c}{c} .{c}", f" {c}\n{c}  {c}"):
+            ids = library.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(own.encode(text), "<u4").tolist() == ids
+
+
 def test_full_tables_change_nothing(own, monkeypatch):
     texts = [f"some words{i} of text number {i % 5}" for i in range(200)]
     expected = own.encode_all(texts)
