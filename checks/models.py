@@ -11,6 +11,7 @@ from checks.registry import LOG_SQL, check, positions_sql, rounded, run_log, tab
 from foldwise.frame import Frame
 from foldwise.models import (BoostClassifier, EstimatorClassifier, ForestClassifier,
                              LogisticClassifier, NeighborsClassifier, SupportVectorClassifier)
+from foldwise.models.cells import TrainSide
 from foldwise.models.linear import LogisticClassifier as Logistic
 from foldwise.operators.encode import OneHot
 from foldwise.operators.folds import FoldPlan, assign_slices, side
@@ -118,6 +119,51 @@ def logreg_gradient(spark, sf_dir):
         for n in names])).alias("e")).select("e.*")
 
 
+CELLS = FoldPlan(3, 3)
+
+
+@check("logreg_cells", """
+    SELECT replicate, fold, feature, TRUE AS at_minimum
+    FROM (SELECT unnest(range(3)) AS replicate), (SELECT unnest(range(-1, 3)) AS fold),
+         (SELECT 'lang_' || lang AS feature FROM documents GROUP BY lang
+          UNION ALL SELECT unnest(['n_chars', 'n_words', 'n_lines', 'n_digits', 'n_capitals',
+                                   'intercept'])) f""")
+def logreg_cells(spark, sf_dir):
+    """Elastic net in every cross of every replicate and in each in-group (fold -1), all
+    fitted together: no weight of any cell can be moved to a lower objective."""
+    frame = stored(assign_slices(texts(spark, sf_dir), CELLS), "slices")
+    model = LogisticClassifier("elasticnet", l1_c=0.3, l2_c=0.7)
+    sides = {(r, x): CELLS.in_group(r) if x < 0 else CELLS.cross_train(r, x)
+             for r in range(CELLS.replicates) for x in range(-1, CELLS.crosses)}
+    fitted = LogisticClassifier.fit_cells({
+        cell: (model, TrainSide(frame, tuple(slices))) for cell, slices in sides.items()})
+    c, share = model.strength()
+    names = [*frame.features, "intercept"]
+    parts = []
+    for (r, x), slices in sides.items():
+        weights = fitted[r, x].weights[0].tolist()
+        rows = side(frame, slices)
+        scored = fitted[r, x].predict(rows).select("doc_id", F.element_at("proba", "1").alias("p"))
+        sums = rows.df.withColumn("intercept", F.lit(1.0)).join(scored, "doc_id").agg(*[
+            F.sum((F.col("p") - F.col("quality")) * F.col(n)).alias(n) for n in names])
+        # The slope of the penalty, or its range where the weight is 0.
+        parts.append(sums.select(F.lit(r).alias("replicate"), F.lit(x).alias("fold"), F.explode(F.array(*[
+            F.struct(F.lit(n).alias("feature"), (_slope(F.col(n), w, c, share, n != "intercept")
+                                                 < 0.001).alias("at_minimum"))
+            for n, w in zip(names, weights)])).alias("e")).select("replicate", "fold", "e.*"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _slope(gradient, weight: float, c: float, share: float, penalised: bool):
+    """How steeply the objective falls along one weight, 0 at the minimum."""
+    if not penalised:
+        return F.abs(gradient)
+    if weight == 0.0:
+        return F.greatest(F.abs(gradient) - F.lit(share / c), F.lit(0.0))
+    bend = (share * (1.0 if weight > 0 else -1.0) + (1.0 - share) * weight) / c
+    return F.abs(gradient + F.lit(bend))
+
+
 # One feature of two values: a single split says the most frequent class of each.
 _MAJORITY = """
     WITH t AS (SELECT o_orderkey, o_orderpriority < '3' AS early, o_orderstatus FROM orders),
@@ -138,6 +184,51 @@ def adaboost_stump(spark, sf_dir):
     return BoostClassifier(1).fit(frame).predict(frame).select("o_orderkey", "pred")
 
 
+_FLAGS = {"early": "o_orderpriority < '3'", "dear": "o_totalprice > 150000",
+          "old": "o_orderdate < DATE '1994-06-01'"}
+
+
+def _boosted_sql(rounds: int) -> str:
+    """SAMME on 0/1 features over counted rows: Gini splits, votes, weights, by rounds."""
+    flags = ", ".join(f"CAST({e} AS INT) AS {n}" for n, e in _FLAGS.items())
+    sides = " UNION ALL ".join(f"SELECT {i} AS f, {n} AS side, label, w FROM w{{before}}"
+                               for i, n in enumerate(_FLAGS))
+    own = "CASE b.f " + " ".join(f"WHEN {i} THEN {n}" for i, n in enumerate(_FLAGS)) + " END"
+    sql = f"""WITH t AS (SELECT o_orderkey, o_orderstatus AS label, {flags} FROM orders),
+        w0 AS (SELECT {', '.join(_FLAGS)}, label, CAST(count(*) AS DOUBLE) AS w FROM t GROUP BY ALL)"""
+    for i in range(1, rounds + 1):
+        sql += f""",
+        s{i} AS (SELECT f, side, label, sum(w) AS w FROM ({sides.format(before=i - 1)}) u GROUP BY ALL),
+        b{i} AS (SELECT f FROM (SELECT f, side, sum(w) AS m, sum(w * w) AS q FROM s{i} GROUP BY f, side) g
+                 GROUP BY f HAVING count(*) = 2 ORDER BY sum(m - q / m), f LIMIT 1),
+        l{i} AS (SELECT side, label AS pick, w FROM (SELECT s.*, row_number() OVER (
+                   PARTITION BY side ORDER BY w DESC, label) AS k FROM s{i} s JOIN b{i} USING (f)) p
+                 WHERE k = 1),
+        v{i} AS (SELECT ln((1 - e) / e) + ln(2) AS vote FROM (
+                   SELECT 1 - sum(w) / (SELECT sum(w) FROM w{i - 1}) AS e FROM l{i}) x),
+        w{i} AS (SELECT x.* REPLACE (x.w * CASE WHEN pick <> label THEN exp(vote) ELSE 1 END AS w)
+                 FROM w{i - 1} x, b{i} b, v{i}, l{i} l WHERE l.side = {own})"""
+    votes = " UNION ALL ".join(
+        f"SELECT o_orderkey, pick, vote FROM t, b{i} b, v{i}, l{i} l WHERE l.side = {own}"
+        for i in range(1, rounds + 1))
+    return sql + f""",
+        votes AS (SELECT o_orderkey, label AS pick, sum(CASE WHEN pick = label THEN vote ELSE 0 END)
+                  AS v, sum(vote) AS total FROM ({votes}) a, (SELECT DISTINCT label FROM t) c
+                  GROUP BY o_orderkey, label),
+        e AS (SELECT *, exp((v - (total - v) / 2) / total / 2) AS e FROM votes)
+        SELECT o_orderkey, pick AS class, round(e / sum(e) OVER (PARTITION BY o_orderkey), 6) AS p FROM e"""
+
+
+@check("adaboost_rounds", _boosted_sql(3))
+def adaboost_rounds(spark, sf_dir):
+    """Three rounds on three 0/1 features, three classes: later rounds see new weights."""
+    df = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_orderstatus", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in _FLAGS.items()])
+    frame = Frame.of(df, "o_orderkey", "o_orderstatus")
+    preds = BoostClassifier(3).fit(frame).predict(frame)
+    return rounded(preds.select("o_orderkey", F.explode("proba").alias("class", "p")))
+
+
 @check("forest_split", _MAJORITY)
 def forest_split(spark, sf_dir):
     frame = _early(spark, sf_dir)

@@ -8,6 +8,7 @@ from checks.registry import ORDERS_SQL, check, orders, out, rounded, table
 from foldwise.frame import Frame
 from foldwise.operators import select as S
 from foldwise.session import scratch_dir
+from foldwise.sources.formats import known_formats, read_format, register_format
 from foldwise.sources.tables import Dump, number_parquet_rows, read_dump, read_table
 
 
@@ -38,6 +39,50 @@ def delimited_rows(spark, sf_dir):
     return frame.df
 
 
+@check("null_spellings", """
+    SELECT o_orderkey, CASE WHEN o_custkey % 9 < 6 THEN CAST(o_custkey AS INT) END AS customer,
+           CASE WHEN o_custkey % 5 < 3 THEN round(o_totalprice, 2) END AS price,
+           CASE WHEN o_custkey % 4 < 2 THEN o_orderpriority < '3' END AS early,
+           CASE WHEN o_custkey % 3 < 2 THEN o_orderpriority END AS priority FROM orders""")
+def null_spellings(spark, sf_dir):
+    """Missing values as files spell them; the other values still tell the types."""
+    path = scratch_dir(spark, "spelled-tsv")
+    key = F.col("o_custkey")
+
+    def spelled(value, rest, first, second, *more):
+        words = F.array(*map(F.lit, (first, second, *more)))
+        return F.when(rest, value.cast("string")).otherwise(words[(key % (2 + len(more))).cast("int")])
+
+    (table(spark, sf_dir, "orders").select(
+        "o_orderkey", spelled(key, key % 9 < 6, "NA", "NaN", "n/a").alias("customer"),
+        spelled(F.round("o_totalprice", 2), key % 5 < 3, "nan", "NULL", "None").alias("price"),
+        spelled(F.col("o_orderpriority") < "3", key % 4 < 2, "null", "#N/A", "<NA>").alias("early"),
+        spelled(F.col("o_orderpriority"), key % 3 < 2, "N/A", "-NaN").alias("priority"))
+     .write.option("sep", "\t").option("header", True).csv(path))
+    return read_table(spark, path, "\t", "o_orderkey").df
+
+
+def key_values(spark, path: str, separator: str = ";") -> DataFrame:
+    """A user's format: lines like ``id=7;segment=BUILDING``."""
+    found = F.str_to_map(F.col("value"), F.lit(separator), F.lit("="))
+    rows = spark.read.text(path).select(found.alias("m"))
+    return rows.select(F.col("m")["id"].cast("bigint").alias("id"), F.col("m")["segment"].alias("segment"),
+                       F.col("m")["balance"].cast("double").alias("balance"))
+
+
+@check("format_rows", """
+    SELECT c_custkey AS id, c_mktsegment AS segment, round(c_acctbal, 2) AS balance FROM customer""")
+def format_rows(spark, sf_dir):
+    """A table in a format that a user registered by name."""
+    if "key_values" not in known_formats():
+        register_format("key_values", key_values)
+    path = scratch_dir(spark, "key-values")
+    table(spark, sf_dir, "customer").select(F.concat(
+        F.lit("id="), F.col("c_custkey"), F.lit(";segment="), F.col("c_mktsegment"),
+        F.lit(";balance="), F.round("c_acctbal", 2).cast("decimal(20,2)"))).write.text(path)
+    return rounded(read_format(spark, "key_values", path, "id").df, 2)
+
+
 @check("set_feature", """
     SELECT o_orderkey, o_custkey, o_orderstatus, round(o_totalprice / 1000, 6) AS o_totalprice,
            o_orderdate, o_orderpriority, o_totalprice > 250000 AS is_large FROM orders""")

@@ -139,6 +139,95 @@ def onehot_min_frequency(spark, sf_dir):
     return long.filter(F.col("value") != 0)
 
 
+def _long(frame: Frame) -> DataFrame:
+    """(row id, name) of the 0/1 columns that are 1: which there are depends on the data."""
+    long = frame.df.select(col(frame.row_id), F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), col(n).alias("value")) for n in frame.features])).alias("e"))
+    return long.where("e.value = 1").select(frame.row_id, "e.name")
+
+
+@check("onehot_max_categories", """
+    WITH c AS (SELECT o_custkey, row_number() OVER (ORDER BY count(*) DESC, o_custkey DESC) AS place
+               FROM orders GROUP BY o_custkey)
+    SELECT o_orderkey, 'o_custkey_' || CASE WHEN place < 6 THEN CAST(o.o_custkey AS VARCHAR)
+                                            ELSE 'infrequent_sklearn' END AS name
+    FROM orders o JOIN c ON c.o_custkey = o.o_custkey""")
+def onehot_max_categories(spark, sf_dir):
+    """More categories than an expression can hold: the five most frequent reach the driver."""
+    frame = Frame.of(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), "o_orderkey")
+    return _long(OneHot(["o_custkey"], max_categories=6).fit(frame).apply(frame))
+
+
+@check("onehot_folds", f"""
+    WITH t AS (SELECT o_orderkey, o_custkey, g % 3 AS fold FROM ({positions_sql(
+        "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders", "o_orderstatus", "o_orderkey")}) p),
+    n AS (SELECT replicate, o_custkey, count(*) AS n FROM t, (SELECT unnest(range(3)) AS replicate) r
+          WHERE fold <> replicate GROUP BY replicate, o_custkey),
+    c AS (SELECT *, row_number() OVER (PARTITION BY replicate ORDER BY n DESC, o_custkey DESC) AS place
+          FROM n)
+    SELECT o_orderkey, replicate, 'o_custkey_' || CASE WHEN place < 4 THEN CAST(t.o_custkey AS VARCHAR)
+           ELSE 'infrequent_sklearn' END AS name
+    FROM t JOIN c ON c.o_custkey = t.o_custkey AND c.replicate = t.fold""")
+def onehot_folds(spark, sf_dir):
+    """The held-out rows of each fold, by the categories of its training rows; values that
+    those lack have no 1 at all."""
+    frame = Frame.of(table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_orderstatus"), "o_orderkey", "o_orderstatus")
+    plan = FoldPlan(3)
+    frame = assign_slices(frame, plan)
+    step = OneHot(["o_custkey"], max_categories=4, handle_unknown="ignore")
+    fitted = step.fit_cells(frame, {r: plan.in_group(r) for r in range(3)})
+    return reduce(DataFrame.unionByName, [
+        _long(f.apply(side(frame, plan.out_group(r)))).withColumn("replicate", F.lit(r))
+        for r, f in fitted.items()])
+
+
+@check("onehot_given", f"""
+    SELECT row_id, customer, round(price, 6) AS price, year,
+           {', '.join(_hot('priority', p) for p in ['5-LOW', None, '1-URGENT'])}
+    FROM ({ORDERS_SQL}) t""")
+def onehot_given(spark, sf_dir):
+    """Declared categories, in their order; other values have no column."""
+    frame = orders(spark, sf_dir)
+    step = OneHot(["priority"], categories=[["5-LOW", None, "1-URGENT"]], handle_unknown="ignore")
+    return out(step.fit(frame).apply(frame))
+
+
+@check("impute_marked", """
+    WITH t AS (SELECT p_partkey, CASE WHEN p_size % 7 = 0 THEN -1 ELSE p_size END AS size,
+                      p_retailprice AS price FROM part),
+    m AS (SELECT avg(size) FILTER (WHERE size <> -1) AS size FROM t)
+    SELECT p_partkey, round(CASE WHEN t.size = -1 THEN m.size ELSE t.size END, 6) AS size,
+           round(price, 6) AS price, CAST(t.size = -1 AS DOUBLE) AS missingindicator_size FROM t, m""")
+def impute_marked(spark, sf_dir):
+    """A number that stands for missing values, and a column that tells where it stood."""
+    df = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "CASE WHEN p_size % 7 = 0 THEN -1 ELSE p_size END AS size",
+        "p_retailprice AS price")
+    frame = Frame.of(df, "p_partkey")
+    step = Impute(strategy="mean", missing_values=-1, add_indicator=True)
+    return out(step.fit(frame).apply(frame))
+
+
+@check("categorical_folds", f"""
+    WITH t AS (SELECT *, g % 4 AS fold FROM ({positions_sql(
+        "SELECT * FROM part", "p_type", "p_partkey")}) p),
+    d AS (SELECT replicate, feature, count(DISTINCT v) AS n FROM (
+            SELECT fold, unnest(['p_name', 'p_brand', 'p_size', 'p_retailprice']) AS feature,
+                   unnest([p_name, p_brand, CAST(p_size AS VARCHAR), CAST(p_retailprice AS VARCHAR)]) AS v
+            FROM t) l, (SELECT unnest(range(4)) AS replicate) r WHERE fold <> replicate GROUP BY ALL)
+    SELECT replicate, feature, n FROM d WHERE n < 60""")
+def categorical_folds(spark, sf_dir):
+    """The categorical features of each train side, all found together; their category counts."""
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_name", "p_brand", "p_size",
+                                             "p_retailprice")
+    plan = FoldPlan(4)
+    frame = assign_slices(Frame.of(df, "p_partkey", "p_type"), plan)
+    fitted = OneHot(max_unique_vals=60).fit_cells(frame, {r: plan.in_group(r) for r in range(4)})
+    rows = [(r, n, len(c.known)) for r, f in fitted.items() for n, c in f.encoded.items()]
+    return spark.createDataFrame(rows, "replicate int, feature string, n bigint")
+
+
 @check("detect_categorical", """
     WITH d AS (SELECT 'p_name' AS feature, count(DISTINCT p_name) AS n FROM part
         UNION ALL SELECT 'p_brand', count(DISTINCT p_brand) FROM part

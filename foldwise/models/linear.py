@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Hashable
+
 from pyspark.ml.classification import LogisticRegression
 
+from foldwise.models import newton
 from foldwise.models.base import EstimatorClassifier
+from foldwise.models.cells import DRIVER_NUMBERS, TrainSide, gather
 
 PENALTIES = ("l1", "l2", "elasticnet", None)
 
@@ -48,3 +52,21 @@ class LogisticClassifier(EstimatorClassifier):
         return LogisticRegression(
             regParam=0.0 if c is None else 1.0 / (c * rows), elasticNetParam=l1_share,
             standardization=False, family="auto", maxIter=self.max_iter, tol=1e-5)
+
+    @staticmethod
+    def fit_cells(parts: dict[Hashable, tuple["LogisticClassifier", TrainSide]]) -> dict:
+        """Fit many cells together, a job a step for all of them.
+
+        A cell whose Hessian is too wide for the driver is fitted by itself.
+        """
+        rows = gather({key: learn for key, (_, learn) in parts.items()})
+        try:
+            narrow = {key: model for key, (model, _) in parts.items()
+                      if newton.numbers(rows.cells[key]) <= DRIVER_NUMBERS}
+            most = max((model.max_iter for model in narrow.values()), default=0)
+            out = newton.fit(rows, {key: model.strength() for key, model in narrow.items()}, most)
+        finally:
+            rows.release()
+        out.update({key: model.fit(learn.rows()) for key, (model, learn) in parts.items()
+                    if key not in out})
+        return out

@@ -10,7 +10,8 @@ A training set of proven small size is broadcast. A larger one is routed:
 4. Cells are cut into blocks of bounded size on both sides. A task compares one
    test block with one training block and emits k rows per test row.
 
-Nothing is dropped: a row that cannot be ruled out is always compared.
+Nothing is dropped: a row that cannot be ruled out is always compared. In many
+dimensions little can be ruled out; then ``recall`` opts for hashing instead.
 """
 
 from __future__ import annotations
@@ -30,7 +31,9 @@ from foldwise.frame import Frame, col
 from foldwise.functions.hashing import order_key
 from foldwise.functions.ordered import class_counts
 from foldwise.functions.vectors import class_index, feature_array, first_largest
+from foldwise.models import lsh
 from foldwise.models.base import as_trained, predictions
+from foldwise.session import scratch_dir
 
 BROADCAST_BYTES = 64 * 2**20
 MAX_PIVOTS = 512
@@ -118,6 +121,8 @@ class FittedNeighbors:
     by_distance: bool
     # The training rows, if they are proven to be few.
     held: Broadcast | None
+    # Only with a recall below 1, if hashing reaches it.
+    hashes: lsh.Hashes | None = None
 
     def neighbors(self, frame: Frame) -> DataFrame:
         """(t, d, o, c): for each test row id the k nearest training rows."""
@@ -127,6 +132,8 @@ class FittedNeighbors:
         kinds = (tests.schema["t"].dataType.simpleString(),
                  train.schema["o"].dataType.simpleString())
         schema = f"t {kinds[0]}, d double, o {kinds[1]}, c int"
+        if self.hashes is not None:
+            return self._hashed(train, tests, schema)
         if self.held is None:
             return self._routed(train, tests, schema)
         held, k, p = self.held, self.k, self.p
@@ -137,6 +144,28 @@ class FittedNeighbors:
 
         return tests.mapInPandas(match, schema)
 
+    def _hashed(self, train: DataFrame, tests: DataFrame, schema: str) -> DataFrame:
+        """The k nearest among the rows that share a bucket; exactly for rows that find few."""
+        k, p = self.k, self.p
+
+        def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+            if len(a) == 0 or len(b) == 0:
+                return pd.DataFrame({"t": [], "d": [], "o": [], "c": []})
+            return _Block.of(b).rows(a, k, p)
+
+        met = lsh.candidates(train, tests, self.hashes, match, TRAIN_BLOCK, self.rows, schema)
+        order = Window.partitionBy("t").orderBy(F.round("d", RANK_DIGITS), "o")
+        best = (met.withColumn("n", F.row_number().over(order))
+                .filter(F.col("n") <= k).drop("n"))
+        path = scratch_dir(train.sparkSession, "neighbors")
+        best.write.parquet(path)
+        best = train.sparkSession.read.schema(schema).parquet(path)
+        full = best.groupBy("t").count().where(F.col("count") >= k)
+        rest = tests.join(full, "t", "left_anti")
+        if rest.isEmpty():
+            return best
+        return best.join(full, "t", "left_semi").unionByName(self._routed(train, rest, schema))
+
     def _routed(self, train: DataFrame, tests: DataFrame, schema: str) -> DataFrame:
         k, p = self.k, self.p
         # Below p = 1 the triangle inequality fails: one pivot, no pruning.
@@ -219,7 +248,7 @@ class FittedNeighbors:
 
     def predict(self, frame: Frame) -> DataFrame:
         frame = as_trained(frame, self.train.features)
-        if self.held is None:
+        if self.held is None or self.hashes is not None:
             return self._predict_routed(frame)
         held, k, p = self.held, self.k, self.p
         n_classes, by_distance = len(self.classes), self.by_distance
@@ -275,16 +304,24 @@ def _training_rows(frame: Frame, classes: tuple) -> DataFrame:
 
 class NeighborsClassifier:
     """Vote of the k nearest training rows; vote ties go to the smallest class,
-    distance ties to the smallest row id."""
+    distance ties to the smallest row id.
+
+    Neighbours are exact, unless ``recall`` below 1 allows to miss some: then rows
+    are hashed (``lsh``), if that reaches the recall with less work, p in (0, 2].
+    """
 
     def __init__(self, n_neighbors: int = 5, p: float = 2.0, weights: str = "uniform",
-                 broadcast_bytes: int = BROADCAST_BYTES):
+                 broadcast_bytes: int = BROADCAST_BYTES, recall: float = 1.0, random_state: int = 0):
         if weights not in ("uniform", "distance"):
             raise ValueError(f"weights must be uniform or distance, not {weights!r}")
         if n_neighbors < 1 or p <= 0:
             raise ValueError("n_neighbors and p must be positive")
         self.k, self.p, self.by_distance = n_neighbors, p, weights == "distance"
-        self.broadcast_bytes = broadcast_bytes
+        if not 0 < recall <= 1:
+            raise ValueError(f"recall must lie in (0, 1], not {recall!r}")
+        if recall < 1 and p > 2:
+            raise ValueError("hashing needs p of at most 2")
+        self.broadcast_bytes, self.recall, self.seed = broadcast_bytes, recall, random_state
 
     def fit(self, frame: Frame) -> FittedNeighbors:
         counts = class_counts(frame.df, frame.label)
@@ -295,4 +332,9 @@ class NeighborsClassifier:
         if rows * (8 * frame.n_features + 24) <= self.broadcast_bytes:
             block = _Block.of(_training_rows(frame, classes).toPandas())
             held = frame.df.sparkSession.sparkContext.broadcast(block)
-        return FittedNeighbors(frame, classes, rows, self.k, self.p, self.by_distance, held)
+        hashes = None
+        if self.recall < 1 and held is None:
+            p = self.p
+            hashes = lsh.choose(_training_rows(frame, classes), self.k, p, self.recall, rows,
+                                self.seed, lambda a, b: distances(a, b, p))
+        return FittedNeighbors(frame, classes, rows, self.k, self.p, self.by_distance, held, hashes)

@@ -1,26 +1,13 @@
-"""Random forest and boosted stumps."""
+"""Random forest."""
 
 from __future__ import annotations
 
-import math
-import re
-from dataclasses import dataclass
+from pyspark.ml.classification import RandomForestClassifier
 
-from pyspark import StorageLevel
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
-
-from foldwise.frame import Frame
-from foldwise.functions.vectors import VECTOR, with_vector
-from foldwise.models.base import (INDEX, EstimatorClassifier, as_trained, checked_weights,
-                                  predictions, training_set)
-from foldwise.session import scratch_dir
+from foldwise.models.base import EstimatorClassifier, checked_weights
 
 # Spark grows no deeper trees.
 MAX_DEPTH = 30
-ROUNDS_A_WRITE = 10
 
 
 class ForestClassifier(EstimatorClassifier):
@@ -64,129 +51,3 @@ class ForestClassifier(EstimatorClassifier):
             impurity=self.impurity, minInstancesPerNode=self.leaf_rows,
             featureSubsetStrategy=str(subset), seed=self.random_state,
             bootstrap=self.bootstrap, minInfoGain=self.min_gain)
-
-
-@dataclass(frozen=True)
-class Stump:
-    """A split on one feature with a class on each side, and its vote."""
-
-    feature: int
-    threshold: float
-    left: int
-    right: int
-    weight: float = 0.0
-
-    def chosen(self, values: Column) -> Column:
-        if self.feature < 0:
-            return F.lit(self.left)
-        return F.when(values[self.feature] <= F.lit(self.threshold),
-                      F.lit(self.left)).otherwise(F.lit(self.right))
-
-
-def _votes(stumps: list[Stump], values: Column, n_classes: int) -> list[Column]:
-    """Per class the weights of the stumps that chose it."""
-    out = []
-    for k in range(n_classes):
-        total = F.lit(0.0)
-        for s in stumps:
-            total = total + F.when(s.chosen(values) == F.lit(k), F.lit(s.weight)).otherwise(0.0)
-        out.append(total)
-    return out
-
-
-@dataclass(frozen=True)
-class FittedBoost:
-    stumps: list[Stump]
-    classes: tuple
-    features: tuple[str, ...]
-
-    def predict(self, frame: Frame) -> DataFrame:
-        frame = as_trained(frame, self.features)
-        k = len(self.classes)
-        df = with_vector(frame).withColumn("__x", vector_to_array(VECTOR))
-        total = sum(s.weight for s in self.stumps)
-        votes = F.array(*_votes(self.stumps, F.col("__x"), k))
-        # A vote counts 1 for its class and -1/(K-1) for each other class.
-        df = df.withColumn("__v", votes).withColumn("__score", F.transform(
-            "__v", lambda v: (v - (F.lit(total) - v) / (k - 1)) / F.lit(total) / max(k - 1, 1)))
-        df = df.withColumn("__e", F.transform("__score", lambda s: F.exp(s)))
-        sums = F.aggregate("__e", F.lit(0.0), lambda a, b: a + b)
-        return predictions(df, frame.keys, self.classes,
-                           F.transform("__e", lambda e: e / sums))
-
-
-class BoostClassifier:
-    """Multi-class boosting of depth-1 trees (SAMME, Zhu et al. 2009).
-
-    A row's weight is a column plus the votes of the last few stumps that missed
-    it. Every ``ROUNDS_A_WRITE`` rounds the column is written to the shared folder
-    with the rows, so neither the expression nor the lineage grows.
-    """
-
-    def __init__(self, n_estimators: int = 50, learning_rate: float = 1.0,
-                 max_bins: int = 32, random_state: int = 0):
-        if n_estimators < 1 or learning_rate <= 0:
-            raise ValueError("n_estimators and learning_rate must be positive")
-        self.n_estimators, self.learning_rate = n_estimators, learning_rate
-        self.max_bins, self.random_state = max_bins, random_state
-
-    def fit(self, frame: Frame) -> FittedBoost:
-        train = training_set(frame)
-        k = len(train.classes)
-        base = (train.df.withColumn("__x", vector_to_array(VECTOR))
-                .persist(StorageLevel.MEMORY_AND_DISK))
-        try:
-            return FittedBoost(self._rounds(base, k), train.classes, frame.features)
-        finally:
-            base.unpersist()
-
-    @staticmethod
-    def _votes_against(recent: list[Stump]) -> Column:
-        missed = F.col("__v")
-        for s in recent:
-            missed = missed + F.when(s.chosen(F.col("__x")) != F.col(INDEX),
-                                     F.lit(s.weight)).otherwise(0.0)
-        return missed
-
-    def _rounds(self, base: DataFrame, k: int) -> list[Stump]:
-        stumps: list[Stump] = []
-        written = 0
-        base = base.withColumn("__v", F.lit(0.0))
-        for i in range(self.n_estimators):
-            if len(stumps) - written == ROUNDS_A_WRITE:
-                path = scratch_dir(base.sparkSession, "boost")
-                (base.withColumn("__v", self._votes_against(stumps[written:]))
-                 .write.parquet(path))
-                base, written = base.sparkSession.read.parquet(path), len(stumps)
-            # log weight = votes of the stumps that missed the row
-            logged = base.withColumn("__m", self._votes_against(stumps[written:]))
-            largest = logged.agg(F.max("__m")).first()[0] if stumps else 0.0
-            weighted = logged.withColumn("weight", F.exp(F.col("__m") - F.lit(largest)))
-            stump = self._stump(weighted, i)
-            miss = stump.chosen(F.col("__x")) != F.col(INDEX)
-            sums = weighted.agg(F.sum("weight").alias("all"),
-                                F.sum(F.when(miss, F.col("weight")).otherwise(0.0)).alias("bad")
-                                ).first()
-            error = sums["bad"] / sums["all"]
-            if error <= 0:
-                stumps.append(Stump(stump.feature, stump.threshold, stump.left, stump.right, 1.0))
-                break
-            if error >= 1.0 - 1.0 / k:
-                if not stumps:
-                    raise ValueError("the first stump is no better than chance")
-                break
-            vote = self.learning_rate * (math.log((1.0 - error) / error) + math.log(k - 1.0))
-            stumps.append(Stump(stump.feature, stump.threshold, stump.left, stump.right, vote))
-        return stumps
-
-    def _stump(self, weighted: DataFrame, i: int) -> Stump:
-        tree = DecisionTreeClassifier(
-            featuresCol=VECTOR, labelCol=INDEX, weightCol="weight", maxDepth=1,
-            maxBins=self.max_bins, seed=self.random_state + i).fit(weighted)
-        # "If (feature 2 <= 1.5) Predict: 0.0 Else (feature 2 > 1.5) Predict: 1.0"
-        told = tree.toDebugString
-        classes = [int(float(p)) for p in re.findall(r"Predict: ([0-9.E+-]+)", told)]
-        if tree.depth == 0:
-            return Stump(-1, 0.0, classes[0], classes[0])
-        feature, threshold = re.search(r"If \(feature (\d+) <= ([^)]+)\)", told).groups()
-        return Stump(int(feature), float(threshold), *classes)

@@ -26,13 +26,13 @@ from foldwise.operators.folds import SLICE
 Cells = dict[Hashable, list[int]]
 CELL = "cell"
 
-# Category tables beyond this size do not belong in a projection.
-MAX_CATEGORY_ROWS = 1_000_000
-
 
 class Projection:
     """A fitted transform that gives each output feature as an expression."""
 
+    # Whether ``columns`` needs nothing but the frame; else only ``apply`` serves.
+    plain = True
+
     def columns(self, frame: Frame) -> dict[str, Column]:
         raise NotImplementedError
 
@@ -137,9 +137,13 @@ class ValueCounts:
     rows: int
 
 
-def value_counts(frame: Frame, names: list[str], by: str | None
+def value_counts(frame: Frame, names: list[str], by: str | None, most: int
                  ) -> dict[int, dict[str, dict[object, int]]]:
-    """Rows per value and feature, per value of a key; null is a value here."""
+    """Rows per value and feature, per value of a key; null is a value here.
+
+    For features whose every value becomes a column: ``most`` is how many there
+    may be, more are an error.
+    """
     if not names:
         return {}
     long = frame.df.select(_slot(by), F.explode(F.array(*[
@@ -147,9 +151,10 @@ def value_counts(frame: Frame, names: list[str], by: str | None
         for i, n in enumerate(names)])).alias("e")).select("s", "e.f", "e.v")
     found = (long.groupBy("s", "f", "v").count().groupBy("f", "v")
              .agg(F.collect_list(F.struct("s", "count")).alias("parts"))
-             .limit(MAX_CATEGORY_ROWS + 1).collect())
-    if len(found) > MAX_CATEGORY_ROWS:
-        raise ValueError(f"more than {MAX_CATEGORY_ROWS} distinct values to encode in {names}")
+             .limit(most + 1).collect())
+    if len(found) > most:
+        raise ValueError(f"one-hot encoding would make more than {most} columns of {names}; set "
+                         f"max_categories, or a larger max_columns")
     out: dict[int, dict[str, dict[object, int]]] = {}
     for r in found:
         name = names[r["f"]]
@@ -207,18 +212,3 @@ class MomentFit:
         parts = moments(frame, names, by=by)
         return {k: self.from_moments(frame, add_moments(parts, names, s))
                 for k, s in cells.items()}
-
-
-class CountFit:
-    """Fit from value counts, for one frame or for many cells in one job."""
-
-    def fit(self, frame: Frame):
-        names = self.names(frame)
-        parts = value_counts(frame, names, by=None)
-        return self.from_counts(frame, add_counts(parts, names))
-
-    def fit_cells(self, frame: Frame, cells: Cells, by: str = SLICE):
-        names = self.names(frame)
-        parts = value_counts(frame, names, by=by)
-        return {k: self.from_counts(frame, add_counts(parts, names, s))
-                for k, s in cells.items()}

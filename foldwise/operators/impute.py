@@ -17,31 +17,63 @@ from foldwise.operators.folds import SLICE
 STRATEGIES = ("mean", "median", "most_frequent", "constant")
 
 
+# Fixed value: the prefix of indicator columns that users of such imputers know.
+INDICATOR = "missingindicator_"
+
+
+def present(frame: Frame, name: str, missing) -> Column:
+    """The feature with null for values that stand for missing ones."""
+    if missing is None:
+        return col(name)
+    return F.when(~col(name).eqNullSafe(F.lit(missing).cast(frame.type_of(name))), col(name))
+
+
 @dataclass(frozen=True)
 class FittedImpute(Projection):
-    """One fill value per feature; features keep their place."""
+    """One fill value per feature; features keep their place, indicators follow at the end."""
 
     fills: dict[str, object]
     as_double: bool
+    missing: object = None
+    indicators: tuple[str, ...] = ()
 
     def columns(self, frame: Frame) -> dict[str, Column]:
         columns = frame.columns()
         for name, fill in self.fills.items():
             kind = T.DoubleType() if self.as_double else frame.type_of(name)
-            columns[name] = F.coalesce(col(name).cast(kind), F.lit(fill).cast(kind))
+            own = present(frame, name, self.missing)
+            filled = F.coalesce(own.cast(kind), F.lit(fill).cast(kind))
+            if self.missing is not None:
+                # Only the stated value is missing; a null stays one.
+                filled = F.when(col(name).isNull(), F.lit(None).cast(kind)).otherwise(filled)
+            columns[name] = filled
+        for name in self.indicators:
+            gone = (col(name).isNull() if self.missing is None
+                    else F.coalesce(present(frame, name, self.missing).isNull()
+                                    & col(name).isNotNull(), F.lit(False)))
+            columns[INDICATOR + name] = gone.cast("double")
         return columns
 
 
 class Impute:
     """Replace nulls by the mean, the exact median, the most frequent value
-    (ties: the smallest) or a constant."""
+    (ties: the smallest) or a constant.
+
+    With ``missing_values`` (other than null or NaN) that value is missing, not
+    null. ``add_indicator`` adds a 0/1 column for each feature with missing
+    values in the training rows, at the end.
+    """
 
-    def __init__(self, features: list[str] = (), strategy: str = "mean", fill_value=None):
+    def __init__(self, features: list[str] = (), strategy: str = "mean", fill_value=None,
+                 missing_values=None, add_indicator: bool = False):
         if strategy not in STRATEGIES:
             raise ValueError(f"strategy must be one of {STRATEGIES}, not {strategy!r}")
         self.features = list(features)
         self.strategy = strategy
         self.fill_value = fill_value
+        # NaN is read as null.
+        self.missing = None if missing_values != missing_values else missing_values
+        self.add_indicator = add_indicator
 
     def fit(self, frame: Frame) -> FittedImpute:
         return self._fit(frame, {None: None}, None)[None]
@@ -53,6 +85,11 @@ class Impute:
         names = named(frame, self.features)
         if self.strategy in ("mean", "median"):
             check_numeric(frame, names, f"the {self.strategy}")
+        marked = self._marked(frame, names, cells, by)
+        if self.missing is not None:
+            columns = {n: present(frame, n, self.missing) if n in names else c
+                       for n, c in frame.columns().items()}
+            frame = frame.rebuild(columns)
         fit = {"mean": self._means, "median": self._medians,
                "most_frequent": self._modes, "constant": self._constants}[self.strategy]
         fills = fit(frame, names, cells, by)
@@ -61,7 +98,20 @@ class Impute:
             if empty:
                 raise ValueError(f"nothing to learn a fill value from in {empty} ({key})")
         double = self.strategy in ("mean", "median")
-        return {k: FittedImpute(v, double) for k, v in fills.items()}
+        return {k: FittedImpute(v, double, self.missing, marked[k]) for k, v in fills.items()}
+
+    def _marked(self, frame, names, cells, by) -> dict:
+        """The features that get an indicator: those with missing values in the cell."""
+        if not self.add_indicator:
+            return {k: () for k in cells}
+        gone = [F.max((present(frame, n, self.missing).isNull()
+                       & (col(n).isNotNull() if self.missing is not None else F.lit(True))).cast("int"))
+                .alias(f"m{i}") for i, n in enumerate(names)]
+        slot = F.lit(0) if by is None else col(by)
+        rows = {r["s"]: r for r in frame.df.groupBy(slot.alias("s")).agg(*gone).collect()}
+        return {k: tuple(n for i, n in enumerate(names) if any(
+            rows[s][f"m{i}"] for s in (rows if slices is None else slices) if s in rows))
+            for k, slices in cells.items()}
 
     def _means(self, frame, names, cells, by):
         parts = moments(frame, names, by)

@@ -168,7 +168,7 @@ class Pipeline:
                 run.fits[run.key(step, level)] = fitted[i]
             if long is None:
                 long = expand(frame, runs)
-            if not all(isinstance(f, Projection) for f in fitted.values()):
+            if not all(isinstance(f, Projection) and f.plain for f in fitted.values()):
                 return
             long = apply_cells(fitted, long, F.col(CELL))
             if long is None:

@@ -23,6 +23,7 @@ from pyspark.sql import types as T
 from foldwise.frame import Frame, col
 from foldwise.models import CLASSIFIERS
 from foldwise.models.base import sampled_parameters
+from foldwise.models.cells import TrainSide
 from foldwise.operators import metrics as M
 from foldwise.operators.folds import FoldPlan, assign_slices, side
 from foldwise.operators.select import isolate_target
@@ -30,7 +31,8 @@ from foldwise.plans.pipeline import Pipeline, Run, Step, check_options
 from foldwise.plans.proposals import propose
 from foldwise.plans.space import Parameter, Space
 from foldwise.sources.results import ResultStore, run_label, stage_name, train_name
-from foldwise.sources.tables import read_table, stored
+from foldwise.sources.formats import TABULAR, read_format
+from foldwise.sources.tables import stored
 
 STAGES = ("train", "validate", "test")
 STARTUP_TRIALS = 10
@@ -69,6 +71,17 @@ class StudySpec:
                          spec.get("direction", direction))
 
 
+@dataclass
+class Prepared:
+    """A replicate of a trial before its models are fitted."""
+
+    replicate: int
+    model: object
+    used: list[str]
+    # By (stage, cross): the rows to train on, and those to score.
+    sides: dict[tuple, tuple[TrainSide, Frame]]
+
+
 class Study:
     """Data, model and study specs put together. ``custom_*`` add transforms,
     models and metrics by name."""
@@ -128,8 +141,9 @@ class Study:
         return "double"
 
     def load(self, spark: SparkSession) -> Frame:
-        return read_table(spark, self.data["data_source"], self.data.get("separator", ","),
-                          self.data.get("index"))
+        name = self.data.get("format", TABULAR)
+        options = {"separator": self.data["separator"]} if "separator" in self.data else {}
+        return read_format(spark, name, self.data["data_source"], self.data.get("index"), **options)
 
     # --- The loop ------------------------------------------------------------
 
@@ -152,8 +166,8 @@ class Study:
         self._fit_ahead(frame, fits)
         writing = Lock()
 
-        def finish(replicate: int, trial: int, chosen: dict) -> None:
-            row = self._trial(frame, store, replicate, trial, chosen, fits)
+        def finish(replicate: int, trial: int, chosen: dict, together: dict) -> None:
+            row = self._trial(frame, store, replicate, trial, chosen, fits, together)
             with writing:  # one writer of the folder at a time
                 store.append(self.run_name, spark.createDataFrame([row], self.result_schema()))
 
@@ -163,8 +177,12 @@ class Study:
                 continue
             chosen = self._parameters(spark, store, trial)
             with ThreadPoolExecutor(self.parallel) as pool:
+                together = {}
+                if hasattr(self.classifier, "fit_cells"):
+                    together = self._fit_cells(list(pool.map(
+                        lambda r: self._prepared(frame, r, chosen.get(r, {}), fits), todo)))
                 # A failing replicate raises after the others are stored.
-                list(pool.map(lambda r: finish(r, trial, chosen.get(r, {})), todo))
+                list(pool.map(lambda r: finish(r, trial, chosen.get(r, {}), together), todo))
         return store.load(self.run_name)
 
     def _fit_ahead(self, frame: Frame, fits: dict) -> None:
@@ -190,8 +208,8 @@ class Study:
                             self.spec.seed + trial, self.spec.direction)
         return {r["replicate"]: r.asDict() for r in table.collect()}
 
-    def _trial(self, frame: Frame, store: ResultStore, replicate: int, trial: int,
-               chosen: dict, fits: dict) -> dict:
+    def _prepared(self, frame: Frame, replicate: int, chosen: dict, fits: dict) -> Prepared:
+        """Fit the transforms of a replicate; its models are not fitted yet."""
         def resolve(step: Step) -> dict:
             return self.space.resolve(step.owner, step.options, chosen)
 
@@ -205,7 +223,55 @@ class Study:
         inside, outside = self.pipeline.split(
             side(whole, self.plan.in_group(replicate)),
             side(whole, self.plan.out_group(replicate)), "replicate", run)
-        preds, fitted = self._predictions(inside, outside, model, replicate, run, fits)
+        sides = self._crosses(inside, replicate, run, fits)
+        sides["validate", None] = (TrainSide(inside), inside)
+        sides["test", None] = (TrainSide(inside), outside)
+        return Prepared(replicate, model, used, sides)
+
+    def _crosses(self, inside: Frame, replicate: int, run: Run, fits: dict) -> dict[tuple, tuple]:
+        """Train and held-out side of every cross of a replicate."""
+        shared = self.pipeline.prepare(inside, "cross", run)
+        private = run.private or not run.clean
+        held = {} if private else fits
+        runs = [Run((replicate, x), run.resolve, held, private)
+                for x in range(self.plan.crosses)]
+        self.pipeline.fit_ahead(shared, "cross", {
+            r: self.plan.cross_train(replicate, x) for x, r in enumerate(runs)})
+        own_fits = any(s.runs_at("cross") for s in self.pipeline.after)
+        sides: dict[tuple, tuple] = {}
+        for x, cross_run in enumerate(runs):
+            slices = self.plan.cross_train(replicate, x)
+            test = side(shared, self.plan.cross_test(replicate, x))
+            learn = TrainSide(shared, tuple(slices))  # one frame for all crosses
+            if own_fits:
+                train, test = self.pipeline.split(side(shared, slices), test, "cross", cross_run)
+                learn = TrainSide(train)
+            sides["train", x] = (learn, test)
+        return sides
+
+    def _fit_cells(self, ready: list[Prepared]) -> dict[int, tuple[Prepared, dict]]:
+        """By replicate its sides and models by cross, all fitted together."""
+        fitted = self.classifier.fit_cells({
+            (p.replicate, cross): (p.model, learn)
+            for p in ready for (_, cross), (learn, _) in p.sides.items()})
+        return {p.replicate: (p, {cross: fitted[p.replicate, cross] for _, cross in p.sides})
+                for p in ready}
+
+    def _trial(self, frame: Frame, store: ResultStore, replicate: int, trial: int, chosen: dict,
+               fits: dict, together: dict) -> dict:
+        """Predict and score all cells of one replicate; fit them, unless that is done."""
+        if replicate in together:
+            ready, own = together[replicate]
+        else:
+            ready, own = self._prepared(frame, replicate, chosen, fits), {}
+        for (_, cross), (learn, _) in ready.sides.items():
+            if cross not in own:
+                own[cross] = ready.model.fit(learn.rows())
+        fitted = {(stage, cross): (own[cross], frame)
+                  for (stage, cross), (_, frame) in ready.sides.items()}
+        preds = reduce(DataFrame.unionByName, [
+            self._scored(model, frame, stage, cross)
+            for (stage, cross), (model, frame) in fitted.items()])
         preds = preds.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             row = self._scores(preds)
@@ -213,38 +279,15 @@ class Study:
             self._importance(fitted, row)
         finally:
             preds.unpersist()
-            for model in {id(m): m for m, _ in fitted.values()}.values():
+            for model in own.values():
                 if hasattr(model, "release"):
                     model.release()
         for (owner, key), p in self.space.parameters.items():
-            sampled = owner != MODEL or key in used
+            sampled = owner != MODEL or key in ready.used
             row[p.label] = chosen[p.label] if sampled else None
         row.update(replicate=replicate, trial=trial)
         return {f.name: row.get(f.name) for f in self.result_schema()}
 
-    def _predictions(self, inside: Frame, outside: Frame, model, replicate: int, run: Run,
-                     fits: dict) -> tuple[DataFrame, dict]:
-        """(stage, cross, row id, label, pred, proba) of all cells of a trial."""
-        shared = self.pipeline.prepare(inside, "cross", run)
-        private = run.private or not run.clean
-        held = {} if private else fits
-        runs = [Run((replicate, x), run.resolve, held, private)
-                for x in range(self.plan.crosses)]
-        self.pipeline.fit_ahead(shared, "cross", {
-            r: self.plan.cross_train(replicate, x) for x, r in enumerate(runs)})
-        parts, fitted = [], {}
-        for x, cross_run in enumerate(runs):
-            train, test = self.pipeline.split(
-                side(shared, self.plan.cross_train(replicate, x)),
-                side(shared, self.plan.cross_test(replicate, x)), "cross", cross_run)
-            fitted["train", x] = (model.fit(train), test)
-            parts.append(self._scored(*fitted["train", x], "train", x))
-        final = model.fit(inside)
-        for stage, frame in (("validate", inside), ("test", outside)):
-            fitted[stage, None] = (final, frame)
-            parts.append(self._scored(final, frame, stage, None))
-        return reduce(DataFrame.unionByName, parts), fitted
-
     @staticmethod
     def _scored(fitted, frame: Frame, stage: str, cross: int | None) -> DataFrame:
         return fitted.predict(frame).select(

@@ -11,7 +11,7 @@ from foldwise.models.base import training_set
 from foldwise.models.linear import LogisticClassifier
 from foldwise.models.neighbors import NeighborsClassifier
 from foldwise.models.svm import SupportVectorClassifier
-from foldwise.models.trees import BoostClassifier, ForestClassifier
+from foldwise.models import BoostClassifier, ForestClassifier
 from foldwise.operators.encode import Ladder, OneHot
 from foldwise.operators.folds import FoldPlan, assign_slices
 from foldwise.operators.impute import Impute
