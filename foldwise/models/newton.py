@@ -103,6 +103,8 @@ class _State:
     promised: float = 0.0
     steps: int = 0
     done: bool = False
+    # At the weights, with the penalty.
+    hessian: np.ndarray | None = None
 
     @property
     def point(self) -> np.ndarray:
@@ -125,6 +127,7 @@ class _State:
         gradient = sums[1:1 + size] + (self.l2 * at).ravel()
         hessian = sums[1 + size:].reshape(size, size) + np.diag(self.l2.ravel())
         hessian += RIDGE * max(1.0, np.trace(hessian) / size) * np.eye(size)
+        self.hessian = hessian
         step = _solve(gradient, hessian, at.ravel(), self.l1.ravel())
         moved = at.ravel() + step
         self.promised = gradient @ step + (self.l1.ravel() * (np.abs(moved) - np.abs(at.ravel()))).sum()
@@ -182,6 +185,45 @@ def fit(rows: CellRows, strengths: dict[Hashable, tuple[float | None, float]],
             for key, s in states.items()}
 
 
+def eliminate(rows: CellRows, key: Hashable, strength: tuple[float | None, float], keep: int,
+              max_iter: int = 100) -> list[int]:
+    """Places of the features left when the weakest goes, one after the other, until ``keep``
+    are left; weakest is the smallest sum over classes of squared weights.
+
+    Each fit starts where the last one's quadratic model has its minimum without the
+    feature, which is a step or two from its own.
+    """
+    cell = rows.cells[key]
+    state, left = _start(cell, *strength), list(range(len(cell.features)))
+    while len(left) > keep:
+        for _ in range(max_iter):
+            if state.done:
+                break
+            point, own = state.point, list(left)
+
+            def work(key, cell, x, y, v, point=point, own=own):
+                return sums_of(x[:, own], y, point)
+
+            state.take(summed(rows, [key], work)[key])
+        weakest = int(np.argmin(np.square(state.weights[:, :-1]).sum(axis=0)))
+        state = _without(state, weakest)
+        left.pop(weakest)
+    return left
+
+
+def _without(state: _State, feature: int) -> _State:
+    """The start of the fit without a feature."""
+    gone = np.zeros(state.weights.shape, dtype=bool)
+    gone[:, feature] = True
+    out, rest = gone.ravel(), ~gone.ravel()
+    # What the others gain when its weights go to 0, by the quadratic model.
+    change = np.linalg.solve(state.hessian[np.ix_(rest, rest)],
+                             state.hessian[np.ix_(rest, out)] @ state.weights.ravel()[out])
+    shape = (len(state.weights), -1)
+    return _State((state.weights.ravel()[rest] + change).reshape(shape),
+                  state.l1[~gone].reshape(shape), state.l2[~gone].reshape(shape))
+
+
 def _start(cell: Cell, c: float | None, share: float) -> _State:
     """Zero weights, and intercepts that give the classes their frequencies."""
     k = 1 if len(cell.classes) == 2 else len(cell.classes)

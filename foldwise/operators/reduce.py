@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from foldwise.frame import Frame, col, quoted
 from foldwise.functions.vectors import VECTOR, feature_array, with_vector
+from foldwise.models import newton
 from foldwise.models.base import INDEX, training_set
+from foldwise.models.cells import DRIVER_NUMBERS, TrainSide, gather
 from foldwise.models.linear import LogisticClassifier
 from foldwise.operators.base import Projection, check_numeric
 
@@ -152,9 +154,17 @@ class RecursiveElimination:
         left = list(range(n))
         if self.keep(n) >= n:
             return FittedSelection(frame.features)
+        learner = LogisticClassifier("l2", l2_c=1.0)
+        rows = gather({0: TrainSide(frame)})
+        try:
+            if newton.numbers(rows.cells[0]) <= DRIVER_NUMBERS:
+                left = newton.eliminate(rows, 0, learner.strength(), self.keep(n))
+                return FittedSelection(tuple(frame.features[i] for i in left))
+        finally:
+            rows.release()
+        # A Hessian too wide for the driver: gradients only, every fit from the start.
         train = training_set(frame)
         base = train.df.persist(StorageLevel.MEMORY_AND_DISK)
-        learner = LogisticClassifier("l2", l2_c=1.0)
         try:
             while len(left) > self.keep(n):
                 view = VectorSlicer(inputCol=VECTOR, outputCol="__left", indices=left)

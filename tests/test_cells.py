@@ -170,3 +170,14 @@ def test_bins_of_many_values():
     assert len(cuts) == 9 and np.abs(np.diff(cuts) - 100).max() <= 2
     assert boost._cuts(np.array([3.0, 3.0]), np.ones(2), 10).size == 0
     assert boost._cuts(np.array([1.0, 2.0, 4.0]), np.ones(3), 10).tolist() == [1.5, 3.0]
+
+
+def test_elimination_by_either_way(sliced, monkeypatch):
+    """Warm starts drop what fits from the start drop."""
+    from pyspark.sql import functions as F
+    from foldwise.operators import reduce
+    wide = sliced.rebuild({**sliced.columns(), "n1": F.rand(1), "n2": F.rand(2), "n3": F.rand(3)})
+    wide = wide.with_df(wide.df.cache())
+    quick = reduce.RecursiveElimination(3).fit(wide).names
+    monkeypatch.setattr(reduce, "DRIVER_NUMBERS", 1)
+    assert reduce.RecursiveElimination(3).fit(wide).names == quick
