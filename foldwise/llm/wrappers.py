@@ -1,28 +1,36 @@
 """Main text of web pages by wrappers inferred from the pages of a host.
 
-A page is a stream of tokens: tags (with class, id and role) and text. Streams
-of a host are aligned one after the other with what the host's wrapper is so
-far. A wrapper is a union-free regular expression: tags, text slots, optional
-groups and repeated groups. Where stream and wrapper differ, the difference
-becomes an optional group; where a group is beside an equal one, a repeated
-group; where only text differs, a slot.
-
-Inference covers every page. Streams of pages are folded in the map tasks (text
-becomes slots, neighbouring equal groups one repeated group) and counted, so a
-host gives its distinct folded streams only. They are aligned in hash buckets
-of a host first, and the buckets' wrappers are aligned then: a host with a
-third of all pages is many small tasks.
-
-A block's path is the tags around it. Pages are not matched against the wrapper
-yet: of it only whether it has an ``article`` or ``main`` is read, which changes
-no text. The article are the blocks inside ``article`` or ``main`` if the page has
-text there, else all; and never those inside menus, headers, footers, sidebars, notices, adverts,
-forms, scripts, styles or comments, told by tag, role, class or id. Outside
-``article`` and ``main``, a text that nine in ten distinct contents of a host
-(five at least) repeat at the same path is a notice, so copies of a page count
-once. A notice stays if text that is none stands in the element around it (for
-``body``: directly in it), as a standing heading does, or if a page has nothing
-else.
+A page is a stream of tokens: the elements around its blocks of text (with class,
+id and role), and a slot for each text, told apart by whether all of it is a
+link. Streams of a host are aligned one after the other with what the host's
+wrapper is so far. A wrapper is a union-free regular expression: tags, text
+slots, optional groups and repeated groups. Where stream and wrapper differ, the
+difference becomes an optional group; where a group is beside an equal one, a
+repeated group.
+
+Inference covers every page. Streams are folded in the map tasks (neighbouring
+equal groups become one repeated group) and counted, so a host gives its distinct
+folded streams only. They are merged in rounds, about ``FAN_IN`` to a group, until
+a host has one wrapper: a host with a third of all pages is many small tasks.
+
+A page's block is matched to its slot by the elements around it, which the
+wrapper keeps. Three things follow from wrappers and slots:
+
+* a repeated group that holds nothing but links is a menu;
+* a text that nine in ten distinct contents of a host (two at least: one alone
+  cannot be aligned) repeat at its slot belongs to the wrapper, not to the page,
+  if the elements around it have a class, id or role: templates name their parts;
+* an element whose class has a telling word among others (``related-work``) is
+  left out only if its slots are menus or its text is the wrapper's.
+
+The article are the blocks inside ``article`` or ``main`` if the page has text
+there, else all that are neither menus nor text of the wrapper; and never those
+inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles or
+comments, told by tag, role, or a class or id made of such words only. Inside
+``article`` and ``main`` the wrapper alone drops nothing. Outside, a text of the
+wrapper stays if text of the page stands in the element around it (for ``body``:
+directly in it), as a standing heading does, or if a page has nothing else.
+Copies of a page count once.
 
 The text of a block (paragraph, heading, list item, cell, ...) has white space
 as single spaces; blocks are joined by an empty line. A null html is empty and
@@ -39,6 +47,7 @@ import html
 import json
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 import pyarrow as pa
@@ -47,11 +56,12 @@ from pyspark.sql import functions as F
 
 from foldwise.llm.common import stored
 
-BUCKETS = 32
+# Streams that a task aligns with each other, about.
+FAN_IN = 16
 # Wrappers are broadcast up to so many characters in all, else joined by shuffle.
 BROADCAST_CHARS = 32 << 20
-LONGEST_GROUP = 8
-NOTICE_SHARE, NOTICE_PAGES = 0.9, 5
+# A text of the wrapper: by so much of at least so many distinct contents of a host.
+CONSTANT_SHARE, ALIGNED = 0.9, 2
 
 # The sets of elements that HTML defines.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -80,6 +90,12 @@ _SKIPPED_WORDS = frozenset(
     "consent gdpr popup modal overlay alert newsletter subscribe subscription signup login "
     "share sharing social related recommended widget toolbar pagination pager hidden".split())
 _HEADERS = frozenset(("header", "pageheader", "siteheader"))
+# Words that say where or how, not what: a class of these and telling words tells.
+_NEUTRAL = frozenset(
+    "area article articles bar block body bottom box btn button buttons center col column container "
+    "content count feed fixed float footer form global group head header icon icons inner item items "
+    "left link links list main media message module msg outer page panel post posts primary right row "
+    "secondary section site slot sticky tag text thread title top unit wrap wrapper".split())
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>"
@@ -89,7 +105,9 @@ _ATTRIBUTE = re.compile(
     r"(?=[\s\"'/]|$)", re.I | re.S)
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in _RAW}
 _WORD = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+")
-TEXT = "#"
+# Slots: text, and text that is a link as a whole.
+TEXT, LINK = "#", "@"
+_SLOTS = (TEXT, LINK)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -129,23 +147,29 @@ def label(tag: str, attrs: str) -> str:
     return " ".join(parts)
 
 
-def skipped(label_: str, inside: bool) -> bool:
-    """Whether an element is no part of an article; ``inside``: an article is around it."""
+def telling(label_: str, inside: bool) -> int:
+    """2 if an element is no part of an article, 1 if a word of its class or id says so among
+    others that don't, else 0; ``inside``: an article is around it."""
     tag, _, rest = label_.partition(" ")
     if tag in _SKIPPED or tag == "header" and not inside:
-        return True
+        return 2
     if tag in ("html", "body", "article", "main"):
-        return False  # their classes tell what the page has, not what they are
+        return 0  # their classes tell what the page has, not what they are
+    most = 0
     for name, value in re.findall(r"(class|id|role|hidden)(?:=(.*?))?(?= class| id| role|"
                                   r" hidden| itemprop|$)", rest):
         if name == "hidden" or name == "role" and value.lower() in _SKIPPED_ROLES:
-            return True
+            return 2
         for word in value.split():
             parts = {p.lower() for p in _WORD.findall(word)}
             joined = re.sub(r"[^a-z]", "", word.lower())
-            if parts & _SKIPPED_WORDS or joined in _SKIPPED_WORDS | _HEADERS:
-                return True
-    return False
+            if joined in _SKIPPED_WORDS | _HEADERS:
+                return 2
+            if parts & _SKIPPED_WORDS:
+                if not parts - _SKIPPED_WORDS - _NEUTRAL:
+                    return 2
+                most = 1
+    return most
 
 
 def _is_article(label_: str) -> bool:
@@ -153,20 +177,24 @@ def _is_article(label_: str) -> bool:
             or "itemprop=articleBody" in label_)
 
 
-def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
-    """(path, text) of each block in page order; a block ends where a block tag stands."""
+def tag_of(entry: str) -> str:
+    return entry.split(" ", 1)[0]
+
+
+def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
+    """(path, text, whether all of it is a link) of each block in page order; a block ends
+    where a block tag stands."""
     stack: list[str] = []
     text: list[str] = []
+    linked: list[bool] = []
     path: tuple[str, ...] = ()
 
-    def flush() -> Iterator[tuple[tuple[str, ...], str]]:
+    def flush() -> Iterator[tuple[tuple[str, ...], str, bool]]:
         joined = " ".join(html.unescape("".join(text)).split())
-        text.clear()
         if joined:
-            yield path, joined
-
-    def tag_of(entry: str) -> str:
-        return entry.split(" ", 1)[0]
+            yield path, joined, all(own for own, piece in zip(linked, text) if piece.strip())
+        text.clear()
+        linked.clear()
 
     for kind, name, attrs in tokens(page):
         if kind == TEXT:
@@ -176,9 +204,11 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str]]:
             if not text:
                 path = own
             text.append(name)
+            linked.append("a" in map(tag_of, own))
             continue
         if kind == "<" and name == "br":
             text.append(" ")
+            linked.append(False)
             continue
         if name in _BLOCKS:
             yield from flush()
@@ -222,7 +252,8 @@ def folded(items: list) -> list:
     changed = True
     while changed:
         changed = False
-        for size in range(1, LONGEST_GROUP + 1):
+        size = 0
+        while 2 * (size := size + 1) <= len(items):
             out: list = []
             k = 0
             while k < len(items):
@@ -231,6 +262,8 @@ def folded(items: list) -> list:
                 while len(group) == size and items[k + n * size:k + (n + 1) * size] == group:
                     n += 1
                 last = out[-1] if out else None
+                if n > 1 and not _balanced(group):
+                    n = 1
                 if n > 1 and not (size == 1 and group[0] == TEXT):
                     inner = group[0][1] if size == 1 and isinstance(group[0], list) \
                         and group[0][0] == "+" else group
@@ -251,6 +284,17 @@ def folded(items: list) -> list:
     return items
 
 
+def _balanced(group: list) -> bool:
+    """Whether every element of a group opens and ends in it."""
+    depth = 0
+    for item in group:
+        if not isinstance(item, list):
+            depth += (item[0] == "<") - (item[0] == ">")
+            if depth < 0:
+                return False
+    return depth == 0
+
+
 def aligned(a: list, b: list) -> list:
     """One wrapper for all that match a or b: a longest common subsequence, rest optional."""
     if a == b:
@@ -289,8 +333,8 @@ def _optional(items: list) -> list:
 
 
 def _meets(x: object, y: object) -> bool:
-    """Whether two items are one: equal, or groups around the same items."""
-    return x == y or _body(x) == _body(y)
+    """Whether two items are one: equal, slots, or groups around the same items."""
+    return x == y or _body(x) == _body(y) or x in _SLOTS and y in _SLOTS
 
 
 def _body(x: object) -> list:
@@ -300,6 +344,8 @@ def _body(x: object) -> list:
 def _met(x: object, y: object) -> object:
     if x == y:
         return x
+    if x in _SLOTS and y in _SLOTS:
+        return TEXT
     signs = {v[0] if isinstance(v, list) else "" for v in (x, y)}
     body = _body(x)
     if "?" in signs:
@@ -307,17 +353,50 @@ def _met(x: object, y: object) -> object:
     return ["+", body]
 
 
+def address(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The elements around a block that tell its slot: block elements, and those with a class."""
+    return tuple(p for p in path if " " in p or p in _BLOCKS)
+
+
 def stream(page: str) -> list:
-    """The folded stream of a page: labels of opened tags, ends, and text slots."""
+    """The folded stream of a page: elements around its blocks as they open and end, and slots."""
     out: list = []
-    for kind, name, attrs in tokens(page):
-        if kind == "<":
-            out.append(f"<{label(name, attrs)}")
-        elif kind == ">":
-            out.append(f">{name}")
-        elif name.strip() and (not out or out[-1] != TEXT):
-            out.append(TEXT)
-    return folded(out)
+    open_: tuple[str, ...] = ()
+    for path, _, linked in blocks(page):
+        path = address(path)
+        same = 0
+        while same < min(len(open_), len(path)) and open_[same] == path[same]:
+            same += 1
+        if out and path == open_ and path:
+            same -= 1  # the next element of the same kind
+        out += [f">{tag_of(p)}" for p in open_[same:][::-1]]
+        out += [f"<{p}" for p in path[same:]]
+        out.append(LINK if linked else TEXT)
+        open_ = path
+    return folded(out + [f">{tag_of(p)}" for p in open_[::-1]])
+
+
+def menus(wrapper: list) -> set[tuple[str, ...]]:
+    """The addresses of slots in repeated groups that hold nothing but links."""
+    found: set[tuple[str, ...]] = set()
+    other: set[tuple[str, ...]] = set()
+    open_: list[str] = []
+
+    def walk(items: list, repeated: bool) -> None:
+        for item in items:
+            if isinstance(item, list):
+                inner = [t for t in _flat(item[1]) if t in _SLOTS]
+                walk(item[1], repeated or item[0] == "+" and bool(inner) and set(inner) == {LINK})
+            elif item[0] == "<":
+                open_.append(item[1:])
+            elif item[0] == ">":
+                if open_:
+                    open_.pop()
+            else:
+                (found if repeated else other).add(tuple(open_))
+
+    walk(wrapper, False)
+    return found - other
 
 
 def _flat(items: list) -> Iterator[str]:
@@ -332,48 +411,77 @@ def has_article(wrapper: list) -> bool:
     return any(t[0] == "<" and _is_article(t[1:]) for t in _flat(wrapper))
 
 
-def _placed(page: str, article: bool) -> list[tuple[str, str, bool]]:
-    """(path, text, whether an article element is around it) of the blocks of the article."""
-    out: list[tuple[str, str, bool]] = []
-    other: list[tuple[str, str, bool]] = []
-    for path, text in blocks(page):
-        inside, kept = False, True
+@dataclass(frozen=True)
+class Block:
+    """A block that may be of the article, and what its page tells about it."""
+
+    path: str
+    text: str
+    # An article is around it; its class has a telling word among others; it is in a menu.
+    inside: bool
+    doubtful: bool
+    menu: bool
+
+    @property
+    def mark(self) -> int:
+        return _mark(self.path, self.text)
+
+    @property
+    def named(self) -> bool:
+        """Whether an element inside the body has a class, id or role, as a template gives."""
+        return any(" " in p and tag_of(p) not in ("html", "body") for p in self.path.split("/"))
+
+
+def _placed(page: str, known: "Known") -> list[Block]:
+    """The blocks of the article, and all that may be of one if the page has none."""
+    out: list[Block] = []
+    other: list[Block] = []
+    for path, text, _ in blocks(page):
+        inside, least = False, 0
         for entry in path:
-            if skipped(entry, inside):
-                kept = False
+            least = max(least, telling(entry, inside))
+            if least == 2:
                 break
             inside = inside or _is_article(entry)
-        if kept:
-            (out if inside or not article else other).append(
-                ("/".join(p.replace("/", "|") for p in path), text, inside))
+        if least < 2:
+            own = Block("/".join(p.replace("/", "|") for p in path), text, inside, least == 1,
+                        address(path) in known.menus)
+            (out if inside or not known.article else other).append(own)
     return out or other
 
 
 def main_blocks(page: str, article: bool) -> list[tuple[str, str]]:
-    """(path, text) of the blocks of the article; all that isn't skipped, if the page has none."""
-    return [(path, text) for path, text, _ in _placed(page, article)]
+    """(path, text) of the blocks of the article, if nothing is known of other pages."""
+    return [(b.path, b.text) for b in _placed(page, Known(article, frozenset()))]
 
 
-def without_notices(own: list[tuple[str, str, bool]], gone: set[int]) -> list[tuple[str, str]]:
-    """The blocks that are no notices; a notice beside other text in its element stays."""
-    notice = [not inside and _mark(path, text) in gone for path, text, inside in own]
+def chosen(own: list[Block], constant: set[int]) -> list[str]:
+    """The texts that are the page's; one of the wrapper beside them in its element stays."""
+    gone = []
+    for b in own:
+        wrapper = b.mark in constant
+        if b.inside or b.doubtful:
+            gone.append(b.doubtful and (wrapper or b.menu))
+        else:
+            gone.append(wrapper or b.menu)
     # Elements with other text directly in them, and with such text at any depth.
     direct: set[str] = set()
     around: set[str] = set()
-    for (path, _, _), is_notice in zip(own, notice):
-        if not is_notice:
-            above = path.rpartition("/")[0]
+    for b, is_gone in zip(own, gone):
+        if not is_gone:
+            above = b.path.rpartition("/")[0]
             direct.add(above)
             while above and above not in around:
                 around.add(above)
                 above = above.rpartition("/")[0]
     out = []
-    for (path, text, _), is_notice in zip(own, notice):
-        above = path.rpartition("/")[0]
+    for b, is_gone in zip(own, gone):
+        above = b.path.rpartition("/")[0]
         top = above.rpartition("/")[2].split(" ", 1)[0] in ("", "html", "body")
-        if not is_notice or above in (direct if top else around):
-            out.append((path, text))
-    return out or [(path, text) for path, text, _ in own]
+        stays = not b.menu and not b.doubtful and above in (direct if top else around)
+        if not is_gone or stays:
+            out.append(b.text)
+    return out or [b.text for b in own]
 
 
 def host(url: Column) -> Column:
@@ -396,11 +504,19 @@ def wrappers(pages: DataFrame) -> DataFrame:
             wrapper = own if wrapper is None else aligned(wrapper, own)
         return pd.DataFrame({"host": [rows["host"].iloc[0]], "stream": [json.dumps(wrapper)]})
 
-    distinct = (pages.select("host", "html").mapInArrow(streams, "host string, stream string")
-                .distinct().withColumn("bucket", F.pmod(F.xxhash64("stream"), F.lit(BUCKETS))))
-    partial = distinct.groupBy("host", "bucket").applyInPandas(merged, "host string, stream string")
-    return partial.groupBy("host").applyInPandas(merged, "host string, stream string").select(
-        "host", F.col("stream").alias("wrapper"))
+    left = stored(pages.select("host", "html").mapInArrow(streams, "host string, stream string")
+                  .distinct(), "streams")
+    while True:
+        counts = left.groupBy("host").agg(F.count("*").alias("n"))
+        most = counts.agg(F.max("n")).first()[0] or 0
+        if most <= 1:
+            return left.select("host", F.col("stream").alias("wrapper"))
+        # A host's streams in groups of about FAN_IN, one group at last.
+        groups = F.ceil(F.col("n") / FAN_IN)
+        dealt = left.join(counts, "host").withColumn(
+            "bucket", F.pmod(F.xxhash64("stream"), groups))
+        left = stored(dealt.groupBy("host", "bucket").applyInPandas(
+            merged, "host string, stream string").distinct(), "streams")
 
 
 def _mark(path: str, text: str) -> int:
@@ -409,37 +525,46 @@ def _mark(path: str, text: str) -> int:
     return int.from_bytes(digest, "little", signed=True)
 
 
-def _cut_up(batch: pa.RecordBatch,
-            article: dict[str, bool]) -> Iterator[list[tuple[str, str, bool]]]:
-    """The article's blocks of each page, by its host's wrapper."""
+@dataclass(frozen=True)
+class Known:
+    """What a host's wrapper tells: whether it has an article, and where its menus are."""
+
+    article: bool
+    menus: frozenset[tuple[str, ...]]
+
+    @staticmethod
+    def of(wrapper: str) -> "Known":
+        items = json.loads(wrapper) or []
+        return Known(has_article(items), frozenset(menus(items)))
+
+
+def _cut_up(batch: pa.RecordBatch, seen: dict[str, Known]) -> Iterator[list[Block]]:
+    """The blocks of each page that may be of its article, by its host's wrapper."""
     for page, wrapper in zip(batch.column("html"), batch.column("wrapper")):
-        known = wrapper.as_py()
-        if known not in article:
-            article.clear()
-            article[known] = has_article(json.loads(known) or [])
-        yield _placed(page.as_py(), article[known])
+        text = wrapper.as_py()
+        if text not in seen:
+            seen.clear()
+            seen[text] = Known.of(text)
+        yield _placed(page.as_py(), seen[text])
 
 
 def _marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    article: dict[str, bool] = {}
+    seen: dict[str, Known] = {}
     for batch in batches:
         found, contents = [], []
-        for own in _cut_up(batch, article):
-            found.append(sorted({_mark(path, text) for path, text, inside in own if not inside}))
-            contents.append(_mark("", "\0".join(f"{path}\0{text}" for path, text, _ in own)))
+        for own in _cut_up(batch, seen):
+            found.append(sorted({b.mark for b in own if b.named and (not b.inside or b.doubtful)}))
+            contents.append(_mark("", "\0".join(f"{b.path}\0{b.text}" for b in own)))
         yield pa.RecordBatch.from_arrays(
             [batch.column("host"), pa.array(contents, pa.int64()),
              pa.array(found, pa.list_(pa.int64()))], names=["host", "content", "marks"])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    article: dict[str, bool] = {}
+    seen: dict[str, Known] = {}
     for batch in batches:
-        out = []
-        for own, notices in zip(_cut_up(batch, article), batch.column("notices")):
-            gone = set(notices.as_py() or ())
-            kept = without_notices(own, gone) if gone else [b[:2] for b in own]
-            out.append("\n\n".join(text for _, text in kept))
+        out = ["\n\n".join(chosen(own, set(constant.as_py() or ())))
+               for own, constant in zip(_cut_up(batch, seen), batch.column("constant"))]
         yield pa.RecordBatch.from_arrays(
             [*[batch.column(c) for c in ("page_id", "url", "host")], pa.array(out, pa.string())],
             names=["page_id", "url", "host", "text"])
@@ -466,13 +591,13 @@ def extracted(pages: DataFrame) -> DataFrame:
     spread = marks.select("host", F.explode(F.concat(
         "marks", F.array(F.lit(None).cast("bigint")))).alias("mark"))
     counts = stored(spread.groupBy("host", "mark").agg(F.count("*").alias("n"))
-                    .where(F.col("n") >= NOTICE_PAGES), "page-marks")
+                    .where(F.col("n") >= ALIGNED), "page-marks")
     total = counts.where(F.col("mark").isNull()).select("host", F.col("n").alias("pages"))
-    notices = (counts.where(F.col("mark").isNotNull()).join(total, "host")
-               .where(F.col("n") >= NOTICE_SHARE * F.col("pages"))
-               .groupBy("host").agg(F.collect_set("mark").alias("notices")))
-    facts = stored(found.join(notices, "host", "left"), "host-facts")
-    size = F.length("wrapper") + 8 * F.coalesce(F.size("notices"), F.lit(0))
+    constant = (counts.where(F.col("mark").isNotNull()).join(total, "host")
+                .where(F.col("n") >= CONSTANT_SHARE * F.col("pages"))
+                .groupBy("host").agg(F.collect_set("mark").alias("constant")))
+    facts = stored(found.join(constant, "host", "left"), "host-facts")
+    size = F.length("wrapper") + 8 * F.coalesce(F.size("constant"), F.lit(0))
     schema = "page_id {}, url string, host string, text string".format(
         pages.schema["page_id"].dataType.simpleString())
     return pages.join(_by_host(facts, size), "host").mapInArrow(_texts, schema)

@@ -1,5 +1,8 @@
 """Article text of pages, folding and alignment of streams."""
 
+import random
+import re
+
 import pytest
 
 from foldwise.llm import wrappers
@@ -83,3 +86,97 @@ def test_aligned():
     assert wrappers.aligned(wrappers.aligned(a, b), a) == wrappers.aligned(a, b)
     many = wrappers.folded(["<x", ">x", "<x", ">x"])
     assert wrappers.aligned(["<u", *many], ["<u"]) == ["<u", ["?", many]]
+
+
+INSIDE = """<html><body><nav><a>Home</a></nav><article><h1>Title {i}</h1>
+<div class='share-price'><p>Price {i}</p></div><div class='related-work'><p>Work of {i}</p></div>
+<p class='alert-level'>Level {i}</p><table class='signup-stats'><tr><td>Stat {i}</td></tr></table>
+<div class='related-work share-note'><p>Note on all pages</p></div>
+<section class='comments comment-list'><p>I like {i}</p></section><p>End {i}</p></article></body></html>"""
+
+
+@pytest.mark.parametrize("pages", [1, 2, 4, 5, 9])
+def test_class_words_inside_an_article(spark, pages):
+    """Telling words among others drop nothing by themselves; text of the wrapper then goes."""
+    got = extract(spark, [(i, "http://h/", INSIDE.format(i=i)) for i in range(pages)])
+    note = "Note on all pages\n\n" if pages == 1 else ""
+    assert all(got[i] == f"Title {i}\n\nPrice {i}\n\nWork of {i}\n\nLevel {i}\n\nStat {i}\n\n"
+               f"{note}End {i}" for i in range(pages))
+
+
+NEUTRAL = """<html><body><div class=ka><ul>{links}</ul></div><div class=kb><p>Fixed words</p></div>
+<div class=kc><h2>Head {i}</h2><p>Body <a href=x>link {i}</a> of {i}</p><p>{i} more</p></div>
+<div class=kd><div class=ke><a href=y>See {i}</a></div><div class=ke><a href=z>And {i}</a></div></div>
+</body></html>"""
+
+
+@pytest.mark.parametrize("pages", [2, 4, 5, 30])
+def test_the_wrapper_alone_decides(spark, pages):
+    """Neutral tags and classes: menus and fixed text are told by slots and groups, whatever
+    the number of pages."""
+    rows = [(i, "http://n/", NEUTRAL.format(i=i, links="".join(
+        f"<li><a href=/{k}>Link {k} {i}</a></li>" for k in range(2 + i % 3)))) for i in range(pages)]
+    got = extract(spark, rows)
+    assert all(got[i] == f"Head {i}\n\nBody link {i} of {i}\n\n{i} more" for i in range(pages))
+
+
+def test_one_page_has_no_wrapper_to_speak_of(spark):
+    got = extract(spark, [(0, "http://o/", NEUTRAL.format(i=0, links="<li><a>L</a></li>"))])
+    assert got[0].startswith("L\n\nFixed words\n\nHead 0")
+
+
+def pattern(items):
+    """A wrapper as a regular expression over tokens that end in a line feed."""
+    out = ""
+    for item in items:
+        if isinstance(item, list):
+            out += f"(?:{pattern(item[1])}){item[0]}"
+        elif item in ("#", "@"):
+            out += "(?:[#@]\n)+" if item == "#" else "(?:@\n)+"
+        else:
+            out += re.escape(item) + "\n"
+    return out
+
+
+def spread(items, rng):
+    """Tokens that folded items stand for, with some number of repeats."""
+    for item in items:
+        if isinstance(item, list):
+            for _ in range(rng.randint(1, 3)):
+                yield from spread(item[1], rng)
+        else:
+            yield item
+
+
+def test_every_stream_matches_its_wrapper():
+    """Brute force: a wrapper, read as a regular expression, matches all that it was made of."""
+    rng = random.Random(1)
+    parts = ["<p>{}</p>", "<ul><li>{}<li>{}</ul>", "<div class=c><h3>{}</h3><p>{}</p></div>",
+             "<a href=x>{}</a>", "<section><p>{}</p><p>{}</p></section>"]
+    for _ in range(60):
+        pages = ["<body>" + "".join(rng.choice(parts).format("x", "y")
+                                    for _ in range(rng.randint(0, 7))) + "</body>"
+                 for _ in range(rng.randint(2, 6))]
+        streams = [wrappers.stream(p) for p in pages]
+        wrapper = streams[0]
+        for s in streams[1:]:
+            wrapper = wrappers.aligned(wrapper, s)
+        match = re.compile(pattern(wrapper)).fullmatch
+        for s in streams:
+            assert match("".join(t + "\n" for t in spread(s, rng))), (wrapper, s)
+
+
+def test_menus_are_repeated_links():
+    page = ("<ul class=m><li><a>One</a><li><a>Two</a></ul><ul class=t><li><a>One</a> and more"
+            "<li><a>Two</a></ul><p><a>Alone</a></p>")
+    assert wrappers.menus(wrappers.stream(page)) == {("ul class=m", "li")}
+
+
+def test_merging_in_rounds(spark, monkeypatch):
+    """Many streams of one host need several rounds and give one wrapper."""
+    monkeypatch.setattr(wrappers, "FAN_IN", 2)
+    rows = [("h", f"<body><div class=a{'' if i % 2 else 'b'}><p>x</p></div>" + "<hr><h2>y</h2>" * (i % 3)
+             + "".join(f"<div class=q{chr(97 + j)}><p>z</p></div>" for j in range(8) if i >> j & 1))
+            for i in range(20)]
+    found = wrappers.wrappers(spark.createDataFrame(rows, "host string, html string")).collect()
+    assert len(found) == 1 and found[0]["host"] == "h"
