@@ -1,15 +1,17 @@
 """Numbers of tokens without ids: pieces are counted once per distinct pre-token.
 
 Documents are read in blocks. A block is one row: its distinct pre-tokens, and
-for each document how often it holds which of them, as packed numbers. Over all
-blocks every distinct pre-token is merged once, for its number of pieces; these
-numbers are joined to the blocks' pre-tokens and each document sums frequency
-times pieces. No ids of a document are ever made.
-
-A pre-token is one row per block, not per document, so that a word which every
-document holds is no hot key: of the rows of the join it has one in as many as
-a block has distinct pre-tokens. Blocks are stored, as their numbers must not
-change between the two places that read them.
+for each document how often it holds which of them, as packed numbers. A
+pre-token belongs to the shard that its checksum names. Blocks send each shard
+its part of their pre-tokens; there every distinct pre-token is merged once, for
+its number of pieces, and each block gets the numbers of its own back. Joined to
+the frequencies they are summed by document. No ids of a document are ever made.
+
+A block asks once for a pre-token, however many of its documents hold it, and
+shards are even by their checksums, so a word that every document holds makes
+no hot key. A block's pre-tokens stand in order of their checksums: what a shard
+is asked is a stretch of them, and its answers need no places. Blocks are stored,
+as their order must not change between the two places that read them.
 
 The tokenizer is a file of the tokenizers library with byte-level BPE; others
 raise. Added tokens inside a text count one each. Null and empty texts have 0
@@ -21,9 +23,11 @@ the text are read, so further columns of any name are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,6 +40,9 @@ from foldwise.llm.units import Units, gathered, is_piece, pieces
 
 # Bytes of text after which a block ends; one text is never divided.
 BLOCK_BYTES = 1 << 24
+# Pre-tokens that blocks ask of one shard, about.
+ASKED = 1 << 19
+_SUMS = 1 << 32
 
 
 class _Block:
@@ -77,15 +84,19 @@ class _Block:
     def row(self, block: int, key_type: pa.DataType) -> pa.RecordBatch:
         key = np.concatenate([np.zeros(0, np.int64), *[k for k, _ in self.pairs]])
         n = np.concatenate([np.zeros(0, np.int64), *[n for _, n in self.pairs]])
-        # Only a text that spans several runs can hold a pair twice.
-        order = np.argsort(key, kind="stable")
-        key, n = key[order], n[order]
-        dense = (key >> 32) * max(1, len(self.number)) + (key & 0xFFFFFFFF)
+        # Pre-tokens in the order of their checksums from here on.
+        pieces = sorted(self.number, key=lambda piece: (crc32(piece), piece))
+        place = np.empty(max(1, len(pieces)), dtype=np.int64)
+        place[[self.number[piece] for piece in pieces]] = range(len(pieces))
+        dense = (key >> 32) * len(place) + place[key & 0xFFFFFFFF]
+        order = np.argsort(dense, kind="stable")
+        dense, n = dense[order], n[order]
         cells = {"block": pa.array([block], pa.int64()),
                  "keys": pa.array([self.keys], pa.list_(key_type)),
                  "n_bytes": pa.array([self.n_bytes], pa.list_(pa.int64())),
                  "n_added": pa.array([np.concatenate(self.n_added)], pa.list_(pa.int64())),
-                 "pieces": pa.array([list(self.number)], pa.list_(pa.binary())),
+                 "n_pieces": pa.array([len(pieces)], pa.int64()),
+                 "pieces": pa.array([_packed(pieces)], pa.binary()),
                  "pairs": pa.array([pack_sorted(dense.astype(np.uint64))], pa.binary()),
                  "freq": pa.array([pack(n)], pa.binary())}
         return pa.RecordBatch.from_arrays(list(cells.values()), names=list(cells))
@@ -103,7 +114,7 @@ def blocks(docs: DataFrame, key: str, path: str) -> DataFrame:
         T.StructField("block", T.LongType()), T.StructField("keys", T.ArrayType(docs.schema[key].dataType)),
         T.StructField("n_bytes", T.ArrayType(T.LongType())),
         T.StructField("n_added", T.ArrayType(T.LongType())),
-        T.StructField("pieces", T.ArrayType(T.BinaryType())),
+        T.StructField("n_pieces", T.LongType()), T.StructField("pieces", T.BinaryType()),
         T.StructField("pairs", T.BinaryType()), T.StructField("freq", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,28 +149,66 @@ def _runs(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield first, run
 
 
-def pieces_counted(distinct: DataFrame, path: str) -> DataFrame:
-    """Distinct pre-tokens (``piece``) with their number of tokens (``n``)."""
+def _packed(pieces: list[bytes]) -> bytes:
+    """Byte strings as one: lengths, then what they hold, both compressed."""
+    lengths = pack(np.array([len(p) for p in pieces], dtype=np.uint64))
+    held = zstandard.ZstdCompressor(level=3).compress(b"".join(pieces))
+    return len(lengths).to_bytes(4, "little") + lengths + held
 
-    @F.arrow_udf(T.IntegerType())
-    def n(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = bpe.load(path)
-        for batch in batches:
-            yield pa.array([len(p) // 4 for p in model.of_pieces(batch.to_pylist())]
-                           if len(batch) else [], pa.int32())
 
-    return distinct.withColumn("n", n(F.col("piece")))
+def _unpacked(data: bytes) -> list[bytes]:
+    at = 4 + int.from_bytes(data[:4], "little")
+    ends = np.cumsum(unpack(data[4:at])).tolist()
+    held = zstandard.ZstdDecompressor().decompress(data[at:])
+    return [held[a:b] for a, b in zip([0, *ends], ends)]
+
+
+def asked(found: DataFrame, shards: int) -> DataFrame:
+    """(shard, block, pieces): what each block asks of each shard."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, packed in zip(batch.column("block"), batch.column("pieces")):
+                own = _unpacked(packed.as_py())
+                sums = np.array([crc32(p) for p in own], dtype=np.int64)
+                ends = np.searchsorted(sums * shards // _SUMS, np.arange(shards), "right").tolist()
+                rows = [(s, own[a:b]) for s, (a, b) in enumerate(zip([0, *ends], ends)) if b > a]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([s for s, _ in rows], pa.int32()),
+                     pa.array([block.as_py()] * len(rows), pa.int64()),
+                     pa.array([_packed(part) for _, part in rows], pa.binary())],
+                    names=["shard", "block", "pieces"])
+
+    return found.select("block", "pieces").mapInArrow(run, "shard int, block bigint, pieces binary")
+
+
+def answered(questions: DataFrame, path: str) -> DataFrame:
+    """(block, shard, n): numbers of tokens of the pre-tokens that a block asked of a shard.
+
+    All questions about a pre-token are in one group, where it is counted once.
+    """
+    def count(rows: pa.Table) -> pa.Table:
+        model, known = bpe.load(path), {}
+        out = []
+        for packed in rows.column("pieces"):
+            own = _unpacked(packed.as_py())
+            new = [p for p in own if p not in known]
+            known.update(zip(new, (len(ids) // 4 for ids in model.of_pieces(new))) if new else ())
+            out.append(pack(np.array([known[p] for p in own], dtype=np.uint64)))
+        return pa.table({"block": rows.column("block"), "shard": rows.column("shard"),
+                         "n": pa.array(out, pa.binary())})
+
+    return questions.groupBy("shard").applyInArrow(count, "block bigint, shard int, n binary")
 
 
 def counted(docs: DataFrame, path: str | None = None, key: str = "doc_id") -> DataFrame:
     """For each row its key, ``n_bytes`` (UTF-8) and ``n_tokens``."""
     path = path or bpe.default_path()
     found = stored(blocks(docs, key, path), "token-blocks")
-    words = found.select("block", F.posexplode("pieces").alias("at", "piece"))
-    numbers = pieces_counted(words.select("piece").distinct(), path)
-    # Back to the blocks: places and numbers of tokens of all their pre-tokens.
-    learned = (words.join(numbers, "piece").groupBy("block")
-               .agg(F.collect_list(F.struct("at", "n")).alias("learned")))
+    shards = max(1, -(-(found.agg(F.sum("n_pieces")).first()[0] or 0) // ASKED))
+    answers = answered(asked(found, shards), path)
+    # Back to the blocks: the answers of all shards in their order.
+    learned = answers.groupBy("block").agg(
+        F.array_sort(F.collect_list(F.struct("shard", "n"))).alias("learned"))
     out = found.drop("pieces").join(learned, "block", "left")
     fields = [T.StructField(key, docs.schema[key].dataType),
               T.StructField("n_bytes", T.LongType()), T.StructField("n_tokens", T.LongType())]
@@ -170,18 +219,17 @@ def counted(docs: DataFrame, path: str | None = None, key: str = "doc_id") -> Da
                 yield _summed(batch.slice(k, 1), key)
 
     narrow = out.select("keys", "n_bytes", "n_added", "pairs", "freq",
-                        F.col("learned")["at"].alias("at"), F.col("learned")["n"].alias("n"))
+                        F.col("learned")["n"].alias("n"))
     return narrow.mapInArrow(run, T.StructType(fields))
 
 
 def _summed(row: pa.RecordBatch, key: str) -> pa.RecordBatch:
     """The documents of one block: frequency times number of tokens, summed."""
-    keys, n_bytes, n_added, at, n = (row.column(c).flatten() for c in
-                                     ("keys", "n_bytes", "n_added", "at", "n"))
+    keys, n_bytes, n_added, n = (row.column(c).flatten() for c in
+                                 ("keys", "n_bytes", "n_added", "n"))
     total = n_added.to_numpy(zero_copy_only=False).astype(np.int64)
-    if len(at):
-        tokens = np.zeros(len(at), dtype=np.int64)
-        tokens[at.to_numpy()] = n.to_numpy()
+    if len(n):
+        tokens = np.concatenate([unpack(part.as_py()) for part in n]).astype(np.int64)
         pairs = unpack_sorted(row.column("pairs")[0].as_py()).astype(np.int64)
         freq = unpack(row.column("freq")[0].as_py()).astype(np.int64)
         sums = np.append(0, np.cumsum(tokens[pairs % len(tokens)] * freq))

@@ -57,8 +57,9 @@ def test_rows(odd_docs, no_docs, library):
 
 
 def test_small_blocks(spark, library, monkeypatch):
-    """Blocks of single texts, added tokens, and one text in several runs of units."""
+    """Blocks of single texts, many shards, added tokens, one text in several runs of units."""
     monkeypatch.setattr(token_counts, "BLOCK_BYTES", 1)
+    monkeypatch.setattr(token_counts, "ASKED", 2)
     monkeypatch.setattr("foldwise.llm.units.RUN_BYTES", 50)
     texts = ["a <|endoftext|> b<|endoftext|>", "  \n", "the end " * 40, "the end " * 40, None]
     block = token_counts._Block()
@@ -68,3 +69,17 @@ def test_small_blocks(spark, library, monkeypatch):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
     got = {r[0]: (r[1], r[2]) for r in token_counts.counted(docs).collect()}
     assert got == {k: (len((t or "").encode()), plain(library, t)) for k, t in enumerate(texts)}
+
+
+def test_every_pre_token_is_counted_once(spark, monkeypatch):
+    """Blocks ask a shard for the same pre-token; each shard has its own ones."""
+    monkeypatch.setattr(token_counts, "BLOCK_BYTES", 1)
+    docs = spark.createDataFrame([(i, f"the same words and own{i}") for i in range(20)],
+                                 "doc_id int, text string")
+    found = token_counts.blocks(docs, "doc_id", bpe.default_path())
+    shards = {}
+    for r in token_counts.asked(found, 7).collect():
+        for piece in token_counts._unpacked(r["pieces"]):
+            shards.setdefault(piece, set()).add(r["shard"])
+    assert len(shards) >= 5 and all(len(s) == 1 for s in shards.values())
+    assert len(set().union(*shards.values())) > 3
