@@ -6,20 +6,24 @@ that a passage is cut in the same way wherever it stands: from its first such
 word, or its first stop or line break, to its last. At each end at most ``LONG``
 words lie outside these, so of a passage of 50 words or more at least
 ``MIN_WORDS`` are found (of one cut by line breaks, if the breaks are the same).
-A unit is normalised (lower case, white space to one space) and its
-128-bit digest is grouped over all documents. The earliest occurrence, by
-(doc_id, place in the text), is kept. Later ones are removed where a run of
-repeated units beside each other has at least ``MIN_WORDS`` words; a repeated
-phrase of fewer words is no passage. Spans of removed text are offsets (code
-points) into the original text.
-
-Digests are counted with map-side combine, and each unit then meets the first
+
+A unit is normalised (lower case, white space to one space). What is compared
+are stretches: a unit of at least ``MIN_WORDS`` words, or the fewest units beside
+each other, from a unit on or up to it, that have as many. The 128-bit digest of a
+stretch is grouped over all documents. The earliest occurrence, by (doc_id, place
+in the text), is kept, the later ones are removed; so all that goes lies in
+stretches of ``MIN_WORDS`` words or more that stood elsewhere as a whole, and
+a repeated phrase of fewer words is no passage. Spans of removed text are offsets
+(code points) into the original text.
+
+Digests are counted with map-side combine, and each stretch then meets the first
 place of its digest in a join, so a line that a third of all documents hold is
-no single task's work. Only units that occur before travel on.
+no single task's work. Only stretches that occur before travel on.
 
 A null text has no units and stays null; an empty one stays empty. Rows with a
-null id take no part and stay as they are. Rows that share an id count as one
-document: a unit at the same place in several of them is one occurrence.
+null id take no part and stay as they are. Rows with the same id and text count
+as one document; different texts under one id are different documents, ranked by
+a hash of their text. Columns named ``__spans`` are replaced.
 """
 
 from __future__ import annotations
@@ -41,6 +45,8 @@ MIN_WORDS = 10
 # most so many words at each end to units that it shares with its surroundings.
 LONG = 20
 _SALT = numbers(2, 21)
+_STEP = numbers(MIN_WORDS + 1, 22)
+_LOW = (1 << 32) - 1
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?"]] = True
 
@@ -88,65 +94,99 @@ def _units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
             starts[head] - offsets[of], ends[tail] - offsets[of], size, *digests)
 
 
-def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        ids = batch.column("doc_id")
-        for first, data, offsets in text_slices(batch.column("text")):
-            row, place, begin, end, size, d1, d2 = _units(data, offsets)
-            yield pa.RecordBatch.from_arrays(
-                [ids.take(pa.array(row + first)), pa.array(place.astype(np.int32)),
-                 pa.array(begin.astype(np.int32)), pa.array(end.astype(np.int32)),
-                 pa.array(size.astype(np.int32)), pa.array(d1), pa.array(d2)],
-                names=["doc_id", "place", "begin", "end", "words", "d1", "d2"])
-
-
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, place, first and end byte, number of words and digest of every unit."""
+def _stretches(row: np.ndarray, words: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last unit of each stretch: the fewest units of a row with enough words,
+    from each unit on and up to each unit."""
+    n = len(row)
+    until = np.cumsum(words)
+    before = until - words
+    unit = np.arange(n)
+    last = np.searchsorted(until, before + min_words)
+    onward = last < n
+    onward[onward] = row[last[onward]] == row[onward]
+    first = np.searchsorted(before, until - min_words, "right") - 1
+    back = first >= 0
+    back[back] = row[first[back]] == row[back]
+    both = np.unique(np.concatenate([unit[onward] * n + last[onward], first[back] * n + unit[back]]))
+    return both // max(n, 1), both % max(n, 1)
+
+
+def _digest(units: np.ndarray, first: np.ndarray, last: np.ndarray, longest: int) -> np.ndarray:
+    """One number for the digests of the units of each stretch, in their order."""
+    count = last - first + 1
+    total = np.zeros(len(first), dtype=np.uint64)
+    for k in range(min(longest, int(count.max()) if len(count) else 0)):
+        own = np.flatnonzero(count > k)
+        total[own] += mix(units[first[own] + k].view(np.uint64) + _STEP[k % len(_STEP)])
+    return mix(total + count.astype(np.uint64)).view(np.int64)
+
+
+def stretches(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """doc_id, h (of the text), places (first and last unit), span (first and end byte) and
+    digest of every stretch; pairs are packed into one number each."""
+    def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first_row, data, offsets in text_slices(batch.column("text")):
+                row, place, begin, end, size, d1, d2 = _units(data, offsets)
+                first, last = _stretches(row, size, min_words)
+                rows = pa.array(row[first] + first_row)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(rows), batch.column("h").take(rows),
+                     pa.array(place[first] << 32 | place[last]), pa.array(begin[first] << 32 | end[last]),
+                     *[pa.array(_digest(d, first, last, min_words)) for d in (d1, d2)]],
+                    names=["doc_id", "h", "places", "span", "d1", "d2"])
+
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(
-        _cut_up, f"doc_id {kind}, place int, `begin` int, `end` int, words int, "
-                 "d1 bigint, d2 bigint")
+    own = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    return own.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(
+        cut_up, f"doc_id {kind}, h bigint, places bigint, span bigint, d1 bigint, d2 bigint")
 
 
 def spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """doc_id and ``spans``, sorted (first byte, end byte) pairs to remove."""
-    every = units(docs)
+    """doc_id, h and ``spans``, sorted (first byte, end byte) pairs to remove."""
+    every = stretches(docs, min_words)
+    here = F.struct("doc_id", "h", "places")
     # Stored, so that the join reads plain shuffles of which Spark can split a large part.
-    firsts = (every.groupBy("d1", "d2")
-              .agg(F.min(F.struct("doc_id", "place")).alias("f"),
-                   F.max(F.struct("doc_id", "place")).alias("l"))
+    firsts = (every.groupBy("d1", "d2").agg(F.min(here).alias("f"), F.max(here).alias("l"))
               .where(F.col("f") != F.col("l"))
-              .select("d1", "d2", F.col("f.doc_id").alias("f_doc"),
-                      F.col("f.place").alias("f_place")))
+              .select("d1", "d2", F.col("f.doc_id").alias("f_doc"), F.col("f.h").alias("f_h"),
+                      F.col("f.places").alias("f_places")))
     firsts = stored(firsts, "repeat-firsts")
     later = (every.join(firsts, ["d1", "d2"])
-             .where((F.col("doc_id") != F.col("f_doc")) | (F.col("place") != F.col("f_place")))
-             .select("doc_id", "place", "begin", "end", "words"))
-    return later.groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.struct("place", "begin", "end", "words"))).alias("units")
-    ).select("doc_id", _runs("units", min_words).alias("spans")).where(F.size("spans") > 0)
+             .where((F.col("doc_id") != F.col("f_doc")) | (F.col("h") != F.col("f_h"))
+                    | (F.col("places") != F.col("f_places")))
+             .select("doc_id", "h", "places", "span"))
+    found = later.groupBy("doc_id", "h").agg(
+        F.sort_array(F.collect_set(F.struct("places", "span"))).alias("stretches"))
+    return found.select("doc_id", "h", _joined("stretches").alias("spans"))
+
+
+def _joined(name: str):
+    """Stretches that overlap or lie beside each other as one (begin, end) each."""
+    def high(packed):
+        return F.shiftright(packed, 32).cast("int")
 
+    def low(packed):
+        return packed.bitwiseAND(F.lit(_LOW)).cast("int")
 
-def _runs(name: str, min_words: int):
-    """Runs of units beside each other that have enough words, as (begin, end)."""
     one = F.col(name)[0]
     start = F.struct(F.array().cast("array<struct<begin:int,end:int>>").alias("done"),
-                     (one["place"] - 1).alias("place"), one["begin"].alias("begin"),
-                     one["begin"].alias("end"), F.lit(0).alias("words"))
+                     low(one["places"]).alias("place"), high(one["span"]).alias("begin"),
+                     low(one["span"]).alias("end"))
 
     def closed(run):
-        return F.when(run["words"] >= min_words, F.concat(run["done"], F.array(
-            F.struct(run["begin"].alias("begin"), run["end"].alias("end"))))
-        ).otherwise(run["done"])
+        return F.concat(run["done"], F.array(F.struct(run["begin"].alias("begin"),
+                                                      run["end"].alias("end"))))
 
-    def step(run, unit):
-        beside = unit["place"] == run["place"] + 1
+    def step(run, own):
+        beside = high(own["places"]) <= run["place"] + 1
         return F.struct(
             F.when(beside, run["done"]).otherwise(closed(run)).alias("done"),
-            unit["place"].alias("place"),
-            F.when(beside, run["begin"]).otherwise(unit["begin"]).alias("begin"),
-            unit["end"].alias("end"),
-            (F.when(beside, run["words"]).otherwise(F.lit(0)) + unit["words"]).alias("words"))
+            F.when(beside, F.greatest(run["place"], low(own["places"])))
+            .otherwise(low(own["places"])).alias("place"),
+            F.when(beside, run["begin"]).otherwise(high(own["span"])).alias("begin"),
+            F.when(beside, F.greatest(run["end"], low(own["span"])))
+            .otherwise(low(own["span"])).alias("end"))
 
     return F.aggregate(F.col(name), start, step, closed)
 
@@ -195,8 +235,11 @@ def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     A span is (first, end) in code points of the original text.
     """
     found = stored(spans(docs, min_words), "repeat-spans")
-    found = found.select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    joined = docs.join(found, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    found = found.select(F.col("doc_id").alias("__id"), F.col("h").alias("__h"),
+                         F.col("spans").alias("__spans"))
+    docs = docs.drop("__spans")
+    joined = docs.join(found, (docs["doc_id"] == F.col("__id"))
+                       & (F.xxhash64(docs["text"]) == F.col("__h")), "left").drop("__id", "__h")
     kind = T.ArrayType(T.StructType([T.StructField("first", T.LongType()),
                                      T.StructField("end", T.LongType())]))
     schema = T.StructType([*docs.schema.fields, T.StructField("__spans", kind)])

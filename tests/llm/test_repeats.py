@@ -1,5 +1,8 @@
 """Passages that occur before go, all else stays."""
 
+import random
+import re
+
 import numpy as np
 
 from conftest_llm import LONG
@@ -97,3 +100,57 @@ def test_odd_rows(odd_docs, no_docs):
     assert by_id[second]["text"].strip() == ""
     assert by_id[0]["text"] is None and by_id[None]["text"] == texts[None]
     assert repeats.without_repeats(no_docs).collect() == []
+
+
+def brute(rows):
+    """Texts by plain sets: sentences of up to 20 words, stretches of 10 words, first ones stay."""
+    def units_of(text):
+        return [u.lower().split() for u in re.findall(r"[^.\n]+[.]?", text) if u.split()]
+
+    seen, out = {}, {}
+    docs = {i: units_of(t) for i, t in rows}
+    for i in sorted(docs):
+        units, gone = docs[i], set()
+        size = [len(u) for u in units]
+        found = set()
+        for a in range(len(units)):
+            onward = [b for b in range(a, len(units)) if sum(size[a:b + 1]) >= 10][:1]
+            found.update((a, b) for b in onward)
+            back = [b for b in range(a, -1, -1) if sum(size[b:a + 1]) >= 10][:1]
+            found.update((b, a) for b in back)
+        for a, b in sorted(found):
+            key = tuple(tuple(u) for u in units[a:b + 1])
+            if key in seen:
+                gone.update(range(a, b + 1))
+            else:
+                seen[key] = i, a
+        out[i] = [u for k, u in enumerate(units) if k not in gone]
+    return {i: [w for u in left for w in u] for i, left in out.items()}
+
+
+def test_beside_brute_force(spark):
+    """Few kinds of short sentences, so that they repeat in many orders."""
+    rng = random.Random(3)
+    kinds = [" ".join(f"k{k}w{j}" for j in range(rng.randint(1, 12))) + "." for k in range(9)]
+    rows = [(i, "".join(rng.choice(kinds) + rng.choice([" ", "\n", "  "])
+                        for _ in range(rng.randint(0, 9)))) for i in range(200)]
+    got = cleaned(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    for i, words in brute(rows).items():
+        assert got[i]["text"].lower().split() == words, (i, rows[i])
+
+
+def test_sentences_of_several_documents_are_no_passage(spark):
+    """What never stood beside each other before is no repetition."""
+    parts = ["Alpha beta gamma delta.", "One two three.", "Red green blue.", "North south east west."]
+    rows = [(i, f"{own(i)} {p} {own(i + 50)}") for i, p in enumerate(parts)]
+    rows.append((9, " ".join(parts)))
+    got = cleaned(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert all(r["text"] == dict(rows)[i] and not r["__spans"] for i, r in got.items())
+
+
+def test_two_texts_under_one_id(spark):
+    """Spans of one text are not cut from another of the same id."""
+    rows = [(1, PASSAGE), (2, f"{own(2)} {PASSAGE}"), (2, own(7)), (2, own(7)), (3, "é" * 500)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r["doc_id"], r["text"]) for r in repeats.without_repeats(docs).collect())
+    assert got == sorted([(1, PASSAGE), (2, own(2)), (2, own(7)), (2, own(7)), (3, "é" * 500)])
