@@ -10,7 +10,9 @@ and the rest are compared word by word.
 
 The words of a document are exploded and joined in one stage; beside the
 counts of the items' words and the hits, nothing is shuffled. The items'
-windows are broadcast if they are counted to be few, else joined by shuffle.
+windows are broadcast if they are counted to be few and short. Else words travel
+to them by themselves, with their places; what meets there comes back to its
+document to be compared, so a text is never sent with each of its words.
 
 Null or empty texts have no words and are not contaminated; an empty benchmark
 hits nothing. Rows that share a doc_id and a text have the same result, each in
@@ -22,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwise.llm.common import broadcast_if_small, stored
+from foldwise.llm.common import broadcast_if_small, is_small, measured, stored
 
 WORDS = 13
 # What separates words, before letters are lowered.
@@ -61,7 +63,7 @@ def rarest(windows_of: DataFrame, docs: DataFrame) -> DataFrame:
                         .select(_key(F.col("word")).alias("key")).distinct(), "item-words")
     spread = docs.select(F.explode(words(F.col("text"))).alias("word"))
     counts = (spread.select(_key(F.col("word")).alias("key"))
-              .join(broadcast_if_small(vocabulary, vocabulary.count()), "key")
+              .join(broadcast_if_small(vocabulary, *measured(vocabulary, "key")), "key")
               .groupBy("key").agg(F.count("*").alias("n")))
     each = windows_of.select("item_id", "window", F.posexplode("window").alias("offset", "word"))
     each = (each.withColumn("key", _key(F.col("word"))).join(counts, "key", "left")
@@ -75,12 +77,18 @@ def rarest(windows_of: DataFrame, docs: DataFrame) -> DataFrame:
 def hits(docs: DataFrame, items: DataFrame, keys: list[str], size: int = WORDS) -> DataFrame:
     """keys, item_id, first word (from 0) and length of every occurrence in a document."""
     prefixes = stored(rarest(stored(windows(items, size), "windows"), docs), "prefixes")
-    spread = docs.select(*keys, words(F.col("text")).alias("w"))
-    spread = (spread.select(*keys, "w", F.posexplode("w").alias("at", "word"))
+    own = docs.select(*keys, words(F.col("text")).alias("w"))
+    spread = (own.select(*keys, "w", F.size("w").alias("n"), F.posexplode("w").alias("at", "word"))
               .withColumn("key", _key(F.col("word"))))
-    near = spread.join(broadcast_if_small(prefixes, prefixes.count()), "key")
     first = F.col("at") - F.col("offset")
-    near = near.where((first >= 0) & (first + F.col("length") <= F.size("w")))
+    inside = (first >= 0) & (first + F.col("length") <= F.col("n"))
+    if is_small(*measured(prefixes, "joined", "key")):
+        near = spread.join(F.broadcast(prefixes), "key").where(inside)
+    else:
+        met = spread.select(*keys, "n", "at", "key").join(prefixes, "key").where(inside)
+        same = [F.col(f"m.{k}").eqNullSafe(F.col(f"d.{k}")) for k in keys]
+        # Rows that share their keys have one text.
+        near = met.alias("m").join(own.dropDuplicates(keys).alias("d"), same).select("m.*", "d.w")
     found = lowered(F.array_join(F.slice("w", first + 1, F.col("length")), " "))
     return (near.where(found == F.col("joined"))
             .select(*keys, "item_id", first.alias("first"), "length").distinct())
@@ -88,6 +96,11 @@ def hits(docs: DataFrame, items: DataFrame, keys: list[str], size: int = WORDS)
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, items (sorted) and contaminated of every document."""
+    return judged(docs, items, size).drop("h")
+
+
+def judged(docs: DataFrame, items: DataFrame, size: int = WORDS) -> DataFrame:
+    """The same with h, a hash of the text, which tells apart texts under one id."""
     own = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     found = stored(hits(own, items, ["doc_id", "h"], size), "hits")
     key = Window.partitionBy("doc_id", "h")
@@ -108,7 +121,7 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = WORDS) -> Data
         & (F.col("d.h") == F.col("f.h")), "left")
     n_hit = F.coalesce(F.col("f.n_hit"), F.lit(0)).cast("bigint")
     return joined.select(
-        F.col("d.doc_id").alias("doc_id"), F.col("d.n_words").alias("n_words"),
+        F.col("d.doc_id").alias("doc_id"), F.col("d.h").alias("h"), F.col("d.n_words").alias("n_words"),
         n_hit.alias("n_hit"),
         F.coalesce(F.col("f.items"), F.array().cast("array<string>")).alias("items"),
         ((n_hit > 0) & (n_hit * 20 >= F.col("d.n_words"))).alias("contaminated"))

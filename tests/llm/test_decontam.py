@@ -69,3 +69,28 @@ def test_shuffle_join_same(spark, items, monkeypatch):
     rows = [(i, f"word {ITEM} {i}" if i % 2 else f"one two three {i}") for i in range(20)]
     monkeypatch.setattr("foldwise.llm.common.BROADCAST_ROWS", 0)
     held(spark.createDataFrame(rows, "doc_id bigint, text string"), items)
+
+
+def test_words_travel_without_their_text(spark, items, monkeypatch):
+    """Beyond a broadcast, no exchange carries a text's words beside a single word."""
+    monkeypatch.setattr("foldwise.llm.common.BROADCAST_BYTES", 0)
+    rows = [(1, ITEM), (1, ITEM), (1, "other " + ITEM), (None, ITEM), (2, f"{ITEM} " + "filling " * 99)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    held(docs, items)
+    found = decontam.hits(docs.selectExpr("*", "xxhash64(text) AS h"), items, ["doc_id", "h"])
+    joins = [n for n in _nodes(found._jdf.queryExecution().optimizedPlan()) if n.nodeName() == "Join"]
+    by_word = [j for j in joins if re.search(r"\bkey#", j.simpleString(1000))]
+    assert by_word
+    for join in by_word:
+        names = [a.name() for a in _items(join.left().output())]
+        assert "at" in names and "w" not in names
+
+
+def _items(seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _nodes(plan):
+    yield plan
+    for child in _items(plan.children()):
+        yield from _nodes(child)
