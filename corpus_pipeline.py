@@ -3,7 +3,7 @@
 Each stage works on all that its predecessor kept and is written as Parquet in
 the shared folder. All stages but the last return the columns of documents.
 Rows with a null id are scored, cleaned and encoded, but are never copies of
-others. Empty tables pass through every stage; without labels nothing is
+others. Different texts under one id are judged one by one. Empty tables pass through every stage; without labels nothing is
 rejected, without a benchmark nothing is contaminated.
 """
 
@@ -28,7 +28,9 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def first_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id."""
-    return _without(docs, neardup.grouped(docs).where(~F.col("kept")))
+    # Of rows that share an id all or none are kept.
+    copies = stored(neardup.grouped(docs).where(~F.col("kept")).select("doc_id").distinct(), "dropped")
+    return _columns_of(docs, docs.join(broadcast_if_small(copies, copies.count()), "doc_id", "left_anti"))
 
 
 def first_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,13 +40,16 @@ def first_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.size("__spans") > 0, F.length("text").cast(kind))
                              .otherwise(F.col("n_chars")))
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _columns_of(docs, out)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth is benchmark text."""
-    found = decontam.decontaminated(docs, table(spark, sf_dir, "benchmark"))
-    return _without(docs, found.where("contaminated"))
+    found = decontam.judged(docs, table(spark, sf_dir, "benchmark")).where("contaminated")
+    found = stored(found.select("doc_id", "h").distinct(), "dropped").alias("f")
+    # By id and text, so that a clean text under the same id, or none, is no other's.
+    same = docs["doc_id"].eqNullSafe(F.col("f.doc_id")) & (F.xxhash64(docs["text"]) == F.col("f.h"))
+    return _columns_of(docs, docs.join(broadcast_if_small(found, found.count()), same, "left_anti"))
 
 
 def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,10 +60,8 @@ def tokenized(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                       F.col("__tokens").alias("tokens"))
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    ids = stored(dropped.select("doc_id").where(F.col("doc_id").isNotNull()).distinct(), "dropped")
-    return docs.join(broadcast_if_small(ids, ids.count()), "doc_id", "left_anti").select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+def _columns_of(docs: DataFrame, out: DataFrame) -> DataFrame:
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 STAGES: list[tuple[str, Stage]] = [
