@@ -82,3 +82,42 @@ def test_odd_rows(odd_docs, no_docs):
     assert len(rows) == odd_docs.count() and all(r["matches"] == [] for r in rows)
     assert licenses.matches(no_docs).collect() == []
     assert all(r["matches"] == [] for r in licenses.matches(odd_docs, templates=[]).collect())
+
+
+FREE = ("This {what} is free software; you can redistribute it and/or modify\nit under the terms of the "
+        "GNU {kind}General Public License as published by\nthe Free Software Foundation; either version "
+        "{n} of the License, or\n(at your option) any later version.\n\nThis {what} is distributed in the "
+        "hope that it will be useful,\nbut WITHOUT ANY WARRANTY.")
+BSD = ("Copyright (c) 2020, Some Owner\nAll rights reserved.\n\nRedistribution and use in source and binary "
+       "forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+       "\n\n1. Redistributions of source code must retain the above copyright notice, this\n   list of "
+       "conditions and the following disclaimer.\n\n2. Redistributions in binary form must reproduce the "
+       "above copyright notice,\n   this list of conditions and the following disclaimer in the "
+       "documentation\n   and/or other materials provided with the distribution.\n\n{third}THIS SOFTWARE IS "
+       "PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES.")
+THIRD = ("3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to "
+         "endorse or promote products derived from\n   this software without specific prior written "
+         "permission.\n\n")
+
+
+@pytest.mark.parametrize("text, expected", [
+    (FREE.format(what="program", kind="", n="2"), "GPL-2.0-or-later"),
+    (FREE.format(what="program", kind="", n="3"), "GPL-3.0-or-later"),
+    (FREE.format(what="program", kind="Affero ", n="3"), "AGPL-3.0-or-later"),
+    (FREE.format(what="library", kind="Lesser ", n="2.1"), "LGPL-2.1-or-later"),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", "AGPL-3.0-only"),
+    ("Licensed under CC BY-ND 4.0.", "CC-BY-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International "
+     "License.", "CC-BY-ND-4.0"),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 "
+     "International License.", "CC-BY-NC-ND-4.0"),
+    (BSD.format(third=THIRD), "BSD-3-Clause"), (BSD.format(third=""), "BSD-2-Clause"),
+    ("Copyright 2020 Some Owner. All rights reserved.", "Proprietary"),
+    ("This work is licensed under the GNU General Public License, version 7.", None)])
+def test_licences_that_read_alike(text, expected):
+    """Telling words, wider notices around their parts, and rights reserved before a licence."""
+    own = licenses._Templates(licenses.TEMPLATES, licenses.LEAST)
+    for shown in (text, f"Some words before it.\n\n{text}\n\nSome words after it, and more of them."):
+        data = np.frombuffer(shown.encode(), np.uint8)
+        names = {f[3] for f in licenses._scan(own, data, np.array([0, len(data)]))}
+        assert names == ({expected} if expected else set())
