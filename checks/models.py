@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.registry import LOG_SQL, check, positions_sql, rounded, run_log, table
+from checks.registry import FOLD_SEED, LOG_SQL, check, positions_sql, rounded, run_log, table
 from foldwise.frame import Frame
 from foldwise.models import (BoostClassifier, EstimatorClassifier, ForestClassifier,
                              LogisticClassifier, NeighborsClassifier, SupportVectorClassifier)
@@ -122,6 +122,20 @@ def logreg_gradient(spark, sf_dir):
 CELLS = FoldPlan(3, 3)
 
 
+@check("knn_recall", "SELECT unnest(range(2)) AS replicate, TRUE AS reached")
+def knn_recall(spark, sf_dir):
+    """Hashed neighbours of each held-out half: at least nine in ten of the exact ones."""
+    frame = stored(assign_slices(embeddings(spark, sf_dir), FoldPlan(2)), "slices")
+    plan, parts = FoldPlan(2), []
+    for r in range(plan.replicates):
+        train, test = side(frame, plan.in_group(r)), side(frame, plan.out_group(r))
+        exact, quick = (NeighborsClassifier(K, broadcast_bytes=0, recall=recall).fit(train)
+                        .neighbors(test).select("t", "o") for recall in (1.0, 0.9))
+        both = exact.join(quick, ["t", "o"], "left_semi").count()
+        parts.append((r, both >= 0.9 * exact.count()))
+    return spark.createDataFrame(parts, "replicate int, reached boolean")
+
+
 @check("logreg_cells", """
     SELECT replicate, fold, feature, TRUE AS at_minimum
     FROM (SELECT unnest(range(3)) AS replicate), (SELECT unnest(range(-1, 3)) AS fold),
@@ -219,12 +233,16 @@ def _boosted_sql(rounds: int) -> str:
         SELECT o_orderkey, pick AS class, round(e / sum(e) OVER (PARTITION BY o_orderkey), 6) AS p FROM e"""
 
 
+def _flagged(spark, sf_dir) -> Frame:
+    df = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_orderstatus", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in _FLAGS.items()])
+    return Frame.of(df, "o_orderkey", "o_orderstatus")
+
+
 @check("adaboost_rounds", _boosted_sql(3))
 def adaboost_rounds(spark, sf_dir):
     """Three rounds on three 0/1 features, three classes: later rounds see new weights."""
-    df = table(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey", "o_orderstatus", *[f"CAST({e} AS DOUBLE) AS {n}" for n, e in _FLAGS.items()])
-    frame = Frame.of(df, "o_orderkey", "o_orderstatus")
+    frame = _flagged(spark, sf_dir)
     preds = BoostClassifier(3).fit(frame).predict(frame)
     return rounded(preds.select("o_orderkey", F.explode("proba").alias("class", "p")))
 
@@ -236,6 +254,63 @@ def forest_split(spark, sf_dir):
     return model.fit(frame).predict(frame).select("o_orderkey", "pred")
 
 
+@check("forest_depth", f"""
+    WITH t AS (SELECT o_orderkey, o_orderstatus, {', '.join(f"{e} AS {n}" for n, e in _FLAGS.items())}
+               FROM orders),
+    m AS (SELECT {', '.join(_FLAGS)}, arg_max(o_orderstatus, n) AS pred FROM (
+            SELECT {', '.join(_FLAGS)}, o_orderstatus, count(*) AS n FROM t GROUP BY ALL) c GROUP BY ALL)
+    SELECT o_orderkey, pred FROM t JOIN m USING ({', '.join(_FLAGS)})""")
+def forest_depth(spark, sf_dir):
+    """Three splits deep on three 0/1 features: the most frequent class of each combination."""
+    frame = _flagged(spark, sf_dir)
+    model = ForestClassifier(3, max_depth=3, bootstrap=False, max_features=None)
+    return model.fit(frame).predict(frame).select("o_orderkey", "pred")
+
+
+@check("custom_model", _MAJORITY)
+def custom_model(spark, sf_dir):
+    """A user's estimator of pyspark.ml: a tree of one split."""
+    from pyspark.ml.classification import DecisionTreeClassifier
+    frame = _early(spark, sf_dir)
+    model = EstimatorClassifier(DecisionTreeClassifier(maxDepth=1))
+    return model.fit(frame).predict(frame).select("o_orderkey", "pred")
+
+
+def _margin_sql(side: str) -> str:
+    return f"""
+    WITH t AS (SELECT o_orderkey, o_totalprice / 100000 - 2 AS price, o_custkey % 7 / 7.0 AS other
+               FROM orders),
+    s AS (SELECT *, {side} AS side FROM t)
+    SELECT o_orderkey, CASE WHEN side > 0.25 THEN 'far' ELSE 'near' END AS pred
+    FROM s WHERE abs(side - 0.25) > 0.2"""
+
+
+def _with_margin(spark, sf_dir, kernel: str, side: str, **options) -> DataFrame:
+    """Rows that stand clear of a border, by a machine that has learned it."""
+    df = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_totalprice / 100000 - 2 AS price", "o_custkey % 7 / 7.0D AS other")
+    df = df.withColumn("side", F.expr(side)).where("abs(side - 0.25) > 0.2")
+    df = df.withColumn("label", F.expr("CASE WHEN side > 0.25 THEN 'far' ELSE 'near' END")).drop("side")
+    frame = stored(Frame.of(df, "o_orderkey", "label"), "margin")
+    model = SupportVectorClassifier(kernel, C=100.0, max_iter=60, **options)
+    return model.fit(frame).predict(frame).select("o_orderkey", "pred")
+
+
+@check("svc_linear", _margin_sql("price + other"))
+def svc_linear(spark, sf_dir):
+    return _with_margin(spark, sf_dir, "linear", "price + other")
+
+
+@check("svc_poly", _margin_sql("price * price"))
+def svc_poly(spark, sf_dir):
+    return _with_margin(spark, sf_dir, "poly", "price * price", degree=2, coef0=1.0)
+
+
+@check("svc_rbf", _margin_sql("price * price"))
+def svc_rbf(spark, sf_dir):
+    return _with_margin(spark, sf_dir, "rbf", "price * price")
+
+
 @check("forest_predict")
 def forest_predict(spark, sf_dir):
     return _fit_and_predict(ForestClassifier(20, "entropy", max_depth=8, min_samples_split=4),
@@ -363,7 +438,77 @@ def propose_trials(spark, sf_dir):
     return rounded(propose(history, space, seed=11))
 
 
-@check("study_small")
+STUDY_PLAN = FoldPlan(2, 2)
+STUDY_METRICS = {"train": ["balanced_accuracy"], "validate": ["balanced_accuracy"],
+                 "test": ["balanced_accuracy", "sk_f1_weighted_avg", "correct_samples"]}
+
+
+def _study_sql() -> str:
+    """The whole study over: folds, drawn parameters, scaling by in-group, neighbours, scores."""
+    plan = STUDY_PLAN
+    cells = []
+    for r in range(plan.replicates):
+        cells += [(r, "train", x, plan.cross_train(r, x), plan.cross_test(r, x))
+                  for x in range(plan.crosses)]
+        cells += [(r, "validate", -1, plan.in_group(r), plan.in_group(r)),
+                  (r, "test", -1, plan.in_group(r), plan.out_group(r))]
+    listed = ", ".join(f"({r}, '{stage}', {x}, {learn}, {test})" for r, stage, x, learn, test in cells)
+
+    def u(label: str) -> str:
+        return (f"(CAST('0x' || substr(md5('{FOLD_SEED}|' || CAST(replicate AS VARCHAR) || '|' || "
+                f"CAST(trial AS VARCHAR) || '|{label}'), 1, 13) AS BIGINT) / 4503599627370496.0)")
+
+    def score(metric: str, stage: str, cross: int = -1) -> str:
+        return f"round(max({metric}) FILTER (WHERE stage = '{stage}' AND fold = {cross}), 6)"
+
+    return f"""
+    WITH e AS (SELECT row_id, label, x, g % 4 AS s FROM ({positions_sql(
+        "SELECT vec_id AS row_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings")}) p),
+    c(r, stage, fold, learn, test) AS (VALUES {listed}),
+    p AS (SELECT replicate, trial, CAST(3 + floor({u('n_neighbors')} * 7) AS BIGINT) AS n_neighbors,
+                 CASE CAST(floor({u('weights')} * 2) AS INT) WHEN 0 THEN 'uniform' ELSE 'distance' END
+                   AS weights
+          FROM (SELECT unnest(range(2)) AS replicate) a, (SELECT unnest(range(2)) AS trial) b),
+    l AS (SELECT row_id, s, unnest(x) AS v, unnest(range(len(x))) AS j FROM e),
+    m AS (SELECT r, j, avg(v) AS mean, stddev_pop(v) AS sd FROM l, (SELECT unnest(range(2)) AS r) q
+          WHERE s % 2 <> r GROUP BY r, j),
+    z AS (SELECT r, row_id, list((v - mean) / CASE WHEN sd = 0 THEN 1 ELSE sd END ORDER BY j) AS x
+          FROM l JOIN m USING (j) GROUP BY r, row_id),
+    d AS (SELECT a.r, a.row_id AS t, b.row_id AS o, list_distance(a.x, b.x) AS d
+          FROM z a JOIN z b ON a.r = b.r),
+    n AS (SELECT c.r, stage, fold, t, ea.label, eb.label AS voted, d,
+                 row_number() OVER (PARTITION BY c.r, stage, fold, t ORDER BY round(d, 9), o) AS n
+          FROM c JOIN d ON d.r = c.r JOIN e ea ON ea.row_id = t JOIN e eb ON eb.row_id = o
+          WHERE list_contains(test, ea.s) AND list_contains(learn, eb.s)),
+    k AS (SELECT *, bool_or(d = 0) OVER (PARTITION BY r, trial, stage, fold, t) AS same
+          FROM n JOIN p ON p.replicate = n.r AND n <= n_neighbors),
+    v AS (SELECT replicate, trial, stage, fold, t, label, voted, sum(
+                 CASE WHEN weights = 'uniform' THEN 1 WHEN NOT same THEN 1 / d
+                      WHEN d = 0 THEN 1 ELSE 0 END) AS votes FROM k GROUP BY ALL),
+    w AS (SELECT replicate, trial, stage, fold, t, label, voted AS pred FROM (
+            SELECT *, row_number() OVER (PARTITION BY replicate, trial, stage, fold, t
+                                         ORDER BY votes DESC, voted) AS place FROM v) q WHERE place = 1),
+    f AS (SELECT replicate, trial, stage, fold, class,
+                 count(*) FILTER (WHERE label = class) AS own,
+                 count(*) FILTER (WHERE pred = class) AS told,
+                 count(*) FILTER (WHERE label = class AND pred = class) AS hit
+          FROM w, (SELECT DISTINCT label AS class FROM e) q GROUP BY ALL),
+    g AS (SELECT replicate, trial, stage, fold, avg(hit / own) FILTER (WHERE own > 0) AS balanced,
+                 sum(own * CASE WHEN own + told > 0 THEN 2 * hit / (own + told) ELSE 0 END) / sum(own)
+                   AS f1, sum(hit) AS correct FROM f GROUP BY ALL)
+    SELECT CAST(replicate AS INT) AS replicate, CAST(trial AS INT) AS trial,
+           round(avg(balanced) FILTER (WHERE stage = 'train'), 6) AS objective,
+           any_value(n_neighbors) AS n_neighbors, any_value(weights) AS weights,
+           {score('balanced', 'train', 0)} AS "balanced_accuracy (train) [0]",
+           {score('balanced', 'train', 1)} AS "balanced_accuracy (train) [1]",
+           {score('balanced', 'validate')} AS "balanced_accuracy (validate)",
+           {score('balanced', 'test')} AS "balanced_accuracy (test)",
+           {score('f1', 'test')} AS "sk_f1_weighted_avg (test)",
+           CAST(max(correct) FILTER (WHERE stage = 'test') AS BIGINT) AS "correct_samples (test)"
+    FROM g JOIN p USING (replicate, trial) GROUP BY replicate, trial"""
+
+
+@check("study_small", _study_sql())
 def study_small(spark, sf_dir):
     """Two replicates, two crosses, two trials of tuned nearest neighbours."""
     study = Study(
@@ -372,9 +517,8 @@ def study_small(spark, sf_dir):
             "n_neighbors": {"type": "int", "low": 3, "high": 9},
             "weights": {"type": "categorical", "choices": ["uniform", "distance"]}}},
         {"label": "small", "target": "label", "objective": "balanced_accuracy",
-         "no_replicates": 2, "no_crosses": 2, "no_trials": 2,
-         "metrics": {"train": ["balanced_accuracy"], "validate": ["balanced_accuracy"],
-                     "test": ["balanced_accuracy", "sk_f1_weighted_avg", "correct_samples"]}})
+         "no_replicates": STUDY_PLAN.replicates, "no_crosses": STUDY_PLAN.crosses, "no_trials": 2,
+         "metrics": STUDY_METRICS})
     frame = embeddings(spark, sf_dir)
     # The target starts as a feature and is isolated by the study.
     open_frame = Frame.of(frame.df, "row_id")

@@ -410,6 +410,28 @@ def pca_variance(spark, sf_dir):
         spread(parts, "components", F.abs(F.round(means, 4))))
 
 
+@check("pca_covariances", f"""
+    SELECT i, j, TRUE AS apart, CASE WHEN i = 0 AND j = 1 THEN (
+             SELECT round({' + '.join(f'var_pop({n})' for n in NUMBERS)}, 3) FROM lineitem) END AS total
+    FROM (SELECT unnest(range(4)) AS i), (SELECT unnest(range(4)) AS j) WHERE i < j""")
+def pca_covariances(spark, sf_dir):
+    """Components vary apart from each other, the first ones most, and keep the total variance."""
+    df = table(spark, sf_dir, "lineitem").select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber").alias("row_id"),
+        *[F.col(n).cast("double").alias(n) for n in NUMBERS])
+    frame = Frame.of(df, "row_id")
+    out = PrincipalComponents(4).fit(frame).apply(frame)
+    pairs = [(i, j) for i in range(4) for j in range(i + 1, 4)]
+    found = out.df.agg(*[F.covar_pop(f"PC{i}", f"PC{j}").alias(f"c{i}{j}") for i, j in pairs],
+                       *[F.var_pop(f"PC{i}").alias(f"v{i}") for i in range(4)])
+    total = sum((F.col(f"v{i}") for i in range(1, 4)), F.col("v0"))
+    return found.select(F.explode(F.array(*[F.struct(
+        F.lit(i).alias("i"), F.lit(j).alias("j"),
+        ((F.abs(F.col(f"c{i}{j}")) < 1e-6 * total) & (F.col(f"v{i}") >= F.col(f"v{j}"))).alias("apart"),
+        (F.round(total, 3) if (i, j) == (0, 1) else F.lit(None).cast("double")).alias("total"))
+        for i, j in pairs])).alias("e")).select("e.*")
+
+
 @check("rfe_planted", "SELECT 'l_quantity' AS kept")
 def rfe_planted(spark, sf_dir):
     """Of a column that decides the label and two of noise, the first is kept."""
