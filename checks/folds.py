@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import functions as F
 
 from checks.registry import check, positions_sql, table
@@ -70,3 +72,16 @@ def replicate_seeds(spark, sf_dir):
     """One seed per replicate; here every customer is a replicate."""
     keys = table(spark, sf_dir, "customer").selectExpr("c_custkey AS replicate")
     return keys.select("replicate", derived_seed(71554, F.col("replicate")).alias("seed"))
+
+
+@check("folds_many_classes", f"""
+    SELECT row_id, label, g % 6 AS slice FROM ({positions_sql(
+        "SELECT DISTINCT l_orderkey * 8 + l_linenumber AS row_id, l_orderkey AS label FROM lineitem")}) p""")
+def folds_many_classes(spark, sf_dir):
+    """As many classes as orders: sizes and starts of classes stay a table."""
+    df = table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 8 + l_linenumber AS row_id", "l_orderkey AS label").distinct()
+    with warnings.catch_warnings():
+        warnings.simplefilter("ignore")  # most classes have few rows
+        frame = assign_slices(Frame.of(df, "row_id", "label"), FoldPlan(2, 3))
+    return frame.df.select("row_id", "label", "slice")

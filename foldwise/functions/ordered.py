@@ -12,9 +12,10 @@ import math
 from collections.abc import Hashable, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from itertools import accumulate
 from operator import or_
 
-from pyspark.sql import Column, DataFrame, Row, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foldwise.frame import col
@@ -23,7 +24,10 @@ from foldwise.session import scratch_dir
 
 # Rows that one task may sort comfortably.
 BUCKET_ROWS = 200_000
+# Classes of a classifier, which are columns of its output; folds know no such limit.
 MAX_CLASSES = 100_000
+# Classes that an expression may list.
+LISTED = 200
 # Conditional aggregates that one job computes side by side.
 SERIES_PER_JOB = 200
 
@@ -38,25 +42,68 @@ def class_counts(df: DataFrame, label: str) -> list[tuple[object, int]]:
     return sorted((r["c"], r["count"]) for r in found)
 
 
+@dataclass(frozen=True)
+class ClassSizes:
+    """Rows of each class: listed if they are few, else a table (c, n)."""
+
+    listed: list[tuple[object, int]] | None
+    table: DataFrame | None
+    classes: int
+    largest: int
+    # Classes with fewer rows than asked for: how many, and some of them.
+    small: int
+    some: tuple
+
+    @staticmethod
+    def of(df: DataFrame, label: str, least: int = 0) -> "ClassSizes":
+        counts = df.groupBy(col(label).alias("c")).agg(F.count(F.lit(1)).alias("n"))
+        rows = counts.limit(LISTED + 1).collect()
+        missing = f"target {label!r} holds nulls"
+        if len(rows) <= LISTED:
+            if any(r["c"] is None for r in rows):
+                raise ValueError(missing)
+            listed = sorted((r["c"], r["n"]) for r in rows)
+            some = tuple(c for c, n in listed if n < least)
+            return ClassSizes(listed, None, len(listed), max((n for _, n in listed), default=0),
+                              len(some), some[:10])
+        path = scratch_dir(df.sparkSession, "classes")
+        counts.write.parquet(path)
+        table = df.sparkSession.read.parquet(path)
+        few = F.col("n") < least
+        told = table.agg(
+            F.count(F.lit(1)).alias("classes"), F.max("n").alias("largest"), F.count_if(few).alias("small"),
+            F.count_if(F.col("c").isNull()).alias("nulls")).first()
+        if told["nulls"]:
+            raise ValueError(missing)
+        some = (tuple(r["c"] for r in table.where(few).orderBy("c").limit(10).collect())
+                if told["small"] else ())
+        return ClassSizes(None, table, told["classes"], told["largest"], told["small"], some)
+
+    def starts(self, kind: str) -> DataFrame:
+        """(c, start): the rows of all classes sorted before each, c of type ``kind``."""
+        if self.table is not None:
+            return running_totals(self.table, [], "c", {"n": "start"}).select("c", "start")
+        ends = accumulate((n for _, n in self.listed), initial=0)
+        spark = SparkSession.active()
+        return spark.createDataFrame([(c, s) for (c, _), s in zip(self.listed, ends)],
+                                     f"c {kind}, start bigint")
+
+
 def class_positions(df: DataFrame, label: str, row_id: str, seed: int,
-                    counts: list[tuple[object, int]] | None = None,
+                    sizes: ClassSizes | None = None,
                     bucket_rows: int = BUCKET_ROWS, out: str = "position") -> DataFrame:
-    """Number rows 0..n-1 by (class, seeded random order), exactly.
+    """Number rows 0..n-1 by (class, seeded random order), exactly, for any number of classes.
 
     The random order is a hex digest, so its leading digits are ordered buckets
     of nearly equal size however the rows are spread over classes.
     """
-    counts = class_counts(df, label) if counts is None else counts
-    largest = max((n for _, n in counts), default=0)
-    digits = max(0, math.ceil(math.log(max(1, largest / bucket_rows), 16)))
+    sizes = ClassSizes.of(df, label) if sizes is None else sizes
+    digits = max(0, math.ceil(math.log(max(1, sizes.largest / bucket_rows), 16)))
     keyed = df.withColumn("__h", order_key(seed, col(row_id)))
     keyed = keyed.withColumn("__b", F.substring("__h", 1, digits))
-    starts, total = [], 0
-    for value, n in counts:
-        starts.append((value, total))
-        total += n
-    if digits == 0 and len(starts) <= 200:
-        pairs = [x for v, s in starts for x in (F.lit(v), F.lit(s).cast("bigint"))]
+    if digits == 0 and sizes.listed is not None:
+        ends = accumulate((n for _, n in sizes.listed), initial=0)
+        pairs = [x for (v, _), s in zip(sizes.listed, ends) for x in (F.lit(v), F.lit(s).cast("bigint"))]
         first = F.element_at(F.create_map(*pairs), col(label)) if pairs else F.lit(0)
         keyed = keyed.withColumn("__start", first)
     else:
@@ -64,8 +111,8 @@ def class_positions(df: DataFrame, label: str, row_id: str, seed: int,
         per_bucket = keyed.groupBy(col(label).alias("__l"), col("__b").alias("__k")).count()
         before = (Window.partitionBy("__l").orderBy("__k")
                   .rowsBetween(Window.unboundedPreceding, -1))
-        kind = df.schema[label].dataType.simpleString()
-        classes = df.sparkSession.createDataFrame(starts, f"__c {kind}, __s bigint")
+        classes = sizes.starts(df.schema[label].dataType.simpleString()).select(
+            F.col("c").alias("__c"), F.col("start").alias("__s"))
         offsets = (per_bucket
                    .withColumn("__p", F.coalesce(F.sum("count").over(before), F.lit(0)))
                    .join(classes, F.col("__l") == F.col("__c"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foldwise.frame import Frame, col
-from foldwise.functions.ordered import BUCKET_ROWS, class_counts, class_positions
+from foldwise.functions.ordered import BUCKET_ROWS, ClassSizes, class_positions
 
 SLICE = "slice"
 
@@ -81,14 +81,13 @@ def assign_slices(frame: Frame, plan: FoldPlan, seed: int = 71554,
     """Add the slice column; a row is on the test side of one replicate."""
     if SLICE in frame.df.columns:
         raise ValueError(f"the table already has a column {SLICE!r}; rename it")
-    counts = class_counts(frame.df, frame.label)
     need = max(plan.replicates, plan.crosses)
-    small = [c for c, n in counts if n < need]
-    if counts and all(n < plan.replicates for _, n in counts):
+    sizes = ClassSizes.of(frame.df, frame.label, need)
+    if sizes.classes and sizes.largest < plan.replicates:
         raise ValueError(f"no class has {plan.replicates} rows")
-    if small:
-        warnings.warn(f"classes with fewer than {need} rows: {small[:10]}", stacklevel=2)
-    placed = class_positions(frame.df, frame.label, frame.row_id, seed, counts,
+    if sizes.small:
+        warnings.warn(f"classes with fewer than {need} rows: {list(sizes.some)}", stacklevel=2)
+    placed = class_positions(frame.df, frame.label, frame.row_id, seed, sizes,
                              bucket_rows, out="__position")
     sliced = (placed.withColumn(SLICE, (F.col("__position") % len(plan.slices)).cast("int"))
               .drop("__position"))

@@ -134,3 +134,18 @@ def test_running_totals_keep_nulls_and_large_numbers(spark):
     got = running_totals(df.repartition(4), [], "v", {"n": "before"}).orderBy("v").collect()
     assert [(r["v"], r["before"]) for r in got] == [
         (None, 0), *[(big + k, 5 + k) for k in range(8)]]
+
+
+def test_many_classes_as_few(spark, monkeypatch):
+    """Starts of classes from a table give the positions that listed ones give."""
+    from foldwise.functions import ordered
+    rows = spark.range(500).selectExpr("id AS row_id", "concat('c', id % 7) AS label")
+    few = class_positions(rows, "label", "row_id", 3).collect()
+    monkeypatch.setattr(ordered, "LISTED", 3)
+    for size in (10, 10**6):
+        many = class_positions(rows, "label", "row_id", 3, bucket_rows=size).collect()
+        assert sorted(map(tuple, many)) == sorted(map(tuple, few))
+    sizes = ordered.ClassSizes.of(rows, "label", 72)
+    assert (sizes.classes, sizes.largest, sizes.small, sizes.some[:2]) == (7, 72, 4, ("c3", "c4"))
+    with pytest.raises(ValueError, match="nulls"):
+        ordered.ClassSizes.of(rows.selectExpr("row_id", "nullif(label, 'c1') AS label"), "label")
