@@ -15,7 +15,7 @@ from foldwise.models.cells import TrainSide
 from foldwise.models.linear import LogisticClassifier as Logistic
 from foldwise.operators.encode import OneHot
 from foldwise.operators.folds import FoldPlan, assign_slices, side
-from foldwise.operators.metrics import permutation_importance
+from foldwise.operators.metrics import FeatureMetric, evaluate, permutation_importance, with_features
 from foldwise.operators.scale import Scale
 from foldwise.plans.proposals import propose
 from foldwise.plans.space import Space
@@ -370,6 +370,31 @@ def importance(spark, sf_dir):
     return rounded(found)
 
 
+@check("custom_metric_features", """
+    WITH t AS (SELECT o_orderstatus AS label, o_totalprice AS price, o_orderpriority AS priority,
+                      CASE WHEN o_totalprice > 250000 OR o_custkey < 500 THEN 'F' ELSE 'O' END AS pred
+               FROM orders)
+    SELECT priority, 'right_value' AS metric,
+           round(sum(CASE WHEN label = pred THEN price ELSE 0 END) / sum(price), 6) AS value
+    FROM t GROUP BY priority""")
+def custom_metric_features(spark, sf_dir):
+    """A metric that needs a feature: the share of the value that was predicted right."""
+    df = table(spark, sf_dir, "orders").selectExpr(
+        "o_orderkey", "o_orderstatus", "o_orderpriority AS priority", "o_totalprice AS price",
+        "o_custkey AS customer")
+    frame = Frame.of(df, "o_orderkey", "o_orderstatus", ["priority"])
+
+    def right_value(rows, by):
+        value = F.sum(F.when(F.col("label") == F.col("pred"), F.col("price")).otherwise(0.0))
+        return rows.groupBy(*by).agg((value / F.sum("price")).alias("right_value"))
+
+    metric = FeatureMetric(right_value, ("price",))
+    preds = PriceRule().predict(frame).withColumnRenamed("o_orderstatus", "label")
+    rows = with_features(preds, frame, metric.features)
+    found = evaluate(rows, ["priority"], ["right_value"], {"right_value": metric})
+    return rounded(found.select("priority", "metric", "value"))
+
+
 # --- Parameter search --------------------------------------------------------
 
 SPACE = {"model": {

@@ -12,6 +12,7 @@ from __future__ import annotations
 import math
 import sys
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -204,6 +205,34 @@ IMPORTANCE = "importance_by_permutation"
 MINIMISED = {"log_loss"}
 
 
+@dataclass(frozen=True)
+class FeatureMetric:
+    """A user's metric that needs features: ``compute(rows, by)`` as other metrics, over
+    predictions that have the named features as columns too."""
+
+    compute: Callable[[DataFrame, Sequence[str]], DataFrame]
+    features: tuple[str, ...]
+
+    def __call__(self, rows: DataFrame, by: Sequence[str]) -> DataFrame:
+        return self.compute(rows, by)
+
+
+@dataclass(frozen=True)
+class ModelMetric:
+    """A user's metric of a fitted model and the rows it is scored on (features and label), a
+    number: ``compute(model, frame)``. Called once for each cell."""
+
+    compute: Callable[[object, Frame], float | None]
+
+
+def with_features(preds: DataFrame, frame: Frame, features: Sequence[str],
+                  row_id: str | None = None) -> DataFrame:
+    """Predictions with features of their rows; ``row_id`` is their key, if named otherwise."""
+    own = frame.df.select(col(frame.row_id).alias("__id"), *[
+        col(f) for f in frame.require(features)])
+    return preds.join(own, col(row_id or frame.row_id) == F.col("__id")).drop("__id")
+
+
 def known_metrics() -> set[str]:
     return {*SCALAR_METRICS, *CLASS_METRICS, *ROW_METRICS, IMPORTANCE}
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from foldwise.frame import col
 from foldwise.functions.hashing import uniform
 from foldwise.plans.space import Parameter, Space, text
+from foldwise.session import scratch_dir
 
 # Fixed values of the published method and its usual settings.
 CANDIDATES = 24
@@ -48,7 +49,10 @@ def split_history(history: DataFrame, direction: str = "minimize",
 def propose(history: DataFrame, space: Space, seed: int, direction: str = "minimize",
             replicate: str = "replicate", trial: str = "trial") -> DataFrame:
     """One row per replicate with a value for every parameter."""
-    marked = split_history(history, direction, replicate, trial)
+    path = scratch_dir(history.sparkSession, "history")
+    # Read by every parameter: marked and written once.
+    split_history(history, direction, replicate, trial).write.parquet(path)
+    marked = history.sparkSession.read.parquet(path)
     out = None
     for p in space.parameters.values():
         pick = _categorical if p.kind == "categorical" else _numeric

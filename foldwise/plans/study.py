@@ -270,11 +270,11 @@ class Study:
         fitted = {(stage, cross): (own[cross], frame)
                   for (stage, cross), (_, frame) in ready.sides.items()}
         preds = reduce(DataFrame.unionByName, [
-            self._scored(model, frame, stage, cross)
+            self._scored(model, frame, stage, cross, self._needed())
             for (stage, cross), (model, frame) in fitted.items()])
         preds = preds.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            row = self._scores(preds)
+            row = self._scores(preds, fitted)
             self._store_rows(store, preds, row, replicate, trial)
             self._importance(fitted, row)
         finally:
@@ -288,15 +288,27 @@ class Study:
         row.update(replicate=replicate, trial=trial)
         return {f.name: row.get(f.name) for f in self.result_schema()}
 
+    def _needed(self) -> tuple[str, ...]:
+        """The features that metrics ask for."""
+        used = {self.spec.objective, *(m for own in self.spec.metrics.values() for m in own)}
+        asked = [f for m in sorted(used) if isinstance(self.custom_metrics.get(m), M.FeatureMetric)
+                 for f in self.custom_metrics[m].features]
+        return tuple(dict.fromkeys(asked))
+
     @staticmethod
-    def _scored(fitted, frame: Frame, stage: str, cross: int | None) -> DataFrame:
-        return fitted.predict(frame).select(
+    def _scored(fitted, frame: Frame, stage: str, cross: int | None,
+                features: tuple[str, ...] = ()) -> DataFrame:
+        scored = fitted.predict(frame)
+        if features:
+            scored = M.with_features(scored, frame, features)
+        return scored.select(
             F.lit(stage).alias("stage"), F.lit(cross).cast("int").alias("cross"),
-            col(frame.row_id).alias("row_id"), col(frame.label).alias("label"), "pred", "proba")
+            col(frame.row_id).alias("row_id"), col(frame.label).alias("label"), "pred", "proba",
+            *[col(f) for f in features])
 
     # --- Scores --------------------------------------------------------------
 
-    def _scores(self, preds: DataFrame) -> dict:
+    def _scores(self, preds: DataFrame, fitted: dict) -> dict:
         """All metrics of a trial under their column names."""
         wanted: dict[str, set[str]] = {}
         for stage in STAGES:
@@ -305,17 +317,24 @@ class Study:
         wanted.setdefault(self.spec.objective, set()).add("train")
         parts = [M.evaluate(preds.filter(F.col("stage").isin(sorted(stages))),
                             ["stage", "cross"], [m], self.custom_metrics)
-                 for m, stages in wanted.items() if m not in M.ROW_METRICS and m != M.IMPORTANCE]
+                 for m, stages in wanted.items() if m not in M.ROW_METRICS and m != M.IMPORTANCE
+                 and not isinstance(self.custom_metrics.get(m), M.ModelMetric)]
+        found = [(r["stage"], r["cross"], r["metric"],
+                  r["value"] if r["classes"] is None else r["classes"])
+                 for r in (reduce(DataFrame.unionByName, parts).collect() if parts else ())]
+        found += [(stage, cross, m, self.custom_metrics[m].compute(model, frame))
+                  for m, stages in wanted.items()
+                  if isinstance(self.custom_metrics.get(m), M.ModelMetric)
+                  for (stage, cross), (model, frame) in fitted.items() if stage in stages]
         row: dict = {}
         held_out = []
-        for r in reduce(DataFrame.unionByName, parts).collect():
-            value = r["value"] if r["classes"] is None else r["classes"]
-            if r["stage"] == "train":
-                row[train_name(r["metric"], r["cross"])] = value
-                if r["metric"] == self.spec.objective:
+        for stage, cross, metric, value in found:
+            if stage == "train":
+                row[train_name(metric, cross)] = value
+                if metric == self.spec.objective:
                     held_out.append(value)
             else:
-                row[stage_name(r["metric"], r["stage"])] = value
+                row[stage_name(metric, stage)] = value
         known = [v for v in held_out if v is not None]
         row["objective"] = sum(known) / len(known) if known else None
         return row
