@@ -48,6 +48,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
@@ -60,6 +61,8 @@ from foldwise.llm.common import stored
 FAN_IN = 16
 # Wrappers are broadcast up to so many characters in all, else joined by shuffle.
 BROADCAST_CHARS = 32 << 20
+# Elements and paths whose readings a worker keeps.
+CACHED = 50_000
 # A text of the wrapper: by so much of at least so many distinct contents of a host.
 CONSTANT_SHARE, ALIGNED = 0.9, 2
 
@@ -138,6 +141,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield ">", tag, ""
 
 
+@lru_cache(maxsize=CACHED)
 def label(tag: str, attrs: str) -> str:
     """The tag with its class, id and role; digits in them don't tell pages apart."""
     parts = [tag]
@@ -147,6 +151,7 @@ def label(tag: str, attrs: str) -> str:
     return " ".join(parts)
 
 
+@lru_cache(maxsize=CACHED)
 def telling(label_: str, inside: bool) -> int:
     """2 if an element is no part of an article, 1 if a word of its class or id says so among
     others that don't, else 0; ``inside``: an article is around it."""
@@ -204,7 +209,7 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
             if not text:
                 path = own
             text.append(name)
-            linked.append("a" in map(tag_of, own))
+            linked.append(_in_link(own))
             continue
         if kind == "<" and name == "br":
             text.append(" ")
@@ -240,6 +245,12 @@ def blocks(page: str) -> Iterator[tuple[tuple[str, ...], str, bool]]:
     yield from flush()
 
 
+@lru_cache(maxsize=CACHED)
+def _in_link(path: tuple[str, ...]) -> bool:
+    return "a" in map(tag_of, path)
+
+
+@lru_cache(maxsize=CACHED)
 def _cut(path: tuple[str, ...]) -> tuple[str, ...]:
     """The part of a path that a piece of text must share with its block: where it is skipped."""
     return tuple(p for p in path if p.split(" ", 1)[0] in _SKIPPED or " " in p)
@@ -353,6 +364,7 @@ def _met(x: object, y: object) -> object:
     return ["+", body]
 
 
+@lru_cache(maxsize=CACHED)
 def address(path: tuple[str, ...]) -> tuple[str, ...]:
     """The elements around a block that tell its slot: block elements, and those with a class."""
     return tuple(p for p in path if " " in p or p in _BLOCKS)
