@@ -33,8 +33,8 @@ from pyspark.sql import types as T
 
 from foldwise.llm.units import Units, gathered, is_piece, pieces
 
-ENTRIES = 400_000
-SLICE_CHARS = 1 << 21
+ENTRIES = 150_000
+SLICE_CHARS = 1 << 20
 
 
 def default_path() -> str:

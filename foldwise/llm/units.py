@@ -20,7 +20,7 @@ from foldwise.llm.tokens import mix, numbers
 
 # Fixed value: the pattern of byte-level pre-tokenizers with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-RUN_BYTES = 1 << 21
+RUN_BYTES = 1 << 20
 # Never part of UTF-8: stands between texts.
 _BETWEEN = 0xFF
 _pieces = regex.compile(PATTERN).findall
