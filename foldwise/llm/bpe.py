@@ -299,7 +299,8 @@ def _runs(column: pa.Array) -> Iterator[list[str]]:
 
 
 def encoded(docs: DataFrame, path: str | None = None, decode: bool = False) -> DataFrame:
-    """All columns of the documents and ``__tokens``, ids packed as little-endian uint32.
+    """All columns of the documents and ``__tokens``, ids packed as little-endian uint32; input
+    columns of the new names are replaced.
 
     With ``decode``, also ``__decoded``, the text that the ids decode to.
     """
@@ -311,21 +312,19 @@ def encoded(docs: DataFrame, path: str | None = None, decode: bool = False) -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            at = batch.schema.get_field_index("__text")
-            others = [k for k in range(batch.num_columns) if k != at]
             done = 0
-            for texts in _runs(batch.column(at)):
+            for texts in _runs(batch.column("text")):
                 packed = bpe.encode_all(texts)
                 more = [pa.array(packed, pa.binary())]
                 if decode:
                     more.append(pa.array(bpe.decode_all(packed), pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [*[batch.column(k).slice(done, len(texts)) for k in others], *more],
-                    names=[*[batch.schema.names[k] for k in others], *[f.name for f in fields]])
+                    [*[c.slice(done, len(texts)) for c in batch.columns], *more],
+                    names=[*batch.schema.names, *[f.name for f in fields]])
                 done += len(texts)
 
-    own = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
-    return own.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
+    docs = docs.drop(*[f.name for f in fields])
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))
 
 
 def n_tokens(packed: Column) -> Column:
