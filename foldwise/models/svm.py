@@ -3,7 +3,8 @@
 A kernel machine needs all pairs of rows. Here the kernel is expressed as a
 feature map instead, and a linear machine is trained on it by gradient passes:
 linear exactly, poly exactly (all monomials up to its degree), rbf
-approximately by random Fourier features (Rahimi & Recht, 2007).
+approximately by random Fourier features (Rahimi & Recht, 2007). The outputs of
+a map are made anew in every pass (``hinge``): only the rows' features are kept.
 """
 
 from __future__ import annotations
@@ -12,25 +13,28 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.ml.classification import LinearSVC, LogisticRegression
-from pyspark.ml.feature import ElementwiseProduct, PolynomialExpansion
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foldwise.frame import Frame, col
 from foldwise.functions.vectors import VECTOR, first_largest, with_vector
+from foldwise.models import hinge
 from foldwise.models.base import (INDEX, WEIGHT, as_trained, checked_weights, class_weights,
                                   predictions, training_set, weigh)
+from foldwise.models.newton import _margin
 
 KERNELS = ("linear", "poly", "rbf")
 # A feature map of so many outputs no longer suits dense vectors.
 MAX_MONOMIALS = 20_000
+# Outputs of a map that a task holds at a time.
+MAPPED_NUMBERS = 2**20
 
 
 def monomials(n: int, degree: int) -> list[tuple[int, ...]]:
@@ -53,43 +57,69 @@ class FeatureMap:
     directions: np.ndarray | None = None
     phases: np.ndarray | None = None
 
-    def apply(self, df: DataFrame) -> DataFrame:
+    @cached_property
+    def outputs(self) -> int:
         if self.kernel == "poly":
-            return self._poly(df)
+            return math.comb(self.width + self.degree, self.degree) - 1
+        return self.width if self.kernel == "linear" else len(self.phases)
+
+    @cached_property
+    def _levels(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By degree the monomials: one of the degree below, the variable that it is times, and
+        the weight.
+
+        (gamma x.y + c)^d is the sum over monomials of degree k <= d of d over k, c^(d - k),
+        gamma^k and their multinomial coefficient times both sides' monomials. The constant
+        one is an intercept.
+        """
+        below, levels = {(): 0}, []
+        every = [tuple(sorted(m)) for m in monomials(self.width, self.degree)]
+        for k in range(1, self.degree + 1):
+            own = [m for m in every if len(m) == k]
+            weights = [math.sqrt(
+                math.factorial(k) / math.prod(math.factorial(n) for n in Counter(m).values())
+                * math.comb(self.degree, k) * self.gamma**k * self.coef0**(self.degree - k))
+                for m in own]
+            levels.append((np.array([below[m[:-1]] for m in own]), np.array([m[-1] for m in own]),
+                           np.array(weights)))
+            below = {m: i for i, m in enumerate(own)}
+        return levels
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        """The outputs for some rows."""
         if self.kernel == "rbf":
-            return self._rbf(df)
-        return df
-
-    def _poly(self, df: DataFrame) -> DataFrame:
-        weights = []
-        for m in monomials(self.width, self.degree)[1:]:
-            # (gamma x.y + c)^d is the sum over monomials of degree k <= d of
-            # d over k, c^(d - k), gamma^k and their multinomial coefficient
-            # times both sides' monomials. The constant one is an intercept.
-            k = len(m)
-            ways = math.factorial(k) / math.prod(math.factorial(n) for n in Counter(m).values())
-            weights.append(math.sqrt(ways * math.comb(self.degree, k) * self.gamma**k
-                                     * self.coef0**(self.degree - k)))
-        grown = PolynomialExpansion(degree=self.degree, inputCol=VECTOR, outputCol="__g")
-        scaled = ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="__g",
-                                    outputCol="__s")
-        return (scaled.transform(grown.transform(df)).drop(VECTOR, "__g")
-                .withColumnRenamed("__s", VECTOR))
-
-    def _rbf(self, df: DataFrame) -> DataFrame:
-        w, b = self.directions, self.phases
-        scale = math.sqrt(2.0 / len(b))
-
-        @F.pandas_udf("array<double>")
-        def fourier(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for xs in batches:
-                if len(xs) == 0:
-                    yield pd.Series([], dtype=object)
-                    continue
-                z = scale * np.cos(np.stack(xs.to_numpy()) @ w + b)
-                yield pd.Series(list(z))
-
-        return df.withColumn(VECTOR, array_to_vector(fourier(vector_to_array(VECTOR))))
+            return math.sqrt(2.0 / len(self.phases)) * np.cos(x @ self.directions + self.phases)
+        if self.kernel == "linear":
+            return x
+        parts, last = [], np.ones((len(x), 1))
+        for lower, variable, weights in self._levels:
+            last = last[:, lower] * x[:, variable]
+            parts.append(last * weights)
+        return np.concatenate(parts, axis=1)
+
+    def at_once(self) -> int:
+        """How many rows are mapped at a time."""
+        return max(1, MAPPED_NUMBERS // max(1, self.outputs))
+
+
+def _margins(df: DataFrame, feature_map: FeatureMap, weights: np.ndarray) -> Column:
+    """The margin of each machine, from the vectors of ``df``; outputs of the map are not kept."""
+    x = vector_to_array(VECTOR)
+    if feature_map.kernel == "linear":
+        return F.array(*[_margin(x, w) for w in weights])
+    step = feature_map.at_once()
+
+    @F.pandas_udf("array<double>")
+    def margins(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for xs in batches:
+            if len(xs) == 0:
+                yield pd.Series([], dtype=object)
+                continue
+            rows = np.stack(xs.to_numpy())
+            yield pd.Series([m for i in range(0, len(rows), step) for m in
+                             feature_map.of(rows[i:i + step]) @ weights[:, :-1].T + weights[:, -1]])
+
+    return margins(x)
 
 
 @dataclass(frozen=True)
@@ -97,17 +127,15 @@ class FittedSVC:
     features: tuple[str, ...]
     classes: tuple
     feature_map: FeatureMap
-    machines: list
+    # One row a machine, intercept last.
+    weights: np.ndarray
     curves: list[tuple[float, float]]
 
     def predict(self, frame: Frame) -> DataFrame:
         frame = as_trained(frame, self.features)
-        df = self.feature_map.apply(with_vector(frame))
-        margins = []
-        for i, m in enumerate(self.machines):
-            df = m.transform(df).withColumn(
-                f"__m{i}", vector_to_array("rawPrediction")[1]).drop("rawPrediction", "prediction")
-            margins.append(F.col(f"__m{i}"))
+        df = with_vector(frame)
+        df = df.withColumn("__m", _margins(df, self.feature_map, self.weights))
+        margins = [F.col("__m")[i] for i in range(len(self.weights))]
         shares = [1.0 / (1.0 + F.exp(-(F.lit(a) * m + F.lit(b))))
                   for m, (a, b) in zip(margins, self.curves)]
         if len(self.classes) == 2:
@@ -148,26 +176,39 @@ class SupportVectorClassifier:
     def fit(self, frame: Frame) -> FittedSVC:
         train = training_set(frame)
         feature_map = self._map(frame)
-        base = feature_map.apply(weigh(train, self.class_weight)).persist(StorageLevel.MEMORY_AND_DISK)
+        own = class_weights(train, self.class_weight)
+        heavy = sum(n * w for n, w in zip(train.counts, own))
+        targets = [1] if len(train.classes) == 2 else list(range(len(train.classes)))
+        strength = 1.0 / (self.C * heavy)
+        rows = weigh(train, self.class_weight)
+        if feature_map.kernel != "linear":
+            weights = hinge.fit(rows, train.rows, feature_map, own, targets, strength, self.max_iter)
+            return self._fitted(frame, train, feature_map, weights, rows, targets)
+        rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            machines = [LinearSVC(
+                featuresCol=VECTOR, labelCol="__y", maxIter=self.max_iter, regParam=strength,
+                standardization=False, weightCol=WEIGHT, tol=1e-3)
+                .fit(rows.withColumn("__y", (F.col(INDEX) == k).cast("double"))) for k in targets]
+            weights = np.array([[*m.coefficients.toArray(), m.intercept] for m in machines])
+            return self._fitted(frame, train, feature_map, weights, rows, targets)
+        finally:
+            rows.unpersist()
+
+    def _fitted(self, frame: Frame, train, feature_map: FeatureMap, weights: np.ndarray,
+                rows: DataFrame, targets: list[int]) -> FittedSVC:
+        scored = rows.select(INDEX, _margins(rows, feature_map, weights).alias("__m"))
+        scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            heavy = sum(n * w for n, w in zip(
-                train.counts, class_weights(train, self.class_weight)))
-            targets = [1] if len(train.classes) == 2 else range(len(train.classes))
-            machines, curves = [], []
-            for k in targets:
-                own = base.withColumn("__y", (F.col(INDEX) == k).cast("double"))
-                svc = LinearSVC(featuresCol=VECTOR, labelCol="__y", maxIter=self.max_iter,
-                                regParam=1.0 / (self.C * heavy), standardization=False,
-                                weightCol=WEIGHT, tol=1e-3)
-                machine = svc.fit(own)
-                machines.append(machine)
-                curves.append(self._curve(machine.transform(own)))
+            curves = [self._curve(scored.select(
+                (F.col(INDEX) == k).cast("double").alias("__y"), F.col("__m")[i].alias("__m")))
+                for i, k in enumerate(targets)]
         finally:
-            base.unpersist()
-        return FittedSVC(frame.features, train.classes, feature_map, machines, curves)
+            scored.unpersist()
+        return FittedSVC(frame.features, train.classes, feature_map, weights, curves)
 
     def _curve(self, scored: DataFrame) -> tuple[float, float]:
-        margin = array_to_vector(F.array(vector_to_array("rawPrediction")[1]))
+        margin = array_to_vector(F.array("__m"))
         fitted = LogisticRegression(featuresCol="__mv", labelCol="__y", regParam=0.0).fit(
             scored.select("__y", margin.alias("__mv")))
         return float(fitted.coefficients[0]), float(fitted.intercept)

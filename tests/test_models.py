@@ -176,3 +176,41 @@ def test_boosting_stops_at_a_perfect_stump(spark):
     fitted = BoostClassifier(5).fit(frame)
     assert len(fitted.stumps) == 1
     assert all(r["pred"] == r["label"] for r in fitted.predict(frame).collect())
+
+
+@pytest.mark.parametrize("kernel", ["poly", "rbf"])
+def test_outputs_of_a_kernel_map_are_not_kept(spark, halves, kernel, monkeypatch):
+    """What a fit persists is as wide as the features, not as the map."""
+    kind, kept = type(halves[0].df), []
+    persist = kind.persist
+
+    def noted(df, *level):
+        numbers = [len(c) / 8 if isinstance(c, bytes | bytearray) else len(c)
+                   for row in df.collect() for c in row if hasattr(c, "__len__")]
+        kept.append(sum(numbers))
+        return persist(df, *level)
+
+    monkeypatch.setattr(kind, "persist", noted)
+    train, test = halves
+    rows = train.df.count()
+    fitted = SupportVectorClassifier(kernel, components=4_000, degree=12, max_iter=3).fit(train)
+    assert fitted.feature_map.outputs > 400
+    assert kept and max(kept) <= 2 * rows * train.n_features
+
+
+def test_polynomial_map_is_the_kernel():
+    from foldwise.models.svm import FeatureMap
+    rng = np.random.default_rng(3)
+    x, y = rng.normal(size=(2, 5, 3))
+    of = FeatureMap("poly", 3, 0.7, 3, 0.5).of
+    # Without the constant monomial, which is an intercept.
+    assert np.allclose((of(x) * of(y)).sum(axis=1), (0.7 * (x * y).sum(axis=1) + 0.5) ** 3 - 0.5**3)
+
+
+def test_hinge_machines_reach_the_minimum(halves):
+    """Another fit with many more steps gains next to nothing."""
+    train, test = halves
+    quick, long = (SupportVectorClassifier("rbf", C=10.0, components=32, max_iter=n).fit(train)
+                   for n in (40, 400))
+    a, b = ({r["row_id"]: r["pred"] for r in m.predict(test).collect()} for m in (quick, long))
+    assert np.mean([a[k] == b[k] for k in a]) > 0.95
