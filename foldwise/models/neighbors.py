@@ -10,8 +10,13 @@ A training set of proven small size is broadcast. A larger one is routed:
 4. Cells are cut into blocks of bounded size on both sides. A task compares one
    test block with one training block and emits k rows per test row.
 
-Nothing is dropped: a row that cannot be ruled out is always compared. In many
-dimensions little can be ruled out; then ``recall`` opts for hashing instead.
+Test cells that more than half of the training rows reach share blocks, which meet all
+training rows: a training row is sent once a block of test rows, not once a cell.
+
+Nothing is dropped: a row that cannot be ruled out is always compared. With p = 2 one
+matrix product in single precision bounds all distances of two blocks; only rows that
+the bounds leave open are measured exactly (``_Screen``). In many dimensions little can
+be ruled out; then ``recall`` opts for hashing instead.
 """
 
 from __future__ import annotations
@@ -19,6 +24,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -37,10 +43,20 @@ from foldwise.session import scratch_dir
 
 BROADCAST_BYTES = 64 * 2**20
 MAX_PIVOTS = 512
+# Stands for all cells that more than half of the training rows reach.
+OPEN = -1
 TEST_BLOCK = 2_000
 TRAIN_BLOCK = 20_000
-# Bytes of a difference tensor held at once.
+# Bytes of a block of rows in cells that most training rows reach; at least as many rows
+# as above.
+TEST_BYTES, TRAIN_BYTES = 8 * 2**20, 32 * 2**20
+# Pairs of rows that a task compares where training rows are broadcast.
+TASK_PAIRS = 100_000_000
+# Bytes of a difference tensor held at once, and of bounds.
 _CHUNK = 16 * 2**20
+_BOUNDS = 32 * 2**20
+# Training rows whose least bound is looked at first, and rows too few to bound.
+_GROUP, _FEW = 32, 1_024
 # Distances are ranked after rounding, so that equal ones tie everywhere.
 RANK_DIGITS = 9
 
@@ -64,6 +80,72 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float)
 
 
+@dataclass(frozen=True)
+class _Screen:
+    """Training rows in single precision, around their mean and divided by the largest norm.
+
+    One matrix product gives the squared distances to some test rows up to a proven
+    error. Rows beyond the k-th least by more than that are no neighbours.
+    """
+
+    centre: np.ndarray
+    size: float
+    # What rounding of the rows themselves can change in a coordinate.
+    blur: float
+    # By row -2 x and |x|^2, so that a product with (t, 1) is the squared distance less |t|^2.
+    wide: np.ndarray
+    rows: int
+
+    @staticmethod
+    def of(x: np.ndarray) -> "_Screen | None":
+        """None if bounds would not hold or not pay."""
+        if len(x) < _FEW or not np.isfinite(x).all():
+            return None
+        with np.errstate(over="ignore", invalid="ignore"):
+            centre = x.mean(axis=0)
+            y = x - centre
+            size = float(np.sqrt((y * y).sum(axis=1).max()))
+        if not 1e-100 < size < 1e100:
+            return None
+        y /= size
+        wide = np.zeros((-(-len(x) // _GROUP) * _GROUP, x.shape[1] + 1), dtype=np.float32)
+        wide[:len(x), :-1] = -2 * y
+        wide[:len(x), -1] = (y * y).sum(axis=1)
+        wide[len(x):, -1] = np.inf
+        return _Screen(centre, size, 2.0**-51 * float(np.abs(x).max()) / size, wide, len(x))
+
+    def pairs(self, tests: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+        """(test row, training row) of all that may be neighbours, in this order; None if the
+        bounds leave too much open."""
+        groups, d = len(self.wide) // _GROUP, tests.shape[1]
+        if groups < k:
+            return None
+        with np.errstate(over="ignore", invalid="ignore"):
+            a = (tests - self.centre) / self.size
+            norm = (a * a).sum(axis=1)
+        if not norm.max() < 1e30:
+            return None
+        blur = self.blur + 2.0**-51 * float(np.abs(tests).max()) / self.size
+        error = (2.0**-23 * (d + 8) + 16 * d * blur) * (norm + 1) + d * blur * blur
+        wide = np.ones((len(a), d + 1), dtype=np.float32)
+        wide[:, :-1] = a
+        near = wide @ self.wide.T
+        # Least bound of each group of columns that stand ``groups`` apart.
+        least = near.reshape(len(a), _GROUP, groups).min(axis=1)
+        kth = np.partition(least, k - 1, axis=1)[:, k - 1] + norm
+        # Distances that round alike rank by id.
+        far = np.sqrt(np.maximum(kth, 0.0) + error) * (1 + 1e-12) + 2 * 10.0**-RANK_DIGITS / self.size
+        limit = np.nextafter((far * far + error - norm).astype(np.float32), np.float32(np.inf))
+        at, group = np.nonzero(least <= limit[:, None])
+        if len(at) * _GROUP > max(near.size // 8, 64 * k * len(a)):
+            return None
+        columns = group[:, None] + groups * np.arange(_GROUP)
+        kept = near[at[:, None], columns] <= limit[at][:, None]
+        at, columns = np.broadcast_to(at[:, None], kept.shape)[kept], columns[kept]
+        order = np.lexsort((columns, at))
+        return at[order], columns[order]
+
+
 @dataclass(frozen=True)
 class _Block:
     """Training rows in order of their id."""
@@ -72,6 +154,10 @@ class _Block:
     ids: np.ndarray
     classes: np.ndarray
 
+    @cached_property
+    def screen(self) -> _Screen | None:
+        return _Screen.of(self.x)
+
     @staticmethod
     def of(rows: pd.DataFrame) -> "_Block":
         rows = rows.sort_values("o")
@@ -80,6 +166,18 @@ class _Block:
     def nearest(self, tests: np.ndarray, k: int, p: float) -> tuple[np.ndarray, np.ndarray]:
         """Distances and places of the k nearest of each test row; ties by id."""
         m = min(k, len(self.x))
+        d, best = np.empty((len(tests), m)), np.empty((len(tests), m), dtype=int)
+        screen = self.screen if p == 2 and len(tests) and np.isfinite(tests).all() else None
+        bytes_a_row = 4 * len(screen.wide) if screen else 8 * len(self.x)
+        step = max(1, (_BOUNDS if screen else _CHUNK) // max(1, bytes_a_row))
+        for i in range(0, len(tests), step):
+            some = slice(i, i + step)
+            pairs = screen.pairs(tests[some], k) if screen else None
+            d[some], best[some] = (self._all(tests[some], m, p) if pairs is None
+                                   else self._some(tests[some], m, *pairs))
+        return d, best
+
+    def _all(self, tests: np.ndarray, m: int, p: float) -> tuple[np.ndarray, np.ndarray]:
         d, best = np.empty((len(tests), m)), np.empty((len(tests), m), dtype=int)
         step = max(1, _CHUNK // max(1, 8 * len(self.x)))
         for i in range(0, len(tests), step):
@@ -90,6 +188,19 @@ class _Block:
             d[i:i + step] = np.take_along_axis(every, order, axis=1)
         return d, best
 
+    def _some(self, tests: np.ndarray, m: int, at: np.ndarray, columns: np.ndarray
+              ) -> tuple[np.ndarray, np.ndarray]:
+        """The nearest among the given pairs, which hold at least m of each test row."""
+        every = np.empty(len(at))
+        step = max(1, _CHUNK // (8 * tests.shape[1]))
+        for i in range(0, len(at), step):
+            gap = tests[at[i:i + step]] - self.x[columns[i:i + step]]
+            every[i:i + step] = np.sqrt((gap * gap).sum(axis=1))
+        order = np.lexsort((columns, np.round(every, RANK_DIGITS), at))
+        first = np.searchsorted(at, np.arange(len(tests)))
+        picked = order[first[:, None] + np.arange(m)]
+        return every[picked], columns[picked]
+
     def rows(self, tests: pd.DataFrame, k: int, p: float) -> pd.DataFrame:
         """(t, d, o, c): one row per test row and neighbour."""
         if len(tests) == 0:
@@ -142,7 +253,12 @@ class FittedNeighbors:
             for batch in batches:
                 yield held.value.rows(batch, k, p)
 
-        return tests.mapInPandas(match, schema)
+        return self._dealt(tests).mapInPandas(match, schema)
+
+    def _dealt(self, tests: DataFrame) -> DataFrame:
+        """The test rows in as many tasks as the comparisons ask for."""
+        tasks = math.ceil(tests.count() * self.rows / TASK_PAIRS)
+        return tests.repartition(tasks) if tasks > 1 else tests
 
     def _hashed(self, train: DataFrame, tests: DataFrame, schema: str) -> DataFrame:
         """The k nearest among the rows that share a bucket; exactly for rows that find few."""
@@ -191,16 +307,32 @@ class FittedNeighbors:
                  .filter(F.col("n") <= k).select("cell", "r").collect())
         reach = self._reach(pivots, radius, close)
 
-        # Send a training row to each test cell whose reach covers it.
-        wanted = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(limit).alias("limit"))
-                           for i, limit in reach.items()])
-        hits = F.transform(
-            F.filter(wanted, lambda w: F.element_at(F.col("pd"), w["cell"] + 1) <= w["limit"]),
-            lambda w: w["cell"])
-        sent = train.select("o", "c", "x", F.explode(hits).alias("cell"))
-        load = {r["cell"]: r["count"] for r in sent.groupBy("cell").count().collect()}
+        def reached(cells: dict[int, float]) -> Column:
+            """The test cells whose reach covers a training row."""
+            if not cells:
+                return F.array().cast("array<int>")
+            wanted = F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(limit).alias("limit"))
+                               for i, limit in cells.items()])
+            return F.transform(
+                F.filter(wanted, lambda w: F.element_at(F.col("pd"), w["cell"] + 1) <= w["limit"]),
+                lambda w: w["cell"])
+
+        load = {r["cell"]: r["count"] for r in train.select(F.explode(reached(reach)).alias("cell"))
+                .groupBy("cell").count().collect()}
+        open_cells = [i for i in radius if 2 * load[i] > self.rows]
         blocks = {i: (math.ceil(radius[i][0] / TEST_BLOCK), math.ceil(load[i] / TRAIN_BLOCK))
-                  for i in radius}
+                  for i in radius if i not in open_cells}
+        hits = reached({i: limit for i, limit in reach.items() if i in blocks})
+        if open_cells:
+            # Cells that little can be kept from meet all training rows together.
+            width = 8 * max(1, pivots.shape[1])
+            blocks[OPEN] = (
+                math.ceil(sum(radius[i][0] for i in open_cells) / max(TEST_BLOCK, TEST_BYTES // width)),
+                math.ceil(self.rows / max(TRAIN_BLOCK, TRAIN_BYTES // width)))
+            hits = F.concat(F.array(F.lit(OPEN)), hits)
+            tests = tests.withColumn("cell", F.when(F.col("cell").isin(open_cells), F.lit(OPEN))
+                                     .otherwise(F.col("cell")))
+        sent = train.select("o", "c", "x", F.explode(hits).alias("cell"))
         n_test, n_train = (self._lookup({i: b[side] for i, b in blocks.items()})
                            for side in (0, 1))
 
@@ -261,10 +393,9 @@ class FittedNeighbors:
                 shares = _shares(d, held.value.classes[best], n_classes, by_distance)
                 yield batch.drop(columns="x").assign(__p=list(shares))
 
-        # Row by row, with the keys along: no shuffle.
         tests = frame.df.select(*[col(c) for c in frame.keys], feature_array(frame).alias("x"))
         kept = tests.drop("x").schema
-        voted = tests.mapInPandas(vote, T.StructType([
+        voted = self._dealt(tests).mapInPandas(vote, T.StructType([
             *kept.fields, T.StructField("__p", T.ArrayType(T.DoubleType()))]))
         return predictions(voted, frame.keys, self.classes, F.col("__p"))
 
@@ -330,7 +461,7 @@ class NeighborsClassifier:
             raise ValueError(f"{self.k} neighbours asked of {rows} training rows")
         classes, held = tuple(c for c, _ in counts), None
         if rows * (8 * frame.n_features + 24) <= self.broadcast_bytes:
-            block = _Block.of(_training_rows(frame, classes).toPandas())
+            block = _Block.of(_training_rows(frame, classes).toArrow().to_pandas())
             held = frame.df.sparkSession.sparkContext.broadcast(block)
         hashes = None
         if self.recall < 1 and held is None:

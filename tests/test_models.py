@@ -214,3 +214,35 @@ def test_hinge_machines_reach_the_minimum(halves):
                    for n in (40, 400))
     a, b = ({r["row_id"]: r["pred"] for r in m.predict(test).collect()} for m in (quick, long))
     assert np.mean([a[k] == b[k] for k in a]) > 0.95
+
+
+@pytest.mark.parametrize("kind", ["plain", "shifted", "ties", "copies", "far", "one"])
+def test_bounded_distances_give_the_same_neighbors(kind):
+    import foldwise.models.neighbors as N
+    rng = np.random.default_rng(4)
+    x, t = rng.normal(size=(3000, 6)), rng.normal(size=(60, 6))
+    if kind == "shifted":
+        x, t = x + 1e7, t + 1e7
+    elif kind == "ties":
+        x, t = np.round(x), np.round(t)
+    elif kind == "copies":
+        x = np.repeat(x[:300], 10, axis=0)
+    elif kind == "far":
+        t = t * 1e6
+    elif kind == "one":
+        x = np.ones_like(x)
+    block = N._Block(x, np.arange(len(x)), np.zeros(len(x), int))
+    if kind == "plain":
+        assert len(block.screen.pairs(t, 5)[0]) < 0.01 * len(x) * len(t)
+    for a, b in zip(block.nearest(t, 5, 2.0), block._all(t, 5, 2.0)):
+        assert np.array_equal(a, b)
+
+
+def test_broadcast_search_is_dealt_by_its_comparisons(halves, monkeypatch):
+    import foldwise.models.neighbors as N
+    train, test = halves
+    fitted = NeighborsClassifier(5).fit(train)
+    monkeypatch.setattr(N, "TASK_PAIRS", train.df.count() * 10, raising=False)
+    rows = test.df.count()
+    assert fitted.predict(test).rdd.getNumPartitions() == math.ceil(rows / 10)
+    assert fitted.predict(test).count() == rows
