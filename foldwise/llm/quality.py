@@ -6,10 +6,11 @@ loss on the difference of features, with a small ridge. A document passes if
 its strength reaches the quantile of training strengths that splits them as
 the labels do; the score is the logistic function of the distance to it.
 
-Training rows are a bounded sample (``MAX_LABELLED``, by hash of the id) of the
-labelled rows that are not held out, and ``PAIRS`` pairs of them; both bounds
-are parameters. Every document is scored, from its whole text, in one pass
-without a shuffle.
+All labelled rows that are not held out are trained on. Each row of the larger
+class meets rows of the other in turn: one, or as many as make ``PAIRS`` pairs in
+all. Pairs are written once; a Newton step is a pass over them that sums gradient
+and Hessian. Deviations and the quantile are those of all training rows, exactly.
+Every document is scored, from its whole text, in one pass without a shuffle.
 
 A null text counts as empty; an empty text has zero features and a score like
 any other. Without labels of both kinds all weights are zero and every score
@@ -24,14 +25,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldwise.functions.ordered import class_positions, running_totals
+from foldwise.llm.common import broadcast_if_small, is_small, stored
 from foldwise.llm.tokens import text_slices, words
 
-MAX_LABELLED = 20_000
+# Pairs that are made at least, if there are so many.
 PAIRS = 100_000
+# Digits of a weight; those beyond depend on the order of sums.
+DIGITS = 10
 RIDGE = 1e-3
 FEATURES = ("log_words", "word_bytes", "upper", "digits", "marks", "bars", "signs", "bangs",
             "stops", "lines", "distinct", "repeats", "distinct_pairs", "top_word")
@@ -121,54 +127,93 @@ class Ranking:
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-terms))
 
 
-def ranking(features: np.ndarray, labels: np.ndarray, pairs: int = PAIRS,
-            ridge: float = RIDGE, seed: int = 5) -> Ranking:
-    """Newton's method on the pairwise logistic loss."""
-    nothing = Ranking((0.0,) * features.shape[1], 0.0)
-    good, bad = np.flatnonzero(labels == 1), np.flatnonzero(labels == 0)
-    if not len(good) or not len(bad):
-        return nothing
-    rng = np.random.default_rng(seed)
-    scale = features.std(axis=0)
-    scale[scale == 0] = 1
-    x = features / scale
-    # Each row of the larger class meets rows of the other in turn.
-    count = max(min(pairs, len(good) * len(bad)), 1)
-    first = np.resize(rng.permutation(good), count)
-    second = np.concatenate([rng.permutation(bad) for _ in range(-(-count // len(bad)))])[:count]
-    d = x[first] - x[second]
-    w = np.zeros(x.shape[1])
-    for _ in range(30):
-        p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
-        gradient = -(d.T @ p) / count + ridge * w
-        hessian = (d.T * (p * (1 - p))) @ d / count + ridge * np.eye(len(w))
-        step = np.linalg.solve(hessian, gradient)
-        w -= step
-        if np.abs(step).max() < 1e-8:
-            break
-    strength = np.sort(x @ w)
-    k = int(round(len(strength) * (labels == 0).mean()))
-    k = min(max(k, 1), len(strength) - 1)
-    return Ranking(tuple(float(v) for v in w / scale),
-                   float((strength[k - 1] + strength[k]) / 2))
-
-
-def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: int | None = 1,
-           max_labelled: int = MAX_LABELLED) -> Ranking:
-    """Learn from labelled rows whose crc32 of the id mod 3 is not ``held_out``."""
+def _training(docs: DataFrame, labels: DataFrame, label: str, held_out: int | None) -> DataFrame:
+    """(k, y, x): a key, the label and the features of every training row."""
     known = labels.select(F.col("doc_id").alias("id"), F.col(label).cast("int").alias("y"))
     known = known.where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
+    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     if held_out is not None:
         known = known.where(remainder(F.col("id")) != held_out)
-    sample = known.orderBy(F.xxhash64("id"), "id", "y").limit(max_labelled)
-    # At most max_labelled rows of two numbers, whatever the input.
-    rows = docs.select(F.col("doc_id"), F.col("text")).join(
-        F.broadcast(sample), F.col("doc_id") == F.col("id"))
-    got = (with_features(rows.select("doc_id", "y", "text")).drop("text")
-           .orderBy(F.xxhash64("doc_id"), "doc_id", "y", "__features").limit(max_labelled)
-           .collect())
-    features = np.array([r["__features"] for r in got]).reshape(-1, len(FEATURES))
-    return ranking(features, np.array([r["y"] for r in got]))
+        rows = rows.where(remainder(F.col("doc_id")) != held_out)
+    same, n = F.col("doc_id") == F.col("id"), known.count()
+    if is_small(n):
+        taught = with_features(rows.join(F.broadcast(known), same).select("doc_id", "y", "text"))
+    else:
+        # Features are shuffled, texts are not.
+        taught = with_features(rows).drop("text").join(known, same)
+    key = F.concat_ws("|", F.col("doc_id").cast("string"), F.col("y"), F.xxhash64("__features"))
+    return stored(taught.select(key.alias("k"), "y", F.col("__features").alias("x")), "quality")
+
+
+def _paired(rows: DataFrame, bad: int, good: int, least: int) -> DataFrame:
+    """(d): good features less bad ones, of each row of the larger class with rows of the other."""
+    larger, smaller = max(good, bad), min(good, bad)
+    turns = min(smaller, max(1, -(-least // larger)))
+    placed = stored(class_positions(rows, "y", "k", 5), "quality-places")
+    top = 1 if good >= bad else 0
+    # Places count on from the bad rows to the good ones.
+    at = F.col("position") - F.when(F.col("y") == 1, F.lit(bad)).otherwise(F.lit(0))
+    many = placed.where(F.col("y") == top).select(F.col("x").alias("a"), at.alias("i"))
+    turn = F.explode(F.sequence(F.lit(0), F.lit(turns - 1))).alias("turn")
+    many = many.select("a", "i", turn).select("a", F.pmod(F.col("i") + F.col("turn"), F.lit(smaller)).alias("j"))
+    few = placed.where(F.col("y") != top).select(F.col("x").alias("b"), at.alias("j"))
+    met = many.join(broadcast_if_small(few, smaller, 8 * len(FEATURES) * smaller), "j")
+    sign = F.lit(1.0 if top == 1 else -1.0)
+    return stored(met.select(F.zip_with("a", "b", lambda a, b: sign * (a - b)).alias("d")), "quality-pairs")
+
+
+def _slopes(pairs: DataFrame, w: np.ndarray, scale: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Gradient and Hessian of the pairwise loss, and how many pairs, in one job."""
+    size = len(w)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(1 + size + size * size)
+        for batch in batches:
+            d = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, size) / scale
+            p = 1 / (1 + np.exp(np.clip(d @ w, -500, 500)))
+            sums += np.concatenate([[len(d)], -(d.T @ p), ((d.T * (p * (1 - p))) @ d).ravel()])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([sums])], names=["part", "sums"])
+
+    # One row a task, added in their order.
+    parts = sorted(pairs.mapInArrow(run, "part int, sums array<double>").collect())
+    sums = np.sum([r["sums"] for r in parts], axis=0)
+    return sums[1:1 + size], sums[1 + size:].reshape(size, size), int(sums[0])
+
+
+def _between(rows: DataFrame, strength: Column, k: int) -> float:
+    """The middle between the k-th and the next of all strengths, in ascending order."""
+    tally = rows.select(strength.alias("v")).groupBy("v").count()
+    ranked = running_totals(tally, [], "v", {"count": "before"})
+    end = F.col("before") + F.col("count")
+    ranks = [(F.col("before") <= r) & (end > r) for r in (k - 1, k)]
+    found = ranked.where(ranks[0] | ranks[1]).select("v").collect()
+    return (min(r["v"] for r in found) + max(r["v"] for r in found)) / 2
+
+
+def fitted(docs: DataFrame, labels: DataFrame, label: str = "quality", held_out: int | None = 1,
+           pairs: int = PAIRS, ridge: float = RIDGE) -> Ranking:
+    """Learn from all labelled rows whose crc32 of the id mod 3 is not ``held_out``, by Newton's
+    method on the pairwise logistic loss."""
+    size = len(FEATURES)
+    rows = _training(docs, labels, label, held_out)
+    told = rows.agg(F.count_if(F.col("y") == 0).alias("bad"), F.count_if(F.col("y") == 1).alias("good"),
+                    *[F.stddev_pop(F.col("x")[i]).alias(f"s{i}") for i in range(size)]).first()
+    bad, good = told["bad"], told["good"]
+    if not bad or not good:
+        return Ranking((0.0,) * size, 0.0)
+    scale = np.array([told[f"s{i}"] or 1.0 for i in range(size)])
+    met = _paired(rows, bad, good, pairs)
+    w = np.zeros(size)
+    for _ in range(30):
+        gradient, hessian, count = _slopes(met, w, scale)
+        step = np.linalg.solve(hessian / count + ridge * np.eye(size), gradient / count + ridge * w)
+        w -= step
+        if np.abs(step).max() < 1e-8:
+            break
+    weights = tuple(float(f"{v:.{DIGITS}g}") for v in w / scale)
+    strength = sum((F.col("x")[i] * F.lit(v) for i, v in enumerate(weights)), F.lit(0.0))
+    return Ranking(weights, _between(rows, strength, bad))
 
 
 def remainder(doc_id: Column) -> Column:

@@ -56,3 +56,35 @@ def test_no_rows(no_docs, made):
     assert quality.scored(no_docs, quality.fitted(docs, labels)).collect() == []
     for model in (quality.fitted(no_docs, labels), quality.fitted(docs, labels.limit(0))):
         assert {r["__score"] for r in quality.scored(docs, model).collect()} == {0.5}
+
+
+def test_learns_from_every_row(spark, monkeypatch):
+    """The threshold is the quantile of all training strengths, however many rows there are."""
+    from pyspark.sql import functions as F
+    n = 24_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(
+        F.col("id") % 4 == 0, F.concat(F.lit("BAD!! "), F.col("id").cast("string")))
+        .otherwise(F.concat(F.lit("some good words, number "), F.col("id").cast("string"))).alias("text"))
+    labels = spark.range(n).select(F.col("id").alias("doc_id"), (F.col("id") % 4 != 0).cast("int").alias("quality"))
+    seen = []
+    whole = quality._paired
+    monkeypatch.setattr(quality, "_paired", lambda rows, bad, good, least: (
+        seen.append((bad, good)), whole(rows, bad, good, least))[1])
+    model = quality.fitted(docs, labels, held_out=None, pairs=1_000)
+    assert seen == [(n // 4, n - n // 4)]
+    wrong = quality.scored(docs, model).where((F.col("__score") >= 0.5) != (F.col("doc_id") % 4 != 0))
+    assert wrong.count() == 0
+
+
+@pytest.mark.parametrize("goods, bads", [(7, 3), (3, 7), (5, 5)])
+def test_every_row_is_in_a_pair(spark, goods, bads):
+    from pyspark.sql import functions as F
+    width = len(quality.FEATURES)
+    rows = [(f"g{i}", 1, [100.0 * (i + 1)] * width) for i in range(goods)]
+    rows += [(f"b{i}", 0, [float(i)] * width) for i in range(bads)]
+    df = spark.createDataFrame(rows, "k string, y int, x array<double>")
+    for least, turns in ((1, 1), (14, 2), (10**6, min(goods, bads))):
+        met = [r["d"][0] for r in quality._paired(df, bads, goods, least).select("d").collect()]
+        turns = min(turns if least > 1 else 1, goods, bads) if least != 14 else -(-14 // max(goods, bads))
+        assert len(met) == len(set(met)) == max(goods, bads) * turns
+        assert {int(d + 50) // 100 for d in met} == set(range(1, goods + 1))
