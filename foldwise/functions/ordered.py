@@ -117,6 +117,9 @@ def class_positions(df: DataFrame, label: str, row_id: str, seed: int,
                    .withColumn("__p", F.coalesce(F.sum("count").over(before), F.lit(0)))
                    .join(classes, F.col("__l") == F.col("__c"))
                    .select("__l", "__k", (F.col("__p") + F.col("__s")).alias("__start")))
+        # Merged, never broadcast: the files of the rows may look small to the planner. The
+        # numbering below deals the rows by the same keys.
+        offsets = offsets.hint("merge")
         keyed = keyed.join(offsets, (col(label) == F.col("__l")) & (F.col("__b") == F.col("__k")))
         keyed = keyed.drop("__l", "__k")
     in_bucket = Window.partitionBy(col(label), "__b").orderBy("__h", col(row_id))

@@ -149,3 +149,16 @@ def test_many_classes_as_few(spark, monkeypatch):
     assert (sizes.classes, sizes.largest, sizes.small, sizes.some[:2]) == (7, 72, 4, ("c3", "c4"))
     with pytest.raises(ValueError, match="nulls"):
         ordered.ClassSizes.of(rows.selectExpr("row_id", "nullif(label, 'c1') AS label"), "label")
+
+
+def test_numbering_broadcasts_no_rows(spark):
+    """However small the files of the rows look, they are not sent through the driver."""
+    from pyspark.sql import functions as F
+
+    from foldwise.functions.ordered import class_positions
+    df = spark.range(1000).select("id", (F.col("id") % 3).cast("string").alias("label"))
+    placed = class_positions(df, "label", "id", 7, bucket_rows=20)
+    assert placed.select("position").distinct().count() == 1000
+    plan = placed._jdf.queryExecution().executedPlan().toString()
+    joins = plan[plan.index("SortMergeJoin"):]
+    assert "BroadcastHashJoin" not in plan[:plan.index("SortMergeJoin")] and "__h" in joins
