@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -75,6 +75,8 @@ class CellRows:
     """All training rows (source, slice, x, y), kept while the cells are fitted.
 
     A model may add a column v with a number for each cell of the row's source.
+    Packed rows are blocks of a source: slices, x and y as bytes, so that a pass
+    turns no row into an object or a list.
     """
 
     df: DataFrame
@@ -84,7 +86,20 @@ class CellRows:
         self.df.unpersist()
 
 
-def gather(sides: dict[Hashable, TrainSide]) -> CellRows:
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        every = batch.column("source").to_numpy(zero_copy_only=False)
+        for source in np.unique(every):
+            part = batch.filter(pa.array(every == source))
+            x = np.ascontiguousarray(_matrix(part.column("x")))
+            whole = [part.column(n).to_numpy(zero_copy_only=False).astype(np.int32) for n in ("slice", "y")]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([source], pa.int32()), *[pa.array([a.tobytes()], pa.binary())
+                                                   for a in (whole[0], x, whole[1])]],
+                names=["source", "slice", "x", "y"])
+
+
+def gather(sides: dict[Hashable, TrainSide], packed: bool = False) -> CellRows:
     """The rows of all sides, each frame once, and the class counts of all cells."""
     frames = list({id(s.frame): s.frame for s in sides.values()}.values())
     source_of = {id(f): i for i, f in enumerate(frames)}
@@ -118,7 +133,10 @@ def gather(sides: dict[Hashable, TrainSide]) -> CellRows:
     n = sum(count for own in table.values() for _, _, count in own)
     width = max(f.n_features for f in frames)
     partitions = max(1, math.ceil(n * 8 * width / PARTITION_BYTES))
-    rows = rows.repartition(partitions).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = rows.repartition(partitions)
+    if packed:
+        rows = rows.mapInArrow(_packed, "source int, slice binary, x binary, y binary")
+    rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
     return CellRows(rows, cells)
 
 
@@ -129,6 +147,27 @@ def _slice(frame: Frame, sliced: set[int]):
 Work = Callable[[Hashable, Cell, np.ndarray, np.ndarray, np.ndarray | None], np.ndarray]
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Lists of one length as the rows of a matrix; none is made a Python object."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(
+        len(column), -1)
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """(source, slices, x, y, v) of the rows of each source; v may be None."""
+    if pa.types.is_binary(batch.column("x").type):
+        for row in zip(*[batch.column(n) for n in ("source", "slice", "x", "y")]):
+            slices, y = (np.frombuffer(row[i].as_buffer(), np.int32) for i in (1, 3))
+            yield row[0].as_py(), slices, np.frombuffer(row[2].as_buffer(), float).reshape(len(y), -1), y, None
+        return
+    every = batch.column("source").to_numpy(zero_copy_only=False)
+    for source in np.unique(every):
+        part = batch if (every == source).all() else batch.filter(pa.array(every == source))
+        slices, y = (part.column(n).to_numpy(zero_copy_only=False) for n in ("slice", "y"))
+        v = _matrix(part.column("v")) if "v" in part.schema.names else None
+        yield source, slices, _matrix(part.column("x")), y, v
+
+
 def summed(rows: CellRows, keys: list[Hashable], work: Work) -> dict[Hashable, np.ndarray]:
     """For each cell the sum of ``work(key, cell, x, y, v)`` over its rows, in one job.
 
@@ -139,13 +178,10 @@ def summed(rows: CellRows, keys: list[Hashable], work: Work) -> dict[Hashable, n
     cells = [(i, key, rows.cells[key]) for i, key in enumerate(keys)]
     sources = sorted({c.source for _, _, c in cells})
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
-            for source, part in batch.groupby("source"):
-                x = np.stack(part["x"].to_numpy()).astype(float)
-                y, slices = part["y"].to_numpy(), part["slice"].to_numpy()
-                v = np.stack(part["v"].to_numpy()) if "v" in part else None
+            for source, slices, x, y, v in _blocks(batch):
                 for i, key, cell in cells:
                     if cell.source != source:
                         continue
@@ -156,9 +192,11 @@ def summed(rows: CellRows, keys: list[Hashable], work: Work) -> dict[Hashable, n
                         part_sum = work(key, cell, own, cell.local(y[held]), numbers)
                         totals[i] = totals[i] + part_sum if i in totals else part_sum
         for i, total in totals.items():
-            yield pd.DataFrame({"cell": [i], "sums": [total]})
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([i], pa.int32()), pa.array([np.asarray(total, dtype=float)])],
+                names=["cell", "sums"])
 
-    partial = rows.df.where(F.col("source").isin(sources)).mapInPandas(
+    partial = rows.df.where(F.col("source").isin(sources)).mapInArrow(
         run, "cell int, sums array<double>")
     total = partial.groupBy("cell").agg(
         vector_to_array(Summarizer.sum(array_to_vector("sums"))).alias("sums"))

@@ -59,7 +59,7 @@ class LogisticClassifier(EstimatorClassifier):
 
         A cell whose Hessian is too wide for the driver is fitted by itself.
         """
-        rows = gather({key: learn for key, (_, learn) in parts.items()})
+        rows = gather({key: learn for key, (_, learn) in parts.items()}, packed=True)
         try:
             narrow = {key: model for key, (model, _) in parts.items()
                       if newton.numbers(rows.cells[key]) <= DRIVER_NUMBERS}

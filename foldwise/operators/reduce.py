@@ -155,7 +155,7 @@ class RecursiveElimination:
         if self.keep(n) >= n:
             return FittedSelection(frame.features)
         learner = LogisticClassifier("l2", l2_c=1.0)
-        rows = gather({0: TrainSide(frame)})
+        rows = gather({0: TrainSide(frame)}, packed=True)
         try:
             if newton.numbers(rows.cells[0]) <= DRIVER_NUMBERS:
                 left = newton.eliminate(rows, 0, learner.strength(), self.keep(n))

@@ -181,3 +181,21 @@ def test_elimination_by_either_way(sliced, monkeypatch):
     quick = reduce.RecursiveElimination(3).fit(wide).names
     monkeypatch.setattr(reduce, "DRIVER_NUMBERS", 1)
     assert reduce.RecursiveElimination(3).fit(wide).names == quick
+
+
+def test_packed_rows_give_the_same_sums(clouds):
+    from foldwise.models.cells import TrainSide, gather, summed
+    from foldwise.operators.folds import FoldPlan, assign_slices
+    frame = assign_slices(clouds, FoldPlan(3))
+    wide = frame.rebuild({n: frame.columns()[n] for n in frame.features[:2]})
+    sides = {"a": TrainSide(frame, (0, 1)), "b": TrainSide(frame, (2,)), "c": TrainSide(wide)}
+    found = []
+    for packed in (False, True):
+        rows = gather(sides, packed=packed)
+        found.append(summed(rows, list(sides), lambda key, cell, x, y, v: np.concatenate(
+            [[len(x)], x.sum(axis=0), x.T @ (y == 1)])))
+        if packed:
+            assert rows.df.count() < 20
+        rows.release()
+    for key in sides:
+        assert np.allclose(found[0][key], found[1][key])
