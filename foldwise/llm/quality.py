@@ -36,6 +36,8 @@ from foldwise.llm.tokens import text_slices, words
 
 # Pairs that are made at least, if there are so many.
 PAIRS = 100_000
+# Training rows that one task numbers.
+BUCKET_ROWS = 5_000
 # Digits of a weight; those beyond depend on the order of sums.
 DIGITS = 10
 RIDGE = 1e-3
@@ -149,7 +151,7 @@ def _paired(rows: DataFrame, bad: int, good: int, least: int) -> DataFrame:
     """(d): good features less bad ones, of each row of the larger class with rows of the other."""
     larger, smaller = max(good, bad), min(good, bad)
     turns = min(smaller, max(1, -(-least // larger)))
-    placed = stored(class_positions(rows, "y", "k", 5), "quality-places")
+    placed = stored(class_positions(rows, "y", "k", 5, bucket_rows=BUCKET_ROWS), "quality-places")
     top = 1 if good >= bad else 0
     # Places count on from the bad rows to the good ones.
     at = F.col("position") - F.when(F.col("y") == 1, F.lit(bad)).otherwise(F.lit(0))
