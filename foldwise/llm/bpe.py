@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from foldwise.llm.units import Units, gathered, is_piece, pieces
 
-ENTRIES = 150_000
+ENTRIES = 60_000
 SLICE_CHARS = 1 << 20
 
 
@@ -322,6 +322,8 @@ def encoded(docs: DataFrame, path: str | None = None, decode: bool = False) -> D
                     [*[c.slice(done, len(texts)) for c in batch.columns], *more],
                     names=[*batch.schema.names, *[f.name for f in fields]])
                 done += len(texts)
+        # The worker lives on: its batches' memory does not.
+        pa.default_memory_pool().release_unused()
 
     docs = docs.drop(*[f.name for f in fields])
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *fields]))

@@ -38,6 +38,8 @@ from foldwise.llm.tokens import text_slices, words
 PAIRS = 100_000
 # Training rows that one task numbers.
 BUCKET_ROWS = 5_000
+# Bytes of text whose words are held at once, in arrays many times as large.
+SLICE_BYTES = 1 << 18
 # Digits of a weight; those beyond depend on the order of sums.
 DIGITS = 10
 RIDGE = 1e-3
@@ -93,26 +95,22 @@ def _features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the text of each row by its features, in a column ``__features``."""
-    for batch in batches:
-        text = batch.column(batch.schema.get_field_index("__text"))
-        parts = [_features(data, offsets) for _, data, offsets in text_slices(text)]
-        flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
-        ends = np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32)
-        column = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
-        kept = [k for k, name in enumerate(batch.schema.names) if name != "__text"]
-        yield pa.RecordBatch.from_arrays(
-            [*[batch.column(k) for k in kept], column],
-            names=[*[batch.schema.names[k] for k in kept], "__features"])
+def _listed(text: pa.Array) -> pa.Array:
+    """The features of each text, a list; null is empty."""
+    parts = [_features(data, offsets) for _, data, offsets in text_slices(text, SLICE_BYTES)]
+    flat = np.concatenate(parts).ravel() if parts else np.zeros(0)
+    ends = np.arange(0, len(flat) + 1, len(FEATURES), dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
 def with_features(docs: DataFrame) -> DataFrame:
-    """All columns of the documents and ``__features``."""
-    own = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit("")))
-    schema = T.StructType([*docs.schema.fields,
-                           T.StructField("__features", T.ArrayType(T.DoubleType()))])
-    return own.mapInArrow(_added, schema)
+    """All columns of the documents and ``__features``.
+
+    Only the text goes to Python, once, and only the features come back.
+    """
+    made = F.arrow_udf(_listed, T.ArrayType(T.DoubleType()))
+    # Else a filter on what is made of the features would make them anew.
+    return docs.withColumn("__features", made.asNondeterministic()(F.col("text")))
 
 
 @dataclass(frozen=True)

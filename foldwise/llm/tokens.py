@@ -39,8 +39,8 @@ _TABLE = _TABLE.ravel()
 _ODD = numbers(5, 2) | np.uint64(1)
 
 
-def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(first row, bytes, row offsets) of runs of rows of about SLICE_BYTES; null is empty."""
+def text_slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, row offsets) of runs of rows of about ``size`` bytes; null is empty."""
     column = column.cast(pa.large_binary())
     n = len(column)
     if n == 0:
@@ -50,7 +50,7 @@ def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]
     data = np.frombuffer(buffer, dtype=np.uint8) if buffer is not None else np.zeros(0, np.uint8)
     first = 0
     while first < n:
-        last = int(np.searchsorted(offsets, offsets[first] + SLICE_BYTES, "right")) - 1
+        last = int(np.searchsorted(offsets, offsets[first] + size, "right")) - 1
         last = min(max(last, first + 1), n)
         part = offsets[first:last + 1]
         yield first, data[part[0]:part[-1]], part - part[0]

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from foldwise.llm import quality
@@ -88,3 +89,22 @@ def test_every_row_is_in_a_pair(spark, goods, bads):
         turns = min(turns if least > 1 else 1, goods, bads) if least != 14 else -(-14 // max(goods, bads))
         assert len(met) == len(set(met)) == max(goods, bads) * turns
         assert {int(d + 50) // 100 for d in met} == set(range(1, goods + 1))
+
+
+def test_texts_pass_once(made):
+    """Only the text goes to Python, in one step, and it does not come back."""
+    docs, labels = made
+    plan = quality.scored(docs, quality.fitted(docs, labels))
+    for out in (plan, plan.where("__score >= 0.5"), plan.where("__score >= 0.5").drop("__score")):
+        told = out._jdf.queryExecution().executedPlan().toString()
+        assert told.count("ArrowEvalPython [_listed(text#") == 1 and "MapInArrow" not in told
+
+
+def test_slices_change_nothing(monkeypatch):
+    """Texts are taken apart in small slices, whatever their sizes."""
+    texts = pa.array([None, "", *[f"Some words{i}, of {i % 7}! " * (i % 90) for i in range(400)]])
+    seen, features = [], quality._features
+    monkeypatch.setattr(quality, "_features", lambda data, offsets: seen.append(len(data)) or features(data, offsets))
+    rows = quality._listed(texts).to_pylist()
+    assert len(seen) > 1 and max(seen) <= 1 << 18
+    assert rows == [quality._listed(texts.slice(k, 1)).to_pylist()[0] for k in range(len(texts))]
