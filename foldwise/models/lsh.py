@@ -5,6 +5,10 @@ A table hashes a row to the places of its projections, cut into steps of a width
 each also into those that its projections nearly reach (multi-probe, Lv et al.,
 2007). All rows found are compared exactly; k of them are left.
 
+A row looks into up to a thousand buckets, so it is not sent to each of them: both
+sides are cut into blocks, a task takes a block of either side, and sorts the
+training rows by bucket. What it holds does not grow with the number of look-ups.
+
 Width, functions and tables are chosen at fit: some training rows are probes,
 whose exact neighbours are found in one pass; of all settings whose recall over
 the probes reaches the target the one with the fewest candidates is taken. A
@@ -16,11 +20,12 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
+from functools import cached_property
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwise.functions.hashing import order_key
@@ -32,7 +37,12 @@ MAX_TABLES = 24
 MARGIN = 0.03
 # Looking into a bucket costs as much as comparing so many rows.
 LOOKUP = 20.0
-ROWS_A_PART = 50_000
+# Training rows of a block at most, and test rows.
+ROWS_A_PART = 100_000
+# Blocks of test rows at least, if there are so many pairs that they pay.
+LEAST_BLOCKS, BLOCK_PAIRS = 16, 100_000_000
+# Bytes of what is held at once to hash rows.
+_CHUNK = 8 * 2**20
 
 
 def _stable(rng: np.random.Generator, p: float, shape: tuple) -> np.ndarray:
@@ -66,39 +76,96 @@ class Hashes:
     def _places(self, x: np.ndarray) -> np.ndarray:
         return np.einsum("nd,lmd->nlm", x, self.a) / self.width + self.b
 
+    def _slices(self, rows: int, numbers: int) -> Iterator[slice]:
+        """Cuts rows that need so many numbers for each table."""
+        step = max(1, _CHUNK // (8 * self.tables * numbers))
+        return (slice(i, i + step) for i in range(0, rows, step))
+
+    @cached_property
+    def _odd(self) -> np.ndarray:
+        return np.random.default_rng(17).integers(1, 2**62, self.a.shape[1], dtype=np.uint64) * 2 + 1
+
+    @cached_property
+    def _moves(self) -> np.ndarray:
+        """Steps down and up in one or two functions: a row of 0 and 1 for each."""
+        m = self.a.shape[1]
+        moves = [c for n in (1, 2) for c in combinations(range(2 * m), n)
+                 if n == 1 or c[0] + m != c[1]]
+        steps = np.zeros((len(moves), 2 * m))
+        for i, c in enumerate(moves):
+            steps[i, list(c)] = 1
+        return steps
+
+    def _sums(self, cells: np.ndarray) -> np.ndarray:
+        """A weighted sum of each cell, a vector of whole numbers in the last axis."""
+        with np.errstate(over="ignore"):
+            return (cells.astype(np.int64).astype(np.uint64) * self._odd).sum(axis=-1, dtype=np.uint64)
+
     @staticmethod
-    def _keys(cells: np.ndarray) -> np.ndarray:
-        """One number for each cell, a vector of whole numbers in the last axis."""
-        odd = np.random.default_rng(17).integers(1, 2**62, cells.shape[-1], dtype=np.uint64) * 2 + 1
+    def _mixed(sums: np.ndarray) -> np.ndarray:
+        """One number for each sum."""
         with np.errstate(over="ignore"):
-            mixed = (cells.astype(np.int64).astype(np.uint64) * odd).sum(axis=-1, dtype=np.uint64)
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            mixed = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
         return (mixed ^ (mixed >> np.uint64(32))).astype(np.int64)
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         """The bucket of each row in each table."""
-        return self._keys(np.floor(self._places(x)))
+        out = np.empty((len(x), self.tables), dtype=np.int64)
+        for some in self._slices(len(x), self.a.shape[1]):
+            out[some] = self._mixed(self._sums(np.floor(self._places(x[some]))))
+        return out
 
     def looked_up(self, x: np.ndarray) -> np.ndarray:
         """For each row and table its bucket and the likeliest ones beside it."""
-        places = self._places(x)
-        cells = np.floor(places)
-        m = cells.shape[2]
-        # Steps down and up in one or two functions, by how little they miss their bounds.
-        below = places - cells
-        cost = np.concatenate([below, 1 - below], axis=2) ** 2
-        moves = [c for n in (1, 2) for c in combinations(range(2 * m), n)
-                 if n == 1 or c[0] + m != c[1]]
-        steps = np.zeros((len(moves), 2 * m))
-        for i, c in enumerate(moves):
-            steps[i, list(c)] = 1
+        m, moves = self.a.shape[1], self._moves
         most = min(self.probes - 1, len(moves))
-        out = [cells[:, :, None, :]]
-        if most:
-            best = np.argsort(cost @ steps.T, axis=2, kind="stable")[:, :, :most]
-            change = steps[:, m:] - steps[:, :m]
-            out.append(cells[:, :, None, :] + change[best])
-        return self._keys(np.concatenate(out, axis=2))
+        shift = self._sums(moves[:, m:] - moves[:, :m])
+        out = np.empty((len(x), self.tables, 1 + most), dtype=np.int64)
+        for some in self._slices(len(x), len(moves)):
+            places = self._places(x[some])
+            cells = np.floor(places)
+            sums = self._sums(cells)
+            out[some, :, 0] = self._mixed(sums)
+            if most:
+                # By how little the steps miss their bounds.
+                below = places - cells
+                cost = np.concatenate([below, 1 - below], axis=2) ** 2 @ moves.T
+                best = _least(cost, most)
+                out[some, :, 1:] = self._mixed(sums[:, :, None] + shift[best])
+        return out
+
+
+def _least(cost: np.ndarray, n: int) -> np.ndarray:
+    """The places of the n least in the last axis."""
+    low = cost <= np.partition(cost, n - 1, axis=-1)[..., n - 1:n]
+    # Far faster than argpartition, but equal ones may be too many.
+    if (low.sum(axis=-1) == n).all():
+        return np.nonzero(low)[-1].reshape(*cost.shape[:-1], n)
+    return np.argpartition(cost, n - 1, axis=-1)[..., :n]
+
+
+class Shelf:
+    """Some training rows by bucket."""
+
+    def __init__(self, hashes: Hashes, x: np.ndarray):
+        self.hashes, self.rows, self.tables = hashes, len(x), []
+        for keys in hashes.buckets(x).T:
+            buckets, own = np.unique(keys, return_inverse=True)
+            self.tables.append((buckets, own.astype(np.int32)))
+
+    def met(self, tests: np.ndarray) -> np.ndarray:
+        """For each row here and test row whether they meet in a bucket."""
+        words = -(-len(tests) // 64)
+        out = np.zeros((self.rows, words), dtype=np.uint64)
+        looked = self.hashes.looked_up(tests)
+        for i, (buckets, own) in enumerate(self.tables):
+            at = np.searchsorted(buckets, looked[:, i]).clip(max=len(buckets) - 1)
+            hit = buckets[at] == looked[:, i]
+            # A bit for each test row that looks into the bucket.
+            held = np.zeros((len(buckets), 64 * words), dtype=bool)
+            held[at[hit], np.nonzero(hit)[0]] = True
+            out |= np.take(np.packbits(held, axis=1).view(np.uint64), own, axis=0)
+        return np.unpackbits(out.view(np.uint8), axis=1)[:, :len(tests)].view(bool)
 
 
 def choose(train: DataFrame, k: int, p: float, recall: float, rows: int, seed: int,
@@ -165,50 +232,24 @@ def _exact(train: DataFrame, probes: np.ndarray, ids: np.ndarray, k: int, neares
             rows["d"].to_numpy())
 
 
-def candidates(train: DataFrame, tests: DataFrame, hashes: Hashes, match: Callable, block: int,
+def candidates(train: DataFrame, tests: DataFrame, match: Callable, block_rows: tuple[int, int],
                rows: int, schema: str) -> DataFrame:
-    """``match(tests, train)`` for all rows that meet in a bucket, block by block.
-
-    Buckets with more than ``block`` training rows are cut into pieces, each of
-    which meets all test rows of the bucket.
-    """
-    def hashed(df: DataFrame, keys: Callable) -> DataFrame:
-        kept = df.schema
-        kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                if len(batch):
-                    found = keys(np.stack(batch["x"].to_numpy()).astype(float))
-                    yield batch.assign(buckets=[list(map(np.ravel, f)) for f in found])
-
-        long = df.mapInPandas(run, f"{kind}, buckets array<array<bigint>>")
-        one = long.select(*kept.names, F.posexplode("buckets").alias("tab", "own"))
-        return one.select(*kept.names, "tab", F.explode(F.array_distinct("own")).alias("bucket"))
-
-    left = hashed(tests, hashes.looked_up)
-    right = hashed(train, lambda x: hashes.buckets(x)[:, :, None])
-    # How many pieces a bucket has: told only for those that need more than one.
-    hot = (right.groupBy("tab", "bucket").count().where(F.col("count") > block)
-           .select("tab", "bucket", F.ceil(F.col("count") / block).cast("int").alias("pieces")))
-
-    def cut(df: DataFrame) -> DataFrame:
-        return df.join(hot, ["tab", "bucket"], "left").withColumn(
-            "pieces", F.coalesce("pieces", F.lit(1)))
-
-    left = cut(left).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    right = cut(right).withColumn("piece", F.pmod(F.xxhash64("o"), F.col("pieces")).cast("int"))
-    parts = max(1, math.ceil(rows * hashes.tables / ROWS_A_PART))
-    part = F.pmod(F.xxhash64("tab", "bucket", "piece"), F.lit(parts)).alias("part")
-    cell = F.xxhash64("tab", "bucket", "piece").alias("cell")
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        own = dict(tuple(b.groupby("cell")))
-        found = [match(rows, own[key]) for key, rows in a.groupby("cell") if key in own]
-        return pd.concat(found) if found else match(a[:0], b[:0])
-
-    met = (left.select("t", "x", cell, part).groupBy("part")
-           .cogroup(right.select("o", "c", "x", cell, part).groupBy("part"))
-           .applyInPandas(meet, schema))
-    # A training row may be met in several tables.
+    """``match(tests, train)`` for every block of test rows and every block of training rows;
+    a block holds as many rows as ``block_rows`` says, at most ``ROWS_A_PART``."""
+    n = tests.count()
+    most = [max(1, min(b, ROWS_A_PART)) for b in block_rows]
+    n_test = max(math.ceil(n / most[0]), min(LEAST_BLOCKS, math.ceil(n * rows / BLOCK_PAIRS)), 1)
+    n_train = max(math.ceil(rows / most[1]), 1)
+
+    def own(column: str, blocks: int) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
+
+    def all_of(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    left = tests.select("t", "x", own("t", n_test).alias("tb"), all_of(n_train).alias("sb"))
+    right = train.select("o", "c", "x", own("o", n_train).alias("sb"), all_of(n_test).alias("tb"))
+    met = (left.groupBy("tb", "sb").cogroup(right.groupBy("tb", "sb"))
+           .applyInPandas(match, schema))
+    # Keys may repeat.
     return met.dropDuplicates(["t", "o"])

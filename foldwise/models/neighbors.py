@@ -57,6 +57,10 @@ _CHUNK = 16 * 2**20
 _BOUNDS = 32 * 2**20
 # Training rows whose least bound is looked at first, and rows too few to bound.
 _GROUP, _FEW = 32, 1_024
+# Beyond all bounds.
+_UNMET = np.float32(1e37)
+# Pairs measured at once for rows that meet in buckets.
+_PAIRS = 500_000
 # Distances are ranked after rounding, so that equal ones tie everywhere.
 RANK_DIGITS = 9
 
@@ -66,18 +70,19 @@ def distances(a: np.ndarray, b: np.ndarray, p: float) -> np.ndarray:
     out = np.empty((len(a), len(b)))
     step = max(1, _CHUNK // max(1, 8 * b.size))
     for i in range(0, len(a), step):
-        gap = np.abs(a[i:i + step, None, :] - b[None, :, :])
-        if p == 1:
-            out[i:i + step] = gap.sum(axis=2)
-        elif p == 2:
-            out[i:i + step] = np.sqrt((gap * gap).sum(axis=2))
-        else:
-            out[i:i + step] = (gap**p).sum(axis=2) ** (1.0 / p)
+        out[i:i + step] = _lengths(a[i:i + step, None, :] - b[None, :, :], p)
     return out
 
 
+def _lengths(gap: np.ndarray, p: float) -> np.ndarray:
+    if p == 2:
+        return np.sqrt((gap * gap).sum(axis=-1))
+    gap = np.abs(gap)
+    return gap.sum(axis=-1) if p == 1 else (gap**p).sum(axis=-1) ** (1.0 / p)
+
+
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(float)
+    return np.stack(column.to_numpy()).astype(float, copy=False)
 
 
 @dataclass(frozen=True)
@@ -114,9 +119,10 @@ class _Screen:
         wide[len(x):, -1] = np.inf
         return _Screen(centre, size, 2.0**-51 * float(np.abs(x).max()) / size, wide, len(x))
 
-    def pairs(self, tests: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray] | None:
+    def pairs(self, tests: np.ndarray, k: int, met: np.ndarray | None = None
+              ) -> tuple[np.ndarray, np.ndarray] | None:
         """(test row, training row) of all that may be neighbours, in this order; None if the
-        bounds leave too much open."""
+        bounds leave too much open. Only pairs marked in ``met``, by training row, if given."""
         groups, d = len(self.wide) // _GROUP, tests.shape[1]
         if groups < k:
             return None
@@ -129,9 +135,12 @@ class _Screen:
         error = (2.0**-23 * (d + 8) + 16 * d * blur) * (norm + 1) + d * blur * blur
         wide = np.ones((len(a), d + 1), dtype=np.float32)
         wide[:, :-1] = a
-        near = wide @ self.wide.T
-        # Least bound of each group of columns that stand ``groups`` apart.
-        least = near.reshape(len(a), _GROUP, groups).min(axis=1)
+        near = self.wide @ wide.T
+        if met is not None:
+            for i in range(0, self.rows, _FEW):
+                near[i:i + _FEW][:len(met[i:i + _FEW])] += _UNMET * ~met[i:i + _FEW]
+        # Least bound of each group of rows that stand ``groups`` apart.
+        least = np.ascontiguousarray(near.reshape(_GROUP, groups, len(a)).min(axis=0).T)
         kth = np.partition(least, k - 1, axis=1)[:, k - 1] + norm
         # Distances that round alike rank by id.
         far = np.sqrt(np.maximum(kth, 0.0) + error) * (1 + 1e-12) + 2 * 10.0**-RANK_DIGITS / self.size
@@ -140,7 +149,11 @@ class _Screen:
         if len(at) * _GROUP > max(near.size // 8, 64 * k * len(a)):
             return None
         columns = group[:, None] + groups * np.arange(_GROUP)
-        kept = near[at[:, None], columns] <= limit[at][:, None]
+        open_ = near[columns, at[:, None]]
+        kept = open_ <= limit[at][:, None]
+        if met is not None:
+            # A row that meets fewer than k has no limit.
+            kept &= open_ < _UNMET / 2
         at, columns = np.broadcast_to(at[:, None], kept.shape)[kept], columns[kept]
         order = np.lexsort((columns, at))
         return at[order], columns[order]
@@ -191,16 +204,50 @@ class _Block:
     def _some(self, tests: np.ndarray, m: int, at: np.ndarray, columns: np.ndarray
               ) -> tuple[np.ndarray, np.ndarray]:
         """The nearest among the given pairs, which hold at least m of each test row."""
-        every = np.empty(len(at))
-        step = max(1, _CHUNK // (8 * tests.shape[1]))
-        for i in range(0, len(at), step):
-            gap = tests[at[i:i + step]] - self.x[columns[i:i + step]]
-            every[i:i + step] = np.sqrt((gap * gap).sum(axis=1))
+        every = self._between(tests, at, columns, 2)
         order = np.lexsort((columns, np.round(every, RANK_DIGITS), at))
         first = np.searchsorted(at, np.arange(len(tests)))
         picked = order[first[:, None] + np.arange(m)]
         return every[picked], columns[picked]
 
+    def _between(self, tests: np.ndarray, at: np.ndarray, columns: np.ndarray, p: float) -> np.ndarray:
+        every = np.empty(len(at))
+        step = max(1, _CHUNK // (8 * tests.shape[1]))
+        for i in range(0, len(at), step):
+            every[i:i + step] = _lengths(tests[at[i:i + step]] - self.x[columns[i:i + step]], p)
+        return every
+
+    def _met(self, tests: np.ndarray, met: np.ndarray, k: int, p: float
+             ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(test row, distance, place) of the k nearest that each test row meets, or of all; what
+        meets is marked by training row and test row."""
+        n = np.count_nonzero(met)
+        screen = self.screen if p == 2 and n > met.size // 64 and np.isfinite(tests).all() else None
+        pairs = screen.pairs(tests, k, met) if screen else None
+        if pairs is None and n > _PAIRS and len(tests) > 1:
+            half = len(tests) // 2
+            a, b = (self._met(tests[s], met[:, s], k, p) for s in (slice(half), slice(half, None)))
+            return np.concatenate([a[0], b[0] + half]), *map(np.concatenate, zip(a[1:], b[1:]))
+        at, columns = np.nonzero(met.T) if pairs is None else pairs
+        every = self._between(tests, at, columns, p)
+        order = np.lexsort((columns, np.round(every, RANK_DIGITS), at))
+        # Pairs stand by test row, before and after.
+        order = order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+        return at[order], every[order], columns[order]
+
+    def met_rows(self, tests: pd.DataFrame, k: int, p: float, hashes: lsh.Hashes) -> pd.DataFrame:
+        """As ``rows``, among the training rows that share a bucket with a test row."""
+        x, shelf, parts = _matrix(tests["x"]), lsh.Shelf(hashes, self.x), []
+        step = max(1, _BOUNDS // max(4 * len(self.x), 8 * hashes.tables * hashes.probes))
+        # Bits are held in words.
+        step = max(64, step // 64 * 64)
+        for i in range(0, len(x), step):
+            at, d, best = self._met(x[i:i + step], shelf.met(x[i:i + step]), k, p)
+            parts.append((at + i, d, best))
+        at, d, best = map(np.concatenate, zip(*parts))
+        return pd.DataFrame({"t": tests["t"].to_numpy()[at], "d": d, "o": self.ids[best],
+                             "c": self.classes[best]})
+
     def rows(self, tests: pd.DataFrame, k: int, p: float) -> pd.DataFrame:
         """(t, d, o, c): one row per test row and neighbour."""
         if len(tests) == 0:
@@ -262,14 +309,16 @@ class FittedNeighbors:
 
     def _hashed(self, train: DataFrame, tests: DataFrame, schema: str) -> DataFrame:
         """The k nearest among the rows that share a bucket; exactly for rows that find few."""
-        k, p = self.k, self.p
+        k, p, hashes = self.k, self.p, self.hashes
 
         def match(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if len(a) == 0 or len(b) == 0:
                 return pd.DataFrame({"t": [], "d": [], "o": [], "c": []})
-            return _Block.of(b).rows(a, k, p)
+            return _Block.of(b).met_rows(a, k, p, hashes)
 
-        met = lsh.candidates(train, tests, self.hashes, match, TRAIN_BLOCK, self.rows, schema)
+        width = 8 * max(1, self.train.n_features)
+        met = lsh.candidates(train, tests, match, (TEST_BYTES // width, TRAIN_BYTES // width),
+                             self.rows, schema)
         order = Window.partitionBy("t").orderBy(F.round("d", RANK_DIGITS), "o")
         best = (met.withColumn("n", F.row_number().over(order))
                 .filter(F.col("n") <= k).drop("n"))
