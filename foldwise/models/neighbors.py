@@ -109,13 +109,13 @@ class _Screen:
         with np.errstate(over="ignore", invalid="ignore"):
             centre = x.mean(axis=0)
             y = x - centre
-            size = float(np.sqrt((y * y).sum(axis=1).max()))
+            size = float(np.sqrt(np.einsum("ij,ij->i", y, y).max()))
         if not 1e-100 < size < 1e100:
             return None
         y /= size
         wide = np.zeros((-(-len(x) // _GROUP) * _GROUP, x.shape[1] + 1), dtype=np.float32)
-        wide[:len(x), :-1] = -2 * y
-        wide[:len(x), -1] = (y * y).sum(axis=1)
+        np.multiply(y, -2, out=wide[:len(x), :-1], casting="same_kind")
+        wide[:len(x), -1] = np.einsum("ij,ij->i", y, y)
         wide[len(x):, -1] = np.inf
         return _Screen(centre, size, 2.0**-51 * float(np.abs(x).max()) / size, wide, len(x))
 
